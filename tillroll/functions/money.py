@@ -23,6 +23,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fixed2(x: Column) -> Column:
+    """Two decimals, no grouping, half-even on the exact binary value."""
+    return F.call_function("format_number", x, F.lit("0.00"))
+
+
 def indian_digits(c: Column | str) -> Column:
     """Integer text with Indian digit grouping: 1234567 -> '12,34,567'."""
     whole = F.bround(_col(c).cast("double"), 0).cast("decimal(38,0)").cast("string")
@@ -33,7 +38,7 @@ def money(c: Column | str, fmt: str = "full") -> Column:
     """'₹12,34,567' (full) or '₹12.35 Lakhs' (lakhs); NULL and 0 give '₹0'."""
     x = _col(c).cast("double")
     if fmt == "lakhs":
-        body = F.concat(F.format_number(x / F.lit(100000.0), "0.00"), F.lit(" Lakhs"))
+        body = F.concat(fixed2(x / F.lit(100000.0)), F.lit(" Lakhs"))
     elif fmt == "full":
         body = indian_digits(x)
     else:
@@ -50,7 +55,7 @@ def money_plain(c: Column | str) -> Column:
 def percentage(c: Column | str, include_sign: bool = True) -> Column:
     """'12.34%' ('12.34' without sign); NULL gives '0%'."""
     x = _col(c).cast("double")
-    body = F.format_number(x, "0.00")
+    body = fixed2(x)
     if include_sign:
         body = F.concat(body, F.lit("%"))
     return F.when(x.isNull(), F.lit("0%")).otherwise(body)
@@ -84,7 +89,7 @@ def _non_finite_growth(cur: Column, prev: Column) -> Column:
 def growth_text(cur: Column | str, prev: Column | str) -> Column:
     """Growth formatted as '%.2f%%'; 'nan%' / 'inf%' where division fails."""
     cur, prev = _col(cur).cast("double"), _col(prev).cast("double")
-    finite = F.concat(F.format_number(growth_pct(cur, prev), "0.00"), F.lit("%"))
+    finite = F.concat(fixed2(growth_pct(cur, prev)), F.lit("%"))
     return F.when(cur.isNull() | prev.isNull() | (prev == 0),
                   _non_finite_growth(cur, prev)).otherwise(finite)
 

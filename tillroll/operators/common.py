@@ -76,16 +76,18 @@ def distinct_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -
     return sorted(r[0] for r in values)
 
 
-def densify(agg: DataFrame, dim: str, small_dim: str, small_values: list,
-            fill: Mapping[str, object]) -> DataFrame:
-    """Zero-fill the dimension product dim × small_dim (pandas categorical
-    group-by semantics). The small dimension is a bounded list of values that
-    is exploded next to each distinct ``dim`` value (a generate, not a join of
-    two tables); the observed aggregate is then left-joined on both keys."""
+def densify(agg: DataFrame, domain: DataFrame, dim: str, small_dim: str,
+            small_values: list, fill: Mapping[str, object]) -> DataFrame:
+    """Zero-fill the dimension product dim × small_dim (categorical group-by
+    semantics: every category of the unfiltered ``domain`` appears, even when
+    the filtered aggregate has no row for it). The small dimension is a
+    bounded list of values exploded next to each distinct ``dim`` value (a
+    generate, not a join of two tables); the observed aggregate is then
+    left-joined on both keys."""
     if len(small_values) > MAX_PIVOT_VALUES:
         raise ValueError("densify needs a bounded second dimension")
     values = F.array(*[F.lit(v) for v in small_values])
-    grid = (agg.select(dim).distinct()
+    grid = (domain.where(F.col(dim).isNotNull()).select(dim).distinct()
             .withColumn(small_dim, F.explode(values)))
     out = grid.join(agg, [dim, small_dim], "left")
     return out.fillna(dict(fill))

@@ -95,7 +95,8 @@ def daily_average(daily: DataFrame, outlet: str) -> DataFrame:
                     & (d != F.lit("")) & (d != F.lit("0")))
     return (f.where(not_null(["year", "month", "day_sales"]))
             .groupBy("year", "month", "day_sales")
-            .agg(F.avg(F.col("mtd_sales").cast("double")).alias("mtd_sales")))
+            .agg((F.sum("mtd_sales").cast("double")
+                  / F.count("mtd_sales").cast("double")).alias("mtd_sales")))
 
 
 def mix(lines: DataFrame, dimension: str, measure: str = "inc_tax", filters=None) -> DataFrame:

@@ -34,3 +34,182 @@ def q_monthly_outlet(spark, sf_dir):
 @query
 def q_monthly_outlet_exc(spark, sf_dir):
     return S.as_double(_mart(spark, sf_dir, "exc_tax"))
+
+
+# ---- headline figures, outlet and trend views over the monthly mart --------
+
+OUTLET = "NATION_7"
+
+
+@query
+def q_kpis(spark, sf_dir):
+    return S.as_double(S.kpis(_mart(spark, sf_dir)))
+
+
+@query
+def q_kpis_filtered(spark, sf_dir):
+    return S.as_double(S.kpis(_mart(spark, sf_dir),
+                              {"year": "1996", "brand": "BUILDING", "month": "All"}))
+
+
+@query
+def q_outlet_sales(spark, sf_dir):
+    return S.outlet_sales(_mart(spark, sf_dir))
+
+
+@query
+def q_monthly_trend(spark, sf_dir):
+    return S.monthly_trend(_mart(spark, sf_dir))
+
+
+@query
+def q_outlet_year_month(spark, sf_dir):
+    return S.outlet_year_month(_mart(spark, sf_dir), OUTLET)
+
+
+@query
+def q_daily_avg(spark, sf_dir):
+    daily = S.daily_outlet(sales_lines(spark, sf_dir, items=False))
+    return S.daily_average(daily, OUTLET)
+
+
+# ---- mix, top-k and profile over sale lines ---------------------------------
+
+@query
+def q_item_type(spark, sf_dir):
+    return S.mix(sales_lines(spark, sf_dir), "item_type")
+
+
+@query
+def q_item_category(spark, sf_dir):
+    return S.mix(sales_lines(spark, sf_dir), "item_category")
+
+
+@query
+def q_business_unit(spark, sf_dir):
+    return S.mix(sales_lines(spark, sf_dir, items=False), "business_unit")
+
+
+MIX_FILTERS = {"year": "1997", "center_name": "NATION_3", "item_type": "PROMO",
+               "item_category": "All", "business_unit": "AUTOMOBILE",
+               "item_subcategory": None}
+
+
+@query
+def q_mix_filtered(spark, sf_dir):
+    return S.mix(sales_lines(spark, sf_dir), "item_category", filters=MIX_FILTERS)
+
+
+@query
+def q_business_unit_rollup(spark, sf_dir):
+    return S.business_unit_rollup(sales_lines(spark, sf_dir, items=False))
+
+
+@query
+def q_top_categories(spark, sf_dir):
+    return S.top_pairs(sales_lines(spark, sf_dir), ["item_category", "business_unit"], 15)
+
+
+@query
+def q_center_year(spark, sf_dir):
+    from ..operators.common import sum_by
+    return sum_by(sales_lines(spark, sf_dir, items=False), ["center_name", "year"],
+                  "inc_tax", "sales")
+
+
+@query
+def q_center_year_dense(spark, sf_dir):
+    from ..operators.common import densify, distinct_values, sum_by
+    lines = sales_lines(spark, sf_dir)
+    years = distinct_values(lines, "year")
+    subset = lines.where((F.col("item_category") == "Brand#1")
+                         & (F.col("business_unit") == "AUTOMOBILE"))
+    agg = sum_by(subset, ["center_name", "year"], "inc_tax", "sales")
+    return densify(agg, lines, "center_name", "year", years, {"sales": 0.0})
+
+
+@query
+def q_rows_per_year(spark, sf_dir):
+    return S.rows_per_year(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
+
+
+@query
+def q_date_range(spark, sf_dir):
+    return S.date_range(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
+
+
+FILTER_COLUMNS = ["year", "month", "center_name", "item_type", "item_category",
+                  "item_subcategory", "business_unit"]
+
+
+@query
+def q_filter_values(spark, sf_dir):
+    return S.filter_values(sales_lines(spark, sf_dir), FILTER_COLUMNS)
+
+
+@query
+def q_axis_order(spark, sf_dir):
+    return S.axis_order(sales_lines(spark, sf_dir), "item_category", "inc_tax")
+
+
+PROFILE_COLUMNS = ["center_name", "item_name", "item_type", "item_category",
+                   "item_subcategory", "business_unit", "year", "month"]
+
+
+@query
+def q_column_profile(spark, sf_dir):
+    return S.column_profile(sales_lines(spark, sf_dir), PROFILE_COLUMNS)
+
+
+# ---- display formatting ----------------------------------------------------
+
+@query
+def q_format_money(spark, sf_dir):
+    from ..functions.money import money, money_plain
+    out = S.outlet_sales(_mart(spark, sf_dir))
+    return out.select("salon_name", "mtd_sales",
+                      money("mtd_sales").alias("sales_text"),
+                      money_plain("mtd_sales").alias("sales_plain"),
+                      money(F.col("mtd_sales") / F.lit(-1000.0)).alias("negative_text"))
+
+
+@query
+def q_format_lakhs(spark, sf_dir):
+    from ..functions.money import money
+    out = S.outlet_sales(_mart(spark, sf_dir))
+    return out.select("salon_name", money("mtd_sales", "lakhs").alias("sales_lakhs"))
+
+
+@query
+def q_format_percentage(spark, sf_dir):
+    from ..functions.money import percentage
+    lines = sales_lines(spark, sf_dir, items=False)
+    agg = lines.groupBy("center_name", "year").agg(
+        (F.sum("tax_collected").cast("double") / F.sum("sales_exc_tax").cast("double")
+         * F.lit(100.0)).alias("tax_rate_pct"))
+    return agg.withColumns({"tax_rate_text": percentage("tax_rate_pct"),
+                            "tax_rate_plain": percentage("tax_rate_pct", include_sign=False)})
+
+
+@query
+def q_format_columns(spark, sf_dir):
+    from ..functions.money import format_money_columns
+    mart = S.as_double(_mart(spark, sf_dir))
+    return format_money_columns(mart, ["mtd_sales", "mtd_abv", "no_such_column"])
+
+
+@query
+def q_format_int(spark, sf_dir):
+    from ..functions.money import western_int
+    out = S.outlet_sales(_mart(spark, sf_dir))
+    return out.select("salon_name", western_int("mtd_sales").alias("sales_int"))
+
+
+@query
+def q_format_column(spark, sf_dir):
+    from ..functions.money import format_column
+    out = S.outlet_sales(_mart(spark, sf_dir))
+    custom = (lambda c: F.concat(F.lit("Rs. "), F.format_number(c, 2)))
+    return out.select("salon_name",
+                      format_column("mtd_sales", "lakhs").alias("by_name"),
+                      format_column("mtd_sales", custom).alias("by_function"))

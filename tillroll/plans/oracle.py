@@ -13,3 +13,163 @@ FROM monthly"""
 
 ORACLE["q_monthly_outlet_exc"] = ORACLE["q_monthly_outlet"].replace(
     "coalesce(sum(sales_inc_tax), 0) AS mtd_sales", "coalesce(sum(sales_exc_tax), 0) AS mtd_sales")
+
+from .oracle_base import growth_text_sql, indian_sql, lakhs_sql, pct_sql  # noqa: E402,F401
+
+BASE = with_ctes(SALES_LINES_SQL, MONTHLY_MART_SQL)
+
+
+def _kpi(where: str = "") -> str:
+    return BASE + f"""
+SELECT CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS total_sales,
+       CAST(coalesce(sum(mtd_bills), 0) AS BIGINT) AS total_bills,
+       count(DISTINCT salon_name) AS total_outlets,
+       CASE WHEN sum(mtd_bills) > 0 THEN CAST(sum(mtd_sales) AS DOUBLE) / CAST(sum(mtd_bills) AS DOUBLE) ELSE 0.0 END AS avg_bill_value,
+       CAST(CAST(coalesce(sum(mtd_bills), 0) AS BIGINT) AS VARCHAR) AS total_bills_text
+FROM monthly {where}"""
+
+
+ORACLE["q_kpis"] = _kpi()
+ORACLE["q_kpis_filtered"] = _kpi("WHERE year = '1996' AND brand = 'BUILDING'")
+
+OUTLET_SALES = """SELECT salon_name, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales
+FROM monthly WHERE salon_name IS NOT NULL GROUP BY salon_name"""
+
+ORACLE["q_outlet_sales"] = BASE + OUTLET_SALES
+
+ORACLE["q_monthly_trend"] = BASE + """
+SELECT month, year, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales,
+       CAST(coalesce(list_position(['January','February','March','April','May','June','July',
+            'August','September','October','November','December'], month), 0) AS INTEGER) AS month_num
+FROM monthly WHERE month IS NOT NULL AND year IS NOT NULL GROUP BY month, year"""
+
+ORACLE["q_outlet_year_month"] = BASE + """
+SELECT year, month, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales,
+       CAST(coalesce(list_position(['January','February','March','April','May','June','July',
+            'August','September','October','November','December'], month), 0) AS INTEGER) AS month_num
+FROM monthly WHERE salon_name = 'NATION_7' GROUP BY year, month"""
+
+ORACLE["q_daily_avg"] = with_ctes(SALES_LINES_SQL) + """,
+daily AS (
+  SELECT year, month, center_name AS salon_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
+         CAST(day(sale_date) AS VARCHAR) AS day_sales, coalesce(sum(sales_inc_tax), 0) AS mtd_sales
+  FROM sales_lines WHERE center_name IS NOT NULL
+  GROUP BY 1, 2, 3, 4, 5
+)
+SELECT year, month, day_sales, CAST(sum(mtd_sales) AS DOUBLE) / CAST(count(mtd_sales) AS DOUBLE) AS mtd_sales
+FROM daily
+WHERE salon_name = 'NATION_7' AND day_sales IS NOT NULL AND day_sales <> '' AND day_sales <> '0'
+GROUP BY year, month, day_sales"""
+
+
+def _mix(dim: str, where: str = "") -> str:
+    w = f"WHERE {dim} IS NOT NULL" + (f" AND {where}" if where else "")
+    return with_ctes(SALES_LINES_SQL) + f"""
+SELECT {dim}, sales, replace({indian_sql('sales')}, '₹', '') AS formatted_sales
+FROM (SELECT {dim}, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales
+      FROM sales_lines {w} GROUP BY {dim})"""
+
+
+ORACLE["q_item_type"] = _mix("item_type")
+ORACLE["q_item_category"] = _mix("item_category")
+ORACLE["q_business_unit"] = _mix("business_unit")
+ORACLE["q_mix_filtered"] = _mix(
+    "item_category",
+    "year = '1997' AND center_name = 'NATION_3' AND item_type = 'PROMO' AND business_unit = 'AUTOMOBILE'")
+
+ORACLE["q_business_unit_rollup"] = with_ctes(SALES_LINES_SQL) + """
+SELECT business_unit, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales,
+       grouping(business_unit) = 1 AS is_total
+FROM sales_lines WHERE business_unit IS NOT NULL
+GROUP BY ROLLUP (business_unit)"""
+
+ORACLE["q_top_categories"] = with_ctes(SALES_LINES_SQL) + """
+SELECT item_category, business_unit, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales
+FROM sales_lines WHERE item_category IS NOT NULL AND business_unit IS NOT NULL
+GROUP BY 1, 2 ORDER BY sales DESC, item_category, business_unit LIMIT 15"""
+
+ORACLE["q_center_year"] = with_ctes(SALES_LINES_SQL) + """
+SELECT center_name, year, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales
+FROM sales_lines WHERE center_name IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2"""
+
+ORACLE["q_center_year_dense"] = with_ctes(SALES_LINES_SQL) + """,
+agg AS (
+  SELECT center_name, year, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales
+  FROM sales_lines
+  WHERE item_category = 'Brand#1' AND business_unit = 'AUTOMOBILE'
+    AND center_name IS NOT NULL AND year IS NOT NULL
+  GROUP BY 1, 2
+),
+grid AS (
+  SELECT c.center_name, y.year
+  FROM (SELECT DISTINCT center_name FROM sales_lines WHERE center_name IS NOT NULL) c,
+       (SELECT DISTINCT year FROM sales_lines WHERE year IS NOT NULL) y
+)
+SELECT g.center_name, g.year, coalesce(a.sales, 0.0) AS sales
+FROM grid g LEFT JOIN agg a ON g.center_name = a.center_name AND g.year = a.year"""
+
+ORACLE["q_rows_per_year"] = with_ctes(SALES_LINES_SQL) + """
+SELECT CAST(year(sale_date) AS BIGINT) AS year, count(*) AS rows FROM sales_lines GROUP BY 1"""
+
+ORACLE["q_date_range"] = with_ctes(SALES_LINES_SQL) + """
+SELECT min(sale_date) AS first_date, max(sale_date) AS last_date, count(*) AS rows,
+       count(DISTINCT year(sale_date)) AS years
+FROM sales_lines"""
+
+ORACLE["q_filter_values"] = with_ctes(SALES_LINES_SQL) + """
+SELECT DISTINCT dimension, value FROM (
+  SELECT 'year' AS dimension, CAST(year AS VARCHAR) AS value FROM sales_lines
+  UNION ALL SELECT 'month', month FROM sales_lines
+  UNION ALL SELECT 'center_name', center_name FROM sales_lines
+  UNION ALL SELECT 'item_type', item_type FROM sales_lines
+  UNION ALL SELECT 'item_category', item_category FROM sales_lines
+  UNION ALL SELECT 'item_subcategory', item_subcategory FROM sales_lines
+  UNION ALL SELECT 'business_unit', business_unit FROM sales_lines
+) WHERE value IS NOT NULL"""
+
+ORACLE["q_axis_order"] = with_ctes(SALES_LINES_SQL) + """
+SELECT item_category, total,
+       CAST(row_number() OVER (ORDER BY total DESC, item_category ASC) AS BIGINT) AS axis_rank
+FROM (SELECT item_category, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS total
+      FROM sales_lines WHERE item_category IS NOT NULL GROUP BY 1)"""
+
+_PROFILE_COLS = ["center_name", "item_name", "item_type", "item_category",
+                 "item_subcategory", "business_unit", "year", "month"]
+ORACLE["q_column_profile"] = with_ctes(SALES_LINES_SQL) + ",\nstats AS (SELECT count(*) AS rows, " + \
+    ", ".join(f"count(DISTINCT {c}) AS d_{c}" for c in _PROFILE_COLS) + " FROM sales_lines)\n" + \
+    "\nUNION ALL\n".join(
+        f"SELECT rows, '{c}' AS column_name, d_{c} AS distinct_values, "
+        f"CASE WHEN rows > 0 THEN d_{c} / rows END AS distinct_ratio, "
+        f"coalesce(d_{c} / rows < 0.5, false) AS low_cardinality FROM stats"
+        for c in _PROFILE_COLS)
+
+ORACLE["q_format_money"] = BASE + f"""
+SELECT salon_name, mtd_sales, {indian_sql('mtd_sales')} AS sales_text,
+       replace({indian_sql('mtd_sales')}, '₹', '') AS sales_plain,
+       {indian_sql('(mtd_sales / -1000.0)')} AS negative_text
+FROM ({OUTLET_SALES})"""
+
+ORACLE["q_format_lakhs"] = BASE + f"""
+SELECT salon_name, {lakhs_sql('mtd_sales')} AS sales_lakhs FROM ({OUTLET_SALES})"""
+
+ORACLE["q_format_percentage"] = with_ctes(SALES_LINES_SQL) + f"""
+SELECT center_name, year, tax_rate_pct, {pct_sql('tax_rate_pct')} AS tax_rate_text,
+       CASE WHEN tax_rate_pct IS NULL THEN '0%' ELSE printf('%.2f', tax_rate_pct) END AS tax_rate_plain
+FROM (SELECT center_name, year,
+             CAST(sum(tax_collected) AS DOUBLE) / CAST(sum(sales_exc_tax) AS DOUBLE) * 100.0 AS tax_rate_pct
+      FROM sales_lines GROUP BY 1, 2)"""
+
+ORACLE["q_format_columns"] = BASE + f"""
+SELECT year, month, salon_name, brand, {indian_sql('mtd_sales')} AS mtd_sales, mtd_bills,
+       {indian_sql('mtd_abv')} AS mtd_abv
+FROM (SELECT year, month, salon_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
+             CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
+      FROM monthly)"""
+
+ORACLE["q_format_int"] = BASE + f"""
+SELECT salon_name, format('{{:,}}', CAST(trunc(mtd_sales) AS BIGINT)) AS sales_int FROM ({OUTLET_SALES})"""
+
+ORACLE["q_format_column"] = BASE + f"""
+SELECT salon_name, {lakhs_sql('mtd_sales')} AS by_name,
+       'Rs. ' || format('{{:,.2f}}', mtd_sales) AS by_function
+FROM ({OUTLET_SALES})"""
