@@ -29,11 +29,15 @@ def not_null(keys: Iterable[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
 
 
-def sum_by(df: DataFrame, keys: list[str], measure: str, alias: str) -> DataFrame:
+def sum_by(df: DataFrame, keys: list[str], measure: str, alias: str,
+           exact: bool = False) -> DataFrame:
     """Group-by sum with dataframe-library semantics: NULL keys are dropped and
-    an all-NULL group sums to 0. Money sums stay DECIMAL until the final cast."""
+    an all-NULL group sums to 0. Money sums are DECIMAL (exact, order
+    independent); ``exact=True`` keeps them DECIMAL for further roll-ups,
+    otherwise they are cast to DOUBLE."""
+    total = F.coalesce(F.sum(measure_col(measure)), F.lit(0))
     return (df.where(not_null(keys)).groupBy(*keys)
-            .agg(F.coalesce(F.sum(measure_col(measure)), F.lit(0)).cast("double").alias(alias)))
+            .agg((total if exact else total.cast("double")).alias(alias)))
 
 
 def apply_filters(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:

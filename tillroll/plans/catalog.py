@@ -213,3 +213,144 @@ def q_format_column(spark, sf_dir):
     return out.select("salon_name",
                       format_column("mtd_sales", "lakhs").alias("by_name"),
                       format_column("mtd_sales", custom).alias("by_function"))
+
+
+# ---- cleaning: dirt is created deterministically from the base lines -------
+
+def _dirty_money(lines):
+    exc = F.col("sales_exc_tax").cast("string")
+    inv = F.col("invoice_no")
+    return (F.when(inv % 7 == 0, F.lit("bad"))
+            .when(inv % 5 == 0, F.lit(""))
+            .when(inv % 3 == 0, F.concat(F.lit("$"), exc))
+            .otherwise(F.concat(F.lit("₹"), F.substring(exc, 1, 2), F.lit(","),
+                                F.expr("substring(CAST(sales_exc_tax AS STRING), 3)"))))
+
+
+@query
+def q_clean_currency(spark, sf_dir):
+    from ..functions.clean import clean_currency
+    lines = sales_lines(spark, sf_dir, items=False)
+    cleaned = lines.select("year", clean_currency(_dirty_money(lines)).alias("amount"))
+    return cleaned.groupBy("year").agg(
+        F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("sales"),
+        F.count("amount").alias("parsed"),
+        (F.count(F.lit(1)) - F.count("amount")).alias("unparsed"))
+
+
+@query
+def q_clean_dates(spark, sf_dir):
+    from ..functions.clean import parse_date
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    inv = F.col("invoice_no")
+    text = (F.when(inv % 11 == 0, F.lit("2023-02-29"))
+            .when(inv % 4 == 0, F.date_format("sale_date", "dd-MM-yyyy"))
+            .otherwise(F.col("sale_date").cast("string")))
+    parsed = lines.select(parse_date(text).alias("sale_date")).dropna(subset=["sale_date"])
+    return parsed.groupBy(F.year("sale_date").cast("long").alias("year")) \
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("sale_date").alias("first_date"))
+
+
+@query
+def q_brand_default(spark, sf_dir):
+    from ..functions.clean import brand
+    lines = sales_lines(spark, sf_dir, items=False)
+    bu = F.col("business_unit")
+    dirty = F.when(bu == "BUILDING", F.lit(None).cast("string")) \
+        .when(bu == "MACHINERY", F.lit("nan")).otherwise(bu)
+    out = lines.select(brand(dirty).alias("brand"), brand(None).alias("absent_brand"),
+                       "sales_inc_tax")
+    return out.groupBy("brand", "absent_brand").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("sales_inc_tax").cast("double").alias("sales"))
+
+
+def _raw_text_lines(lines):
+    """Sale lines as a raw source sheet: source headers, every value text."""
+    return lines.select(
+        F.col("sale_date").cast("string").alias("Sale Date"),
+        F.col("invoice_no").cast("string").alias("Invoice No"),
+        F.col("center_name").alias("Center Name"),
+        F.col("business_unit").alias("Business Unit"),
+        F.concat(F.lit("$"), F.col("sales_exc_tax").cast("string")).alias("Sales Collected (Exc.Tax)"),
+        F.col("tax_collected").cast("string").alias("Tax Collected"),
+        F.concat(F.lit("₹"), F.col("sales_inc_tax").cast("string")).alias("Sales Collected (Inc.Tax)"),
+    )
+
+
+@query
+def q_normalize_sales(spark, sf_dir):
+    from ..functions.clean import normalize_sales, with_calendar_parts
+    raw = _raw_text_lines(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
+    return S.as_double(S.monthly_outlet(with_calendar_parts(normalize_sales(raw))))
+
+
+@query
+def q_month_num(spark, sf_dir):
+    from ..functions.clean import month_number
+    lines = sales_lines(spark, sf_dir, items=False)
+    name = F.when(F.col("invoice_no") % 13 == 0, F.lit("Foo")).otherwise(F.col("month"))
+    return lines.select(name.alias("month"), month_number(name).alias("month_num")) \
+        .groupBy("month", "month_num").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query
+def q_year_from_text(spark, sf_dir):
+    from ..functions.clean import year_from_text
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    text = F.date_format("sale_date", "dd-MM-yyyy")
+    return lines.groupBy(year_from_text(text).alias("year")) \
+        .agg(F.count(F.lit(1)).alias("lines"))
+
+
+# ---- services ---------------------------------------------------------------
+
+# Test keyword lists (data): words that occur in the test part names/brands.
+TEST_KEYWORDS = [
+    ("Hair", ["#1"], ["ring"], ["red"]),
+    ("Skin", ["#2"], ["bolt"], ["blue"]),
+    ("SPA", ["#3"], ["gear"], ["hot"]),
+]
+
+
+@query
+def q_service_type(spark, sf_dir):
+    from ..functions.classify import category, service_type
+    lines = sales_lines(spark, sf_dir)
+    out = lines.select(
+        category("item_type", "PROMO").alias("category"),
+        service_type(keywords=TEST_KEYWORDS, product_value="PROMO").alias("service_type"),
+        service_type().alias("default_service_type"), "sales_inc_tax")
+    return out.groupBy("category", "service_type", "default_service_type").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("sales_inc_tax").cast("double").alias("sales"))
+
+
+@query
+def q_service_mart(spark, sf_dir):
+    from ..operators.services import service_mart
+    lines = sales_lines(spark, sf_dir).withColumn(
+        "sale_date_text", F.date_format("sale_date", "dd-MM-yyyy"))
+    return S.as_double(service_mart(lines, keywords=TEST_KEYWORDS, product_value="PROMO",
+                                    date_text="sale_date_text"))
+
+
+TEST_OUTLET_MAP = {"NATION_1": "CENTRE ONE", "NATION_2": "CENTRE TWO", "T NAGAR": "T. NAGAR CENTER"}
+
+
+@query
+def q_map_outlet(spark, sf_dir):
+    from ..operators.services import map_outlets
+    mart = S.as_double(_mart(spark, sf_dir))
+    return map_outlets(mart, TEST_OUTLET_MAP, "salon_name")
+
+
+@query
+def q_hierarchy(spark, sf_dir):
+    from ..operators.services import hierarchy
+    return hierarchy(sales_lines(spark, sf_dir))
+
+
+@query
+def q_hierarchy_rollup(spark, sf_dir):
+    from ..operators.services import hierarchy_rollup
+    return hierarchy_rollup(sales_lines(spark, sf_dir))

@@ -173,3 +173,114 @@ ORACLE["q_format_column"] = BASE + f"""
 SELECT salon_name, {lakhs_sql('mtd_sales')} AS by_name,
        'Rs. ' || format('{{:,.2f}}', mtd_sales) AS by_function
 FROM ({OUTLET_SALES})"""
+
+_L = with_ctes(SALES_LINES_SQL)
+
+ORACLE["q_clean_currency"] = _L + """
+SELECT year, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sales, count(amount) AS parsed,
+       count(*) - count(amount) AS unparsed
+FROM (SELECT year, TRY_CAST(trim(replace(replace(replace(
+        CASE WHEN invoice_no % 7 = 0 THEN 'bad'
+             WHEN invoice_no % 5 = 0 THEN ''
+             WHEN invoice_no % 3 = 0 THEN '$' || CAST(sales_exc_tax AS VARCHAR)
+             ELSE '₹' || substr(CAST(sales_exc_tax AS VARCHAR), 1, 2) || ',' || substr(CAST(sales_exc_tax AS VARCHAR), 3)
+        END, '$', ''), '₹', ''), ',', '')) AS DECIMAL(18,6)) AS amount
+      FROM sales_lines)
+GROUP BY year"""
+
+ORACLE["q_clean_dates"] = _L + """
+SELECT CAST(year(d) AS BIGINT) AS year, count(*) AS rows, min(d) AS first_date
+FROM (SELECT coalesce(CAST(try_strptime(t, '%Y-%m-%d') AS DATE), CAST(try_strptime(t, '%d-%m-%Y') AS DATE)) AS d
+      FROM (SELECT CASE WHEN invoice_no % 11 = 0 THEN '2023-02-29'
+                        WHEN invoice_no % 4 = 0 THEN strftime(sale_date, '%d-%m-%Y')
+                        ELSE CAST(sale_date AS VARCHAR) END AS t FROM sales_lines))
+WHERE d IS NOT NULL GROUP BY 1"""
+
+ORACLE["q_brand_default"] = _L + """
+SELECT coalesce(nullif(CASE WHEN business_unit = 'BUILDING' THEN NULL
+                            WHEN business_unit = 'MACHINERY' THEN 'nan' ELSE business_unit END, 'nan'), 'Other') AS brand,
+       'Unknown' AS absent_brand, count(*) AS lines, CAST(sum(sales_inc_tax) AS DOUBLE) AS sales
+FROM sales_lines GROUP BY 1, 2"""
+
+ORACLE["q_normalize_sales"] = ORACLE["q_monthly_outlet"]
+
+ORACLE["q_month_num"] = _L + """
+SELECT m AS month, CAST(coalesce(list_position(['January','February','March','April','May','June','July',
+            'August','September','October','November','December'], m), 0) AS INTEGER) AS month_num,
+       count(*) AS lines
+FROM (SELECT CASE WHEN invoice_no % 13 = 0 THEN 'Foo' ELSE month END AS m FROM sales_lines)
+GROUP BY 1, 2"""
+
+ORACLE["q_year_from_text"] = _L + """
+SELECT split_part(strftime(sale_date, '%d-%m-%Y'), '-', -1) AS year, count(*) AS lines
+FROM sales_lines GROUP BY 1"""
+
+
+def _classify_sql(kw, product, type_col="item_type"):
+    def any_of(col, words):
+        return "(" + " OR ".join(
+            f"contains(lower(coalesce({col}, '')), '{w}')" for w in words) + ")"
+    parts = [f"CASE WHEN coalesce({type_col} = '{product}', false) THEN 'Product'"]
+    for label, cw, sw, nw in kw:
+        parts.append(f"WHEN {any_of('item_category', cw)} OR {any_of('item_subcategory', sw)} "
+                     f"OR {any_of('item_name', nw)} THEN '{label}'")
+    parts.append("ELSE 'Other Services' END")
+    return " ".join(parts)
+
+
+_TEST_KW = [("Hair", ["#1"], ["ring"], ["red"]), ("Skin", ["#2"], ["bolt"], ["blue"]),
+            ("SPA", ["#3"], ["gear"], ["hot"])]
+_DEFAULT_KW = [
+    ("Hair", ["hair", "haircut", "color"], ["hair", "cut", "color"],
+     ["hair", "cut", "color", "style", "blowdry"]),
+    ("Skin", ["facial", "skin", "face"], ["facial", "skin", "cleanup"], ["facial", "skin", "cleanup"]),
+    ("SPA", ["spa", "massage", "therapy"], ["spa", "massage", "therapy"], ["spa", "massage", "therapy"]),
+]
+
+ORACLE["q_service_type"] = _L + f"""
+SELECT CASE WHEN coalesce(item_type = 'PROMO', false) THEN 'Product' ELSE 'Service' END AS category,
+       {_classify_sql(_TEST_KW, 'PROMO')} AS service_type,
+       {_classify_sql(_DEFAULT_KW, 'Product')} AS default_service_type,
+       count(*) AS lines, CAST(sum(sales_inc_tax) AS DOUBLE) AS sales
+FROM sales_lines GROUP BY 1, 2, 3"""
+
+SERVICE_MART_SQL = f"""
+service_mart AS (
+  SELECT center_name, split_part(strftime(sale_date, '%d-%m-%Y'), '-', -1) AS year,
+         CASE WHEN coalesce(item_type = 'PROMO', false) THEN 'Product' ELSE 'Service' END AS category,
+         {_classify_sql(_TEST_KW, 'PROMO')} AS service_type,
+         item_category, item_subcategory, business_unit,
+         coalesce(sum(sales_inc_tax), 0) AS total_sales, count(sales_inc_tax) AS transaction_count
+  FROM sales_lines
+  WHERE center_name IS NOT NULL AND item_category IS NOT NULL AND item_subcategory IS NOT NULL
+    AND business_unit IS NOT NULL
+  GROUP BY 1, 2, 3, 4, 5, 6, 7
+)"""
+
+ORACLE["q_service_mart"] = with_ctes(SALES_LINES_SQL, SERVICE_MART_SQL) + """
+SELECT center_name, year, category, service_type, item_category, item_subcategory, business_unit,
+       CAST(total_sales AS DOUBLE) AS total_sales, transaction_count
+FROM service_mart"""
+
+ORACLE["q_map_outlet"] = BASE + """
+SELECT year, month,
+       CASE salon_name WHEN 'NATION_1' THEN 'CENTRE ONE' WHEN 'NATION_2' THEN 'CENTRE TWO'
+                       WHEN 'T NAGAR' THEN 'T. NAGAR CENTER' ELSE salon_name END AS salon_name,
+       brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
+       CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
+FROM monthly"""
+
+HIER_LEAVES = """
+leaves AS (
+  SELECT business_unit, item_category, coalesce(sum(sales_inc_tax), 0) AS sales
+  FROM sales_lines WHERE business_unit IS NOT NULL AND item_category IS NOT NULL
+  GROUP BY 1, 2 HAVING coalesce(sum(sales_inc_tax), 0) > 0
+)"""
+
+ORACLE["q_hierarchy"] = with_ctes(SALES_LINES_SQL, HIER_LEAVES) + """
+SELECT business_unit, item_category, CAST(sales AS DOUBLE) AS sales FROM leaves"""
+
+ORACLE["q_hierarchy_rollup"] = with_ctes(SALES_LINES_SQL, HIER_LEAVES) + """
+SELECT business_unit, item_category, CAST(sum(sales) AS DOUBLE) AS sales,
+       CAST(grouping(business_unit, item_category) AS INTEGER) AS level
+FROM leaves GROUP BY ROLLUP (business_unit, item_category)"""
