@@ -354,3 +354,145 @@ def q_hierarchy(spark, sf_dir):
 def q_hierarchy_rollup(spark, sf_dir):
     from ..operators.services import hierarchy_rollup
     return hierarchy_rollup(sales_lines(spark, sf_dir))
+
+
+# ---- holidays ---------------------------------------------------------------
+
+FESTIVAL = "New Year"
+HOLIDAY_YEARS = [1996, 1998, 2000]
+
+
+def _calendar(spark):
+    from ..operators.holidays import read_calendar
+    return read_calendar(spark)
+
+
+def _window(spark, sf_dir, festivals=None, center=None, items=True):
+    from ..operators.holidays import window_lines
+    lines = sales_lines(spark, sf_dir, items=items)
+    return window_lines(lines, _calendar(spark), festivals=festivals, center=center)
+
+
+@query
+def q_holiday_dates(spark, sf_dir):
+    from ..operators.holidays import holiday_dates
+    return holiday_dates(sales_lines(spark, sf_dir, items=False, calendar_parts=False),
+                         _calendar(spark))
+
+
+@query
+def q_holiday_dates_basic(spark, sf_dir):
+    from ..operators.holidays import basic_calendar, holiday_dates
+    return holiday_dates(sales_lines(spark, sf_dir, items=False, calendar_parts=False),
+                         basic_calendar(spark))
+
+
+def _holiday_sales(spark, sf_dir, fallback=False):
+    from ..operators.holidays import holiday_sales
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    return holiday_sales(lines, _calendar(spark), fallback=fallback)
+
+
+@query
+def q_holiday_sales(spark, sf_dir):
+    return _holiday_sales(spark, sf_dir)
+
+
+@query
+def q_holiday_sales_total(spark, sf_dir):
+    from ..operators.holidays import select_holiday_rows
+    return select_holiday_rows(_holiday_sales(spark, sf_dir), None, "All Centers")
+
+
+@query
+def q_holiday_sales_selected(spark, sf_dir):
+    from ..operators.holidays import select_holiday_rows
+    return select_holiday_rows(_holiday_sales(spark, sf_dir), HOLIDAY_YEARS, OUTLET)
+
+
+@query
+def q_holiday_fallback(spark, sf_dir):
+    return _holiday_sales(spark, sf_dir, fallback=True)
+
+
+@query
+def q_festival_daily(spark, sf_dir):
+    from ..operators.holidays import festival_daily
+    return festival_daily(_window(spark, sf_dir, items=False))
+
+
+@query
+def q_festival_daily_label(spark, sf_dir):
+    from ..operators.holidays import festival_daily
+    return festival_daily(_window(spark, sf_dir, [FESTIVAL], items=False), "exc_tax")
+
+
+@query
+def q_festival_daily_center(spark, sf_dir):
+    from ..operators.holidays import festival_daily
+    return festival_daily(_window(spark, sf_dir, center=OUTLET, items=False))
+
+
+@query
+def q_festival_performance(spark, sf_dir):
+    from ..operators.holidays import festival_performance
+    return festival_performance(_window(spark, sf_dir, items=False))
+
+
+@query
+def q_festival_performance_by_center(spark, sf_dir):
+    from ..operators.holidays import festival_performance
+    return festival_performance(_window(spark, sf_dir, items=False), "exc_tax", by_center=True)
+
+
+@query
+def q_festival_category_year(spark, sf_dir):
+    from ..operators.holidays import breakdown
+    return breakdown(_window(spark, sf_dir, [FESTIVAL]), ["item_category", "year"])
+
+
+@query
+def q_festival_category(spark, sf_dir):
+    from ..operators.holidays import breakdown
+    return breakdown(_window(spark, sf_dir, [FESTIVAL]), ["item_category"])
+
+
+@query
+def q_festival_bu_year(spark, sf_dir):
+    from ..operators.holidays import breakdown
+    return breakdown(_window(spark, sf_dir, [FESTIVAL], items=False), ["business_unit", "year"])
+
+
+@query
+def q_center_business_top10(spark, sf_dir):
+    from ..operators.holidays import center_business_top
+    return center_business_top(_window(spark, sf_dir, [FESTIVAL], items=False), 10)
+
+
+@query
+def q_festival_top_services(spark, sf_dir):
+    from ..operators.holidays import top_items
+    return top_items(_window(spark, sf_dir, [FESTIVAL]), 15)
+
+
+@query
+def q_festival_service_counts(spark, sf_dir):
+    from ..operators.holidays import top_item_counts
+    return top_item_counts(_window(spark, sf_dir, [FESTIVAL]), 15)
+
+
+@query
+def q_festival_service_summary(spark, sf_dir):
+    from ..operators.holidays import service_summary
+    return service_summary(_window(spark, sf_dir, [FESTIVAL]), 20)
+
+
+@query
+def q_festival_traffic(spark, sf_dir):
+    from ..operators.holidays import apply_filters, daily_traffic, holiday_dates
+    lines = sales_lines(spark, sf_dir, items=False)
+    from ..operators.holidays import window_lines
+    cal = _calendar(spark)
+    wl = window_lines(lines, cal, festivals=[FESTIVAL])
+    days = apply_filters(holiday_dates(lines, cal), {"festival": [FESTIVAL]})
+    return daily_traffic(wl, days)

@@ -284,3 +284,123 @@ ORACLE["q_hierarchy_rollup"] = with_ctes(SALES_LINES_SQL, HIER_LEAVES) + """
 SELECT business_unit, item_category, CAST(sum(sales) AS DOUBLE) AS sales,
        CAST(grouping(business_unit, item_category) AS INTEGER) AS level
 FROM leaves GROUP BY ROLLUP (business_unit, item_category)"""
+
+from .oracle_base import basic_calendar_cte, calendar_cte  # noqa: E402
+
+HDATES = """
+hdates AS (
+  SELECT DISTINCT c.festival, s.sale_date AS holiday_date, CAST(year(s.sale_date) AS BIGINT) AS year
+  FROM (SELECT DISTINCT sale_date FROM sales_lines WHERE sale_date IS NOT NULL) s
+  JOIN calendar c ON month(s.sale_date) = c.hol_month AND day(s.sale_date) = c.hol_day
+)"""
+
+ORACLE["q_holiday_dates"] = with_ctes(SALES_LINES_SQL, calendar_cte(), HDATES) + \
+    "SELECT festival, holiday_date, year FROM hdates"
+ORACLE["q_holiday_dates_basic"] = with_ctes(SALES_LINES_SQL, basic_calendar_cte(), HDATES) + \
+    "SELECT festival, holiday_date, year FROM hdates"
+
+HSALES = """
+hsales AS (
+  SELECT festival, year, holiday_date, center_name,
+         CAST(coalesce(sum(amount), 0) AS DOUBLE) AS mtd_sale, grouping(center_name) = 1 AS is_total
+  FROM (SELECT c.festival, CAST(year(l.sale_date) AS BIGINT) AS year, l.sale_date AS holiday_date,
+               l.center_name, l.sales_inc_tax AS amount
+        FROM sales_lines l JOIN calendar c
+          ON month(l.sale_date) = c.hol_month AND day(l.sale_date) = c.hol_day)
+  GROUP BY GROUPING SETS ((festival, year, holiday_date), (festival, year, holiday_date, center_name))
+)"""
+
+_HS = with_ctes(SALES_LINES_SQL, calendar_cte(), HSALES)
+_HS_COLS = "SELECT festival, year, holiday_date, center_name, mtd_sale, is_total FROM hsales "
+ORACLE["q_holiday_sales"] = _HS + _HS_COLS + "WHERE is_total OR center_name IS NOT NULL"
+ORACLE["q_holiday_fallback"] = ORACLE["q_holiday_sales"]
+ORACLE["q_holiday_sales_total"] = _HS + _HS_COLS + "WHERE is_total"
+ORACLE["q_holiday_sales_selected"] = _HS + _HS_COLS + \
+    "WHERE year IN (1996, 1998, 2000) AND center_name = 'NATION_7'"
+
+
+def _wl(festival: str | None = None, center: str | None = None, measure: str = "sales_inc_tax") -> str:
+    fw = f"WHERE h.festival = '{festival}'" if festival else ""
+    cw = f"WHERE center_name = '{center}'" if center else ""
+    return with_ctes(SALES_LINES_SQL, calendar_cte(), HDATES) + f""",
+wl AS (
+  SELECT h.festival, h.holiday_date, h.year AS holiday_year,
+         CAST(l.sale_date - h.holiday_date AS BIGINT) AS days_from_festival,
+         l.sale_date, l.invoice_no, l.center_name, l.item_name, l.item_category, l.business_unit,
+         l.{measure} AS amount
+  FROM (SELECT * FROM sales_lines {cw}) l
+  JOIN (SELECT * FROM hdates h {fw}) h
+    ON l.sale_date BETWEEN h.holiday_date - 3 AND h.holiday_date + 2
+)
+"""
+
+
+def _daily(festival=None, center=None, measure="sales_inc_tax"):
+    return _wl(festival, center, measure) + """
+SELECT festival, holiday_date, sale_date, days_from_festival,
+       CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sales,
+       CAST(year(sale_date) AS BIGINT) AS year, strftime(sale_date, '%d %b') AS day_label
+FROM wl GROUP BY festival, holiday_date, sale_date, days_from_festival"""
+
+
+ORACLE["q_festival_daily"] = _daily()
+ORACLE["q_festival_daily_label"] = _daily("New Year", measure="sales_exc_tax")
+ORACLE["q_festival_daily_center"] = _daily(center="NATION_7")
+
+ORACLE["q_festival_performance"] = _wl() + """
+SELECT festival, CAST(year(holiday_date) AS BIGINT) AS year, holiday_date, 'All Centers' AS center,
+       CAST(total AS DOUBLE) AS total_window_sales, CAST(total AS DOUBLE) / 6.0 AS average_daily_sales
+FROM (SELECT festival, holiday_date, coalesce(sum(amount), 0) AS total FROM wl GROUP BY 1, 2)
+WHERE total > 0"""
+
+ORACLE["q_festival_performance_by_center"] = _wl(measure="sales_exc_tax") + """
+SELECT festival, CAST(year(holiday_date) AS BIGINT) AS year, holiday_date, center_name AS center,
+       CAST(total AS DOUBLE) AS total_window_sales, CAST(total AS DOUBLE) / 6.0 AS average_daily_sales
+FROM (SELECT festival, holiday_date, center_name, coalesce(sum(amount), 0) AS total
+      FROM wl WHERE center_name IS NOT NULL GROUP BY 1, 2, 3)
+WHERE total > 0"""
+
+ORACLE["q_festival_category_year"] = _wl("New Year") + """
+SELECT item_category, CAST(year(sale_date) AS BIGINT) AS year, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sales
+FROM wl WHERE item_category IS NOT NULL GROUP BY 1, 2"""
+
+ORACLE["q_festival_category"] = _wl("New Year") + """
+SELECT item_category, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sales
+FROM wl WHERE item_category IS NOT NULL GROUP BY 1"""
+
+ORACLE["q_festival_bu_year"] = _wl("New Year") + """
+SELECT business_unit, CAST(year(sale_date) AS BIGINT) AS year, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sales
+FROM wl WHERE business_unit IS NOT NULL GROUP BY 1, 2"""
+
+ORACLE["q_center_business_top10"] = _wl("New Year") + """,
+top AS (SELECT center_name FROM wl WHERE center_name IS NOT NULL GROUP BY 1
+        ORDER BY coalesce(sum(amount), 0) DESC, center_name LIMIT 10)
+SELECT center_name, business_unit, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sales
+FROM wl WHERE center_name IN (SELECT center_name FROM top) AND business_unit IS NOT NULL
+GROUP BY 1, 2"""
+
+ORACLE["q_festival_top_services"] = _wl("New Year") + """
+SELECT item_name, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sales FROM wl
+WHERE item_name IS NOT NULL GROUP BY 1 ORDER BY sales DESC, item_name LIMIT 15"""
+
+ORACLE["q_festival_service_counts"] = _wl("New Year") + """
+SELECT item_name, count(*) AS count FROM wl
+WHERE item_name IS NOT NULL GROUP BY 1 ORDER BY count DESC, item_name LIMIT 15"""
+
+ORACLE["q_festival_service_summary"] = _wl("New Year") + """
+SELECT item_name, item_category, business_unit, revenue, service_count,
+       revenue / CAST(service_count AS DOUBLE) AS average_price
+FROM (SELECT item_name, item_category, business_unit,
+             CAST(coalesce(sum(amount), 0) AS DOUBLE) AS revenue, count(DISTINCT invoice_no) AS service_count
+      FROM wl WHERE item_name IS NOT NULL AND item_category IS NOT NULL AND business_unit IS NOT NULL
+      GROUP BY 1, 2, 3)
+ORDER BY revenue DESC, item_name, item_category, business_unit LIMIT 20"""
+
+ORACLE["q_festival_traffic"] = _wl("New Year") + """,
+daily AS (SELECT sale_date, count(DISTINCT invoice_no) AS invoices,
+                 CAST(coalesce(sum(amount), 0) AS DOUBLE) AS revenue FROM wl GROUP BY 1),
+spine AS (SELECT CAST(unnest(generate_series(min(sale_date), max(sale_date), INTERVAL 1 DAY)) AS DATE) AS sale_date
+          FROM daily)
+SELECT s.sale_date, CAST(coalesce(d.invoices, 0) AS BIGINT) AS invoices, coalesce(d.revenue, 0.0) AS revenue,
+       s.sale_date IN (SELECT holiday_date FROM hdates WHERE festival = 'New Year') AS is_festival
+FROM spine s LEFT JOIN daily d ON s.sale_date = d.sale_date"""
