@@ -496,3 +496,99 @@ def q_festival_traffic(spark, sf_dir):
     wl = window_lines(lines, cal, festivals=[FESTIVAL])
     days = apply_filters(holiday_dates(lines, cal), {"festival": [FESTIVAL]})
     return daily_traffic(wl, days)
+
+
+# ---- growth -----------------------------------------------------------------
+
+@query
+def q_outlet_pivot(spark, sf_dir):
+    from ..operators.growth import outlet_pivot_table
+    return outlet_pivot_table(_mart(spark, sf_dir), OUTLET)
+
+
+@query
+def q_outlet_growth(spark, sf_dir):
+    from ..operators.growth import outlet_growth
+    return outlet_growth(_mart(spark, sf_dir), OUTLET)
+
+
+@query
+def q_center_growth(spark, sf_dir):
+    from ..operators.growth import center_growth
+    return center_growth(sales_lines(spark, sf_dir, items=False))
+
+
+@query
+def q_center_projection(spark, sf_dir):
+    from ..operators.growth import center_projection
+    return center_projection(sales_lines(spark, sf_dir, items=False))
+
+
+@query
+def q_outlet_yearly_growth(spark, sf_dir):
+    from ..operators.growth import yearly_growth
+    return yearly_growth(_mart(spark, sf_dir), only=OUTLET)
+
+
+# ---- sources and sinks ------------------------------------------------------------
+
+@query
+def q_scan_csv(spark, sf_dir):
+    from ..functions.clean import normalize_sales, with_calendar_parts
+    from ..schemas import RAW_SALES_TEXT
+    from ..session import scratch_path
+    from ..sources.files import read_table, write_table
+    raw = _raw_text_lines(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
+    path = write_table(raw, scratch_path(spark, "sales") + ".csv", "csv")
+    back = read_table(spark, path, RAW_SALES_TEXT)
+    return S.as_double(S.monthly_outlet(with_calendar_parts(normalize_sales(back))))
+
+
+@query
+def q_preprocess_monthly(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources.files import preprocess_monthly_sheet, read_table, write_table
+    mart = S.as_double(_mart(spark, sf_dir))
+    sheet = mart.select(
+        F.col("year").alias("Year"), F.col("month").alias("Month"),
+        F.col("salon_name").alias("SALON NAMES"), F.col("brand").alias("BRAND"),
+        F.concat(F.lit("₹"), F.col("mtd_sales").cast("string")).alias("MTD SALES"),
+        F.col("mtd_bills").cast("string").alias("MTD BILLS"),
+        F.concat(F.lit("$"), F.col("mtd_abv").cast("string")).alias("MTD ABV"))
+    path = write_table(preprocess_monthly_sheet(sheet), scratch_path(spark, "monthly") + ".csv", "csv")
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField(n, t) for n, t in [
+        ("Year", T.StringType()), ("Month", T.StringType()), ("SALON NAMES", T.StringType()),
+        ("BRAND", T.StringType()), ("MTD SALES", T.DoubleType()), ("MTD BILLS", T.DoubleType()),
+        ("MTD ABV", T.DoubleType()), ("Month_Num", T.IntegerType())]])
+    back = read_table(spark, path, schema)
+    return back.toDF("year", "month", "salon_name", "brand", "mtd_sales", "mtd_bills",
+                     "mtd_abv", "month_num")
+
+
+@query
+def q_mart_roundtrip(spark, sf_dir):
+    from ..operators.services import service_mart
+    from ..schemas import SERVICE_MART
+    from ..session import scratch_path
+    from ..sources.files import ensure_mart, load_mart
+    lines = sales_lines(spark, sf_dir).withColumn(
+        "sale_date_text", F.date_format("sale_date", "dd-MM-yyyy"))
+    path = scratch_path(spark, "service-mart")
+
+    def build():
+        return S.as_double(service_mart(lines, keywords=TEST_KEYWORDS, product_value="PROMO",
+                                        date_text="sale_date_text"))
+    first = ensure_mart(spark, path, build, partition_by=["year"])
+    second = ensure_mart(spark, path, build, partition_by=["year"])
+    assert (first["status"], second["status"]) == ("processed", "exists")
+    return load_mart(spark, path, SERVICE_MART)
+
+
+@query
+def q_upsert_latest(spark, sf_dir):
+    from ..sources.files import upsert
+    lines = sales_lines(spark, sf_dir, items=False)
+    current = S.as_double(S.monthly_outlet(lines, "exc_tax"))
+    incoming = S.as_double(S.monthly_outlet(lines.where(F.col("year") == "2000"), "inc_tax"))
+    return upsert(current, incoming, S.MART_KEYS)

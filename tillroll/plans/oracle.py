@@ -404,3 +404,80 @@ spine AS (SELECT CAST(unnest(generate_series(min(sale_date), max(sale_date), INT
 SELECT s.sale_date, CAST(coalesce(d.invoices, 0) AS BIGINT) AS invoices, coalesce(d.revenue, 0.0) AS revenue,
        s.sale_date IN (SELECT holiday_date FROM hdates WHERE festival = 'New Year') AS is_festival
 FROM spine s LEFT JOIN daily d ON s.sale_date = d.sale_date"""
+
+_YEARS = [str(y) for y in range(1995, 2002)]
+_MONTHNUM = ("CAST(coalesce(list_position(['January','February','March','April','May','June','July',"
+             "'August','September','October','November','December'], month), 0) AS INTEGER)")
+_OY = """,
+oy AS (SELECT year, month, coalesce(sum(mtd_sales), 0) AS s FROM monthly
+       WHERE salon_name = 'NATION_7' AND year IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2),
+pv AS (SELECT month, """ + ", ".join(f"sum(s) FILTER (WHERE year = '{y}') AS \"{y}\"" for y in _YEARS) + \
+    """ FROM oy GROUP BY month)
+"""
+
+ORACLE["q_outlet_pivot"] = BASE.rstrip() + _OY + f"SELECT month, {_MONTHNUM} AS month_num, " + \
+    ", ".join(f'CAST("{y}" AS DOUBLE) AS "{y}"' for y in _YEARS) + " FROM pv"
+
+ORACLE["q_outlet_growth"] = BASE.rstrip() + _OY + f"SELECT month, {_MONTHNUM} AS month_num, " + \
+    ", ".join(f'{indian_sql(chr(34) + y + chr(34))} AS "{y}"' for y in _YEARS) + ", " + \
+    ", ".join(f'{growth_text_sql(chr(34) + c + chr(34), chr(34) + p + chr(34))} AS "growth_{p}_to_{c}"'
+              for p, c in zip(_YEARS, _YEARS[1:])) + \
+    f", {indian_sql('(CAST(\"2001\" AS DOUBLE) * 1.1)')} AS projected_10pct FROM pv"
+
+from .oracle_base import growth_round2_sql  # noqa: E402
+
+_CY = """,
+cy AS (SELECT center_name, year, coalesce(sum(sales_inc_tax), 0) AS s FROM sales_lines
+       WHERE center_name IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2),
+cpv AS (SELECT center_name, """ + ", ".join(
+    f"sum(s) FILTER (WHERE year = '{y}') AS \"{y}\"" for y in _YEARS) + """ FROM cy GROUP BY center_name)
+"""
+
+ORACLE["q_center_growth"] = with_ctes(SALES_LINES_SQL).rstrip() + _CY + "SELECT center_name, " + \
+    ", ".join(f'{indian_sql(chr(34) + y + chr(34))} AS "{y}"' for y in _YEARS) + ", " + \
+    ", ".join(f'{growth_round2_sql(chr(34) + c + chr(34), chr(34) + p + chr(34))} AS "growth_{p}_{c}"'
+              for p, c in zip(_YEARS, _YEARS[1:])) + " FROM cpv"
+
+ORACLE["q_center_projection"] = _L + f"""
+SELECT center_name, latest_year, CAST(l AS DOUBLE) AS latest_sales, CAST(l AS DOUBLE) * 1.1 AS projected,
+       {indian_sql('(CAST(l AS DOUBLE) * 1.1)')} AS projected_text
+FROM (SELECT center_name, (SELECT max(year) FROM sales_lines WHERE center_name IS NOT NULL) AS latest_year,
+             sum(CASE WHEN year = (SELECT max(year) FROM sales_lines WHERE center_name IS NOT NULL)
+                      THEN sales_inc_tax END) AS l
+      FROM sales_lines WHERE center_name IS NOT NULL AND year IS NOT NULL GROUP BY 1)"""
+
+ORACLE["q_outlet_yearly_growth"] = BASE + f"""
+SELECT salon_name, py || ' to ' || year AS year_comparison, {growth_text_sql('s', 'ps')} AS growth,
+       CASE WHEN ps IS NULL OR ps = 0 OR s IS NULL THEN NULL
+            ELSE (CAST(s AS DOUBLE) / CAST(ps AS DOUBLE) - 1.0) * 100.0 END AS growth_pct
+FROM (SELECT salon_name, year, s, lag(year) OVER (PARTITION BY salon_name ORDER BY year) AS py,
+             lag(s) OVER (PARTITION BY salon_name ORDER BY year) AS ps
+      FROM (SELECT salon_name, year, coalesce(sum(mtd_sales), 0) AS s FROM monthly
+            WHERE salon_name = 'NATION_7' AND year IS NOT NULL GROUP BY 1, 2))
+WHERE py IS NOT NULL"""
+
+ORACLE["q_scan_csv"] = ORACLE["q_monthly_outlet"]
+
+ORACLE["q_preprocess_monthly"] = BASE + f"""
+SELECT year, month, salon_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales,
+       CAST(mtd_bills AS DOUBLE) AS mtd_bills,
+       CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv,
+       {_MONTHNUM} AS month_num
+FROM monthly"""
+
+ORACLE["q_mart_roundtrip"] = ORACLE["q_service_mart"]
+
+ORACLE["q_upsert_latest"] = with_ctes(SALES_LINES_SQL) + """,
+cur AS (SELECT year, month, center_name AS salon_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
+               coalesce(sum(sales_exc_tax), 0) AS mtd_sales, count(DISTINCT invoice_no) AS mtd_bills
+        FROM sales_lines WHERE center_name IS NOT NULL GROUP BY 1, 2, 3, 4),
+inc AS (SELECT year, month, center_name AS salon_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
+               coalesce(sum(sales_inc_tax), 0) AS mtd_sales, count(DISTINCT invoice_no) AS mtd_bills
+        FROM sales_lines WHERE center_name IS NOT NULL AND year = '2000' GROUP BY 1, 2, 3, 4),
+merged AS (SELECT * FROM inc
+           UNION ALL SELECT * FROM cur
+           WHERE NOT EXISTS (SELECT 1 FROM inc WHERE inc.year = cur.year AND inc.month = cur.month
+                             AND inc.salon_name = cur.salon_name AND inc.brand = cur.brand))
+SELECT year, month, salon_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
+       CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
+FROM merged"""
