@@ -1,0 +1,106 @@
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from tillroll.operators import holidays as H
+
+D = dt.date
+LINE_SCHEMA = "sale_date date, invoice_no string, center_name string, item_name string, " \
+              "item_category string, business_unit string, sales_inc_tax decimal(18,6)"
+
+
+def lines_df(spark, rows):
+    return spark.createDataFrame(rows, LINE_SCHEMA)
+
+
+def cal(spark, rows):
+    return spark.createDataFrame(rows, "festival string, hol_month int, hol_day int")
+
+
+def test_holiday_dates_skip_invalid_leap_day(spark):
+    lines = lines_df(spark, [(D(2023, 2, 28), "a", "X", None, None, None, Decimal(1)),
+                             (D(2024, 2, 29), "b", "X", None, None, None, Decimal(1))])
+    out = H.holiday_dates(lines, cal(spark, [("Leap", 2, 29)])).collect()
+    assert [(r.festival, r.holiday_date, r.year) for r in out] == [("Leap", D(2024, 2, 29), 2024)]
+
+
+def test_window_covers_six_days(spark):
+    days = [D(2024, 2, 26) + dt.timedelta(days=i) for i in range(8)]  # 26 Feb .. 4 Mar
+    lines = lines_df(spark, [(d, str(i), "X", None, None, None, Decimal(1)) for i, d in enumerate(days)])
+    wl = H.window_lines(lines, cal(spark, [("Exam", 3, 1)]))
+    got = sorted(r.sale_date for r in wl.select("sale_date").collect())
+    assert got == [D(2024, 2, 27), D(2024, 2, 28), D(2024, 2, 29), D(2024, 3, 1),
+                   D(2024, 3, 2), D(2024, 3, 3)]
+    perf = H.festival_performance(wl).first()
+    assert perf.total_window_sales == 6.0 and perf.average_daily_sales == 1.0
+
+
+def test_window_needs_sales_on_the_day(spark):
+    lines = lines_df(spark, [(D(2024, 3, 2), "a", "X", None, None, None, Decimal(5))])
+    assert H.window_lines(lines, cal(spark, [("Exam", 3, 1)])).count() == 0
+
+
+def test_overlapping_windows_count_per_festival(spark):
+    lines = lines_df(spark, [(D(2024, 1, 14), "a", "X", None, None, None, Decimal(1)),
+                             (D(2024, 1, 15), "b", "X", None, None, None, Decimal(2))])
+    wl = H.window_lines(lines, cal(spark, [("A", 1, 14), ("B", 1, 15)]))
+    perf = {r.festival: r.total_window_sales for r in H.festival_performance(wl).collect()}
+    assert perf == {"A": 3.0, "B": 3.0}
+
+
+def test_daily_traffic_zero_fills(spark):
+    lines = lines_df(spark, [(D(2024, 1, 1), "a", "X", None, None, None, Decimal(3)),
+                             (D(2024, 1, 1), "a", "X", None, None, None, Decimal(1)),
+                             (D(2024, 1, 4), "b", "X", None, None, None, Decimal(2))])
+    marks = spark.createDataFrame([(D(2024, 1, 1),)], "holiday_date date")
+    out = H.daily_traffic(lines, marks).orderBy("sale_date").collect()
+    assert [(r.sale_date.day, r.invoices, r.revenue, r.is_festival) for r in out] == [
+        (1, 1, 4.0, True), (2, 0, 0.0, False), (3, 0, 0.0, False), (4, 1, 2.0, False)]
+
+
+def test_holiday_sales_totals_and_null_centre(spark):
+    lines = lines_df(spark, [(D(2024, 1, 1), "a", "X", None, None, None, Decimal(3)),
+                             (D(2024, 1, 1), "b", "Y", None, None, None, Decimal(4)),
+                             (D(2024, 1, 1), "c", None, None, None, None, Decimal(5)),
+                             (D(2024, 1, 2), "d", "X", None, None, None, Decimal(9))])
+    hs = H.holiday_sales(lines, cal(spark, [("NY", 1, 1)]))
+    got = sorted((r.center_name or "", r.mtd_sale, r.is_total) for r in hs.collect())
+    assert got == [("", 12.0, True), ("X", 3.0, False), ("Y", 4.0, False)]
+    assert H.select_holiday_rows(hs, None, "All Centers").count() == 1
+    assert H.select_holiday_rows(hs, [2024], "Y").first().mtd_sale == 4.0
+    assert H.select_holiday_rows(hs, [2023], "Y").count() == 0
+
+
+def test_fallback_to_calendar_rows(spark):
+    lines = lines_df(spark, [(D(2024, 5, 5), "a", "X", None, None, None, Decimal(3))])
+    c = spark.createDataFrame([("January", D(2024, 1, 1), "NY", 100)],
+                              "months string, holiday_date date, festival string, mtd_sale bigint")
+    out = H.holiday_sales(lines, c, fallback=True).collect()
+    assert [(r.festival, r.year, r.mtd_sale, r.is_total) for r in out] == [("NY", 2024, 100.0, True)]
+    lines2 = lines_df(spark, [(D(2023, 1, 1), "a", "X", None, None, None, Decimal(3))])
+    out2 = H.holiday_sales(lines2, c, fallback=True).where("is_total").collect()
+    assert [(r.year, r.mtd_sale) for r in out2] == [(2023, 3.0)]
+
+
+def test_read_bundled_calendar(spark):
+    c = H.read_calendar(spark)
+    assert c.count() == 53
+    assert c.where(F.col("festival") == "Christmas").first().holiday_date == D(2024, 12, 25)
+
+
+def test_grouping_sets_detail_equals_total(spark, lines):
+    hs = H.holiday_sales(lines, H.read_calendar(spark))
+    tot = hs.where("is_total").groupBy("festival", "holiday_date").agg(F.sum("mtd_sale").alias("t"))
+    det = hs.where("not is_total").groupBy("festival", "holiday_date").agg(F.sum("mtd_sale").alias("d"))
+    bad = tot.join(det, ["festival", "holiday_date"]).where(F.abs(F.col("t") - F.col("d")) > 1e-6)
+    assert bad.count() == 0
+
+
+def test_performance_equals_sum_of_daily(spark, lines):
+    wl = H.window_lines(lines, H.read_calendar(spark))
+    daily = H.festival_daily(wl).groupBy("festival", "holiday_date").agg(F.sum("sales").alias("d"))
+    perf = H.festival_performance(wl)
+    bad = perf.join(daily, ["festival", "holiday_date"]) \
+        .where(F.abs(F.col("total_window_sales") - F.col("d")) > 1e-6)
+    assert bad.count() == 0
