@@ -14,11 +14,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def split_bytes_for(input_bytes: int, cores: int, floor: int = 1 << 20,
+                    ceiling: int = 128 << 20) -> int:
+    """Input split size giving every core about two splits, within
+    [1 MiB, 128 MiB]: small inputs still use all cores, big inputs keep the
+    usual 128 MiB splits (fewer, larger tasks)."""
+    return max(floor, min(ceiling, input_bytes // max(1, 2 * cores)))
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "tillroll") -> SparkSession:
+                  app_name: str = "tillroll", max_partition_bytes: int | None = None) -> SparkSession:
     """Session for tests and the local bench. A cluster supplies its own."""
+    builder = SparkSession.builder
+    if max_partition_bytes:
+        builder = builder.config("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
