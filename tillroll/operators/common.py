@@ -97,6 +97,23 @@ def densify(agg: DataFrame, domain: DataFrame, dim: str, small_dim: str,
     return out.fillna(dict(fill))
 
 
+def dense_sum(df: DataFrame, dim: str, small_dim: str, measure: str, alias: str,
+              where: Column | None = None) -> DataFrame:
+    """Sum of ``measure`` over rows matching ``where`` for every (dim,
+    small_dim) pair of the unfiltered data's categories, zero when nothing
+    matches (categorical group-by). One aggregation over the fact rows with
+    a conditional sum; the zero-filled grid is built from that small
+    aggregate (materialised once), never by joining two fact-sized inputs."""
+    m = F.col(measure_col(measure))
+    cond = m if where is None else F.when(where, m)
+    observed = cut_lineage(df.where(not_null([dim, small_dim])).groupBy(dim, small_dim)
+                           .agg(F.sum(cond).alias(alias)))
+    values = distinct_values(observed, small_dim)
+    dense = densify(observed, observed, dim, small_dim, values, {})
+    return dense.select(dim, small_dim,
+                        F.coalesce(F.col(alias), F.lit(0)).cast("double").alias(alias))
+
+
 def ordinal(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """1-based position of every row in a global order, computed without
     moving all rows into one task: a range-partitioned sort is materialised,

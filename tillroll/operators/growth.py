@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from ..functions.clean import month_number
 from ..functions.money import growth_pct, growth_round2_text, growth_text, money
 from ..schemas import PROJECTION_FACTOR
-from .common import distinct_values, measure_col, not_null, sum_by
+from ..session import cut_lineage
+from .common import distinct_values, sum_by
 
 PROJECTED = "projected_10pct"
 
@@ -26,8 +27,10 @@ def _no_rows(df: DataFrame) -> DataFrame:
 
 def outlet_pivot(mart: DataFrame, outlet: str) -> DataFrame:
     """One outlet: month rows × year columns of sales (DECIMAL sums)."""
-    oy = sum_by(mart.where(F.col("salon_name") == F.lit(outlet)), ["year", "month"],
-                "mtd_sales", "mtd_sales", exact=True)
+    # Small (years × months); materialised once so the header collection and
+    # the pivot do not each recompute it from the fact lines.
+    oy = cut_lineage(sum_by(mart.where(F.col("salon_name") == F.lit(outlet)), ["year", "month"],
+                            "mtd_sales", "mtd_sales", exact=True))
     years = distinct_values(oy, "year")
     pv = oy.groupBy("month").pivot("year", years).agg(F.sum("mtd_sales"))
     return pv.withColumn("month_num", month_number("month")), years
@@ -55,7 +58,8 @@ def outlet_growth(mart: DataFrame, outlet: str,
 
 
 def center_year(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
-    return sum_by(lines, ["center_name", "year"], measure, "sales", exact=True)
+    """Centre × year sums (small), materialised once for reuse."""
+    return cut_lineage(sum_by(lines, ["center_name", "year"], measure, "sales", exact=True))
 
 
 def center_growth(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
@@ -73,13 +77,15 @@ def center_growth(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
 
 def center_projection(lines: DataFrame, measure: str = "inc_tax",
                       factor: float = PROJECTION_FACTOR) -> DataFrame:
-    """Latest-year sales × factor per centre, matched by centre key. The
-    latest year is a scalar subquery, so nothing is collected."""
-    m = measure_col(measure)
-    base = lines.where(not_null(["center_name", "year"]))
-    latest = base.select(F.max("year")).scalar()
-    agg = base.groupBy("center_name").agg(
-        F.sum(F.when(F.col("year") == latest, F.col(m))).alias("_latest"))
+    """Latest-year sales × factor per centre, matched by centre key.
+
+    Runs on the materialised centre × year aggregate; the latest year is a
+    scalar subquery over it, so the fact lines are aggregated once and
+    nothing is collected."""
+    cy = center_year(lines, measure)
+    latest = cy.select(F.max("year")).scalar()
+    agg = cy.groupBy("center_name").agg(
+        F.sum(F.when(F.col("year") == latest, F.col("sales"))).alias("_latest"))
     latest_sales = F.col("_latest").cast("double")
     return agg.select("center_name", latest.alias("latest_year"),
                       latest_sales.alias("latest_sales"),

@@ -119,13 +119,10 @@ def q_center_year(spark, sf_dir):
 
 @query
 def q_center_year_dense(spark, sf_dir):
-    from ..operators.common import densify, distinct_values, sum_by
+    from ..operators.common import dense_sum
     lines = sales_lines(spark, sf_dir)
-    years = distinct_values(lines, "year")
-    subset = lines.where((F.col("item_category") == "Brand#1")
-                         & (F.col("business_unit") == "AUTOMOBILE"))
-    agg = sum_by(subset, ["center_name", "year"], "inc_tax", "sales")
-    return densify(agg, lines, "center_name", "year", years, {"sales": 0.0})
+    chosen = (F.col("item_category") == "Brand#1") & (F.col("business_unit") == "AUTOMOBILE")
+    return dense_sum(lines, "center_name", "year", "inc_tax", "sales", chosen)
 
 
 @query
