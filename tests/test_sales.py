@@ -46,3 +46,16 @@ def test_filter_values_long_table(spark, lines):
     fv = S.filter_values(lines, ["year", "business_unit"])
     assert fv.where("dimension = 'business_unit'").count() == 5
     assert fv.where("value is null").count() == 0
+
+
+def test_select_present(spark):
+    from tillroll.operators.common import select_present
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert select_present(df, ["b", "zzz", "a"]).columns == ["b", "a"]
+
+
+def test_apply_filters_all_and_lists(spark):
+    from tillroll.operators.common import apply_filters
+    df = spark.createDataFrame([("1996", "X"), ("1997", "Y"), ("1998", "X")], "year string, c string")
+    assert apply_filters(df, {"year": "All", "c": None}).count() == 3
+    assert apply_filters(df, {"year": ["1996", "1998"], "c": "X", "absent": "v"}).count() == 2

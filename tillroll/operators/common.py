@@ -56,6 +56,11 @@ def apply_filters(df: DataFrame, filters: Mapping[str, object] | None) -> DataFr
     return df
 
 
+def select_present(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Keep only the listed columns that exist, in the listed order."""
+    return df.select(*[c for c in columns if c in df.columns])
+
+
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows (reads at most limit+1)."""
     return df.limit(limit + 1).count() <= limit

@@ -228,3 +228,22 @@ def daily_traffic(wl: DataFrame, festival_days: DataFrame, measure: str = "inc_t
                       F.coalesce("invoices", F.lit(0)).cast("long").alias("invoices"),
                       F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
                       F.coalesce("is_festival", F.lit(False)).alias("is_festival"))
+
+
+def calendar_summary(lines: DataFrame, calendar: DataFrame, measure: str = "inc_tax") -> DataFrame:
+    """Each calendar row as loaded, with how many years had sales on its
+    month/day and what was sold on those days. The fact lines are reduced to
+    one row per (month, day) first (at most 366 rows), then joined to the
+    calendar."""
+    m = measure_col(measure)
+    per_day = (lines.where(F.col("sale_date").isNotNull())
+               .groupBy(F.month("sale_date").alias("hol_month"),
+                        F.dayofmonth("sale_date").alias("hol_day"))
+               .agg(F.countDistinct(F.year("sale_date")).alias("years_with_sales"),
+                    F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("sales_on_day")))
+    cal = calendar.withColumns({"hol_month": F.month("holiday_date"),
+                                "hol_day": F.dayofmonth("holiday_date")})
+    out = cal.join(per_day, ["hol_month", "hol_day"], "left")
+    return out.select("months", "holiday_date", "festival", "mtd_sale",
+                      F.coalesce("years_with_sales", F.lit(0)).cast("long").alias("years_with_sales"),
+                      F.coalesce("sales_on_day", F.lit(0.0)).alias("sales_on_day"))

@@ -370,6 +370,13 @@ def _window(spark, sf_dir, festivals=None, center=None, items=True):
     return window_lines(lines, _calendar(spark), festivals=festivals, center=center)
 
 
+@query
+def q_calendar(spark, sf_dir):
+    from ..operators.holidays import calendar_summary
+    return calendar_summary(sales_lines(spark, sf_dir, items=False, calendar_parts=False),
+                            _calendar(spark))
+
+
 @query
 def q_holiday_dates(spark, sf_dir):
     from ..operators.holidays import holiday_dates

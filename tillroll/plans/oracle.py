@@ -481,3 +481,26 @@ merged AS (SELECT * FROM inc
 SELECT year, month, salon_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
        CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
 FROM merged"""
+
+
+def _calendar_file_cte() -> str:
+    from .oracle_base import _q, calendar_rows
+    values = ",\n    ".join(f"({_q(m)}, {_q(d)}, {_q(f)}, {_q(s)})" for m, d, f, s in calendar_rows())
+    return f"""
+calfile AS (
+  SELECT months, try_cast(date_text AS DATE) AS holiday_date, festival, TRY_CAST(mtd_text AS BIGINT) AS mtd_sale
+  FROM (VALUES
+    {values}) AS t(months, date_text, festival, mtd_text)
+  WHERE try_cast(date_text AS DATE) IS NOT NULL
+)"""
+
+
+ORACLE["q_calendar"] = with_ctes(SALES_LINES_SQL, _calendar_file_cte()) + """,
+per_day AS (SELECT month(sale_date) AS hol_month, day(sale_date) AS hol_day,
+                   count(DISTINCT year(sale_date)) AS years_with_sales,
+                   CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales_on_day
+            FROM sales_lines WHERE sale_date IS NOT NULL GROUP BY 1, 2)
+SELECT c.months, c.holiday_date, c.festival, c.mtd_sale,
+       CAST(coalesce(p.years_with_sales, 0) AS BIGINT) AS years_with_sales,
+       coalesce(p.sales_on_day, 0.0) AS sales_on_day
+FROM calfile c LEFT JOIN per_day p ON month(c.holiday_date) = p.hol_month AND day(c.holiday_date) = p.hol_day"""
