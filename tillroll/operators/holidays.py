@@ -121,7 +121,8 @@ def select_holiday_rows(hs: DataFrame, years=None, center: str | None = None) ->
 def festival_window_days(lines: DataFrame, calendar: DataFrame, festivals=None, years=None,
                          before: int = WINDOW_BEFORE, after: int = WINDOW_AFTER) -> DataFrame:
     """Distinct holiday dates (optionally chosen festivals / holiday years),
-    exploded to one row per window day ``sale_date`` in [date-before, date+after]."""
+    exploded to one row per window day ``sale_date`` in [date-before, date+after].
+    Only ``sale_date`` of ``lines`` is read."""
     h = holiday_dates(lines, calendar)
     h = apply_filters(h, {"festival": festivals, "year": years}).distinct()
     offsets = F.sequence(F.lit(-before), F.lit(after))
@@ -133,11 +134,14 @@ def festival_window_days(lines: DataFrame, calendar: DataFrame, festivals=None,
 
 def window_lines(lines: DataFrame, calendar: DataFrame, festivals=None, years=None,
                  center: str | None = None, before: int = WINDOW_BEFORE,
-                 after: int = WINDOW_AFTER) -> DataFrame:
+                 after: int = WINDOW_AFTER, dates: DataFrame | None = None) -> DataFrame:
     """Sale lines inside each festival window, tagged with festival,
-    holiday_date, holiday_year and days_from_festival."""
-    days = bounded_broadcast(
-        festival_window_days(lines, calendar, festivals, years, before, after))
+    holiday_date, holiday_year and days_from_festival.
+
+    ``dates`` may name a cheaper source of the same sale dates (for example
+    the line table without its dimension joins); it defaults to ``lines``."""
+    days = bounded_broadcast(festival_window_days(
+        lines if dates is None else dates, calendar, festivals, years, before, after))
     src = lines if center in (None, ALL_CENTERS) else \
         lines.where(F.col("center_name") == F.lit(center))
     return src.join(days, "sale_date")

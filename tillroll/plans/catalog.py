@@ -127,12 +127,14 @@ def q_center_year_dense(spark, sf_dir):
 
 @query
 def q_rows_per_year(spark, sf_dir):
-    return S.rows_per_year(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
+    return S.rows_per_year(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
+                                       outlets=False))
 
 
 @query
 def q_date_range(spark, sf_dir):
-    return S.date_range(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
+    return S.date_range(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
+                                    outlets=False))
 
 
 FILTER_COLUMNS = ["year", "month", "center_name", "item_type", "item_category",
@@ -238,7 +240,7 @@ def q_clean_currency(spark, sf_dir):
 @query
 def q_clean_dates(spark, sf_dir):
     from ..functions.clean import parse_date
-    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False, outlets=False)
     inv = F.col("invoice_no")
     text = (F.when(inv % 11 == 0, F.lit("2023-02-29"))
             .when(inv % 4 == 0, F.date_format("sale_date", "dd-MM-yyyy"))
@@ -285,7 +287,7 @@ def q_normalize_sales(spark, sf_dir):
 @query
 def q_month_num(spark, sf_dir):
     from ..functions.clean import month_number
-    lines = sales_lines(spark, sf_dir, items=False)
+    lines = sales_lines(spark, sf_dir, items=False, outlets=False)
     name = F.when(F.col("invoice_no") % 13 == 0, F.lit("Foo")).otherwise(F.col("month"))
     return lines.select(name.alias("month"), month_number(name).alias("month_num")) \
         .groupBy("month", "month_num").agg(F.count(F.lit(1)).alias("lines"))
@@ -294,7 +296,7 @@ def q_month_num(spark, sf_dir):
 @query
 def q_year_from_text(spark, sf_dir):
     from ..functions.clean import year_from_text
-    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False, outlets=False)
     text = F.date_format("sale_date", "dd-MM-yyyy")
     return lines.groupBy(year_from_text(text).alias("year")) \
         .agg(F.count(F.lit(1)).alias("lines"))
@@ -364,31 +366,37 @@ def _calendar(spark):
     return read_calendar(spark)
 
 
-def _window(spark, sf_dir, festivals=None, center=None, items=True):
+def _dates(spark, sf_dir):
+    """Same sale dates as the lines, without the dimension joins."""
+    return sales_lines(spark, sf_dir, items=False, calendar_parts=False, outlets=False)
+
+
+def _window(spark, sf_dir, festivals=None, center=None, items=True, outlets=True):
     from ..operators.holidays import window_lines
-    lines = sales_lines(spark, sf_dir, items=items)
-    return window_lines(lines, _calendar(spark), festivals=festivals, center=center)
+    lines = sales_lines(spark, sf_dir, items=items, outlets=outlets)
+    return window_lines(lines, _calendar(spark), festivals=festivals, center=center,
+                        dates=_dates(spark, sf_dir))
 
 
 @query
 def q_calendar(spark, sf_dir):
     from ..operators.holidays import calendar_summary
-    return calendar_summary(sales_lines(spark, sf_dir, items=False, calendar_parts=False),
-                            _calendar(spark))
+    return calendar_summary(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
+                                        outlets=False), _calendar(spark))
 
 
 @query
 def q_holiday_dates(spark, sf_dir):
     from ..operators.holidays import holiday_dates
-    return holiday_dates(sales_lines(spark, sf_dir, items=False, calendar_parts=False),
-                         _calendar(spark))
+    return holiday_dates(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
+                                     outlets=False), _calendar(spark))
 
 
 @query
 def q_holiday_dates_basic(spark, sf_dir):
     from ..operators.holidays import basic_calendar, holiday_dates
-    return holiday_dates(sales_lines(spark, sf_dir, items=False, calendar_parts=False),
-                         basic_calendar(spark))
+    return holiday_dates(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
+                                     outlets=False), basic_calendar(spark))
 
 
 def _holiday_sales(spark, sf_dir, fallback=False):
@@ -422,13 +430,13 @@ def q_holiday_fallback(spark, sf_dir):
 @query
 def q_festival_daily(spark, sf_dir):
     from ..operators.holidays import festival_daily
-    return festival_daily(_window(spark, sf_dir, items=False))
+    return festival_daily(_window(spark, sf_dir, items=False, outlets=False))
 
 
 @query
 def q_festival_daily_label(spark, sf_dir):
     from ..operators.holidays import festival_daily
-    return festival_daily(_window(spark, sf_dir, [FESTIVAL], items=False), "exc_tax")
+    return festival_daily(_window(spark, sf_dir, [FESTIVAL], items=False, outlets=False), "exc_tax")
 
 
 @query
@@ -440,7 +448,7 @@ def q_festival_daily_center(spark, sf_dir):
 @query
 def q_festival_performance(spark, sf_dir):
     from ..operators.holidays import festival_performance
-    return festival_performance(_window(spark, sf_dir, items=False))
+    return festival_performance(_window(spark, sf_dir, items=False, outlets=False))
 
 
 @query
@@ -497,8 +505,9 @@ def q_festival_traffic(spark, sf_dir):
     lines = sales_lines(spark, sf_dir, items=False)
     from ..operators.holidays import window_lines
     cal = _calendar(spark)
-    wl = window_lines(lines, cal, festivals=[FESTIVAL])
-    days = apply_filters(holiday_dates(lines, cal), {"festival": [FESTIVAL]})
+    dates = _dates(spark, sf_dir)
+    wl = window_lines(lines, cal, festivals=[FESTIVAL], dates=dates)
+    days = apply_filters(holiday_dates(dates, cal), {"festival": [FESTIVAL]})
     return daily_traffic(wl, days)
 
 
