@@ -88,3 +88,15 @@ def test_load_all(spark):
     assert (r.year, r.month, float(r.sales_inc_tax)) == ("2024", "January", 10.0)
     assert data.calendar.count() == 53
     assert data.calendar.where(F.col("holiday_date").isNull()).count() == 0
+
+
+def test_incomplete_mart_is_rebuilt(spark):
+    path = fresh("partial")
+    os.makedirs(os.path.join(path, "_temporary"))          # left by an interrupted job
+    assert FS.path_exists(spark, path) and not FS.is_complete(spark, path)
+    assert FS.load_mart(spark, path, SERVICE_MART).count() == 0
+    build = lambda: spark.createDataFrame(
+        [("C", "2024", "Service", "Hair", "x", "y", "z", 1.5, 2)], SERVICE_MART)
+    assert FS.ensure_mart(spark, path, build)["status"] == "processed"
+    assert FS.ensure_mart(spark, path, build)["status"] == "exists"
+    assert FS.load_mart(spark, path, SERVICE_MART).count() == 1

@@ -91,14 +91,22 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", "length", "modificationTime")
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """A written table counts as present only once its job committed (the
+    committer's ``_SUCCESS`` marker); a folder left by a failed or
+    interrupted write is treated as absent."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def ensure_mart(spark: SparkSession, path: str, build, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> dict:
     """Materialise a mart only if it is absent: returns the status
     ('exists' / 'processed') and the path. ``build`` is a zero-argument
-    callable returning the DataFrame, so nothing is computed when it exists."""
-    if path_exists(spark, path):
+    callable returning the DataFrame, so nothing is computed when it exists.
+    An incomplete earlier attempt is overwritten."""
+    if is_complete(spark, path):
         return {"status": "exists", "file": path}
-    write_table(build(), path, fmt, mode="errorifexists", partition_by=partition_by)
+    write_table(build(), path, fmt, mode="overwrite", partition_by=partition_by)
     return {"status": "processed", "file": path}
 
 
@@ -106,7 +114,7 @@ def load_mart(spark: SparkSession, path: str, schema: T.StructType,
               fmt: str = "parquet") -> DataFrame:
     """Read a mart with a fixed schema (``year`` as text); a typed empty
     frame when it does not exist yet."""
-    if not path_exists(spark, path):
+    if not is_complete(spark, path):
         return spark.createDataFrame([], schema)
     df = read_table(spark, path, schema if fmt == "csv" else None, fmt)
     if "year" in df.columns:
