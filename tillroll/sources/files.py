@@ -77,8 +77,18 @@ def _fs_path(spark: SparkSession, path: str):
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, asked of the path's own filesystem."""
-    fs, p = _fs_path(spark, path)
+    """Whether a path exists, asked of the path's own filesystem (through the
+    data source API when the session has no JVM gateway, e.g. Connect)."""
+    try:
+        fs, p = _fs_path(spark, path)
+    except Exception:  # noqa: BLE001
+        try:
+            spark.read.format("binaryFile").load(path).schema  # resolves the path
+            return True
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+                return False
+            raise
     return bool(fs.exists(p))
 
 
