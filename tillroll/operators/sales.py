@@ -155,15 +155,28 @@ def axis_order(df: DataFrame, key: str, measure: str, descending: bool = True) -
 
 
 def column_profile(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Distinct/rows ratio per column and the low-cardinality flag (< 0.5)."""
+    """Distinct/rows ratio per column and the low-cardinality flag (< 0.5).
+
+    Exact mode is one pass: rows are unpivoted to (column, value) and
+    grouped with map-side combining, so the shuffle carries each
+    partition's distinct values only (not one copy of every row per column,
+    as several DISTINCT aggregates would); the row count is the sum of the
+    group sizes. ``exact=False`` uses HyperLogLog sketches instead.
+    """
     present = [c for c in columns if c in df.columns]
-    count_distinct = (lambda c: F.countDistinct(c)) if exact else \
-        (lambda c: F.approx_count_distinct(c))
-    aggs = [F.count(F.lit(1)).alias("_rows")] + \
-        [count_distinct(c).alias(f"_d_{i}") for i, c in enumerate(present)]
-    wide = df.agg(*aggs)
-    pairs = ", ".join(f"'{c}', `_d_{i}`" for i, c in enumerate(present))
-    long = wide.selectExpr("_rows AS rows", f"stack({len(present)}, {pairs}) AS (column_name, distinct_values)")
+    if exact:
+        args = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in present)
+        long = df.selectExpr(f"stack({len(present)}, {args}) AS (column_name, value)")
+        groups = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
+        prof = groups.groupBy("column_name").agg(F.sum("_n").cast("long").alias("rows"),
+                                                 F.count("value").alias("distinct_values"))
+    else:
+        wide = df.agg(F.count(F.lit(1)).alias("_rows"),
+                      *[F.approx_count_distinct(c).alias(f"_d_{i}") for i, c in enumerate(present)])
+        pairs = ", ".join(f"'{c}', `_d_{i}`" for i, c in enumerate(present))
+        prof = wide.selectExpr("_rows AS rows",
+                               f"stack({len(present)}, {pairs}) AS (column_name, distinct_values)")
     ratio = F.when(F.col("rows") > 0, F.col("distinct_values") / F.col("rows"))
-    return long.withColumns({"distinct_ratio": ratio,
-                             "low_cardinality": F.coalesce(ratio < F.lit(0.5), F.lit(False))})
+    return prof.select("rows", "column_name", "distinct_values",
+                       ratio.alias("distinct_ratio"),
+                       F.coalesce(ratio < F.lit(0.5), F.lit(False)).alias("low_cardinality"))
