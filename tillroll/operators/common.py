@@ -66,10 +66,16 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Materialise a small derived side and broadcast it only when its size is
-    proven under ``max_rows``; otherwise return it for a shuffle join."""
-    small = cut_lineage(df)
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      materialize: bool = True) -> DataFrame:
+    """Broadcast a join side only when its row count is proven to be at most
+    ``max_rows``; otherwise return it unhinted for a shuffle join.
+
+    With ``materialize`` (for sides derived from the fact data) the side is
+    checkpointed first, so the count and the join read the same stored rows
+    and the derivation runs once. Sides that are cheap to re-read (a small
+    calendar file) skip that."""
+    small = cut_lineage(df) if materialize else df
     return F.broadcast(small) if row_count_at_most(small, max_rows) else small
 
 

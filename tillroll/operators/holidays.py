@@ -69,7 +69,7 @@ def holiday_dates(lines: DataFrame, calendar: DataFrame) -> DataFrame:
     Equivalent to building each calendar day in every year of the data and
     keeping those with sales; invalid days (29 February in other years) never
     occur because only real sale dates are matched."""
-    md = bounded_broadcast(month_day(calendar), CALENDAR_MAX_ROWS)
+    md = bounded_broadcast(month_day(calendar), CALENDAR_MAX_ROWS, materialize=False)
     dates = lines.select("sale_date").where(F.col("sale_date").isNotNull()).distinct()
     return (dates.join(md, _on_month_day(F.col("sale_date")))
             .select("festival", F.col("sale_date").alias("holiday_date"),
@@ -88,7 +88,7 @@ def holiday_sales(lines: DataFrame, calendar: DataFrame, measure: str = "inc_tax
     own rows (year of its date, its ``mtd_sale``) are returned instead.
     """
     m = measure_col(measure)
-    md = bounded_broadcast(month_day(calendar), CALENDAR_MAX_ROWS)
+    md = bounded_broadcast(month_day(calendar), CALENDAR_MAX_ROWS, materialize=False)
     joined = lines.select("sale_date", "center_name", m).join(md, _on_month_day(F.col("sale_date")))
     keys = ["festival", "year", "holiday_date"]
     agg = (joined.withColumns({"year": F.year("sale_date").cast("long"),
