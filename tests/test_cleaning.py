@@ -31,11 +31,11 @@ def test_dates_and_drop(spark):
 
 def test_year_month_brand(spark):
     df = spark.createDataFrame([("05-01-2024", "January", None), ("x-y-2023", "Foo", "nan"),
-                                (None, None, "SALON")], "s string, m string, bu string")
+                                (None, None, "RETAIL")], "s string, m string, bu string")
     out = df.select(C.year_from_text("s").alias("y"), C.month_number("m").alias("n"),
                     C.brand("bu").alias("b"), C.brand(None).alias("absent")).collect()
     assert [tuple(r) for r in out] == [("2024", 1, "Other", "Unknown"), ("2023", 0, "Other", "Unknown"),
-                                       (None, 0, "SALON", "Unknown")]
+                                       (None, 0, "RETAIL", "Unknown")]
 
 
 def test_calendar_parts(spark):

@@ -47,5 +47,5 @@ def test_matches_oracle(spark, con, name):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.columns == ["year", "month", "salon_name", "brand", "mtd_sales", "mtd_bills", "mtd_abv"]
+    assert df.columns == ["year", "month", "outlet_name", "brand", "mtd_sales", "mtd_bills", "mtd_abv"]
     assert df.count() > 0

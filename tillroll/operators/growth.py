@@ -29,7 +29,7 @@ def outlet_pivot(mart: DataFrame, outlet: str) -> DataFrame:
     """One outlet: month rows × year columns of sales (DECIMAL sums)."""
     # Small (years × months); materialised once so the header collection and
     # the pivot do not each recompute it from the fact lines.
-    oy = cut_lineage(sum_by(mart.where(F.col("salon_name") == F.lit(outlet)), ["year", "month"],
+    oy = cut_lineage(sum_by(mart.where(F.col("outlet_name") == F.lit(outlet)), ["year", "month"],
                             "mtd_sales", "mtd_sales", exact=True))
     years = distinct_values(oy, "year")
     pv = oy.groupBy("month").pivot("year", years).agg(F.sum("mtd_sales"))
@@ -93,7 +93,7 @@ def center_projection(lines: DataFrame, measure: str = "inc_tax",
                       money(latest_sales * F.lit(factor)).alias("projected_text"))
 
 
-def yearly_growth(mart: DataFrame, key: str = "salon_name", value: str = "mtd_sales",
+def yearly_growth(mart: DataFrame, key: str = "outlet_name", value: str = "mtd_sales",
                   only: str | None = None) -> DataFrame:
     """Sequential year-over-year growth per key (long form): one row per
     year after a key's first, labelled '<prev> to <cur>'. The window is

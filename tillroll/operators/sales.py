@@ -12,7 +12,7 @@ from ..functions.clean import brand_of, month_number
 from ..functions.money import int_text, money_plain
 from .common import apply_filters, measure_col, not_null, ordinal, sum_by
 
-MART_KEYS = ["year", "month", "salon_name", "brand"]
+MART_KEYS = ["year", "month", "outlet_name", "brand"]
 
 
 def as_double(df: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def monthly_outlet(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
     hot key never gathers its raw rows in one task."""
     m = measure_col(measure)
     keyed = lines.select(
-        F.col("year"), F.col("month"), F.col("center_name").alias("salon_name"),
+        F.col("year"), F.col("month"), F.col("center_name").alias("outlet_name"),
         brand_of(lines).alias("brand"), F.col("invoice_no"), F.col(m))
     mart = (keyed.where(not_null(MART_KEYS)).groupBy(*MART_KEYS)
             .agg(F.coalesce(F.sum(m), F.lit(0)).alias("mtd_sales"),
@@ -49,7 +49,7 @@ def kpis(mart: DataFrame, filters: Mapping[str, object] | None = None) -> DataFr
     f = apply_filters(mart, filters)
     out = f.agg(F.coalesce(F.sum("mtd_sales"), F.lit(0)).alias("total_sales"),
                 F.coalesce(F.sum("mtd_bills"), F.lit(0)).cast("long").alias("total_bills"),
-                F.countDistinct("salon_name").alias("total_outlets"))
+                F.countDistinct("outlet_name").alias("total_outlets"))
     return out.withColumns({
         "avg_bill_value": abv("total_sales", "total_bills"),
         "total_bills_text": int_text("total_bills"),
@@ -58,8 +58,8 @@ def kpis(mart: DataFrame, filters: Mapping[str, object] | None = None) -> DataFr
 
 def outlet_sales(mart: DataFrame, filters=None) -> DataFrame:
     """Sales per outlet, largest first."""
-    out = sum_by(apply_filters(mart, filters), ["salon_name"], "mtd_sales", "mtd_sales")
-    return out.orderBy(F.desc_nulls_last("mtd_sales"), "salon_name")
+    out = sum_by(apply_filters(mart, filters), ["outlet_name"], "mtd_sales", "mtd_sales")
+    return out.orderBy(F.desc_nulls_last("mtd_sales"), "outlet_name")
 
 
 def monthly_trend(mart: DataFrame, filters=None) -> DataFrame:
@@ -71,7 +71,7 @@ def monthly_trend(mart: DataFrame, filters=None) -> DataFrame:
 
 def outlet_year_month(mart: DataFrame, outlet: str) -> DataFrame:
     """One outlet's sales by year and month."""
-    out = sum_by(mart.where(F.col("salon_name") == F.lit(outlet)), ["year", "month"],
+    out = sum_by(mart.where(F.col("outlet_name") == F.lit(outlet)), ["year", "month"],
                  "mtd_sales", "mtd_sales")
     return out.withColumn("month_num", month_number("month")).orderBy("year", "month_num")
 
@@ -79,7 +79,7 @@ def outlet_year_month(mart: DataFrame, outlet: str) -> DataFrame:
 def daily_outlet(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
     """Monthly mart keyed additionally by day of month (``day_sales``)."""
     m = measure_col(measure)
-    keyed = lines.select("year", "month", F.col("center_name").alias("salon_name"),
+    keyed = lines.select("year", "month", F.col("center_name").alias("outlet_name"),
                          brand_of(lines).alias("brand"),
                          F.dayofmonth("sale_date").cast("string").alias("day_sales"), m)
     keys = MART_KEYS + ["day_sales"]
@@ -91,7 +91,7 @@ def daily_average(daily: DataFrame, outlet: str) -> DataFrame:
     """Mean sales by year, month and day for one outlet, skipping empty /
     zero day values."""
     d = F.col("day_sales").cast("string")
-    f = daily.where((F.col("salon_name") == F.lit(outlet)) & d.isNotNull()
+    f = daily.where((F.col("outlet_name") == F.lit(outlet)) & d.isNotNull()
                     & (d != F.lit("")) & (d != F.lit("0")))
     return (f.where(not_null(["year", "month", "day_sales"]))
             .groupBy("year", "month", "day_sales")

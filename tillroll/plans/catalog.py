@@ -166,7 +166,7 @@ def q_column_profile(spark, sf_dir):
 def q_format_money(spark, sf_dir):
     from ..functions.money import money, money_plain
     out = S.outlet_sales(_mart(spark, sf_dir))
-    return out.select("salon_name", "mtd_sales",
+    return out.select("outlet_name", "mtd_sales",
                       money("mtd_sales").alias("sales_text"),
                       money_plain("mtd_sales").alias("sales_plain"),
                       money(F.col("mtd_sales") / F.lit(-1000.0)).alias("negative_text"))
@@ -176,7 +176,7 @@ def q_format_money(spark, sf_dir):
 def q_format_lakhs(spark, sf_dir):
     from ..functions.money import money
     out = S.outlet_sales(_mart(spark, sf_dir))
-    return out.select("salon_name", money("mtd_sales", "lakhs").alias("sales_lakhs"))
+    return out.select("outlet_name", money("mtd_sales", "lakhs").alias("sales_lakhs"))
 
 
 @query
@@ -201,7 +201,7 @@ def q_format_columns(spark, sf_dir):
 def q_format_int(spark, sf_dir):
     from ..functions.money import western_int
     out = S.outlet_sales(_mart(spark, sf_dir))
-    return out.select("salon_name", western_int("mtd_sales").alias("sales_int"))
+    return out.select("outlet_name", western_int("mtd_sales").alias("sales_int"))
 
 
 @query
@@ -209,7 +209,7 @@ def q_format_column(spark, sf_dir):
     from ..functions.money import format_column
     out = S.outlet_sales(_mart(spark, sf_dir))
     custom = (lambda c: F.concat(F.lit("Rs. "), F.format_number(c, 2)))
-    return out.select("salon_name",
+    return out.select("outlet_name",
                       format_column("mtd_sales", "lakhs").alias("by_name"),
                       format_column("mtd_sales", custom).alias("by_function"))
 
@@ -340,7 +340,7 @@ TEST_OUTLET_MAP = {"NATION_1": "CENTRE ONE", "NATION_2": "CENTRE TWO", "T NAGAR"
 def q_map_outlet(spark, sf_dir):
     from ..operators.services import map_outlets
     mart = S.as_double(_mart(spark, sf_dir))
-    return map_outlets(mart, TEST_OUTLET_MAP, "salon_name")
+    return map_outlets(mart, TEST_OUTLET_MAP, "outlet_name")
 
 
 @query
@@ -564,18 +564,18 @@ def q_preprocess_monthly(spark, sf_dir):
     mart = S.as_double(_mart(spark, sf_dir))
     sheet = mart.select(
         F.col("year").alias("Year"), F.col("month").alias("Month"),
-        F.col("salon_name").alias("SALON NAMES"), F.col("brand").alias("BRAND"),
+        F.col("outlet_name").alias("OUTLET NAMES"), F.col("brand").alias("BRAND"),
         F.concat(F.lit("₹"), F.col("mtd_sales").cast("string")).alias("MTD SALES"),
         F.col("mtd_bills").cast("string").alias("MTD BILLS"),
         F.concat(F.lit("$"), F.col("mtd_abv").cast("string")).alias("MTD ABV"))
     path = write_table(preprocess_monthly_sheet(sheet), scratch_path(spark, "monthly") + ".csv", "csv")
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField(n, t) for n, t in [
-        ("Year", T.StringType()), ("Month", T.StringType()), ("SALON NAMES", T.StringType()),
+        ("Year", T.StringType()), ("Month", T.StringType()), ("OUTLET NAMES", T.StringType()),
         ("BRAND", T.StringType()), ("MTD SALES", T.DoubleType()), ("MTD BILLS", T.DoubleType()),
         ("MTD ABV", T.DoubleType()), ("Month_Num", T.IntegerType())]])
     back = read_table(spark, path, schema)
-    return back.toDF("year", "month", "salon_name", "brand", "mtd_sales", "mtd_bills",
+    return back.toDF("year", "month", "outlet_name", "brand", "mtd_sales", "mtd_bills",
                      "mtd_abv", "month_num")
 
 

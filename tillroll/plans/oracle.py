@@ -7,7 +7,7 @@ from .oracle_base import MONTHLY_MART_SQL, SALES_LINES_SQL, with_ctes
 ORACLE: dict[str, str] = {}
 
 ORACLE["q_monthly_outlet"] = with_ctes(SALES_LINES_SQL, MONTHLY_MART_SQL) + """
-SELECT year, month, salon_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
+SELECT year, month, outlet_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
        CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
 FROM monthly"""
 
@@ -23,7 +23,7 @@ def _kpi(where: str = "") -> str:
     return BASE + f"""
 SELECT CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS total_sales,
        CAST(coalesce(sum(mtd_bills), 0) AS BIGINT) AS total_bills,
-       count(DISTINCT salon_name) AS total_outlets,
+       count(DISTINCT outlet_name) AS total_outlets,
        CASE WHEN sum(mtd_bills) > 0 THEN CAST(sum(mtd_sales) AS DOUBLE) / CAST(sum(mtd_bills) AS DOUBLE) ELSE 0.0 END AS avg_bill_value,
        CAST(CAST(coalesce(sum(mtd_bills), 0) AS BIGINT) AS VARCHAR) AS total_bills_text
 FROM monthly {where}"""
@@ -32,8 +32,8 @@ FROM monthly {where}"""
 ORACLE["q_kpis"] = _kpi()
 ORACLE["q_kpis_filtered"] = _kpi("WHERE year = '1996' AND brand = 'BUILDING'")
 
-OUTLET_SALES = """SELECT salon_name, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales
-FROM monthly WHERE salon_name IS NOT NULL GROUP BY salon_name"""
+OUTLET_SALES = """SELECT outlet_name, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales
+FROM monthly WHERE outlet_name IS NOT NULL GROUP BY outlet_name"""
 
 ORACLE["q_outlet_sales"] = BASE + OUTLET_SALES
 
@@ -47,18 +47,18 @@ ORACLE["q_outlet_year_month"] = BASE + """
 SELECT year, month, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales,
        CAST(coalesce(list_position(['January','February','March','April','May','June','July',
             'August','September','October','November','December'], month), 0) AS INTEGER) AS month_num
-FROM monthly WHERE salon_name = 'NATION_7' GROUP BY year, month"""
+FROM monthly WHERE outlet_name = 'NATION_7' GROUP BY year, month"""
 
 ORACLE["q_daily_avg"] = with_ctes(SALES_LINES_SQL) + """,
 daily AS (
-  SELECT year, month, center_name AS salon_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
+  SELECT year, month, center_name AS outlet_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
          CAST(day(sale_date) AS VARCHAR) AS day_sales, coalesce(sum(sales_inc_tax), 0) AS mtd_sales
   FROM sales_lines WHERE center_name IS NOT NULL
   GROUP BY 1, 2, 3, 4, 5
 )
 SELECT year, month, day_sales, CAST(sum(mtd_sales) AS DOUBLE) / CAST(count(mtd_sales) AS DOUBLE) AS mtd_sales
 FROM daily
-WHERE salon_name = 'NATION_7' AND day_sales IS NOT NULL AND day_sales <> '' AND day_sales <> '0'
+WHERE outlet_name = 'NATION_7' AND day_sales IS NOT NULL AND day_sales <> '' AND day_sales <> '0'
 GROUP BY year, month, day_sales"""
 
 
@@ -144,13 +144,13 @@ ORACLE["q_column_profile"] = with_ctes(SALES_LINES_SQL) + ",\nstats AS (SELECT c
         for c in _PROFILE_COLS)
 
 ORACLE["q_format_money"] = BASE + f"""
-SELECT salon_name, mtd_sales, {indian_sql('mtd_sales')} AS sales_text,
+SELECT outlet_name, mtd_sales, {indian_sql('mtd_sales')} AS sales_text,
        replace({indian_sql('mtd_sales')}, '₹', '') AS sales_plain,
        {indian_sql('(mtd_sales / -1000.0)')} AS negative_text
 FROM ({OUTLET_SALES})"""
 
 ORACLE["q_format_lakhs"] = BASE + f"""
-SELECT salon_name, {lakhs_sql('mtd_sales')} AS sales_lakhs FROM ({OUTLET_SALES})"""
+SELECT outlet_name, {lakhs_sql('mtd_sales')} AS sales_lakhs FROM ({OUTLET_SALES})"""
 
 ORACLE["q_format_percentage"] = with_ctes(SALES_LINES_SQL) + f"""
 SELECT center_name, year, tax_rate_pct, {pct_sql('tax_rate_pct')} AS tax_rate_text,
@@ -160,17 +160,17 @@ FROM (SELECT center_name, year,
       FROM sales_lines GROUP BY 1, 2)"""
 
 ORACLE["q_format_columns"] = BASE + f"""
-SELECT year, month, salon_name, brand, {indian_sql('mtd_sales')} AS mtd_sales, mtd_bills,
+SELECT year, month, outlet_name, brand, {indian_sql('mtd_sales')} AS mtd_sales, mtd_bills,
        {indian_sql('mtd_abv')} AS mtd_abv
-FROM (SELECT year, month, salon_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
+FROM (SELECT year, month, outlet_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
              CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
       FROM monthly)"""
 
 ORACLE["q_format_int"] = BASE + f"""
-SELECT salon_name, format('{{:,}}', CAST(trunc(mtd_sales) AS BIGINT)) AS sales_int FROM ({OUTLET_SALES})"""
+SELECT outlet_name, format('{{:,}}', CAST(trunc(mtd_sales) AS BIGINT)) AS sales_int FROM ({OUTLET_SALES})"""
 
 ORACLE["q_format_column"] = BASE + f"""
-SELECT salon_name, {lakhs_sql('mtd_sales')} AS by_name,
+SELECT outlet_name, {lakhs_sql('mtd_sales')} AS by_name,
        'Rs. ' || format('{{:,.2f}}', mtd_sales) AS by_function
 FROM ({OUTLET_SALES})"""
 
@@ -264,8 +264,8 @@ FROM service_mart"""
 
 ORACLE["q_map_outlet"] = BASE + """
 SELECT year, month,
-       CASE salon_name WHEN 'NATION_1' THEN 'CENTRE ONE' WHEN 'NATION_2' THEN 'CENTRE TWO'
-                       WHEN 'T NAGAR' THEN 'T. NAGAR CENTER' ELSE salon_name END AS salon_name,
+       CASE outlet_name WHEN 'NATION_1' THEN 'CENTRE ONE' WHEN 'NATION_2' THEN 'CENTRE TWO'
+                       WHEN 'T NAGAR' THEN 'T. NAGAR CENTER' ELSE outlet_name END AS outlet_name,
        brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
        CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
 FROM monthly"""
@@ -410,7 +410,7 @@ _MONTHNUM = ("CAST(coalesce(list_position(['January','February','March','April',
              "'August','September','October','November','December'], month), 0) AS INTEGER)")
 _OY = """,
 oy AS (SELECT year, month, coalesce(sum(mtd_sales), 0) AS s FROM monthly
-       WHERE salon_name = 'NATION_7' AND year IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2),
+       WHERE outlet_name = 'NATION_7' AND year IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2),
 pv AS (SELECT month, """ + ", ".join(f"sum(s) FILTER (WHERE year = '{y}') AS \"{y}\"" for y in _YEARS) + \
     """ FROM oy GROUP BY month)
 """
@@ -447,19 +447,19 @@ FROM (SELECT center_name, (SELECT max(year) FROM sales_lines WHERE center_name I
       FROM sales_lines WHERE center_name IS NOT NULL AND year IS NOT NULL GROUP BY 1)"""
 
 ORACLE["q_outlet_yearly_growth"] = BASE + f"""
-SELECT salon_name, py || ' to ' || year AS year_comparison, {growth_text_sql('s', 'ps')} AS growth,
+SELECT outlet_name, py || ' to ' || year AS year_comparison, {growth_text_sql('s', 'ps')} AS growth,
        CASE WHEN ps IS NULL OR ps = 0 OR s IS NULL THEN NULL
             ELSE (CAST(s AS DOUBLE) / CAST(ps AS DOUBLE) - 1.0) * 100.0 END AS growth_pct
-FROM (SELECT salon_name, year, s, lag(year) OVER (PARTITION BY salon_name ORDER BY year) AS py,
-             lag(s) OVER (PARTITION BY salon_name ORDER BY year) AS ps
-      FROM (SELECT salon_name, year, coalesce(sum(mtd_sales), 0) AS s FROM monthly
-            WHERE salon_name = 'NATION_7' AND year IS NOT NULL GROUP BY 1, 2))
+FROM (SELECT outlet_name, year, s, lag(year) OVER (PARTITION BY outlet_name ORDER BY year) AS py,
+             lag(s) OVER (PARTITION BY outlet_name ORDER BY year) AS ps
+      FROM (SELECT outlet_name, year, coalesce(sum(mtd_sales), 0) AS s FROM monthly
+            WHERE outlet_name = 'NATION_7' AND year IS NOT NULL GROUP BY 1, 2))
 WHERE py IS NOT NULL"""
 
 ORACLE["q_scan_csv"] = ORACLE["q_monthly_outlet"]
 
 ORACLE["q_preprocess_monthly"] = BASE + f"""
-SELECT year, month, salon_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales,
+SELECT year, month, outlet_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales,
        CAST(mtd_bills AS DOUBLE) AS mtd_bills,
        CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv,
        {_MONTHNUM} AS month_num
@@ -468,17 +468,17 @@ FROM monthly"""
 ORACLE["q_mart_roundtrip"] = ORACLE["q_service_mart"]
 
 ORACLE["q_upsert_latest"] = with_ctes(SALES_LINES_SQL) + """,
-cur AS (SELECT year, month, center_name AS salon_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
+cur AS (SELECT year, month, center_name AS outlet_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
                coalesce(sum(sales_exc_tax), 0) AS mtd_sales, count(DISTINCT invoice_no) AS mtd_bills
         FROM sales_lines WHERE center_name IS NOT NULL GROUP BY 1, 2, 3, 4),
-inc AS (SELECT year, month, center_name AS salon_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
+inc AS (SELECT year, month, center_name AS outlet_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
                coalesce(sum(sales_inc_tax), 0) AS mtd_sales, count(DISTINCT invoice_no) AS mtd_bills
         FROM sales_lines WHERE center_name IS NOT NULL AND year = '2000' GROUP BY 1, 2, 3, 4),
 merged AS (SELECT * FROM inc
            UNION ALL SELECT * FROM cur
            WHERE NOT EXISTS (SELECT 1 FROM inc WHERE inc.year = cur.year AND inc.month = cur.month
-                             AND inc.salon_name = cur.salon_name AND inc.brand = cur.brand))
-SELECT year, month, salon_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
+                             AND inc.outlet_name = cur.outlet_name AND inc.brand = cur.brand))
+SELECT year, month, outlet_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
        CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
 FROM merged"""
 

@@ -35,7 +35,7 @@ sales_lines AS (
 
 MONTHLY_MART_SQL = """
 monthly AS (
-  SELECT year, month, center_name AS salon_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
+  SELECT year, month, center_name AS outlet_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
          coalesce(sum(sales_inc_tax), 0) AS mtd_sales,
          count(DISTINCT invoice_no) AS mtd_bills
   FROM sales_lines

@@ -123,7 +123,7 @@ CALENDAR_TEXT = T.StructType([
 MONTHLY_MART = T.StructType([
     T.StructField("year", T.StringType(), True),
     T.StructField("month", T.StringType(), True),
-    T.StructField("salon_name", T.StringType(), True),
+    T.StructField("outlet_name", T.StringType(), True),
     T.StructField("brand", T.StringType(), True),
     T.StructField("mtd_sales", T.DoubleType(), True),
     T.StructField("mtd_bills", T.LongType(), True),

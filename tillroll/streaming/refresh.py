@@ -79,4 +79,4 @@ def read_mart(spark: SparkSession, mart_path: str) -> DataFrame:
     """The refreshed mart with the partition columns back as text."""
     return (spark.read.parquet(mart_path)
             .withColumn("year", F.col("year").cast("string"))
-            .select("year", "month", "salon_name", "brand", "mtd_sales", "mtd_bills", "mtd_abv"))
+            .select("year", "month", "outlet_name", "brand", "mtd_sales", "mtd_bills", "mtd_abv"))
