@@ -10,8 +10,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import sales as S
+from ..functions.classify import category, service_type
+from ..functions.clean import (
+    brand, clean_currency, month_number, normalize_sales, parse_date, with_calendar_parts,
+    year_from_text)
+from ..functions.money import (
+    format_column, format_money_columns, money, money_plain, percentage, western_int)
+from ..operators.common import apply_filters, dense_sum, sum_by
+from ..operators.growth import (
+    center_growth, center_projection, outlet_growth, outlet_pivot_table, yearly_growth)
+from ..operators.holidays import (
+    basic_calendar, breakdown, calendar_summary, center_business_top, daily_traffic,
+    festival_daily, festival_performance, holiday_dates, holiday_sales, read_calendar,
+    select_holiday_rows, service_summary, top_item_counts, top_items, window_lines)
+from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
+from ..schemas import RAW_SALES_TEXT, SERVICE_MART
+from ..session import scratch_path
+from ..sources.files import (
+    ensure_mart, load_mart, preprocess_monthly_sheet, read_table, upsert, write_table)
 from ..sources.testbed import sales_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,14 +131,12 @@ def q_top_categories(spark, sf_dir):
 
 @query
 def q_center_year(spark, sf_dir):
-    from ..operators.common import sum_by
     return sum_by(sales_lines(spark, sf_dir, items=False), ["center_name", "year"],
                   "inc_tax", "sales")
 
 
 @query
 def q_center_year_dense(spark, sf_dir):
-    from ..operators.common import dense_sum
     lines = sales_lines(spark, sf_dir)
     chosen = (F.col("item_category") == "Brand#1") & (F.col("business_unit") == "AUTOMOBILE")
     return dense_sum(lines, "center_name", "year", "inc_tax", "sales", chosen)
@@ -164,7 +181,6 @@ def q_column_profile(spark, sf_dir):
 
 @query
 def q_format_money(spark, sf_dir):
-    from ..functions.money import money, money_plain
     out = S.outlet_sales(_mart(spark, sf_dir))
     return out.select("outlet_name", "mtd_sales",
                       money("mtd_sales").alias("sales_text"),
@@ -174,14 +190,12 @@ def q_format_money(spark, sf_dir):
 
 @query
 def q_format_lakhs(spark, sf_dir):
-    from ..functions.money import money
     out = S.outlet_sales(_mart(spark, sf_dir))
     return out.select("outlet_name", money("mtd_sales", "lakhs").alias("sales_lakhs"))
 
 
 @query
 def q_format_percentage(spark, sf_dir):
-    from ..functions.money import percentage
     lines = sales_lines(spark, sf_dir, items=False)
     agg = lines.groupBy("center_name", "year").agg(
         (F.sum("tax_collected").cast("double") / F.sum("sales_exc_tax").cast("double")
@@ -192,21 +206,18 @@ def q_format_percentage(spark, sf_dir):
 
 @query
 def q_format_columns(spark, sf_dir):
-    from ..functions.money import format_money_columns
     mart = S.as_double(_mart(spark, sf_dir))
     return format_money_columns(mart, ["mtd_sales", "mtd_abv", "no_such_column"])
 
 
 @query
 def q_format_int(spark, sf_dir):
-    from ..functions.money import western_int
     out = S.outlet_sales(_mart(spark, sf_dir))
     return out.select("outlet_name", western_int("mtd_sales").alias("sales_int"))
 
 
 @query
 def q_format_column(spark, sf_dir):
-    from ..functions.money import format_column
     out = S.outlet_sales(_mart(spark, sf_dir))
     custom = (lambda c: F.concat(F.lit("Rs. "), F.format_number(c, 2)))
     return out.select("outlet_name",
@@ -228,7 +239,6 @@ def _dirty_money(lines):
 
 @query
 def q_clean_currency(spark, sf_dir):
-    from ..functions.clean import clean_currency
     lines = sales_lines(spark, sf_dir, items=False)
     cleaned = lines.select("year", clean_currency(_dirty_money(lines)).alias("amount"))
     return cleaned.groupBy("year").agg(
@@ -239,7 +249,6 @@ def q_clean_currency(spark, sf_dir):
 
 @query
 def q_clean_dates(spark, sf_dir):
-    from ..functions.clean import parse_date
     lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False, outlets=False)
     inv = F.col("invoice_no")
     text = (F.when(inv % 11 == 0, F.lit("2023-02-29"))
@@ -252,7 +261,6 @@ def q_clean_dates(spark, sf_dir):
 
 @query
 def q_brand_default(spark, sf_dir):
-    from ..functions.clean import brand
     lines = sales_lines(spark, sf_dir, items=False)
     bu = F.col("business_unit")
     dirty = F.when(bu == "BUILDING", F.lit(None).cast("string")) \
@@ -279,14 +287,12 @@ def _raw_text_lines(lines):
 
 @query
 def q_normalize_sales(spark, sf_dir):
-    from ..functions.clean import normalize_sales, with_calendar_parts
     raw = _raw_text_lines(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
     return S.as_double(S.monthly_outlet(with_calendar_parts(normalize_sales(raw))))
 
 
 @query
 def q_month_num(spark, sf_dir):
-    from ..functions.clean import month_number
     lines = sales_lines(spark, sf_dir, items=False, outlets=False)
     name = F.when(F.col("invoice_no") % 13 == 0, F.lit("Foo")).otherwise(F.col("month"))
     return lines.select(name.alias("month"), month_number(name).alias("month_num")) \
@@ -295,7 +301,6 @@ def q_month_num(spark, sf_dir):
 
 @query
 def q_year_from_text(spark, sf_dir):
-    from ..functions.clean import year_from_text
     lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False, outlets=False)
     text = F.date_format("sale_date", "dd-MM-yyyy")
     return lines.groupBy(year_from_text(text).alias("year")) \
@@ -314,7 +319,6 @@ TEST_KEYWORDS = [
 
 @query
 def q_service_type(spark, sf_dir):
-    from ..functions.classify import category, service_type
     lines = sales_lines(spark, sf_dir)
     out = lines.select(
         category("item_type", "PROMO").alias("category"),
@@ -326,7 +330,6 @@ def q_service_type(spark, sf_dir):
 
 @query
 def q_service_mart(spark, sf_dir):
-    from ..operators.services import service_mart
     lines = sales_lines(spark, sf_dir).withColumn(
         "sale_date_text", F.date_format("sale_date", "dd-MM-yyyy"))
     return S.as_double(service_mart(lines, keywords=TEST_KEYWORDS, product_value="PROMO",
@@ -338,20 +341,17 @@ TEST_OUTLET_MAP = {"NATION_1": "CENTRE ONE", "NATION_2": "CENTRE TWO", "T NAGAR"
 
 @query
 def q_map_outlet(spark, sf_dir):
-    from ..operators.services import map_outlets
     mart = S.as_double(_mart(spark, sf_dir))
     return map_outlets(mart, TEST_OUTLET_MAP, "outlet_name")
 
 
 @query
 def q_hierarchy(spark, sf_dir):
-    from ..operators.services import hierarchy
     return hierarchy(sales_lines(spark, sf_dir))
 
 
 @query
 def q_hierarchy_rollup(spark, sf_dir):
-    from ..operators.services import hierarchy_rollup
     return hierarchy_rollup(sales_lines(spark, sf_dir))
 
 
@@ -362,7 +362,6 @@ HOLIDAY_YEARS = [1996, 1998, 2000]
 
 
 def _calendar(spark):
-    from ..operators.holidays import read_calendar
     return read_calendar(spark)
 
 
@@ -372,7 +371,6 @@ def _dates(spark, sf_dir):
 
 
 def _window(spark, sf_dir, festivals=None, center=None, items=True, outlets=True):
-    from ..operators.holidays import window_lines
     lines = sales_lines(spark, sf_dir, items=items, outlets=outlets)
     return window_lines(lines, _calendar(spark), festivals=festivals, center=center,
                         dates=_dates(spark, sf_dir))
@@ -380,27 +378,23 @@ def _window(spark, sf_dir, festivals=None, center=None, items=True, outlets=True
 
 @query
 def q_calendar(spark, sf_dir):
-    from ..operators.holidays import calendar_summary
     return calendar_summary(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
                                         outlets=False), _calendar(spark))
 
 
 @query
 def q_holiday_dates(spark, sf_dir):
-    from ..operators.holidays import holiday_dates
     return holiday_dates(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
                                      outlets=False), _calendar(spark))
 
 
 @query
 def q_holiday_dates_basic(spark, sf_dir):
-    from ..operators.holidays import basic_calendar, holiday_dates
     return holiday_dates(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
                                      outlets=False), basic_calendar(spark))
 
 
 def _holiday_sales(spark, sf_dir, fallback=False):
-    from ..operators.holidays import holiday_sales
     lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
     return holiday_sales(lines, _calendar(spark), fallback=fallback)
 
@@ -412,13 +406,11 @@ def q_holiday_sales(spark, sf_dir):
 
 @query
 def q_holiday_sales_total(spark, sf_dir):
-    from ..operators.holidays import select_holiday_rows
     return select_holiday_rows(_holiday_sales(spark, sf_dir), None, "All Centers")
 
 
 @query
 def q_holiday_sales_selected(spark, sf_dir):
-    from ..operators.holidays import select_holiday_rows
     return select_holiday_rows(_holiday_sales(spark, sf_dir), HOLIDAY_YEARS, OUTLET)
 
 
@@ -429,81 +421,67 @@ def q_holiday_fallback(spark, sf_dir):
 
 @query
 def q_festival_daily(spark, sf_dir):
-    from ..operators.holidays import festival_daily
     return festival_daily(_window(spark, sf_dir, items=False, outlets=False))
 
 
 @query
 def q_festival_daily_label(spark, sf_dir):
-    from ..operators.holidays import festival_daily
     return festival_daily(_window(spark, sf_dir, [FESTIVAL], items=False, outlets=False), "exc_tax")
 
 
 @query
 def q_festival_daily_center(spark, sf_dir):
-    from ..operators.holidays import festival_daily
     return festival_daily(_window(spark, sf_dir, center=OUTLET, items=False))
 
 
 @query
 def q_festival_performance(spark, sf_dir):
-    from ..operators.holidays import festival_performance
     return festival_performance(_window(spark, sf_dir, items=False, outlets=False))
 
 
 @query
 def q_festival_performance_by_center(spark, sf_dir):
-    from ..operators.holidays import festival_performance
     return festival_performance(_window(spark, sf_dir, items=False), "exc_tax", by_center=True)
 
 
 @query
 def q_festival_category_year(spark, sf_dir):
-    from ..operators.holidays import breakdown
     return breakdown(_window(spark, sf_dir, [FESTIVAL]), ["item_category", "year"])
 
 
 @query
 def q_festival_category(spark, sf_dir):
-    from ..operators.holidays import breakdown
     return breakdown(_window(spark, sf_dir, [FESTIVAL]), ["item_category"])
 
 
 @query
 def q_festival_bu_year(spark, sf_dir):
-    from ..operators.holidays import breakdown
     return breakdown(_window(spark, sf_dir, [FESTIVAL], items=False), ["business_unit", "year"])
 
 
 @query
 def q_center_business_top10(spark, sf_dir):
-    from ..operators.holidays import center_business_top
     return center_business_top(_window(spark, sf_dir, [FESTIVAL], items=False), 10)
 
 
 @query
 def q_festival_top_services(spark, sf_dir):
-    from ..operators.holidays import top_items
     return top_items(_window(spark, sf_dir, [FESTIVAL]), 15)
 
 
 @query
 def q_festival_service_counts(spark, sf_dir):
-    from ..operators.holidays import top_item_counts
     return top_item_counts(_window(spark, sf_dir, [FESTIVAL]), 15)
 
 
 @query
 def q_festival_service_summary(spark, sf_dir):
-    from ..operators.holidays import service_summary
     return service_summary(_window(spark, sf_dir, [FESTIVAL]), 20)
 
 
 @query
 def q_festival_traffic(spark, sf_dir):
-    from ..operators.holidays import apply_filters, daily_traffic, holiday_dates
     lines = sales_lines(spark, sf_dir, items=False)
-    from ..operators.holidays import window_lines
     cal = _calendar(spark)
     dates = _dates(spark, sf_dir)
     wl = window_lines(lines, cal, festivals=[FESTIVAL], dates=dates)
@@ -515,31 +493,26 @@ def q_festival_traffic(spark, sf_dir):
 
 @query
 def q_outlet_pivot(spark, sf_dir):
-    from ..operators.growth import outlet_pivot_table
     return outlet_pivot_table(_mart(spark, sf_dir), OUTLET)
 
 
 @query
 def q_outlet_growth(spark, sf_dir):
-    from ..operators.growth import outlet_growth
     return outlet_growth(_mart(spark, sf_dir), OUTLET)
 
 
 @query
 def q_center_growth(spark, sf_dir):
-    from ..operators.growth import center_growth
     return center_growth(sales_lines(spark, sf_dir, items=False))
 
 
 @query
 def q_center_projection(spark, sf_dir):
-    from ..operators.growth import center_projection
     return center_projection(sales_lines(spark, sf_dir, items=False))
 
 
 @query
 def q_outlet_yearly_growth(spark, sf_dir):
-    from ..operators.growth import yearly_growth
     return yearly_growth(_mart(spark, sf_dir), only=OUTLET)
 
 
@@ -547,10 +520,6 @@ def q_outlet_yearly_growth(spark, sf_dir):
 
 @query
 def q_scan_csv(spark, sf_dir):
-    from ..functions.clean import normalize_sales, with_calendar_parts
-    from ..schemas import RAW_SALES_TEXT
-    from ..session import scratch_path
-    from ..sources.files import read_table, write_table
     raw = _raw_text_lines(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
     path = write_table(raw, scratch_path(spark, "sales") + ".csv", "csv")
     back = read_table(spark, path, RAW_SALES_TEXT)
@@ -559,8 +528,6 @@ def q_scan_csv(spark, sf_dir):
 
 @query
 def q_preprocess_monthly(spark, sf_dir):
-    from ..session import scratch_path
-    from ..sources.files import preprocess_monthly_sheet, read_table, write_table
     mart = S.as_double(_mart(spark, sf_dir))
     sheet = mart.select(
         F.col("year").alias("Year"), F.col("month").alias("Month"),
@@ -569,7 +536,6 @@ def q_preprocess_monthly(spark, sf_dir):
         F.col("mtd_bills").cast("string").alias("MTD BILLS"),
         F.concat(F.lit("$"), F.col("mtd_abv").cast("string")).alias("MTD ABV"))
     path = write_table(preprocess_monthly_sheet(sheet), scratch_path(spark, "monthly") + ".csv", "csv")
-    from pyspark.sql import types as T
     schema = T.StructType([T.StructField(n, t) for n, t in [
         ("Year", T.StringType()), ("Month", T.StringType()), ("OUTLET NAMES", T.StringType()),
         ("BRAND", T.StringType()), ("MTD SALES", T.DoubleType()), ("MTD BILLS", T.DoubleType()),
@@ -581,10 +547,6 @@ def q_preprocess_monthly(spark, sf_dir):
 
 @query
 def q_mart_roundtrip(spark, sf_dir):
-    from ..operators.services import service_mart
-    from ..schemas import SERVICE_MART
-    from ..session import scratch_path
-    from ..sources.files import ensure_mart, load_mart
     lines = sales_lines(spark, sf_dir).withColumn(
         "sale_date_text", F.date_format("sale_date", "dd-MM-yyyy"))
     path = scratch_path(spark, "service-mart")
@@ -600,7 +562,6 @@ def q_mart_roundtrip(spark, sf_dir):
 
 @query
 def q_upsert_latest(spark, sf_dir):
-    from ..sources.files import upsert
     lines = sales_lines(spark, sf_dir, items=False)
     current = S.as_double(S.monthly_outlet(lines, "exc_tax"))
     incoming = S.as_double(S.monthly_outlet(lines.where(F.col("year") == "2000"), "inc_tax"))

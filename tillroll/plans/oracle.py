@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from .oracle_base import MONTHLY_MART_SQL, SALES_LINES_SQL, with_ctes
+from .oracle_base import (
+    MONTHLY_MART_SQL,
+    SALES_LINES_SQL,
+    basic_calendar_cte,
+    calendar_cte,
+    growth_round2_sql,
+    growth_text_sql,
+    indian_sql,
+    lakhs_sql,
+    pct_sql,
+    with_ctes)
 
 ORACLE: dict[str, str] = {}
 
@@ -14,7 +24,6 @@ FROM monthly"""
 ORACLE["q_monthly_outlet_exc"] = ORACLE["q_monthly_outlet"].replace(
     "coalesce(sum(sales_inc_tax), 0) AS mtd_sales", "coalesce(sum(sales_exc_tax), 0) AS mtd_sales")
 
-from .oracle_base import growth_text_sql, indian_sql, lakhs_sql, pct_sql  # noqa: E402,F401
 
 BASE = with_ctes(SALES_LINES_SQL, MONTHLY_MART_SQL)
 
@@ -285,7 +294,6 @@ SELECT business_unit, item_category, CAST(sum(sales) AS DOUBLE) AS sales,
        CAST(grouping(business_unit, item_category) AS INTEGER) AS level
 FROM leaves GROUP BY ROLLUP (business_unit, item_category)"""
 
-from .oracle_base import basic_calendar_cte, calendar_cte  # noqa: E402
 
 HDATES = """
 hdates AS (
@@ -424,7 +432,6 @@ ORACLE["q_outlet_growth"] = BASE.rstrip() + _OY + f"SELECT month, {_MONTHNUM} AS
               for p, c in zip(_YEARS, _YEARS[1:])) + \
     f", {indian_sql('(CAST(\"2001\" AS DOUBLE) * 1.1)')} AS projected_10pct FROM pv"
 
-from .oracle_base import growth_round2_sql  # noqa: E402
 
 _CY = """,
 cy AS (SELECT center_name, year, coalesce(sum(sales_inc_tax), 0) AS s FROM sales_lines
