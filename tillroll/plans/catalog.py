@@ -566,3 +566,22 @@ def q_upsert_latest(spark, sf_dir):
     current = S.as_double(S.monthly_outlet(lines, "exc_tax"))
     incoming = S.as_double(S.monthly_outlet(lines.where(F.col("year") == "2000"), "inc_tax"))
     return upsert(current, incoming, S.MART_KEYS)
+
+
+# ---- streaming --------------------------------------------------------------
+
+@query
+def q_stream_refresh(spark, sf_dir):
+    """The monthly mart built incrementally: raw lines arrive as several CSV
+    files and are processed one file per micro-batch; every batch touches
+    many months, which are recomputed from all lines stored so far."""
+    from ..streaming.refresh import read_mart, start_mart_refresh
+    raw = _raw_text_lines(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
+    base = scratch_path(spark, "stream")
+    raw.repartition(4).write.option("header", True).csv(f"{base}/in")
+    q = start_mart_refresh(spark, f"{base}/in", f"{base}/lines", f"{base}/mart",
+                           f"{base}/checkpoint", raw_schema=raw.schema, max_files_per_trigger=1)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return read_mart(spark, f"{base}/mart")

@@ -511,3 +511,5 @@ SELECT c.months, c.holiday_date, c.festival, c.mtd_sale,
        CAST(coalesce(p.years_with_sales, 0) AS BIGINT) AS years_with_sales,
        coalesce(p.sales_on_day, 0.0) AS sales_on_day
 FROM calfile c LEFT JOIN per_day p ON month(c.holiday_date) = p.hol_month AND day(c.holiday_date) = p.hol_day"""
+
+ORACLE["q_stream_refresh"] = ORACLE["q_monthly_outlet"]
