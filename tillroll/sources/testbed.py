@@ -45,31 +45,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def sales_lines(spark: SparkSession, sf_dir: str, items: bool = True,
-                calendar_parts: bool = True, outlets: bool = True) -> DataFrame:
-    """Canonical sale lines (see ``schemas.SALES_LINES``) over the test tables.
-
-    ``items=False`` / ``outlets=False`` leave the item / outlet and business
-    unit columns NULL and skip their joins (all of them are left joins on a
-    unique key, so the line set is the same); Catalyst cannot drop an unused
-    outer join by itself."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax")
+def order_dimensions(spark: SparkSession, sf_dir: str, outlets: bool = True) -> DataFrame:
+    """Order-level columns of a sale line: order key, date, segment, nation."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if not outlets:
+        return orders.select("o_orderkey", "o_orderdate",
+                             F.lit(None).cast("string").alias("c_mktsegment"),
+                             F.lit(None).cast("string").alias("n_name"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return (orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+            .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+            .select("o_orderkey", "o_orderdate", "c_mktsegment", "n_name"))
 
-    if outlets:
-        order_dims = (orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-                      .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-                      .select("o_orderkey", "o_orderdate", "c_mktsegment", "n_name"))
-    else:
-        order_dims = orders.select("o_orderkey", "o_orderdate",
-                                   F.lit(None).cast("string").alias("c_mktsegment"),
-                                   F.lit(None).cast("string").alias("n_name"))
-    lines = li.join(order_dims, li.l_orderkey == order_dims.o_orderkey, "inner")
-    if items:
-        part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax")
+
+
+def canonical_lines(joined: DataFrame, part: DataFrame | None,
+                    calendar_parts: bool = True) -> DataFrame:
+    """Canonical sale-line columns from line rows already joined to their
+    order dimensions; ``part`` (or None) adds the item columns."""
+    lines = joined
+    if part is not None:
+        part = part.select("p_partkey", "p_name", "p_brand", "p_type")
         lines = lines.join(part, lines.l_partkey == part.p_partkey, "left")
         item_cols = [
             F.col("p_name").alias("item_name"),
@@ -99,3 +100,18 @@ def sales_lines(spark: SparkSession, sf_dir: str, items: bool = True,
         F.lit(None).cast(MONEY).alias("collected"),
     )
     return with_calendar_parts(out) if calendar_parts else out
+
+
+def sales_lines(spark: SparkSession, sf_dir: str, items: bool = True,
+                calendar_parts: bool = True, outlets: bool = True) -> DataFrame:
+    """Canonical sale lines (see ``schemas.SALES_LINES``) over the test tables.
+
+    ``items=False`` / ``outlets=False`` leave the item / outlet and business
+    unit columns NULL and skip their joins (all of them are left joins on a
+    unique key, so the line set is the same); Catalyst cannot drop an unused
+    outer join by itself."""
+    li = line_items(spark, sf_dir)
+    dims = order_dimensions(spark, sf_dir, outlets)
+    joined = li.join(dims, li.l_orderkey == dims.o_orderkey, "inner")
+    part = table(spark, sf_dir, "part") if items else None
+    return canonical_lines(joined, part, calendar_parts)
