@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import parse_date
 from ..schemas import (BASIC_HOLIDAYS, CALENDAR_TEXT, WINDOW_AFTER, WINDOW_BEFORE,
                        WINDOW_DIVISOR)
+from ..session import cut_lineage
 from .common import apply_filters, bounded_broadcast, measure_col, not_null, sum_by
 
 ALL_CENTERS = "All Centers"
@@ -99,6 +100,9 @@ def holiday_sales(lines: DataFrame, calendar: DataFrame, measure: str = "inc_tax
     out = agg.where(F.col("is_total") | F.col("center_name").isNotNull())
     if not fallback or "holiday_date" not in calendar.columns:
         return out
+    # The result is small (holiday dates × centres): materialise it once so
+    # the emptiness test does not aggregate the fact lines a second time.
+    out = cut_lineage(out)
     matched = out.select(F.count(F.lit(1))).scalar()
     spare = calendar.where(matched == 0).select(
         "festival", F.year("holiday_date").cast("long").alias("year"), "holiday_date",
@@ -132,16 +136,28 @@ def festival_window_days(lines: DataFrame, calendar: DataFrame, festivals=None,
                     F.date_add("holiday_date", F.col("_offset")).alias("sale_date")))
 
 
+def window_days_table(dates: DataFrame, calendar: DataFrame, festivals=None, years=None,
+                      before: int = WINDOW_BEFORE, after: int = WINDOW_AFTER) -> DataFrame:
+    """The window-day table, materialised once and broadcast when its row
+    count is proven small (else left for a shuffle join)."""
+    return bounded_broadcast(festival_window_days(dates, calendar, festivals, years,
+                                                  before, after))
+
+
 def window_lines(lines: DataFrame, calendar: DataFrame, festivals=None, years=None,
                  center: str | None = None, before: int = WINDOW_BEFORE,
-                 after: int = WINDOW_AFTER, dates: DataFrame | None = None) -> DataFrame:
+                 after: int = WINDOW_AFTER, dates: DataFrame | None = None,
+                 days: DataFrame | None = None) -> DataFrame:
     """Sale lines inside each festival window, tagged with festival,
     holiday_date, holiday_year and days_from_festival.
 
     ``dates`` may name a cheaper source of the same sale dates (for example
-    the line table without its dimension joins); it defaults to ``lines``."""
-    days = bounded_broadcast(festival_window_days(
-        lines if dates is None else dates, calendar, festivals, years, before, after))
+    the line table without its dimension joins); it defaults to ``lines``.
+    ``days`` passes a window-day table already built by
+    :func:`window_days_table` (then ``calendar`` and the choices are unused)."""
+    if days is None:
+        days = window_days_table(lines if dates is None else dates, calendar, festivals,
+                                 years, before, after)
     src = lines if center in (None, ALL_CENTERS) else \
         lines.where(F.col("center_name") == F.lit(center))
     return src.join(days, "sale_date")
@@ -181,12 +197,21 @@ def breakdown(wl: DataFrame, keys: list[str], measure: str = "inc_tax") -> DataF
 
 
 def center_business_top(wl: DataFrame, k: int = 10, measure: str = "inc_tax") -> DataFrame:
-    """Centre × business unit sums for the k centres with the most window sales."""
-    top = (sum_by(wl, ["center_name"], measure, "_c")
+    """Centre × business unit sums for the k centres with the most window sales.
+
+    One pass over the window lines: the centre × business-unit sums (small)
+    are materialised, the centre ranking is taken from them (a centre's
+    total counts all its lines, also those without a business unit), and
+    the top k (at most k rows, broadcast) select the output rows."""
+    m = measure_col(measure)
+    cb = cut_lineage(wl.where(F.col("center_name").isNotNull())
+                     .groupBy("center_name", "business_unit")
+                     .agg(F.coalesce(F.sum(m), F.lit(0)).alias("sales")))
+    top = (cb.groupBy("center_name").agg(F.sum("sales").alias("_c"))
            .orderBy(F.desc("_c"), "center_name").limit(k).select("center_name"))
-    # ``top`` has at most k rows by construction.
-    kept = wl.join(F.broadcast(top), "center_name", "left_semi")
-    return sum_by(kept, ["center_name", "business_unit"], measure, "sales")
+    return (cb.where(F.col("business_unit").isNotNull())
+            .join(F.broadcast(top), "center_name", "left_semi")
+            .select("center_name", "business_unit", F.col("sales").cast("double").alias("sales")))
 
 
 def top_items(wl: DataFrame, k: int = 15, measure: str = "inc_tax") -> DataFrame:
@@ -219,9 +244,10 @@ def daily_traffic(wl: DataFrame, festival_days: DataFrame, measure: str = "inc_t
     days flagged. The day spine is generated from a one-row min/max
     aggregate; it has one row per calendar day in the span."""
     m = measure_col(measure)
-    daily = (wl.groupBy("sale_date")
-             .agg(F.countDistinct("invoice_no").alias("invoices"),
-                  F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("revenue")))
+    # One row per day: materialised so the span and the join reuse it.
+    daily = cut_lineage(wl.groupBy("sale_date")
+                        .agg(F.countDistinct("invoice_no").alias("invoices"),
+                             F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("revenue")))
     span = daily.agg(F.min("sale_date").alias("lo"), F.max("sale_date").alias("hi"))
     spine = span.where(F.col("lo").isNotNull()).select(
         F.explode(F.sequence("lo", "hi")).alias("sale_date"))

@@ -19,13 +19,14 @@ from ..functions.clean import (
     year_from_text)
 from ..functions.money import (
     format_column, format_money_columns, money, money_plain, percentage, western_int)
-from ..operators.common import apply_filters, dense_sum, sum_by
+from ..operators.common import dense_sum, sum_by
 from ..operators.growth import (
     center_growth, center_projection, outlet_growth, outlet_pivot_table, yearly_growth)
 from ..operators.holidays import (
     basic_calendar, breakdown, calendar_summary, center_business_top, daily_traffic,
     festival_daily, festival_performance, holiday_dates, holiday_sales, read_calendar,
-    select_holiday_rows, service_summary, top_item_counts, top_items, window_lines)
+    select_holiday_rows, service_summary, top_item_counts, top_items, window_days_table,
+    window_lines)
 from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
 from ..schemas import RAW_SALES_TEXT, SERVICE_MART
 from ..session import scratch_path
@@ -483,10 +484,10 @@ def q_festival_service_summary(spark, sf_dir):
 def q_festival_traffic(spark, sf_dir):
     lines = sales_lines(spark, sf_dir, items=False)
     cal = _calendar(spark)
-    dates = _dates(spark, sf_dir)
-    wl = window_lines(lines, cal, festivals=[FESTIVAL], dates=dates)
-    days = apply_filters(holiday_dates(dates, cal), {"festival": [FESTIVAL]})
-    return daily_traffic(wl, days)
+    days = window_days_table(_dates(spark, sf_dir), cal, festivals=[FESTIVAL])
+    wl = window_lines(lines, cal, days=days)
+    festival_days = days.where(F.col("days_from_festival") == 0)
+    return daily_traffic(wl, festival_days)
 
 
 # ---- growth -----------------------------------------------------------------
