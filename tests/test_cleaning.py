@@ -2,7 +2,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillroll.functions import clean as C
 from tillroll.schemas import RAW_SALES_TEXT, SALES_LINES
