@@ -84,3 +84,10 @@ def test_hot_outlet_and_day(spark):
     perf = H.festival_performance(H.window_lines(lines, cal)).first()
     in_window = lines.where(F.col("sale_date").between(dt.date(2023, 12, 29), dt.date(2024, 1, 3))).count()
     assert perf.total_window_sales == float(in_window)
+
+
+def test_year_filter_prunes_the_scan(spark):
+    """A year choice becomes a date range that Parquet can use."""
+    for name in ("q_kpis_filtered", "q_holiday_sales_selected", "q_mix_filtered"):
+        text = plan_text(E.queries()[name](spark, SF))
+        assert "GreaterThanOrEqual(o_orderdate," in text and "LessThan(o_orderdate," in text, name

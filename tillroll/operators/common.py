@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -40,19 +41,43 @@ def sum_by(df: DataFrame, keys: list[str], measure: str, alias: str,
             .agg((total if exact else total.cast("double")).alias(alias)))
 
 
+def _year_ranges(years) -> Column | None:
+    """sale_date range predicate equivalent to ``year IN years`` (None if a
+    value is not a year number)."""
+    try:
+        ys = sorted({int(y) for y in years})
+    except (TypeError, ValueError):
+        return None
+    if not ys or ys[0] < 1 or ys[-1] > 9998:
+        return None
+    return reduce(lambda a, b: a | b, [
+        (F.col("sale_date") >= F.lit(dt.date(y, 1, 1))) & (F.col("sale_date") < F.lit(dt.date(y + 1, 1, 1)))
+        for y in ys])
+
+
 def apply_filters(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
     """Equality / IN filters; a value of None or 'All' means no filter.
 
     Filters on columns that are absent are ignored (optional columns).
-    Expressed as plain predicates so they push down to the scan.
+    Expressed as plain predicates so they push down to the scan. A ``year``
+    filter on rows that carry ``sale_date`` also gets the equivalent date
+    range, which Parquet can use to skip row groups (the year text itself is
+    an expression the scan cannot use).
     """
     for column, value in (filters or {}).items():
-        if value is None or value == ALL or column not in df.columns:
+        if value is None or value == ALL:
+            continue
+        values = list(value) if isinstance(value, (list, tuple, set, frozenset)) else [value]
+        if column == "year" and "sale_date" in df.columns:
+            ranges = _year_ranges(values)
+            if ranges is not None:
+                df = df.where(ranges)
+        if column not in df.columns:
             continue
-        if isinstance(value, (list, tuple, set, frozenset)):
-            df = df.where(F.col(column).isin(list(value)))
+        if len(values) == 1:
+            df = df.where(F.col(column) == F.lit(values[0]))
         else:
-            df = df.where(F.col(column) == F.lit(value))
+            df = df.where(F.col(column).isin(values))
     return df
 
 

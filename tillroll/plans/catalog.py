@@ -19,7 +19,7 @@ from ..functions.clean import (
     year_from_text)
 from ..functions.money import (
     format_column, format_money_columns, money, money_plain, percentage, western_int)
-from ..operators.common import dense_sum, sum_by
+from ..operators.common import apply_filters, dense_sum, sum_by
 from ..operators.growth import (
     center_growth, center_projection, outlet_growth, outlet_pivot_table, yearly_growth)
 from ..operators.holidays import (
@@ -66,10 +66,15 @@ def q_kpis(spark, sf_dir):
     return S.as_double(S.kpis(_mart(spark, sf_dir)))
 
 
+KPI_FILTERS = {"year": "1996", "brand": "BUILDING", "month": "All"}
+
+
 @query
 def q_kpis_filtered(spark, sf_dir):
-    return S.as_double(S.kpis(_mart(spark, sf_dir),
-                              {"year": "1996", "brand": "BUILDING", "month": "All"}))
+    # The year choice is also applied to the lines, where it becomes a
+    # prunable date range on the scan; the mart-level filter stays exact.
+    lines = apply_filters(sales_lines(spark, sf_dir, items=False), {"year": KPI_FILTERS["year"]})
+    return S.as_double(S.kpis(S.monthly_outlet(lines), KPI_FILTERS))
 
 
 @query
@@ -412,7 +417,10 @@ def q_holiday_sales_total(spark, sf_dir):
 
 @query
 def q_holiday_sales_selected(spark, sf_dir):
-    return select_holiday_rows(_holiday_sales(spark, sf_dir), HOLIDAY_YEARS, OUTLET)
+    # Holiday year = sale year here, so the choice also prunes the line scan.
+    lines = apply_filters(sales_lines(spark, sf_dir, items=False, calendar_parts=False),
+                          {"year": HOLIDAY_YEARS})
+    return select_holiday_rows(holiday_sales(lines, _calendar(spark)), HOLIDAY_YEARS, OUTLET)
 
 
 @query
