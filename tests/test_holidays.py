@@ -83,14 +83,25 @@ def test_fallback_to_calendar_rows(spark):
     assert [(r.year, r.mtd_sale) for r in out2] == [(2023, 3.0)]
 
 
-def test_read_bundled_calendar(spark):
-    c = H.read_calendar(spark)
+def test_builtin_calendar(spark):
+    c = H.default_calendar(spark)
     assert c.count() == 53
     assert c.where(F.col("festival") == "Christmas").first().holiday_date == D(2024, 12, 25)
 
 
+def test_calendar_file_drops_bad_dates(spark):
+    import os
+    import tempfile
+    path = os.path.join(tempfile.mkdtemp(prefix="tillroll-cal-"), "cal.csv")
+    rows = [("February", "2023-02-29", "Bad", 1), ("March", "2024-03-01", "Exam", 2),
+            ("March", "not a date", "Junk", 3)]
+    H.calendar_source_rows(spark, rows).write.option("header", True).csv(path)
+    c = H.read_calendar(spark, path).collect()
+    assert [(r.festival, r.holiday_date, r.mtd_sale) for r in c] == [("Exam", D(2024, 3, 1), 2)]
+
+
 def test_grouping_sets_detail_equals_total(spark, lines):
-    hs = H.holiday_sales(lines, H.read_calendar(spark))
+    hs = H.holiday_sales(lines, H.default_calendar(spark))
     tot = hs.where("is_total").groupBy("festival", "holiday_date").agg(F.sum("mtd_sale").alias("t"))
     det = hs.where("not is_total").groupBy("festival", "holiday_date").agg(F.sum("mtd_sale").alias("d"))
     bad = tot.join(det, ["festival", "holiday_date"]).where(F.abs(F.col("t") - F.col("d")) > 1e-6)
@@ -98,7 +109,7 @@ def test_grouping_sets_detail_equals_total(spark, lines):
 
 
 def test_performance_equals_sum_of_daily(spark, lines):
-    wl = H.window_lines(lines, H.read_calendar(spark))
+    wl = H.window_lines(lines, H.default_calendar(spark))
     daily = H.festival_daily(wl).groupBy("festival", "holiday_date").agg(F.sum("sales").alias("d"))
     perf = H.festival_performance(wl)
     bad = perf.join(daily, ["festival", "holiday_date"]) \

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import parse_date
-from ..schemas import (BASIC_HOLIDAYS, CALENDAR_TEXT, WINDOW_AFTER, WINDOW_BEFORE,
-                       WINDOW_DIVISOR)
+from ..schemas import (BASIC_HOLIDAYS, CALENDAR_TEXT, HOLIDAY_CALENDAR, WINDOW_AFTER,
+                       WINDOW_BEFORE, WINDOW_DIVISOR)
 from ..session import cut_lineage
 from .common import apply_filters, bounded_broadcast, measure_col, not_null, sum_by
 
@@ -31,13 +31,7 @@ CALENDAR_MAX_ROWS = 1_000_000
 
 # ---- calendars ---------------------------------------------------------------
 
-def read_calendar(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Holiday calendar file (Months, Date, Festivals, MTD_Sale) -> columns
-    ``months, holiday_date, festival, mtd_sale``; rows with a bad date are dropped."""
-    if path is None:
-        from ..plans.oracle_base import CALENDAR_FILE
-        path = str(CALENDAR_FILE)
-    raw = spark.read.schema(CALENDAR_TEXT).option("header", True).csv(path)
+def _clean_calendar(raw: DataFrame) -> DataFrame:
     return (raw.select(F.col("Months").alias("months"),
                        parse_date("Date").alias("holiday_date"),
                        F.col("Festivals").alias("festival"),
@@ -45,6 +39,24 @@ def read_calendar(spark: SparkSession, path: str | None = None) -> DataFrame:
             .dropna(subset=["holiday_date"]))
 
 
+def calendar_source_rows(spark: SparkSession, rows=HOLIDAY_CALENDAR) -> DataFrame:
+    """Calendar rows as they appear in a holiday file (all text)."""
+    return spark.createDataFrame([(m, d, f, str(s)) for m, d, f, s in rows], CALENDAR_TEXT)
+
+
+def read_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """Holiday calendar file (CSV with header Months, Date, Festivals,
+    MTD_Sale) -> columns ``months, holiday_date, festival, mtd_sale``; rows
+    with a bad date are dropped."""
+    return _clean_calendar(spark.read.schema(CALENDAR_TEXT).option("header", True).csv(path))
+
+
+def default_calendar(spark: SparkSession) -> DataFrame:
+    """The built-in dated holiday calendar (``schemas.HOLIDAY_CALENDAR``),
+    cleaned like a file."""
+    return _clean_calendar(calendar_source_rows(spark))
+
+
 def basic_calendar(spark: SparkSession, holidays=BASIC_HOLIDAYS) -> DataFrame:
     """Built-in fixed-date calendar as (festival, hol_month, hol_day)."""
     return spark.createDataFrame([(f, m, d) for m, d, f in holidays],

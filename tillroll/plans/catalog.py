@@ -23,8 +23,9 @@ from ..operators.common import apply_filters, dense_sum, sum_by
 from ..operators.growth import (
     center_growth, center_projection, outlet_growth, outlet_pivot_table, yearly_growth)
 from ..operators.holidays import (
-    basic_calendar, breakdown, calendar_summary, center_business_top, daily_traffic,
-    festival_daily, festival_performance, holiday_dates, holiday_sales, read_calendar,
+    basic_calendar, breakdown, calendar_source_rows, calendar_summary, center_business_top, daily_traffic,
+    default_calendar, festival_daily, festival_performance, holiday_dates, holiday_sales,
+    read_calendar,
     select_holiday_rows, service_summary, top_item_counts, top_items, window_days_table,
     window_lines)
 from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
@@ -368,7 +369,7 @@ HOLIDAY_YEARS = [1996, 1998, 2000]
 
 
 def _calendar(spark):
-    return read_calendar(spark)
+    return default_calendar(spark)
 
 
 def _dates(spark, sf_dir):
@@ -384,8 +385,11 @@ def _window(spark, sf_dir, festivals=None, center=None, items=True, outlets=True
 
 @query
 def q_calendar(spark, sf_dir):
+    """The calendar as a source file: written as CSV, scanned back with the
+    file loader (date coercion, bad dates dropped), then matched to sales."""
+    path = write_table(calendar_source_rows(spark), scratch_path(spark, "calendar") + ".csv", "csv")
     return calendar_summary(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
-                                        outlets=False), _calendar(spark))
+                                        outlets=False), read_calendar(spark, path))
 
 
 @query

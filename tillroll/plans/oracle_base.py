@@ -3,10 +3,7 @@ test tables as ``sources.testbed.sales_lines``, written independently in SQL."""
 
 from __future__ import annotations
 
-import csv
-from pathlib import Path
-
-from ..schemas import BASIC_HOLIDAYS
+from ..schemas import BASIC_HOLIDAYS, HOLIDAY_CALENDAR
 
 SALES_LINES_SQL = """
 sales_lines AS (
@@ -82,12 +79,9 @@ def growth_round2_sql(cur: str, prev: str) -> str:
             f"ELSE CAST(round_even(({c} / {p} - 1.0) * 100.0 * 100.0, 0) / 100.0 AS VARCHAR) || '%' END")
 
 
-CALENDAR_FILE = Path(__file__).resolve().parent.parent / "data" / "holidays.csv"
-
-
 def calendar_rows() -> list[tuple[str, str, str, str]]:
-    with CALENDAR_FILE.open(newline="", encoding="utf-8") as fh:
-        return [tuple(r) for r in csv.reader(fh)][1:]
+    """The built-in holiday calendar as text rows (Months, Date, Festivals, MTD_Sale)."""
+    return [(m, d, f, str(s)) for m, d, f, s in HOLIDAY_CALENDAR]
 
 
 def _q(s: str) -> str:

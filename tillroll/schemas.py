@@ -45,6 +45,64 @@ BASIC_HOLIDAYS = [
     (12, 25, "Christmas"),
 ]
 
+# Dated holiday calendar (Months, Date, Festivals, MTD_Sale), 53 rows, all in
+# 2024; only month and day are used to find the same holiday in every year.
+HOLIDAY_CALENDAR = [
+    ("January", "2024-01-01", "New Year", 1358778),
+    ("January", "2024-01-14", "Makar Sankarati", 26259405),
+    ("January", "2024-01-15", "Pongal", 27842442),
+    ("January", "2024-01-16", "Mattu Ponagal", 29470028),
+    ("January", "2024-01-17", "Thituvalluvar Day", 31588147),
+    ("January", "2024-01-25", "Thai poosam", 47887520),
+    ("January", "2024-01-26", "Republi Day", 50313362),
+    ("February", "2024-02-14", "Valatines Days", 29808121),
+    ("February", "2024-02-15", "10TH & 12 TH Started Exam", 31383987),
+    ("February", "2024-02-19", "CBSC Exam Started", 41240309),
+    ("March", "2024-03-01", "12TH Exam Started", 1634619),
+    ("March", "2024-03-11", "Ramzan Started", 20354098),
+    ("March", "2024-03-13", "10TH CBSC Exam Ends", 23067603),
+    ("March", "2024-03-22", "TN 12TH Exam Ends", 40267222),
+    ("March", "2024-03-25", "Holi", 47513888),
+    ("March", "2024-03-26", "TN 10TH Exam Started", 48752172),
+    ("March", "2024-03-28", "Lent Fasting", 51946511),
+    ("March", "2024-03-29", "Fasting", 54145228),
+    ("April", "2024-04-01", "College Semester Stated", 1985512),
+    ("April", "2024-04-04", "CBSC Exam Ends 12TH", 6996202),
+    ("April", "2024-04-08", "10Th TN Exam Ends", 16269189),
+    ("April", "2024-04-09", "Ugadhi", 17870822),
+    ("April", "2024-04-10", "Ramzan Ends", 19804738),
+    ("April", "2024-04-13", "Exam Ends", 27624191),
+    ("April", "2024-04-14", "Tamil New Year", 30287436),
+    ("April", "2024-04-15", "Summar Holiday Begin", 31819730),
+    ("April", "2024-04-21", "Maha Veer Jayanthi", 46697046),
+    ("April", "2024-04-30", "College Semester Ends", 63796219),
+    ("May", "2024-05-01", "Labours Day", 3015944),
+    ("May", "2024-05-10", "Akshathirthi", 20787572),
+    ("May", "2024-05-12", "Mothers Day", 26788741),
+    ("June", "2024-06-03", "School Starts", 8050865),
+    ("June", "2024-06-17", "Bakrid", 41130027),
+    ("July", "2024-07-15", "Aadi Started", 34341612),
+    ("July", "2024-07-17", "Muharam Aadi Month Started", 37395601),
+    ("August", "2024-08-15", "Independence Day", 35952036),
+    ("August", "2024-08-16", "Aadi ends", 38022181),
+    ("August", "2024-08-26", "Krishna Jayanthi", 62404521),
+    ("September", "2024-09-05", "Teachers Day", 12303408),
+    ("September", "2024-09-07", "Ganesh Chathuthi", 17111664),
+    ("September", "2024-09-15", "Onam", 37440618),
+    ("September", "2024-09-16", "Mila Un Nabi", 39316795),
+    ("September", "2024-09-17", "Puratasi Started", 40842040),
+    ("October", "2024-10-02", "Gandhi Jayanti", 4399917),
+    ("October", "2024-10-03", "Navarathri Started", 6155190),
+    ("October", "2024-10-11", "Saraswathi Pooja", 22524357),
+    ("October", "2024-10-12", "Vijaya Dasami", 25178983),
+    ("October", "2024-10-17", "Puratasi Ensd", 33960067),
+    ("October", "2024-10-31", "Diwali", 45816279),
+    ("November", "2024-11-14", "Childrens Day", 29957061),
+    ("November", "2024-11-16", "Kathigai Month Started", 35460486),
+    ("December", "2024-12-15", "Kathigai Month Ends", 40275333),
+    ("December", "2024-12-25", "Christmas", 70247512),
+]
+
 # Outlet name -> centre name placeholder mapping.
 OUTLET_TO_CENTER = [
     ("T NAGAR", "T. NAGAR CENTER"),

@@ -207,7 +207,8 @@ def load_all(spark: SparkSession, sales_path: str, calendar_path: str | None = N
              raw_schema: T.StructType | None = None) -> SalesData:
     """Read and normalise the sale lines and the holiday calendar."""
     from ..functions.clean import normalize_sales, with_calendar_parts
-    from ..operators.holidays import read_calendar
+    from ..operators.holidays import default_calendar, read_calendar
     from ..schemas import RAW_SALES_TEXT
     raw = read_table(spark, sales_path, raw_schema or RAW_SALES_TEXT)
-    return SalesData(with_calendar_parts(normalize_sales(raw)), read_calendar(spark, calendar_path))
+    calendar = read_calendar(spark, calendar_path) if calendar_path else default_calendar(spark)
+    return SalesData(with_calendar_parts(normalize_sales(raw)), calendar)
