@@ -14,6 +14,7 @@ def one(spark, col, value, dtype="double"):
     (0.0, "₹0"), (None, "₹0"), (123.0, "₹123"), (1234.0, "₹1,234"),
     (100000.0, "₹1,00,000"), (12345678.0, "₹1,23,45,678"), (2.5, "₹2"), (3.5, "₹4"),
     (-12345.0, "₹-12,345"), (999.6, "₹1,000"), (-100.0, "₹-100"),
+    (float("nan"), "₹0"), (float("inf"), "₹inf"), (float("-inf"), "₹-inf"),
 ])
 def test_money(spark, value, expected):
     assert one(spark, M.money, value) == expected
@@ -31,7 +32,7 @@ def test_lakhs(spark, value, expected):
 
 
 @pytest.mark.parametrize("value,expected", [(0.125, "0.12%"), (1.005, "1.00%"), (2.675, "2.67%"),
-                                            (None, "0%"), (12.3456, "12.35%"), (-3.0, "-3.00%")])
+                                            (None, "0%"), (float("nan"), "0%"), (12.3456, "12.35%"), (-3.0, "-3.00%")])
 def test_percentage(spark, value, expected):
     assert one(spark, M.percentage, value) == expected
 

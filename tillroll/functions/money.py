@@ -34,8 +34,14 @@ def indian_digits(c: Column | str) -> Column:
     return F.regexp_replace(whole, _INDIAN_GROUPS, ",")
 
 
+def _missing(x: Column) -> Column:
+    # NULL and NaN are both "missing" for display, as in dataframe libraries.
+    return x.isNull() | F.isnan(x)
+
+
 def money(c: Column | str, fmt: str = "full") -> Column:
-    """'₹12,34,567' (full) or '₹12.35 Lakhs' (lakhs); NULL and 0 give '₹0'."""
+    """'₹12,34,567' (full) or '₹12.35 Lakhs' (lakhs); NULL, NaN and 0 give
+    '₹0'; infinities print as '₹inf' / '₹-inf'."""
     x = _col(c).cast("double")
     if fmt == "lakhs":
         body = F.concat(fixed2(x / F.lit(100000.0)), F.lit(" Lakhs"))
@@ -43,7 +49,9 @@ def money(c: Column | str, fmt: str = "full") -> Column:
         body = indian_digits(x)
     else:
         raise ValueError(f"unknown money format {fmt!r}")
-    return (F.when(x.isNull() | (x == 0), F.lit(RUPEE + "0"))
+    return (F.when(_missing(x) | (x == 0), F.lit(RUPEE + "0"))
+            .when(x == F.lit(float("inf")), F.lit(RUPEE + "inf"))
+            .when(x == F.lit(float("-inf")), F.lit(RUPEE + "-inf"))
             .otherwise(F.concat(F.lit(RUPEE), body)))
 
 
@@ -53,12 +61,12 @@ def money_plain(c: Column | str) -> Column:
 
 
 def percentage(c: Column | str, include_sign: bool = True) -> Column:
-    """'12.34%' ('12.34' without sign); NULL gives '0%'."""
+    """'12.34%' ('12.34' without sign); NULL and NaN give '0%'."""
     x = _col(c).cast("double")
     body = fixed2(x)
     if include_sign:
         body = F.concat(body, F.lit("%"))
-    return F.when(x.isNull(), F.lit("0%")).otherwise(body)
+    return F.when(_missing(x), F.lit("0%")).otherwise(body)
 
 
 def western_int(c: Column | str) -> Column:
