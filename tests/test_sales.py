@@ -59,3 +59,15 @@ def test_apply_filters_all_and_lists(spark):
     df = spark.createDataFrame([("1996", "X"), ("1997", "Y"), ("1998", "X")], "year string, c string")
     assert apply_filters(df, {"year": "All", "c": None}).count() == 3
     assert apply_filters(df, {"year": ["1996", "1998"], "c": "X", "absent": "v"}).count() == 2
+
+
+def test_bounded_broadcast_checks_size(spark):
+    from tillroll.operators.common import bounded_broadcast
+    small = spark.range(10).withColumnRenamed("id", "k")
+    big = spark.range(1000).withColumnRenamed("id", "k")
+
+    def plan(side):
+        j = spark.range(100000).withColumnRenamed("id", "k").join(side, "k")
+        return j._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(bounded_broadcast(small, max_rows=100)).lower()
+    assert "broadcast" not in plan(bounded_broadcast(big, max_rows=100)).lower()
