@@ -98,6 +98,12 @@ def test_calendar_file_drops_bad_dates(spark):
     H.calendar_source_rows(spark, rows).write.option("header", True).csv(path)
     c = H.read_calendar(spark, path).collect()
     assert [(r.festival, r.holiday_date, r.mtd_sale) for r in c] == [("Exam", D(2024, 3, 1), 2)]
+    # Columns are matched by header name, not position.
+    path2 = os.path.join(tempfile.mkdtemp(prefix="tillroll-cal-"), "cal2.csv")
+    H.calendar_source_rows(spark, rows).select("Festivals", "MTD_Sale", "Date", "Months") \
+        .write.option("header", True).csv(path2)
+    c2 = H.read_calendar(spark, path2).collect()
+    assert [(r.festival, r.holiday_date, r.months) for r in c2] == [("Exam", D(2024, 3, 1), "March")]
 
 
 def test_grouping_sets_detail_equals_total(spark, lines):

@@ -46,9 +46,10 @@ def calendar_source_rows(spark: SparkSession, rows=HOLIDAY_CALENDAR) -> DataFram
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """Holiday calendar file (CSV with header Months, Date, Festivals,
-    MTD_Sale) -> columns ``months, holiday_date, festival, mtd_sale``; rows
-    with a bad date are dropped."""
-    return _clean_calendar(spark.read.schema(CALENDAR_TEXT).option("header", True).csv(path))
+    MTD_Sale; columns matched by header name) -> columns ``months,
+    holiday_date, festival, mtd_sale``; rows with a bad date are dropped."""
+    from ..sources.files import read_table
+    return _clean_calendar(read_table(spark, path, CALENDAR_TEXT, fmt="csv"))
 
 
 def default_calendar(spark: SparkSession) -> DataFrame:
