@@ -586,12 +586,13 @@ def q_upsert_latest(spark, sf_dir):
 @query
 def q_stream_refresh(spark, sf_dir):
     """The monthly mart built incrementally: raw lines arrive as several CSV
-    files and are processed one file per micro-batch; every batch touches
-    many months, which are recomputed from all lines stored so far."""
+    files in date order and are processed one file per micro-batch; each
+    batch recomputes only the months it touched (a month split across two
+    files is recomputed from all its stored lines when the second arrives)."""
     from ..streaming.refresh import read_mart, start_mart_refresh
     raw = _raw_text_lines(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
     base = scratch_path(spark, "stream")
-    raw.repartition(4).write.option("header", True).csv(f"{base}/in")
+    raw.repartitionByRange(4, "Sale Date").write.option("header", True).csv(f"{base}/in")
     q = start_mart_refresh(spark, f"{base}/in", f"{base}/lines", f"{base}/mart",
                            f"{base}/checkpoint", raw_schema=raw.schema, max_files_per_trigger=1)
     q.awaitTermination()
