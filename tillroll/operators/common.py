@@ -15,8 +15,10 @@ from ..session import cut_lineage
 
 ALL = "All"
 
-# Upper bound on rows of a derived dimension that may be broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
+# Upper bound on rows of a derived dimension that may be broadcast (narrow
+# rows: ~1M rows is a few tens of MB per executor). Real holiday window
+# tables have thousands of rows.
+BROADCAST_MAX_ROWS = 1_000_000
 # Upper bound on distinct values that may become columns or an explode list.
 MAX_PIVOT_VALUES = 1_000
 
