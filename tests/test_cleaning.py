@@ -56,3 +56,14 @@ def test_normalize_sales_renames_cleans_and_drops(spark):
     assert got == [(dt.date(2024, 1, 5), "A1", Decimal("1000.500000"), None),
                    (dt.date(2024, 1, 6), "A3", None, None)]
     assert set(RAW_SALES_TEXT.fieldNames()) >= {"Sale Date", "Invoice No"}
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("2024-01-05T10:30:00", dt.date(2024, 1, 5)), ("2024-01-05 10:30:00", dt.date(2024, 1, 5)),
+    ("01/05/2024", dt.date(2024, 1, 5)), ("5-1-2024", dt.date(2024, 1, 5)),
+    ("2024-1-5", dt.date(2024, 1, 5)), ("2024/01/05", dt.date(2024, 1, 5)),
+    ("31/12/2024", None), ("2024-13-01", None),
+])
+def test_date_layouts(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(C.parse_date("t").alias("d")).first()["d"] == expected

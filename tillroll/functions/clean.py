@@ -8,7 +8,11 @@ from pyspark.sql import types as T
 
 from ..schemas import CURRENCY_CHARS, MONEY, MONTHS
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy", "yyyy/MM/dd")
+# Accepted date text, tried in order: ISO dates / date-times first, then
+# day-first with dashes, month-first with slashes (the usual reading of
+# '01/05/2024'), and one-digit day or month forms.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+                "yyyy/MM/dd", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy-M-d", "d-M-yyyy", "M/d/yyyy")
 
 
 def _col(c: Column | str) -> Column:
