@@ -3,15 +3,16 @@
 The dashboard this library replaces refreshed by reloading everything. Here
 new raw sale-line files are picked up by a file stream; each micro-batch
 
-1. normalises its lines and writes them under ``lines/batch=<epoch>/``
-   partitioned by year and month (a retried epoch overwrites its own
-   folder, so a replay never duplicates lines);
+1. normalises its lines and writes them under
+   ``lines/year=<y>/month=<m>/batch=<epoch>/`` (a retried epoch overwrites
+   exactly its own folders, so a replay never duplicates lines);
 2. recomputes only the mart's (year, month) partitions that the batch
-   touched, from all stored lines of those months (distinct bills need every
+   touched, reading only those months' folders (distinct bills need every
    invoice of the month), and replaces just those partitions (dynamic
    partition overwrite).
 
-Work per batch grows with the months it touches, not with the history.
+Work and file listing per batch grow with the months it touches, not with
+the history.
 """
 
 from __future__ import annotations
@@ -29,24 +30,26 @@ MAX_TOUCHED_MONTHS = 10_000
 
 def _refresh_batch(spark: SparkSession, raw: DataFrame, epoch: int, lines_path: str,
                    mart_path: str, measure: str) -> None:
-    lines = with_calendar_parts(normalize_sales(raw))
-    (lines.write.mode("overwrite").partitionBy("year", "month")
-     .parquet(f"{lines_path.rstrip('/')}/batch={epoch}"))
-    stored = spark.read.option("basePath", lines_path).parquet(lines_path)
-    batch_lines = spark.read.parquet(f"{lines_path.rstrip('/')}/batch={epoch}")
-    touched = [(r["year"], r["month"]) for r in
-               batch_lines.select(F.col("year").cast("string").alias("year"), "month")
-               .distinct().limit(MAX_TOUCHED_MONTHS + 1).collect()]
+    root = lines_path.rstrip("/")
+    lines = (with_calendar_parts(normalize_sales(raw))
+             .withColumn("batch", F.lit(epoch).cast("long"))
+             .persist())
+    try:
+        # year=/month=/batch=<epoch>: a replayed epoch replaces exactly its
+        # own folders (dynamic overwrite), other epochs and months stay.
+        (lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("year", "month", "batch").parquet(root))
+        touched = [(r["year"], r["month"]) for r in
+                   lines.select("year", "month").distinct().limit(MAX_TOUCHED_MONTHS + 1).collect()]
+    finally:
+        lines.unpersist()
     if not touched:
         return
     if len(touched) > MAX_TOUCHED_MONTHS:
         raise ValueError("a batch touched too many months for a partition refresh")
-    years = sorted({y for y, _ in touched})
-    keys = F.concat_ws("|", F.col("year").cast("string"), F.col("month"))
-    wanted = [f"{y}|{m}" for y, m in touched]
-    # The year predicate prunes directories; the key predicate keeps the months.
-    month_lines = (stored.where(F.col("year").cast("string").isin(years))
-                   .where(keys.isin(wanted))
+    # Only the touched months' folders are listed and read.
+    month_dirs = [f"{root}/year={y}/month={m}" for y, m in touched]
+    month_lines = (spark.read.option("basePath", root).parquet(*month_dirs)
                    .withColumn("year", F.col("year").cast("string")))
     mart = as_double(monthly_outlet(month_lines, measure))
     (mart.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
