@@ -31,6 +31,7 @@ from .operators.services import classify, hierarchy, hierarchy_rollup, map_outle
 from .sources.files import (ensure_mart, list_files, load_all, load_mart, path_exists,
                             preprocess_monthly_sheet, read_table, read_workbooks, upsert,
                             write_table)
+from .plans.tabs import SalesTabs
 from .sources.jdbc import read_by_year
 
 import types as _types
