@@ -56,6 +56,12 @@ def month_name(d: Column | str) -> Column:
     return F.date_format(_col(d), "MMMM")
 
 
+def month_label(month_num: Column | str) -> Column:
+    """Full English month name for 1..12 (NULL otherwise)."""
+    months = F.array(*[F.lit(m) for m in MONTHS])
+    return F.try_element_at(months, _col(month_num).cast("int"))
+
+
 def month_number(month: Column | str) -> Column:
     """1..12 for a full month name, 0 for anything else (including NULL)."""
     months = F.array(*[F.lit(m) for m in MONTHS])

@@ -58,8 +58,14 @@ def outlet_growth(mart: DataFrame, outlet: str,
 
 
 def center_year(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
-    """Centre × year sums (small), materialised once for reuse."""
-    return cut_lineage(sum_by(lines, ["center_name", "year"], measure, "sales", exact=True))
+    """Centre × year sums (small), materialised once for reuse. Grouped on
+    the integer year of the sale date; the text year is rendered after."""
+    if "sale_date" not in lines.columns:
+        return cut_lineage(sum_by(lines, ["center_name", "year"], measure, "sales", exact=True))
+    by_int = sum_by(lines.withColumn("_y", F.year("sale_date")), ["center_name", "_y"],
+                    measure, "sales", exact=True)
+    return cut_lineage(by_int.select("center_name", F.col("_y").cast("string").alias("year"),
+                                     "sales"))
 
 
 def center_growth(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:

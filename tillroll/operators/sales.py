@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import brand_of, month_number
+from ..functions.clean import brand_of, month_label, month_number
 from ..functions.money import int_text, money_plain
 from .common import apply_filters, measure_col, not_null, ordinal, sum_by
 
@@ -35,13 +35,25 @@ def monthly_outlet(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
     partial aggregate on (keys, invoice) then a partial count per key, so a
     hot key never gathers its raw rows in one task."""
     m = measure_col(measure)
+    if "sale_date" in lines.columns:
+        # Group on compact integer date parts and render the year / month
+        # labels on the aggregated rows, not on every line.
+        year, month = F.year("sale_date"), F.month("sale_date")
+    else:
+        year, month = F.col("year"), F.col("month")
     keyed = lines.select(
-        F.col("year"), F.col("month"), F.col("center_name").alias("outlet_name"),
+        year.alias("_y"), month.alias("_m"), F.col("center_name").alias("outlet_name"),
         brand_of(lines).alias("brand"), F.col("invoice_no"), F.col(m))
-    mart = (keyed.where(not_null(MART_KEYS)).groupBy(*MART_KEYS)
+    keys = ["_y", "_m", "outlet_name", "brand"]
+    mart = (keyed.where(not_null(keys)).groupBy(*keys)
             .agg(F.coalesce(F.sum(m), F.lit(0)).alias("mtd_sales"),
                  F.countDistinct("invoice_no").alias("mtd_bills")))
-    return mart.withColumn("mtd_abv", abv("mtd_sales", "mtd_bills"))
+    if "sale_date" in lines.columns:
+        labels = [F.col("_y").cast("string").alias("year"), month_label(F.col("_m")).alias("month")]
+    else:
+        labels = [F.col("_y").alias("year"), F.col("_m").alias("month")]
+    return mart.select(*labels, "outlet_name", "brand", "mtd_sales", "mtd_bills",
+                       abv("mtd_sales", "mtd_bills").alias("mtd_abv"))
 
 
 def kpis(mart: DataFrame, filters: Mapping[str, object] | None = None) -> DataFrame:
@@ -79,12 +91,16 @@ def outlet_year_month(mart: DataFrame, outlet: str) -> DataFrame:
 def daily_outlet(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
     """Monthly mart keyed additionally by day of month (``day_sales``)."""
     m = measure_col(measure)
-    keyed = lines.select("year", "month", F.col("center_name").alias("outlet_name"),
-                         brand_of(lines).alias("brand"),
-                         F.dayofmonth("sale_date").cast("string").alias("day_sales"), m)
-    keys = MART_KEYS + ["day_sales"]
-    return keyed.where(not_null(keys)).groupBy(*keys) \
-        .agg(F.coalesce(F.sum(m), F.lit(0)).alias("mtd_sales"))
+    keyed = lines.select(F.year("sale_date").alias("_y"), F.month("sale_date").alias("_m"),
+                         F.col("center_name").alias("outlet_name"), brand_of(lines).alias("brand"),
+                         F.dayofmonth("sale_date").alias("_d"), m)
+    keys = ["_y", "_m", "outlet_name", "brand", "_d"]
+    daily = (keyed.where(not_null(keys)).groupBy(*keys)
+             .agg(F.coalesce(F.sum(m), F.lit(0)).alias("mtd_sales")))
+    # Labels rendered on the aggregated rows.
+    return daily.select(F.col("_y").cast("string").alias("year"), month_label("_m").alias("month"),
+                        "outlet_name", "brand", F.col("_d").cast("string").alias("day_sales"),
+                        "mtd_sales")
 
 
 def daily_average(daily: DataFrame, outlet: str) -> DataFrame:
