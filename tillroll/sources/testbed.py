@@ -56,17 +56,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_dimensions(spark: SparkSession, sf_dir: str, outlets: bool = True) -> DataFrame:
-    """Order-level columns of a sale line: order key, date, segment, nation."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    """Order-level columns of a sale line: order key, sale date, business
+    unit (segment) and outlet (nation). The date is derived here, once per
+    order, not once per line after the join."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("sale_date"))
     if not outlets:
-        return orders.select("o_orderkey", "o_orderdate",
-                             F.lit(None).cast("string").alias("c_mktsegment"),
-                             F.lit(None).cast("string").alias("n_name"))
+        return orders.select("o_orderkey", "sale_date",
+                             F.lit(None).cast("string").alias("business_unit"),
+                             F.lit(None).cast("string").alias("center_name"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return (orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
             .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-            .select("o_orderkey", "o_orderdate", "c_mktsegment", "n_name"))
+            .select("o_orderkey", "sale_date", F.col("c_mktsegment").alias("business_unit"),
+                    F.col("n_name").alias("center_name")))
+
+
+def item_dimensions(part: DataFrame) -> DataFrame:
+    """Item columns derived on the part table (once per part)."""
+    return part.select("p_partkey", F.col("p_name").alias("item_name"),
+                       F.col("p_type").alias("item_type"),
+                       F.col("p_brand").alias("item_category"),
+                       F.substring_index("p_name", " ", -1).alias("item_subcategory"))
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,29 +91,24 @@ def canonical_lines(joined: DataFrame, part: DataFrame | None,
     """Canonical sale-line columns from line rows already joined to their
     order dimensions; ``part`` (or None) adds the item columns."""
     lines = joined
+    items = ("item_name", "item_type", "item_category", "item_subcategory")
     if part is not None:
-        part = part.select("p_partkey", "p_name", "p_brand", "p_type")
-        lines = lines.join(part, lines.l_partkey == part.p_partkey, "left")
-        item_cols = [
-            F.col("p_name").alias("item_name"),
-            F.col("p_type").alias("item_type"),
-            F.col("p_brand").alias("item_category"),
-            F.substring_index("p_name", " ", -1).alias("item_subcategory"),
-        ]
+        dims = item_dimensions(part)
+        lines = lines.join(dims, lines.l_partkey == dims.p_partkey, "left")
+        item_cols = [F.col(c) for c in items]
     else:
-        item_cols = [F.lit(None).cast("string").alias(c)
-                     for c in ("item_name", "item_type", "item_category", "item_subcategory")]
+        item_cols = [F.lit(None).cast("string").alias(c) for c in items]
 
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     discount = F.col("l_discount").cast("decimal(4,2)")
     tax = F.col("l_tax").cast("decimal(4,2)")
     exc = price * (F.lit(1) - discount)
     out = lines.select(
-        F.col("o_orderdate").cast("date").alias("sale_date"),
+        F.col("sale_date"),
         F.col("l_orderkey").alias("invoice_no"),
-        F.col("n_name").alias("center_name"),
+        F.col("center_name"),
         *item_cols,
-        F.col("c_mktsegment").alias("business_unit"),
+        F.col("business_unit"),
         exc.cast(MONEY).alias("sales_exc_tax"),
         (exc * tax).cast(MONEY).alias("tax_collected"),
         (exc * (F.lit(1) + tax)).cast(MONEY).alias("sales_inc_tax"),
