@@ -126,7 +126,11 @@ def load_mart(spark: SparkSession, path: str, schema: T.StructType,
     frame when it does not exist yet."""
     if not is_complete(spark, path):
         return spark.createDataFrame([], schema)
-    df = read_table(spark, path, schema if fmt == "csv" else None, fmt)
+    if fmt == "csv":
+        df = read_table(spark, path, schema, fmt)
+    else:
+        # Declared schema: no inference, and a committed empty mart loads too.
+        df = spark.read.format(fmt).schema(schema).load(path)
     if "year" in df.columns:
         df = df.withColumn("year", F.col("year").cast("string"))
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
