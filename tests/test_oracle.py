@@ -34,14 +34,20 @@ def test_every_query_has_an_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
 
 
+SPARK_TO_SQL = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                "StringType()": "VARCHAR", "DateType()": "DATE", "BooleanType()": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     srows, scols = df.collect(), df.columns
-    cur = con.execute(E.oracle_sql()[name])
-    dcols = [d[0] for d in cur.description]
-    drows = cur.fetchall()
+    rel = con.sql(E.oracle_sql()[name])
+    dcols, dtypes = rel.columns, [str(t) for t in rel.types]
+    drows = rel.fetchall()
     assert sorted(scols) == sorted(dcols)
+    stypes = {f.name: SPARK_TO_SQL.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    assert stypes == dict(zip(dcols, dtypes))
     assert canon(scols, srows) == canon(dcols, drows)
 
 
