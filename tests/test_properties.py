@@ -50,3 +50,32 @@ def test_dense_contains_sparse_with_equal_sums(spark, lines):
     assert dense.count() >= sparse.count()
     d, s = dense.agg(F.sum("sales")).first()[0], sparse.agg(F.sum("sales")).first()[0]
     assert abs(d - s) < 1e-6
+
+
+def python_service_type(item_type, cat, sub, name, keywords):
+    """The classification rule stated directly in Python (test oracle)."""
+    if item_type == "Product":
+        return "Product"
+    fields = [(v or "").lower() for v in (cat, sub, name)]
+    for label, *word_lists in keywords:
+        if any(w in f for f, words in zip(fields, word_lists) for w in words):
+            return label
+    return "Other Services"
+
+
+_vocab = ["Hair", "HAIRCUT", "color", "Cut", "style", "BlowDry", "facial", "Skin", "face",
+          "cleanup", "Spa", "massage", "Therapy", "nail", "wax", "pedi", "", "x"]
+_field = st.one_of(st.none(), st.lists(st.sampled_from(_vocab), min_size=1, max_size=3)
+                   .map(" ".join))
+_row = st.tuples(st.sampled_from(["Product", "Service", "product", None]), _field, _field, _field)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(_row, min_size=100, max_size=200))
+def test_classifier_matches_rule(spark, rows):
+    from tillroll.functions.classify import service_type
+    from tillroll.schemas import SERVICE_KEYWORDS
+    df = spark.createDataFrame(rows, "item_type string, item_category string, "
+                                     "item_subcategory string, item_name string")
+    got = [r[0] for r in df.select(service_type()).collect()]
+    assert got == [python_service_type(*r, SERVICE_KEYWORDS) for r in rows]
