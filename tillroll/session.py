@@ -50,8 +50,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is
-    unset (local tests) a private folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session. Only a local-mode
+    session (tests, bench) without one gets a private folder; a cluster
+    session without one is an error rather than a machine-local fallback.
     """
     try:
         sc = spark.sparkContext
@@ -63,6 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # Executors on other machines cannot read a driver-local folder.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...) "
+                               "for this cluster")
         configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
