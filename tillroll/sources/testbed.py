@@ -119,6 +119,12 @@ def canonical_lines(joined: DataFrame, part: DataFrame | None,
     return with_calendar_parts(out) if calendar_parts else out
 
 
+# Built views per (session, folder, options). Reusing the DataFrame object
+# reuses its analysed plan (query building re-analyses every step); the data
+# is still read when a query runs. The test tables are read-only.
+_VIEWS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
 def sales_lines(spark: SparkSession, sf_dir: str, items: bool = True,
                 calendar_parts: bool = True, outlets: bool = True) -> DataFrame:
     """Canonical sale lines (see ``schemas.SALES_LINES``) over the test tables.
@@ -127,6 +133,17 @@ def sales_lines(spark: SparkSession, sf_dir: str, items: bool = True,
     unit columns NULL and skip their joins (all of them are left joins on a
     unique key, so the line set is the same); Catalyst cannot drop an unused
     outer join by itself."""
+    key = (id(spark), sf_dir.rstrip("/"), items, calendar_parts, outlets)
+    hit = _VIEWS.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    view = _build_sales_lines(spark, sf_dir, items, calendar_parts, outlets)
+    _VIEWS[key] = (spark, view)
+    return view
+
+
+def _build_sales_lines(spark: SparkSession, sf_dir: str, items: bool, calendar_parts: bool,
+                       outlets: bool) -> DataFrame:
     li = line_items(spark, sf_dir)
     dims = order_dimensions(spark, sf_dir, outlets)
     joined = li.join(dims, li.l_orderkey == dims.o_orderkey, "inner")
