@@ -71,3 +71,17 @@ def test_bounded_broadcast_checks_size(spark):
         return j._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(bounded_broadcast(small, max_rows=100)).lower()
     assert "broadcast" not in plan(bounded_broadcast(big, max_rows=100)).lower()
+
+
+def test_year_filter_ranges(spark):
+    import datetime as dt
+
+    from tillroll.operators.common import apply_filters
+    rows = [(dt.date(1995, 12, 31),), (dt.date(1996, 1, 1),), (dt.date(1996, 12, 31),),
+            (dt.date(1997, 1, 1),), (dt.date(1998, 6, 1),)]
+    only_dates = spark.createDataFrame(rows, "sale_date date")
+    assert apply_filters(only_dates, {"year": "1996"}).count() == 2
+    assert apply_filters(only_dates, {"year": [1996, 1998]}).count() == 3
+    with_text = only_dates.withColumn("year", F.year("sale_date").cast("string"))
+    assert apply_filters(with_text, {"year": ["1997", "1998"]}).count() == 2
+    assert apply_filters(with_text, {"year": "All"}).count() == 5
