@@ -100,3 +100,10 @@ def test_incomplete_mart_is_rebuilt(spark):
     assert FS.ensure_mart(spark, path, build)["status"] == "processed"
     assert FS.ensure_mart(spark, path, build)["status"] == "exists"
     assert FS.load_mart(spark, path, SERVICE_MART).count() == 1
+
+
+def test_write_mart_replaces(spark):
+    path = fresh("mart_w")
+    FS.write_mart(spark.createDataFrame([(1, "2024")], "v int, year string"), path, partition_by=["year"])
+    FS.write_mart(spark.createDataFrame([(2, "2025")], "v int, year string"), path, partition_by=["year"])
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(2, 2025)]

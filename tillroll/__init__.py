@@ -30,7 +30,7 @@ from .operators.sales import (as_double, axis_order, business_unit_rollup, colum
 from .operators.services import classify, hierarchy, hierarchy_rollup, map_outlets, service_mart
 from .sources.files import (ensure_mart, list_files, load_all, load_mart, path_exists,
                             preprocess_monthly_sheet, read_table, read_workbooks, upsert,
-                            write_table)
+                            write_mart, write_table)
 from .plans.tabs import SalesTabs
 from .sources.jdbc import read_by_year
 

@@ -70,6 +70,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+def write_mart(df: DataFrame, path: str, fmt: str = "parquet",
+               partition_by: list[str] | None = None) -> str:
+    """Write a mart, replacing what is there (CSV with a header, no index;
+    Parquet by default, optionally partitioned, e.g. by year)."""
+    return write_table(df, path, fmt, mode="overwrite", partition_by=partition_by)
+
+
 def _fs_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
