@@ -135,13 +135,21 @@ def sales_lines(spark: SparkSession, sf_dir: str, items: bool = True,
     outer join by itself."""
     key = (id(spark), sf_dir.rstrip("/"), items, calendar_parts, outlets)
     hit = _VIEWS.get(key)
-    if hit is not None and hit[0] is spark:
+    if hit is not None and hit[0] is spark and _alive(spark):
         return hit[1]
     view = _build_sales_lines(spark, sf_dir, items, calendar_parts, outlets)
     _VIEWS[key] = (spark, view)
     return view
 
 
+def _alive(spark: SparkSession) -> bool:
+    """False once the session's context was stopped (its views are unusable)."""
+    try:
+        return spark.sparkContext._jsc is not None
+    except Exception:  # noqa: BLE001 - remote sessions have no local context
+        return True
+
+
 def _build_sales_lines(spark: SparkSession, sf_dir: str, items: bool, calendar_parts: bool,
                        outlets: bool) -> DataFrame:
     li = line_items(spark, sf_dir)
