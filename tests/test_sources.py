@@ -107,3 +107,15 @@ def test_write_mart_replaces(spark):
     FS.write_mart(spark.createDataFrame([(1, "2024")], "v int, year string"), path, partition_by=["year"])
     FS.write_mart(spark.createDataFrame([(2, "2025")], "v int, year string"), path, partition_by=["year"])
     assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(2, 2025)]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "orc"])
+def test_format_dispatch_round_trip(spark, fmt):
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([("A", 1.5), ("B", None)], "k string, v double")
+    path = FS.write_table(df, fresh(f"t.{fmt}"), fmt)
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.DoubleType())])
+    back = FS.read_table(spark, path, schema if fmt == "json" else None)
+    assert sorted(tuple(r) for r in back.select("k", "v").collect()) == [("A", 1.5), ("B", None)]
+    with pytest.raises(FileNotFoundError):
+        FS.read_table(spark, fresh(f"none.{fmt}"))
