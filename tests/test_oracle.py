@@ -55,3 +55,8 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["year", "month", "outlet_name", "brand", "mtd_sales", "mtd_bills", "mtd_abv"]
     assert df.count() > 0
+
+
+def test_every_query_is_traced_to_the_survey():
+    from tillroll.plans.catalog import QUERIES, SURVEY_IDS
+    assert set(QUERIES) == set(SURVEY_IDS)
