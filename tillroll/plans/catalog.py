@@ -233,6 +233,8 @@ def q_format_column(spark, sf_dir):
 
 
 # ---- cleaning: dirt is created deterministically from the base lines -------
+# The invoice number modulo only chooses which kind of dirt a line's text
+# gets ('bad', empty, '$', '₹' with a comma); every line stays in the query.
 
 def _dirty_money(lines):
     exc = F.col("sales_exc_tax").cast("string")
