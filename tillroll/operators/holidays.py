@@ -16,6 +16,8 @@ Plan shape (no nested loops, no range join, no cross join):
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +54,25 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return _clean_calendar(read_table(spark, path, CALENDAR_TEXT, fmt="csv"))
 
 
+# Calendars built from in-code lists, with their exact row count: a proven
+# size bound that needs no counting job.
+_FIXED_ROWS: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
+
+
 def default_calendar(spark: SparkSession) -> DataFrame:
     """The built-in dated holiday calendar (``schemas.HOLIDAY_CALENDAR``),
     cleaned like a file."""
-    return _clean_calendar(calendar_source_rows(spark))
+    df = _clean_calendar(calendar_source_rows(spark))
+    _FIXED_ROWS[df] = len(HOLIDAY_CALENDAR)
+    return df
 
 
 def basic_calendar(spark: SparkSession, holidays=BASIC_HOLIDAYS) -> DataFrame:
     """Built-in fixed-date calendar as (festival, hol_month, hol_day)."""
-    return spark.createDataFrame([(f, m, d) for m, d, f in holidays],
-                                 "festival string, hol_month int, hol_day int")
+    df = spark.createDataFrame([(f, m, d) for m, d, f in holidays],
+                               "festival string, hol_month int, hol_day int")
+    _FIXED_ROWS[df] = len(holidays)
+    return df
 
 
 def month_day(calendar: DataFrame) -> DataFrame:
@@ -73,6 +84,17 @@ def month_day(calendar: DataFrame) -> DataFrame:
             .where(not_null(["festival", "hol_month", "hol_day"])).distinct())
 
 
+def _calendar_keys(calendar: DataFrame) -> DataFrame:
+    """(festival, month, day) keys of a calendar, broadcast when their count
+    is proven small: from the known length of an in-code calendar, else by
+    counting (at most limit+1 rows)."""
+    keys = month_day(calendar)
+    known = _FIXED_ROWS.get(calendar)
+    if known is not None:
+        return F.broadcast(keys) if known <= CALENDAR_MAX_ROWS else keys
+    return bounded_broadcast(keys, CALENDAR_MAX_ROWS, materialize=False)
+
+
 def _on_month_day(date_col: Column) -> Column:
     return (F.month(date_col) == F.col("hol_month")) & (F.dayofmonth(date_col) == F.col("hol_day"))
 
@@ -83,7 +105,7 @@ def holiday_dates(lines: DataFrame, calendar: DataFrame) -> DataFrame:
     Equivalent to building each calendar day in every year of the data and
     keeping those with sales; invalid days (29 February in other years) never
     occur because only real sale dates are matched."""
-    md = bounded_broadcast(month_day(calendar), CALENDAR_MAX_ROWS, materialize=False)
+    md = _calendar_keys(calendar)
     dates = lines.select("sale_date").where(F.col("sale_date").isNotNull()).distinct()
     return (dates.join(md, _on_month_day(F.col("sale_date")))
             .select("festival", F.col("sale_date").alias("holiday_date"),
@@ -102,7 +124,7 @@ def holiday_sales(lines: DataFrame, calendar: DataFrame, measure: str = "inc_tax
     own rows (year of its date, its ``mtd_sale``) are returned instead.
     """
     m = measure_col(measure)
-    md = bounded_broadcast(month_day(calendar), CALENDAR_MAX_ROWS, materialize=False)
+    md = _calendar_keys(calendar)
     joined = lines.select("sale_date", "center_name", m).join(md, _on_month_day(F.col("sale_date")))
     keys = ["festival", "year", "holiday_date"]
     agg = (joined.withColumns({"year": F.year("sale_date").cast("long"),
