@@ -85,3 +85,14 @@ def test_year_filter_ranges(spark):
     with_text = only_dates.withColumn("year", F.year("sale_date").cast("string"))
     assert apply_filters(with_text, {"year": ["1997", "1998"]}).count() == 2
     assert apply_filters(with_text, {"year": "All"}).count() == 5
+
+
+def test_column_profile_approximate_close_to_exact(spark, lines):
+    cols = ["center_name", "item_name", "year", "business_unit"]
+    exact = {r.column_name: (r.rows, r.distinct_values) for r in S.column_profile(lines, cols).collect()}
+    approx = {r.column_name: (r.rows, r.distinct_values)
+              for r in S.column_profile(lines, cols, exact=False).collect()}
+    assert set(exact) == set(approx) == set(cols)
+    for c in cols:
+        assert approx[c][0] == exact[c][0]
+        assert abs(approx[c][1] - exact[c][1]) <= max(1, 0.1 * exact[c][1])
