@@ -42,3 +42,11 @@ def test_map_outlets_dict_and_dataframe(spark):
     table = spark.createDataFrame([("OTHER", "Mapped")], "outlet string, center string")
     got = sorted((r[0] or "") for r in map_outlets(df, table).collect())
     assert got == ["", "Mapped", "T NAGAR"]
+
+
+def test_missing_outlet_gives_empty_views(spark, lines):
+    from tillroll.operators import sales as S
+    m = S.monthly_outlet(lines)
+    assert outlet_growth(m, "NO_SUCH_OUTLET").count() == 0
+    assert yearly_growth(m, only="NO_SUCH_OUTLET").count() == 0
+    assert S.outlet_year_month(m, "NO_SUCH_OUTLET").count() == 0
