@@ -121,3 +121,14 @@ def test_performance_equals_sum_of_daily(spark, lines):
     bad = perf.join(daily, ["festival", "holiday_date"]) \
         .where(F.abs(F.col("total_window_sales") - F.col("d")) > 1e-6)
     assert bad.count() == 0
+
+
+def test_no_windows_gives_empty_outputs(spark):
+    lines = lines_df(spark, [(D(2024, 5, 5), "a", "X", "n", "c", "b", Decimal(3))])
+    c = cal(spark, [("NY", 1, 1)])
+    wl = H.window_lines(lines, c)
+    assert wl.count() == 0
+    assert H.daily_traffic(wl, H.holiday_dates(lines, c)).count() == 0
+    assert H.festival_performance(wl).count() == 0
+    assert H.center_business_top(wl).count() == 0
+    assert H.service_summary(wl).count() == 0
