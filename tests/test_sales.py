@@ -96,3 +96,10 @@ def test_column_profile_approximate_close_to_exact(spark, lines):
     for c in cols:
         assert approx[c][0] == exact[c][0]
         assert abs(approx[c][1] - exact[c][1]) <= max(1, 0.1 * exact[c][1])
+
+
+def test_kpis_of_empty_selection_are_zero(spark, lines):
+    mart = S.monthly_outlet(lines)
+    r = S.as_double(S.kpis(mart, {"year": "1800"})).first()
+    assert (r.total_sales, r.total_bills, r.total_outlets, r.avg_bill_value, r.total_bills_text) == \
+        (0.0, 0, 0, 0.0, "0")
