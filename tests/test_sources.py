@@ -119,3 +119,10 @@ def test_format_dispatch_round_trip(spark, fmt):
     assert sorted(tuple(r) for r in back.select("k", "v").collect()) == [("A", 1.5), ("B", None)]
     with pytest.raises(FileNotFoundError):
         FS.read_table(spark, fresh(f"none.{fmt}"))
+
+
+def test_csv_without_schema_infers_types(spark):
+    df = spark.createDataFrame([(1, 2.5, "x")], "a int, b double, c string")
+    path = FS.write_table(df, fresh("infer.csv"), "csv")
+    back = FS.read_table(spark, path)
+    assert dict(back.dtypes) == {"a": "int", "b": "double", "c": "string"}
