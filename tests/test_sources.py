@@ -126,3 +126,10 @@ def test_csv_without_schema_infers_types(spark):
     path = FS.write_table(df, fresh("infer.csv"), "csv")
     back = FS.read_table(spark, path)
     assert dict(back.dtypes) == {"a": "int", "b": "double", "c": "string"}
+
+
+def test_upsert_incoming_may_lack_columns(spark):
+    cur = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "y")], "k string, v double, note string")
+    new = spark.createDataFrame([("b", 20.0)], "k string, v double")
+    out = sorted(tuple(r) for r in FS.upsert(cur, new, ["k"]).collect())
+    assert out == [("a", 1.0, "x"), ("b", 20.0, None)]

@@ -162,8 +162,12 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
     meant to be written to a new path (never over its own input).
     """
     values = [c for c in current.columns if c not in keys]
+    types = dict(current.dtypes)
+    # Value columns the incoming rows lack become typed NULLs on those rows.
+    incoming_values = [F.col(c) if c in incoming.columns else F.lit(None).cast(types[c]).alias(c)
+                       for c in values]
     both = (current.select(*keys, F.struct(*values).alias("_v"), F.lit(0).alias("_p"))
-            .unionByName(incoming.select(*keys, F.struct(*values).alias("_v"),
+            .unionByName(incoming.select(*keys, F.struct(*incoming_values).alias("_v"),
                                          F.lit(1).alias("_p"))))
     merged = both.groupBy(*keys).agg(F.max_by("_v", "_p").alias("_v"))
     return merged.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
