@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,3 +46,10 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).reshape(-1)
+
+
+def worker_store() -> dict:
+    """A dict that lives as long as the Python worker, for what its tasks can
+    share (loaded vocabularies, memoised ids). Only a cache: losing it costs time."""
+    name = "tillroll_worker_store"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__

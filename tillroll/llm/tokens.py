@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
+from .common import worker_store
 
 SEQUENCE = 2048
 END_ID = 2
 #: Sequences a record batch of the file holds.
 BATCH = 256
 #: Strings whose ids a task keeps.
-CACHE = 1 << 20
+CACHE = 3 << 19
 TAIL = ".,;:!?"
 
 
@@ -52,11 +54,12 @@ class Kept(dict):
 class Encoder:
     """Ids of whole texts by the tokenizers library, byte-level BPE.
 
-    Such a tokenizer splits text at every single space between two visible
-    characters, and where a letter meets a punctuation mark other than the
-    apostrophe, before it merges bytes; ids of the stretches between such
-    places can be kept and joined. Texts that have other white space next to a
-    space, at an end, or a special token's text are encoded whole."""
+    Such a tokenizer splits text before it merges bytes: at every single space
+    and around every single line feed between two visible characters, and
+    where a letter or digit meets a mark other than the apostrophe. Ids of the
+    stretches between such places can be kept and joined. Texts with other
+    white space next to a space or at an end, or with a special token's text,
+    are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,33 +72,45 @@ class Encoder:
         hidden = [b for b in range(256) if b not in visible]
         self.stand_in = {b: 256 + i for i, b in enumerate(hidden)}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.kept = Kept(self._stretch)
-        size = self.whole.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        wide = self.whole.get_vocab_size() > 1 << 16
+        self.dtype, self.code = (np.dtype("<u4"), "I") if wide else (np.dtype("<u2"), "H")
+        #: Ids of a stretch after a space, and of one after another stretch.
+        self.spaced, self.bare = Kept(lambda s: self._stretch(s, " ")), Kept(lambda s: self._stretch(s, ""))
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _stretch(self, part: str) -> bytes | None:
-        """Ids of a space and ``part``; None where it doesn't stand alone."""
+    def _stretch(self, part: str, lead: str) -> bytes | None:
+        """Ids of ``lead`` and ``part``; None where it doesn't stand alone."""
         if not part or part != part.strip():
             return None
+        if part.isalpha() and max(part) < "\u0250":
+            piece = lead + part
+            piece = ("\u0120" + part if lead else part) if part.isascii() else \
+                piece.encode().decode("latin-1").translate(self.stand_in)
+            return array(self.code, [t.id for t in self.bpe(piece)]).tobytes()
+        before, feed, after = part.partition("\n")
+        if feed and before[-1:].strip() and after[:1].strip():
+            first, then = (self.spaced if lead else self.bare)[before], self.bare[after]
+            return None if first is None or then is None else first + self.feed + then
         core = part.rstrip(TAIL)
         if core and core != part and core[-1].isalnum():
-            return self.kept[core] + self._ids(part[len(core):])
-        if part.isalpha() and max(part) < "ɐ":
-            piece = (" " + part).encode().decode("latin-1").translate(self.stand_in)
-            return np.array([t.id for t in self.bpe(piece)], self.dtype).tobytes()
-        return self._ids(" " + part)
+            first = (self.spaced if lead else self.bare)[core]
+            return None if first is None else first + self.bare[part[len(core):]]
+        return self._ids(lead + part)
+
+    @property
+    def feed(self) -> bytes:
+        return self.bare.get("\n") or self.bare.setdefault("\n", self._ids("\n"))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        first, _, rest = text.partition(" ")
-        if first and first == first.strip() and rest and not any(s in text for s in self.special):
-            found = list(map(self.kept.__getitem__, rest.split(" ")))
+        if not any(s in text for s in self.special):
+            first, *rest = text.split(" ")
+            found = [self.bare[first], *map(self.spaced.__getitem__, rest)]
             if None not in found:
-                return np.frombuffer(self._ids(first) + b"".join(found), self.dtype)
+                return np.frombuffer(b"".join(found), self.dtype)
         return np.frombuffer(self._ids(text), self.dtype)
 
 
@@ -125,7 +140,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None,
 
     def write(batches):
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
-        encoder = Encoder(tokenizer)
+        store = worker_store()
+        encoder = store.get(tokenizer) or store.setdefault(tokenizer, Encoder(tokenizer))
         kind = pa.uint16() if encoder.dtype.itemsize == 2 else pa.uint32()
         schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         fs, base = _open(folder)
