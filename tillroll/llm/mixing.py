@@ -71,7 +71,7 @@ def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
         *carry, F.col(source_col).cast("string").alias("__source"),
         n_words(F.col(text_col).cast("string")).alias("__size"), source.alias("__key"),
         _unit(F.concat_ws(":", F.lit(str(seed)), F.lit("row"), key)).alias("__u")).withColumn(
-        "__class", F.floor(F.log2(F.greatest(F.col("__size"), F.lit(1))) * CLASSES_PER_DOUBLING).cast("int")
+        "__class", F.floor(F.log2(F.greatest(F.col("__size"), F.lit(1))) * CLASSES_PER_DOUBLING + 1e-9).cast("int")
     ).withColumn("__slot", F.floor(F.col("__u") * SLOTS).cast("int"))
     cell = ["__key", "__class", "__slot"]
     cells = cut_lineage(sized.groupBy(*cell).agg(  # rows: sources x classes x slots at most

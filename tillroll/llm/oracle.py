@@ -1,3 +1,102 @@
-"""DuckDB SQL for the training-data queries that SQL can express."""
+"""DuckDB SQL for the training-data queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+Each restates its query's contract plainly, without the operator's method:
+windows as word sequences rather than hashes and sketches, sums by every
+prefix rather than directory splits. The others (token files, SimHash,
+SpotSigs, fitted models, the pipeline) are tested against brute force.
+"""
+
+from __future__ import annotations
+
+from . import decontaminate, lines, mixing, sharding
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+MIX = f"""
+WITH s AS (SELECT doc_id, coalesce(source, 'null') AS source, len({WORDS})::BIGINT AS size,
+             ('0x' || substr(md5('42:row:' || doc_id), 1, 12))::BIGINT::DOUBLE / {1 << 48}.0 AS u FROM documents),
+t AS (SELECT source, sum(size)::DOUBLE AS total, row_number() OVER (ORDER BY source) AS i FROM s GROUP BY source),
+w AS (SELECT *, 2.0 * total AS most, CASE (i - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM t),
+f AS (SELECT *, 1.5 * sum(total) OVER () AS budget, sum(weight) OVER () AS weights,
+        coalesce(sum(most) OVER before, 0.0) AS spent, coalesce(sum(weight) OVER before, 0.0) AS served FROM w
+      WINDOW before AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT min((budget - spent) / (weights - served)) AS level FROM (
+        SELECT * FROM f WHERE (budget - spent) / (weights - served) <= most / weight ORDER BY most / weight LIMIT 1)),
+g AS (SELECT source, total::BIGINT AS source_size, coalesce(least(most, level * weight), most) AS target FROM f, l),
+r AS (SELECT s.*, g.source_size, g.target, target / source_size AS rate,
+        ('0x' || substr(md5('42:source:s' || source), 1, 12))::BIGINT::DOUBLE / {1 << 48}.0 AS start,
+        row_number() OVER (PARTITION BY source ORDER BY
+          floor(log2(greatest(size, 1)) * {mixing.CLASSES_PER_DOUBLING} + 1e-9), floor(u * {mixing.SLOTS}),
+          size, u, doc_id::VARCHAR) AS k
+      FROM s JOIN g USING (source)),
+c AS (SELECT *, (floor(start + k * rate) - floor(start + (k - 1) * rate))::BIGINT AS copies FROM r)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM c
+"""
+
+LINES = f"""
+WITH d AS (SELECT doc_id, text IS NULL AS blank, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, i, array_to_string(list_transform(lines[i:i + {lines.WINDOW - 1}], lambda x: trim(x, ' ')), chr(10)) AS s
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - {lines.WINDOW} + 2)) AS i FROM d)),
+first AS (SELECT s, min((doc_id, i)) AS f FROM w GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM w JOIN first USING (s), range({lines.WINDOW}) r(j) WHERE (doc_id, i) > f),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept, count(*) AS n FROM l ANTI JOIN gone USING (doc_id, p)
+      GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN blank THEN 0 ELSE len(lines) END::BIGINT AS n_lines,
+  (len(lines) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+SHARDS = f"""
+WITH r AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+d AS (SELECT r.*, depth, h >> ({sharding.HASH_BITS} - depth) AS prefix
+      FROM r, (SELECT unnest(range(0, {sharding.HASH_BITS + 1}))::INT AS depth)),
+s AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, prefix) AS b FROM d)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
+  b::BIGINT AS shard_bytes FROM s WHERE b <= {sharding.LIMIT}
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS s
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d)),
+own AS (SELECT s, min(doc_id) AS o FROM w GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM w JOIN own USING (s), range(13) r(j) WHERE doc_id > o),
+l AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM l ANTI JOIN gone USING (doc_id, p)
+      GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+def _tokens(table: str, key: str) -> str:
+    return f"""(SELECT {key}, string_split(trim(regexp_replace(lower(coalesce(text, '')),
+      '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS t FROM {table})"""
+
+
+def _seeds(tokens: str, key: str) -> str:
+    block = [f"array_to_string(t[i + {a}:i + {a + k - 1}], ' ')" for a, k in decontaminate.BLOCKS]
+    keys = ", ".join(f"'{m} ' || {block[a]} || '|' || {block[b]}" for m, (a, b) in enumerate(decontaminate.MASKS))
+    return f"""(SELECT {key}, i, unnest([{keys}]) AS seed FROM (
+      SELECT {key}, t, unnest(range(1, len(t) - {decontaminate.WINDOW - 2})) AS i FROM {tokens}))"""
+
+
+LEAKS = f"""
+WITH d AS {_tokens('documents', 'doc_id')}, m AS {_tokens('benchmark', 'item_id')},
+b AS MATERIALIZED {_seeds('m', 'item_id')}, a AS {_seeds('d', 'doc_id')},
+c AS MATERIALIZED (SELECT DISTINCT doc_id, a.i, item_id, b.i AS j FROM a JOIN b USING (seed)),
+h AS (SELECT DISTINCT c.doc_id, c.item_id, i FROM c JOIN d ON d.doc_id = c.doc_id JOIN m ON m.item_id = c.item_id
+      WHERE len(list_filter(range({decontaminate.WINDOW}), lambda p: d.t[i + p] = m.t[j + p]))
+            >= {decontaminate.WINDOW - decontaminate.SUBSTITUTIONS})
+SELECT doc_id, item_id, (min(i) - 1)::BIGINT AS first_token, (max(i) + {decontaminate.WINDOW - 2})::BIGINT AS last_token,
+  count(*)::BIGINT AS n_windows FROM h GROUP BY doc_id, item_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_mix_sources": MIX, "op3_line_dedup": LINES, "op5_shards": SHARDS,
+    "op6_substring_dedup": SUBSTRINGS, "op8_decontaminate": LEAKS,
+}

@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A text is a set of hashed features: its words, marks of their shape, and
-banded shares (distinct words, symbols, capitals). Grades 0 < 1 < 2 share one
+A text is a set of hashed features: its words, their first 4 and 6 bytes
+(compounds share a stem), marks of shape, and banded shares (distinct words,
+symbols, bars, capitals, length of words, short words). Grades 0 < 1 < 2 share one
 weight a feature, and ordered thresholds cut the score:
 P(grade <= k) = sigmoid(threshold[k] - score). The fit takes a bounded sample
 of labelled rows by hash of their id; its features are checkpointed and every
@@ -21,15 +22,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import cut_lineage
+from .common import worker_store
 
 HASH_BITS = 17
 #: Most labelled rows the fit reads.
 SAMPLE = 20_000
 STEPS = 40
-RIDGE = 0.3
+RIDGE = 1.0
 STRIP = b".,;:!?\"'()[]{}"
 #: Strings whose slots a task keeps.
-CACHE = 1 << 20
+CACHE = 1 << 19
+#: Leading bytes of a word that count as its stems.
+STEMS = (4, 6)
+#: Slots a mark takes; more make the ridge bear less on it.
+MARK_COPIES = 4
 
 
 @dataclass
@@ -40,21 +46,18 @@ class Model:
 
 
 class Slots(dict):
-    """Word to hash slot, kept."""
+    """Word to the hash slots of the word and its stems, kept."""
 
     def __init__(self, bits: int):
         super().__init__()
         self.mask = (1 << bits) - 1
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()
-        slot = self[word] = xxhash.xxh32_intdigest(word) & self.mask
-        return slot
-
-
-def _band(share: float) -> bytes:
-    return str(int(10 * share)).encode()
+        names = {word, *(b"\r" + word[:n] for n in STEMS if len(word) > n)}
+        slots = self[word] = tuple(xxhash.xxh32_intdigest(x) & self.mask for x in names)
+        return slots
 
 
 def features(text: str | None, slots: Slots) -> np.ndarray:
@@ -66,12 +69,13 @@ def features(text: str | None, slots: Slots) -> np.ndarray:
     low.discard(b"")
     n = max(1, len(words))
     odd = sum(1 for w in distinct if w[-1:] in b"*#%&$|@~^+=<>_\\/")
-    marks = (b"\ndistinct " + _band(len(distinct) / n), b"\nodd " + _band(odd / max(1, len(distinct))),
-             b"\nbars " + _band(words.count(b"|") / n),
-             b"\ncapitals " + _band(sum(1 for w in distinct if w.isupper()) / max(1, len(distinct))),
-             b"\nlength " + str(len(words).bit_length()).encode())
-    found = {slots[w] for w in low}
-    found.update(slots[m] for m in marks)
+    bands = (len(distinct) / n, odd / max(1, len(distinct)), words.count(b"|") / n,
+             sum(1 for w in distinct if w.isupper()) / max(1, len(distinct)),
+             sum(map(len, distinct)) / max(1, len(distinct)) / 20, sum(1 for w in words if len(w) < 4) / n)
+    marks = [b"\n%d%d%d" % (copy, i, min(9, int(10 * share))) for i, share in enumerate(bands)
+             for copy in range(MARK_COPIES)]
+    found: set[int] = set()
+    found.update(*map(slots.__getitem__, low), *map(slots.__getitem__, marks))
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
@@ -199,7 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     slim = docs.select(*[docs[c] for c in keep])
 
     def rate(batches):
-        slots = Slots(bits)
+        slots = worker_store().setdefault(f"quality slots {bits}", Slots(bits))
         weights, thresholds = shared.value
         for b in batches:
             s = np.array([float(weights[features(None if t is None else str(t), slots)].sum())

@@ -17,7 +17,8 @@ from ..session import cut_lineage
 
 HASH_BITS = 60
 CELL_BITS = 16
-LIMIT = 4 << 20
+#: Bytes of a shard; small, so that the test tables split too.
+LIMIT = 1 << 20
 
 
 def _prefix(bits: int):
