@@ -58,10 +58,26 @@ def test_normalize_sales_renames_cleans_and_drops(spark):
     assert set(RAW_SALES_TEXT.fieldNames()) >= {"Sale Date", "Invoice No"}
 
 
+def test_database_columns_and_dropped_rows(spark):
+    raw = spark.createDataFrame([("2024-01-05T00:00:00+00:00", "A1", "1234567890123.5", "105"), ("junk", "A2", "1", "1")],
+                                "sale_date string, invoice_no string, sales_collected_exc_tax string, "
+                                "sales_collected_inc_tax string")
+    r = C.normalize_sales(raw).collect()
+    assert [(x.sales_exc_tax, x.sales_inc_tax) for x in r] == [(Decimal("1234567890123.500000"), Decimal(105))]
+    assert [tuple(x) for x in C.invalid_dates(raw).collect()] == [("junk", "A2", "1", "1")]
+    with pytest.raises(ValueError):
+        C.normalize_sales(raw.select("sale_date", "invoice_no"))
+
+
 @pytest.mark.parametrize("text,expected", [
     ("2024-01-05T10:30:00", dt.date(2024, 1, 5)), ("2024-01-05 10:30:00", dt.date(2024, 1, 5)),
     ("01/05/2024", dt.date(2024, 1, 5)), ("5-1-2024", dt.date(2024, 1, 5)),
     ("2024-1-5", dt.date(2024, 1, 5)), ("2024/01/05", dt.date(2024, 1, 5)),
+    ("2024-01-05T00:00:00+00:00", dt.date(2024, 1, 5)), ("2024-01-05T10:00:00Z", dt.date(2024, 1, 5)),
+    ("2024-01-05 10:00:00.123", dt.date(2024, 1, 5)), ("2024-01-05 10:00", dt.date(2024, 1, 5)),
+    ("05-01-2024 10:00:00", dt.date(2024, 1, 5)), ("05-Jan-2024", dt.date(2024, 1, 5)),
+    ("Jan 5, 2024", dt.date(2024, 1, 5)), ("20240105", dt.date(2024, 1, 5)),
+    ("January 5, 2024 9:05 pm", dt.date(2024, 1, 5)), ("5 January 2024", dt.date(2024, 1, 5)),
     ("31/12/2024", None), ("2024-13-01", None),
 ])
 def test_date_layouts(spark, text, expected):

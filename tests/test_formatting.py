@@ -83,3 +83,15 @@ def test_format_money_columns_skips_absent(spark):
     df = spark.createDataFrame([(1234.0, 5.0)], "a double, b double")
     out = M.format_money_columns(df, ["a", "missing"]).first()
     assert out["a"] == "₹1,234" and out["b"] == 5.0
+
+
+def test_nan_and_very_large_values(spark):
+    from tillroll.functions import money as M
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, nan), (2, inf), (3, 1e40), (4, -1234.9)], "i int, v double")
+    out = df.select("i", M.western_int("v").alias("w"), M.int_text("v").alias("t"), M.money("v").alias("m")).orderBy("i").collect()
+    assert [(r.w, r.t) for r in out] == [(None, None), (None, None), (None, None), ("-1,234", "-1234")]
+    assert out[0].m == "₹0" and out[2].m.replace(",", "") == "₹1" + "0" * 40
+    big = spark.createDataFrame([(12345678.9, 100.0), (12000000.0, 1.0)], "c double, p double")
+    got = [r[0] for r in big.select(M.growth_round2_text("c", "p")).collect()]
+    assert got == ["12345578.9%", "1199999900.0%"]

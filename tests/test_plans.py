@@ -1,3 +1,4 @@
+import re
 """Plan checks: what runs must be the plan we designed."""
 
 import pytest
@@ -91,3 +92,16 @@ def test_year_filter_prunes_the_scan(spark):
     for name in ("q_kpis_filtered", "q_holiday_sales_selected", "q_mix_filtered"):
         text = plan_text(E.queries()[name](spark, SF))
         assert "GreaterThanOrEqual(o_orderdate," in text and "LessThan(o_orderdate," in text, name
+
+
+@pytest.mark.parametrize("name", ["q_festival_performance", "q_festival_traffic", "q_holiday_sales"])
+def test_holiday_days_filter_the_orders_below_the_line_join(spark, name):
+    """Nothing is read while the frame is built, and only orders of window
+    days reach the join with the lines."""
+    df = E.queries()[name](spark, SF)
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    for scan in re.split(r"Relation \[", tree)[1:]:
+        assert not scan.startswith("checkpoint")
+    assert "LogicalRDD" not in tree.replace("LogicalRDD [festival", "").replace("LogicalRDD [Months", "")
+    orders = [x for x in tree.splitlines() if "o_orderdate" in x and "Filter" in x]
+    assert orders and all("month(" in x and " IN" in x.upper() for x in orders)

@@ -1,9 +1,10 @@
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import sales as S
-from tillroll.operators.common import densify, ordinal, sum_by
+from tillroll.operators.common import dense_sum, ordinal, sum_by
 from tillroll.operators.services import service_mart
 
 
@@ -17,7 +18,7 @@ def test_null_keys_dropped_and_all_null_sums_to_zero(spark):
 def test_dense_groups(spark):
     agg = spark.createDataFrame([("a", "2023", 1.0), ("a", "2024", 2.0), ("b", "2024", 3.0)],
                                 "c string, y string, s double")
-    out = densify(agg, agg, "c", "y", ["2023", "2024"], {"s": 0.0}).orderBy("c", "y").collect()
+    out = dense_sum(agg, "c", "y", "s", "s").orderBy("c", "y").collect()
     assert [tuple(r) for r in out] == [("a", "2023", 1.0), ("a", "2024", 2.0),
                                        ("b", "2023", 0.0), ("b", "2024", 3.0)]
 
@@ -58,19 +59,9 @@ def test_apply_filters_all_and_lists(spark):
     from tillroll.operators.common import apply_filters
     df = spark.createDataFrame([("1996", "X"), ("1997", "Y"), ("1998", "X")], "year string, c string")
     assert apply_filters(df, {"year": "All", "c": None}).count() == 3
-    assert apply_filters(df, {"year": ["1996", "1998"], "c": "X", "absent": "v"}).count() == 2
-
-
-def test_bounded_broadcast_checks_size(spark):
-    from tillroll.operators.common import bounded_broadcast
-    small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-
-    def plan(side):
-        j = spark.range(100000).withColumnRenamed("id", "k").join(side, "k")
-        return j._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(bounded_broadcast(small, max_rows=100)).lower()
-    assert "broadcast" not in plan(bounded_broadcast(big, max_rows=100)).lower()
+    assert apply_filters(df, {"year": ["1996", "1998"], "c": "X"}).count() == 2
+    with pytest.raises(ValueError):
+        apply_filters(df, {"absent": "v"})
 
 
 def test_year_filter_ranges(spark):
@@ -103,3 +94,24 @@ def test_kpis_of_empty_selection_are_zero(spark, lines):
     r = S.as_double(S.kpis(mart, {"year": "1800"})).first()
     assert (r.total_sales, r.total_bills, r.total_outlets, r.avg_bill_value, r.total_bills_text) == \
         (0.0, 0, 0, 0.0, "0")
+
+
+def test_dense_second_dimension_without_limit(spark):
+    df = spark.range(3000).selectExpr("'a' AS c", "cast(id AS string) AS y", "1.0D AS s")
+    assert dense_sum(df, "c", "y", "s", "s", F.col("y") < "1").where("s > 0").count() == 1
+
+
+def test_large_mapping_is_joined(spark):
+    from tillroll.operators.services import map_outlets
+    df = spark.createDataFrame([("o5",), ("o20000",), ("x",)], "center_name string")
+    out = map_outlets(df, {f"o{i}": f"c{i}" for i in range(20_001)})
+    assert sorted(r[0] for r in out.collect()) == ["c20000", "c5", "x"]
+
+
+def test_true_distinct_bills(spark):
+    import datetime as dt
+    rows = [(dt.date(2024, 1, d), "i1", "C", b, Decimal(5)) for d, b in ((1, "X"), (1, "Y"))]
+    lines = spark.createDataFrame(rows, "sale_date date, invoice_no string, center_name string, "
+                                        "business_unit string, sales_inc_tax decimal(18,6)")
+    r = S.kpis(S.monthly_outlet(lines), lines=lines).first()
+    assert (r["total_bills"], r["distinct_bills"]) == (2, 1)

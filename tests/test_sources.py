@@ -29,7 +29,7 @@ def test_missing_and_unsupported(spark):
         FS.read_table(spark, fresh("nothing.parquet"))
     with pytest.raises(ValueError):
         FS.read_table(spark, fresh("x.docx"))
-    assert FS.format_of("a/b/C.XLSX") == "workbook"
+    assert FS.format_of("a/b/C.PARQUET") == "parquet"
 
 
 def test_exists_list_and_marts(spark):
@@ -69,15 +69,6 @@ def test_jdbc_year_predicates():
                      "\"sale_date\" >= DATE '2021-01-01' AND \"sale_date\" < DATE '2022-01-01'"]
 
 
-def test_workbook_needs_openpyxl(spark):
-    try:
-        import openpyxl  # noqa: F401
-        pytest.skip("openpyxl present")
-    except ImportError:
-        with pytest.raises(ImportError):
-            FS.read_workbooks(spark, fresh("books"), RAW_SALES_TEXT)
-
-
 def test_load_all(spark):
     df = spark.createDataFrame([("2024-01-05", "A1", "T NAGAR", "₹10")],
                                "`Sale Date` string, `Invoice No` string, `Center Name` string, "
@@ -132,4 +123,20 @@ def test_upsert_incoming_may_lack_columns(spark):
     cur = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "y")], "k string, v double, note string")
     new = spark.createDataFrame([("b", 20.0)], "k string, v double")
     out = sorted(tuple(r) for r in FS.upsert(cur, new, ["k"]).collect())
-    assert out == [("a", 1.0, "x"), ("b", 20.0, None)]
+    assert out == [("a", 1.0, "x"), ("b", 20.0, "y")]
+
+
+def test_upsert_new_columns_and_repeated_keys(spark):
+    cur = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "y")], "k string, v double, note string")
+    new = spark.createDataFrame([("b", None, 7), ("c", 3.0, 8), ("c", 2.0, 9)], "k string, v double, n int")
+    out = FS.upsert(cur, new, ["k"])
+    assert out.columns == ["k", "v", "note", "n"]
+    assert sorted(tuple(r) for r in out.collect()) == [
+        ("a", 1.0, "x", None), ("b", None, "y", 7), ("c", 3.0, None, 8)]
+
+
+def test_csv_keeps_quotes_commas_and_line_breaks(spark):
+    rows = [('12" brush, big', "1"), ('say ""x""', "2"), ("two\nlines", "3"), ("back\\slash", "4")]
+    path = FS.write_table(spark.createDataFrame(rows, "name string, v string"), fresh("q.csv"), "csv")
+    back = FS.read_table(spark, path, multiline=True, text=True)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)

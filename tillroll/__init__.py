@@ -15,7 +15,7 @@ from .functions.clean import (brand, clean_currency, month_name, month_number, n
                               parse_date, with_calendar_parts, year_from_text)
 from .functions.money import (format_column, format_money_columns, growth_text, money,
                               money_plain, percentage, western_int)
-from .operators.common import apply_filters, dense_sum, densify, select_present, sum_by
+from .operators.common import apply_filters, dense_sum, select_present, sum_by
 from .operators.growth import (center_growth, center_projection, outlet_growth,
                                outlet_pivot_table, yearly_growth)
 from .operators.holidays import (basic_calendar, breakdown, calendar_summary,
@@ -29,7 +29,7 @@ from .operators.sales import (as_double, axis_order, business_unit_rollup, colum
                               rows_per_year, top_pairs)
 from .operators.services import classify, hierarchy, hierarchy_rollup, map_outlets, service_mart
 from .sources.files import (ensure_mart, list_files, load_all, load_mart, path_exists,
-                            preprocess_monthly_sheet, read_table, read_workbooks, upsert,
+                            preprocess_monthly_sheet, read_table, upsert,
                             write_mart, write_table)
 from .plans.tabs import SalesTabs
 from .sources.jdbc import read_by_year

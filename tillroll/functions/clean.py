@@ -8,11 +8,14 @@ from pyspark.sql import types as T
 
 from ..schemas import CURRENCY_CHARS, MONEY, MONTHS
 
-# Accepted date text, tried in order: ISO dates / date-times first, then
-# day-first with dashes, month-first with slashes (the usual reading of
-# '01/05/2024'), and one-digit day or month forms.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-                "yyyy/MM/dd", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy-M-d", "d-M-yyyy", "M/d/yyyy")
+# Accepted date layouts, tried in order: ISO first, then day-first with dashes,
+# month-first with slashes (the usual reading of '01/05/2024'), then named
+# months and plain digits. One- and two-digit days and months both match.
+DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "M/d/yyyy", "d-MMM-yyyy", "d MMM yyyy",
+                "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd")
+# A time of day after the date (hours and minutes, optional seconds, fraction,
+# AM/PM and zone) does not change the date and is cut off before parsing.
+_TIME_OF_DAY = r"(?i)^(.*\d)[T ]+\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?( ?[AP]M)?( ?(Z|UTC|GMT|[+-]\d{2}:?\d{2}))?$"
 
 
 def _col(c: Column | str) -> Column:
@@ -33,8 +36,7 @@ def clean_currency_columns(df: DataFrame, columns, to: T.DataType = MONEY) -> Da
 
 def parse_date(c: Column | str, formats=DATE_FORMATS) -> Column:
     """Text or timestamp to DATE; unparseable or impossible dates give NULL."""
-    x = _col(c)
-    as_text = x.cast("string")
+    as_text = F.regexp_replace(F.trim(_col(c).cast("string")), _TIME_OF_DAY, "$1")
     return F.coalesce(*[F.try_to_timestamp(as_text, F.lit(f)).cast("date") for f in formats])
 
 
@@ -95,16 +97,33 @@ def with_calendar_parts(df: DataFrame, date_col: str = "sale_date") -> DataFrame
     })
 
 
+def _renamed(raw: DataFrame) -> DataFrame:
+    from ..schemas import DB_MEASURE_NAMES, SOURCE_HEADERS
+    names = {src: dst for src, dst in {**SOURCE_HEADERS, **DB_MEASURE_NAMES}.items()
+             if src in raw.columns and (src == dst or dst not in raw.columns)}
+    return raw.withColumnsRenamed(names)
+
+
+def invalid_dates(raw: DataFrame) -> DataFrame:
+    """The raw rows that :func:`normalize_sales` drops: their sale date is
+    missing or cannot be read."""
+    renamed = _renamed(raw)
+    return renamed.where(parse_date_of(renamed, "sale_date").isNull()).toDF(*raw.columns)
+
+
 def normalize_sales(raw: DataFrame) -> DataFrame:
-    """Raw sale lines (source headers, text values) -> canonical sale lines.
+    """Raw sale lines (source headers or database columns, text values) ->
+    canonical sale lines.
 
     Renames the known headers, cleans the money columns, parses the sale
-    date and drops rows whose date is invalid. Missing optional columns are
-    added as typed NULLs so downstream code sees one fixed schema.
+    date and drops rows whose date is invalid (:func:`invalid_dates` returns
+    those). Missing optional columns are added as typed NULLs so downstream
+    code sees one fixed schema; rows without any sales measure are an error.
     """
-    from ..schemas import SALES_LINES, SOURCE_HEADERS
-    renamed = raw.withColumnsRenamed(
-        {src: dst for src, dst in SOURCE_HEADERS.items() if src in raw.columns})
+    from ..schemas import MEASURES, SALES_LINES
+    renamed = _renamed(raw)
+    if not set(MEASURES.values()) & set(renamed.columns):
+        raise ValueError(f"no sales measure among the columns {raw.columns}")
     out = renamed.withColumn("sale_date", parse_date_of(renamed, "sale_date"))
     out = clean_currency_columns(out, [f.name for f in SALES_LINES.fields
                                        if f.dataType == MONEY])

@@ -30,7 +30,9 @@ def fixed2(x: Column) -> Column:
 
 def indian_digits(c: Column | str) -> Column:
     """Integer text with Indian digit grouping: 1234567 -> '12,34,567'."""
-    whole = F.bround(_col(c).cast("double"), 0).cast("decimal(38,0)").cast("string")
+    x = _col(c).cast("double")
+    whole = F.coalesce(F.bround(x, 0).try_cast("decimal(38,0)").cast("string"),
+                       F.call_function("format_number", x, F.lit("0")))
     return F.regexp_replace(whole, _INDIAN_GROUPS, ",")
 
 
@@ -69,14 +71,22 @@ def percentage(c: Column | str, include_sign: bool = True) -> Column:
     return F.when(_missing(x), F.lit("0%")).otherwise(body)
 
 
+def _whole(c: Column | str) -> Column:
+    # Truncated toward zero; NULL for NaN, infinities and 10^18 or more.
+    x = _col(c).cast("double")
+    return F.when(F.abs(x) < 1e18, x).cast("bigint").cast("decimal(38,0)")
+
+
 def western_int(c: Column | str) -> Column:
-    """Truncate to an integer and group thousands: 1234.9 -> '1,234'."""
-    return F.format_number(_col(c).cast("double").cast("bigint"), 0)
+    """Truncate to an integer and group thousands: 1234.9 -> '1,234'; NULL for
+    NaN and infinities."""
+    return F.format_number(_whole(c), 0)
 
 
 def int_text(c: Column | str) -> Column:
-    """Truncate to an integer and print it without grouping."""
-    return _col(c).cast("double").cast("bigint").cast("string")
+    """Truncate to an integer and print it without grouping; NULL for NaN and
+    infinities."""
+    return _whole(c).cast("string")
 
 
 def growth_pct(cur: Column | str, prev: Column | str) -> Column:
@@ -106,9 +116,13 @@ def growth_round2_text(cur: Column | str, prev: Column | str) -> Column:
     """Growth rounded half-even to 2 places on the scaled value, then str()+'%'."""
     cur, prev = _col(cur).cast("double"), _col(prev).cast("double")
     rounded = F.rint(growth_pct(cur, prev) * F.lit(100.0)) / F.lit(100.0)
+    # A double prints an exponent from 10^7 on; plain digits do not.
+    plain = F.regexp_replace(rounded.try_cast("decimal(38,2)").cast("string"), "0$", "")
+    text = F.when(F.abs(rounded) >= 1e7, F.coalesce(plain, rounded.cast("string"))).otherwise(
+        rounded.cast("string"))
     return F.when(cur.isNull() | prev.isNull() | (prev == 0),
                   _non_finite_growth(cur, prev)) \
-        .otherwise(F.concat(rounded.cast("string"), F.lit("%")))
+        .otherwise(F.concat(text, F.lit("%")))
 
 
 _NAMED = {

@@ -16,7 +16,6 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
-from pyspark.sql import types as T
 
 from .functions.clean import normalize_sales, with_calendar_parts
 from .operators.sales import as_double, monthly_outlet
@@ -25,11 +24,6 @@ from .schemas import RAW_SALES_TEXT
 from .session import ensure_checkpoint_dir
 from .sources.files import ensure_mart, preprocess_monthly_sheet, read_table, write_table
 
-MONTHLY_SHEET_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in
-                                   ("Year", "Month", "SALES OUTLET", "BRAND",
-                                    "MTD SALES", "MTD BILLS", "MTD ABV")])
-
-
 def _sales(spark: SparkSession, path: str):
     return with_calendar_parts(normalize_sales(read_table(spark, path, RAW_SALES_TEXT)))
 
@@ -44,7 +38,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> dic
     spark = spark or SparkSession.builder.appName(f"tillroll-{args.job}").getOrCreate()
     ensure_checkpoint_dir(spark)
     if args.job == "monthly-sheet":
-        sheet = read_table(spark, args.input, MONTHLY_SHEET_TEXT)
+        sheet = read_table(spark, args.input, text=True)  # every column of the sheet stays
         write_table(preprocess_monthly_sheet(sheet), args.output, partition_by=["Year"])
         result = {"status": "processed", "file": args.output}
     elif args.job == "service-mart":

@@ -15,11 +15,7 @@ from ..session import cut_lineage
 
 ALL = "All"
 
-# Upper bound on rows of a derived dimension that may be broadcast (narrow
-# rows: ~1M rows is a few tens of MB per executor). Real holiday window
-# tables have thousands of rows.
-BROADCAST_MAX_ROWS = 1_000_000
-# Upper bound on distinct values that may become columns or an explode list.
+# Most distinct values that become pivot columns (the long form has no limit).
 MAX_PIVOT_VALUES = 1_000
 
 
@@ -60,8 +56,8 @@ def _year_ranges(years) -> Column | None:
 def apply_filters(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
     """Equality / IN filters; a value of None or 'All' means no filter.
 
-    Filters on columns that are absent are ignored (optional columns).
-    Expressed as plain predicates so they push down to the scan. A ``year``
+    A filter on a column that is absent is an error, not a no-op (a year
+    filter may also act on ``sale_date``). Expressed as plain predicates so they push down to the scan. A ``year``
     filter on rows that carry ``sale_date`` also gets the equivalent date
     range, which Parquet can use to skip row groups (the year text itself is
     an expression the scan cannot use).
@@ -74,8 +70,10 @@ def apply_filters(df: DataFrame, filters: Mapping[str, object] | None) -> DataFr
             ranges = _year_ranges(values)
             if ranges is not None:
                 df = df.where(ranges)
+                if column not in df.columns:
+                    continue
         if column not in df.columns:
-            continue
+            raise ValueError(f"cannot filter on {column!r}: the columns are {df.columns}")
         if len(values) == 1:
             df = df.where(F.col(column) == F.lit(values[0]))
         else:
@@ -93,19 +91,6 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      materialize: bool = True) -> DataFrame:
-    """Broadcast a join side only when its row count is proven to be at most
-    ``max_rows``; otherwise return it unhinted for a shuffle join.
-
-    With ``materialize`` (for sides derived from the fact data) the side is
-    checkpointed first, so the count and the join read the same stored rows
-    and the derivation runs once. Sides that are cheap to re-read (a small
-    calendar file) skip that."""
-    small = cut_lineage(df) if materialize else df
-    return F.broadcast(small) if row_count_at_most(small, max_rows) else small
-
-
 def distinct_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -> list:
     """Sorted distinct non-NULL values of a low-cardinality column.
 
@@ -118,38 +103,22 @@ def distinct_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -
     return sorted(r[0] for r in values)
 
 
-def densify(agg: DataFrame, domain: DataFrame, dim: str, small_dim: str,
-            small_values: list, fill: Mapping[str, object]) -> DataFrame:
-    """Zero-fill the dimension product dim × small_dim (categorical group-by
-    semantics: every category of the unfiltered ``domain`` appears, even when
-    the filtered aggregate has no row for it). The small dimension is a
-    bounded list of values exploded next to each distinct ``dim`` value (a
-    generate, not a join of two tables); the observed aggregate is then
-    left-joined on both keys."""
-    if len(small_values) > MAX_PIVOT_VALUES:
-        raise ValueError("densify needs a bounded second dimension")
-    values = F.array(*[F.lit(v) for v in small_values])
-    grid = (domain.where(F.col(dim).isNotNull()).select(dim).distinct()
-            .withColumn(small_dim, F.explode(values)))
-    out = grid.join(agg, [dim, small_dim], "left")
-    return out.fillna(dict(fill))
-
-
 def dense_sum(df: DataFrame, dim: str, small_dim: str, measure: str, alias: str,
               where: Column | None = None) -> DataFrame:
     """Sum of ``measure`` over rows matching ``where`` for every (dim,
     small_dim) pair of the unfiltered data's categories, zero when nothing
-    matches (categorical group-by). One aggregation over the fact rows with
-    a conditional sum; the zero-filled grid is built from that small
-    aggregate (materialised once), never by joining two fact-sized inputs."""
+    matches (categorical group-by). The fact rows are aggregated once, with a
+    conditional sum; the grid comes from that aggregate inside the plan: the
+    second dimension's distinct values are one array, exploded beside each
+    value of the first."""
     m = F.col(measure_col(measure))
     cond = m if where is None else F.when(where, m)
-    observed = cut_lineage(df.where(not_null([dim, small_dim])).groupBy(dim, small_dim)
-                           .agg(F.sum(cond).alias(alias)))
-    values = distinct_values(observed, small_dim)
-    dense = densify(observed, observed, dim, small_dim, values, {})
-    return dense.select(dim, small_dim,
-                        F.coalesce(F.col(alias), F.lit(0)).cast("double").alias(alias))
+    observed = (df.where(not_null([dim, small_dim])).groupBy(dim, small_dim)
+                .agg(F.sum(cond).alias(alias)))
+    values = observed.select(F.sort_array(F.collect_set(small_dim))).scalar()
+    grid = observed.select(dim).distinct().withColumn(small_dim, F.explode(values))
+    return (grid.join(observed, [dim, small_dim], "left")
+            .select(dim, small_dim, F.coalesce(F.col(alias), F.lit(0)).cast("double").alias(alias)))
 
 
 def ordinal(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

@@ -2,9 +2,12 @@
 
 Plan shape (no nested loops, no range join, no cross join):
 
-* The calendar is a small dimension keyed by (month, day). It is matched to
-  the *distinct* sale dates, which gives every holiday date (in every year of
-  the data) that has sales on the day itself.
+* The calendar is a small dimension keyed by (month, day). Its days of the
+  year (at most 366, read from the calendar alone) become a plain predicate
+  on the sale date, which Catalyst pushes below the line join to the orders:
+  lines of other days are never joined or shuffled on.
+* The calendar is matched to the *distinct* sale dates left, which gives every
+  holiday date (in every year of the data) that has sales on the day itself.
 * Per-date sales join the fact lines to the calendar on (month, day) of the
   sale date: an equi-join with the calendar broadcast behind a row-count
   check; totals and per-centre rows come from one ``GROUPING SETS``.
@@ -12,23 +15,27 @@ Plan shape (no nested loops, no range join, no cross join):
   table is exploded into one row per window day and broadcast (again behind a
   row-count check), so the fact side is never shuffled for it. A sale that
   falls into several festivals' windows is attributed to each of them.
+* Nothing reads the sales while a frame is built.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.clean import parse_date
 from ..schemas import (BASIC_HOLIDAYS, CALENDAR_TEXT, HOLIDAY_CALENDAR, WINDOW_AFTER,
                        WINDOW_BEFORE, WINDOW_DIVISOR)
-from ..session import cut_lineage
-from .common import apply_filters, bounded_broadcast, measure_col, not_null, sum_by
+from .common import apply_filters, measure_col, not_null, row_count_at_most, sum_by
 
 ALL_CENTERS = "All Centers"
-CALENDAR_MAX_ROWS = 1_000_000
+# Calendars of up to this many keys (about 60 bytes each, and six window days
+# a key and year) are broadcast; larger ones are left to the planner.
+CALENDAR_BROADCAST_ROWS = 10_000
 
 
 # ---- calendars ---------------------------------------------------------------
@@ -89,10 +96,34 @@ def _calendar_keys(calendar: DataFrame) -> DataFrame:
     is proven small: from the known length of an in-code calendar, else by
     counting (at most limit+1 rows)."""
     keys = month_day(calendar)
+    return F.broadcast(keys) if _is_small(calendar) else keys
+
+
+def _is_small(calendar: DataFrame) -> bool:
     known = _FIXED_ROWS.get(calendar)
     if known is not None:
-        return F.broadcast(keys) if known <= CALENDAR_MAX_ROWS else keys
-    return bounded_broadcast(keys, CALENDAR_MAX_ROWS, materialize=False)
+        return known <= CALENDAR_BROADCAST_ROWS
+    return row_count_at_most(month_day(calendar), CALENDAR_BROADCAST_ROWS)
+
+
+def on_days(date_col: str, calendar: DataFrame, festivals=None, before: int = 0,
+            after: int = 0) -> Column:
+    """Predicate on a date: from ``before`` days before to ``after`` days after
+    some holiday of the calendar, whatever the year. Reads only the calendar
+    (at most 366 days of the year)."""
+    md = apply_filters(month_day(calendar), {"festival": festivals})
+    days = set()
+    for m, d in md.select("hol_month", "hol_day").distinct().collect():
+        for year in (2023, 2024):  # without and with a 29 February
+            try:
+                day = dt.date(year, m, d)
+            except ValueError:
+                continue
+            for o in range(-before, after + 1):
+                near = day + dt.timedelta(days=o)
+                # 1 March of another year may stand where 29 February does
+                days.update({near.month * 100 + near.day} | ({301, 228} if (near.month, near.day) == (2, 29) else set()))
+    return (F.month(date_col) * 100 + F.dayofmonth(date_col)).isin(sorted(days)) if days else F.lit(False)
 
 
 def _on_month_day(date_col: Column) -> Column:
@@ -106,7 +137,7 @@ def holiday_dates(lines: DataFrame, calendar: DataFrame) -> DataFrame:
     keeping those with sales; invalid days (29 February in other years) never
     occur because only real sale dates are matched."""
     md = _calendar_keys(calendar)
-    dates = lines.select("sale_date").where(F.col("sale_date").isNotNull()).distinct()
+    dates = lines.select("sale_date").where(on_days("sale_date", calendar)).distinct()
     return (dates.join(md, _on_month_day(F.col("sale_date")))
             .select("festival", F.col("sale_date").alias("holiday_date"),
                     F.year("sale_date").cast("long").alias("year")))
@@ -125,7 +156,10 @@ def holiday_sales(lines: DataFrame, calendar: DataFrame, measure: str = "inc_tax
     """
     m = measure_col(measure)
     md = _calendar_keys(calendar)
-    joined = lines.select("sale_date", "center_name", m).join(md, _on_month_day(F.col("sale_date")))
+    if fallback and "mtd_sale" not in calendar.columns:
+        raise ValueError("the fallback needs a calendar with dates and sales of its own")
+    joined = (lines.where(on_days("sale_date", calendar)).select("sale_date", "center_name", m)
+              .join(md, _on_month_day(F.col("sale_date"))))
     keys = ["festival", "year", "holiday_date"]
     agg = (joined.withColumns({"year": F.year("sale_date").cast("long"),
                                "holiday_date": F.col("sale_date")})
@@ -133,11 +167,8 @@ def holiday_sales(lines: DataFrame, calendar: DataFrame, measure: str = "inc_tax
            .agg(F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("mtd_sale"),
                 F.grouping("center_name").cast("boolean").alias("is_total")))
     out = agg.where(F.col("is_total") | F.col("center_name").isNotNull())
-    if not fallback or "holiday_date" not in calendar.columns:
+    if not fallback:
         return out
-    # The result is small (holiday dates × centres): materialise it once so
-    # the emptiness test does not aggregate the fact lines a second time.
-    out = cut_lineage(out)
     matched = out.select(F.count(F.lit(1))).scalar()
     spare = calendar.where(matched == 0).select(
         "festival", F.year("holiday_date").cast("long").alias("year"), "holiday_date",
@@ -173,10 +204,10 @@ def festival_window_days(lines: DataFrame, calendar: DataFrame, festivals=None,
 
 def window_days_table(dates: DataFrame, calendar: DataFrame, festivals=None, years=None,
                       before: int = WINDOW_BEFORE, after: int = WINDOW_AFTER) -> DataFrame:
-    """The window-day table, materialised once and broadcast when its row
-    count is proven small (else left for a shuffle join)."""
-    return bounded_broadcast(festival_window_days(dates, calendar, festivals, years,
-                                                  before, after))
+    """The window-day table. It has at most a row per calendar key, year of
+    the data and window day, so that of a small calendar is broadcast."""
+    days = festival_window_days(dates, calendar, festivals, years, before, after)
+    return F.broadcast(days) if _is_small(calendar) else days
 
 
 def window_lines(lines: DataFrame, calendar: DataFrame, festivals=None, years=None,
@@ -189,13 +220,13 @@ def window_lines(lines: DataFrame, calendar: DataFrame, festivals=None, years=No
     ``dates`` may name a cheaper source of the same sale dates (for example
     the line table without its dimension joins); it defaults to ``lines``.
     ``days`` passes a window-day table already built by
-    :func:`window_days_table` (then ``calendar`` and the choices are unused)."""
+    :func:`window_days_table` with the same calendar and choices."""
     if days is None:
         days = window_days_table(lines if dates is None else dates, calendar, festivals,
                                  years, before, after)
     src = lines if center in (None, ALL_CENTERS) else \
         lines.where(F.col("center_name") == F.lit(center))
-    return src.join(days, "sale_date")
+    return src.where(on_days("sale_date", calendar, festivals, before, after)).join(days, "sale_date")
 
 
 def festival_daily(wl: DataFrame, measure: str = "inc_tax") -> DataFrame:
@@ -234,14 +265,13 @@ def breakdown(wl: DataFrame, keys: list[str], measure: str = "inc_tax") -> DataF
 def center_business_top(wl: DataFrame, k: int = 10, measure: str = "inc_tax") -> DataFrame:
     """Centre × business unit sums for the k centres with the most window sales.
 
-    One pass over the window lines: the centre × business-unit sums (small)
-    are materialised, the centre ranking is taken from them (a centre's
-    total counts all its lines, also those without a business unit), and
-    the top k (at most k rows, broadcast) select the output rows."""
+    The centre ranking is taken from the centre × business-unit sums (a
+    centre's total counts all its lines, also those without a business unit;
+    the exchange of the sums is reused), and the top k (at most k rows,
+    broadcast) select the output rows."""
     m = measure_col(measure)
-    cb = cut_lineage(wl.where(F.col("center_name").isNotNull())
-                     .groupBy("center_name", "business_unit")
-                     .agg(F.coalesce(F.sum(m), F.lit(0)).alias("sales")))
+    cb = (wl.where(F.col("center_name").isNotNull()).groupBy("center_name", "business_unit")
+          .agg(F.coalesce(F.sum(m), F.lit(0)).alias("sales")))
     top = (cb.groupBy("center_name").agg(F.sum("sales").alias("_c"))
            .orderBy(F.desc("_c"), "center_name").limit(k).select("center_name"))
     return (cb.where(F.col("business_unit").isNotNull())
@@ -276,22 +306,22 @@ def service_summary(wl: DataFrame, k: int = 20, measure: str = "inc_tax") -> Dat
 def daily_traffic(wl: DataFrame, festival_days: DataFrame, measure: str = "inc_tax") -> DataFrame:
     """Distinct invoices and revenue per day over the windows, zero-filled
     for every day from the first to the last window day, with the festival
-    days flagged. The day spine is generated from a one-row min/max
-    aggregate; it has one row per calendar day in the span."""
+    days flagged. Each day is followed by empty days up to the next one; only
+    the daily rows (one a day) are ordered in one task."""
     m = measure_col(measure)
-    # One row per day: materialised so the span and the join reuse it.
-    daily = cut_lineage(wl.groupBy("sale_date")
-                        .agg(F.countDistinct("invoice_no").alias("invoices"),
-                             F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("revenue")))
-    span = daily.agg(F.min("sale_date").alias("lo"), F.max("sale_date").alias("hi"))
-    spine = span.where(F.col("lo").isNotNull()).select(
-        F.explode(F.sequence("lo", "hi")).alias("sale_date"))
+    daily = (wl.groupBy("sale_date")
+             .agg(F.countDistinct("invoice_no").alias("invoices"),
+                  F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("revenue")))
+    upto = F.coalesce(F.date_sub(F.lead("sale_date").over(Window.orderBy("sale_date")), 1), F.col("sale_date"))
+    filled = daily.withColumn("_upto", upto).withColumn("_day", F.explode(F.sequence("sale_date", "_upto")))
+    first = F.col("_day") == F.col("sale_date")
     marks = festival_days.select(F.col("holiday_date").alias("sale_date")).distinct() \
         .withColumn("is_festival", F.lit(True))
-    out = spine.join(daily, "sale_date", "left").join(marks, "sale_date", "left")
-    return out.select("sale_date",
-                      F.coalesce("invoices", F.lit(0)).cast("long").alias("invoices"),
-                      F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
+    out = filled.select(F.col("_day").alias("sale_date"),
+                        F.when(first, F.col("invoices")).otherwise(0).cast("long").alias("invoices"),
+                        F.when(first, F.col("revenue")).otherwise(0.0).alias("revenue")) \
+        .join(marks, "sale_date", "left")
+    return out.select("sale_date", "invoices", "revenue",
                       F.coalesce("is_festival", F.lit(False)).alias("is_festival"))
 
 

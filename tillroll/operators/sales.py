@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.clean import brand_of, month_label, month_number
 from ..functions.money import int_text, money_plain
-from .common import apply_filters, measure_col, not_null, ordinal, sum_by
+from .common import ALL, apply_filters, dense_sum, measure_col, not_null, ordinal, sum_by
 
 MART_KEYS = ["year", "month", "outlet_name", "brand"]
 
@@ -29,12 +29,15 @@ def abv(sales: Column | str, bills: Column | str) -> Column:
     return F.when(b > 0, s.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
-def monthly_outlet(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
+def monthly_outlet(lines: DataFrame, measure: str = "inc_tax",
+                   one_row_per_invoice: bool = False) -> DataFrame:
     """Monthly outlet mart: sales, distinct bills and ABV by year, month,
     outlet and brand. One shuffle: Spark plans the distinct count as a
     partial aggregate on (keys, invoice) then a partial count per key, so a
-    hot key never gathers its raw rows in one task."""
+    hot key never gathers its raw rows in one task. For lines already summed
+    by invoice (``one_row_per_invoice``) the distinct count is a plain count."""
     m = measure_col(measure)
+    bills = F.count("invoice_no") if one_row_per_invoice else F.countDistinct("invoice_no")
     if "sale_date" in lines.columns:
         # Group on compact integer date parts and render the year / month
         # labels on the aggregated rows, not on every line.
@@ -47,7 +50,7 @@ def monthly_outlet(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
     keys = ["_y", "_m", "outlet_name", "brand"]
     mart = (keyed.where(not_null(keys)).groupBy(*keys)
             .agg(F.coalesce(F.sum(m), F.lit(0)).alias("mtd_sales"),
-                 F.countDistinct("invoice_no").alias("mtd_bills")))
+                 bills.alias("mtd_bills")))
     if "sale_date" in lines.columns:
         labels = [F.col("_y").cast("string").alias("year"), month_label(F.col("_m")).alias("month")]
     else:
@@ -56,12 +59,18 @@ def monthly_outlet(lines: DataFrame, measure: str = "inc_tax") -> DataFrame:
                        abv("mtd_sales", "mtd_bills").alias("mtd_abv"))
 
 
-def kpis(mart: DataFrame, filters: Mapping[str, object] | None = None) -> DataFrame:
-    """Headline figures over the (optionally filtered) monthly mart."""
+def kpis(mart: DataFrame, filters: Mapping[str, object] | None = None,
+         lines: DataFrame | None = None) -> DataFrame:
+    """Headline figures over the (optionally filtered) monthly mart. An
+    invoice that spans mart rows counts in each; with the sale ``lines``, to
+    which the caller has applied the same choices, ``distinct_bills`` counts
+    every invoice once."""
     f = apply_filters(mart, filters)
     out = f.agg(F.coalesce(F.sum("mtd_sales"), F.lit(0)).alias("total_sales"),
                 F.coalesce(F.sum("mtd_bills"), F.lit(0)).cast("long").alias("total_bills"),
                 F.countDistinct("outlet_name").alias("total_outlets"))
+    if lines is not None:
+        out = out.withColumn("distinct_bills", lines.select(F.countDistinct("invoice_no")).scalar())
     return out.withColumns({
         "avg_bill_value": abv("total_sales", "total_bills"),
         "total_bills_text": int_text("total_bills"),
@@ -74,9 +83,23 @@ def outlet_sales(mart: DataFrame, filters=None) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("mtd_sales"), "outlet_name")
 
 
-def monthly_trend(mart: DataFrame, filters=None) -> DataFrame:
-    """Month × year sales, in calendar month order."""
-    out = sum_by(apply_filters(mart, filters), ["month", "year"], "mtd_sales", "mtd_sales")
+def _chosen(df: DataFrame, filters) -> Column | None:
+    """The filters as one condition, for conditional sums."""
+    out = None
+    for column, value in (filters or {}).items():
+        if value is None or value == ALL:
+            continue
+        values = list(value) if isinstance(value, (list, tuple, set, frozenset)) else [value]
+        one = df[column].isin(values)
+        out = one if out is None else out & one
+    return out
+
+
+def monthly_trend(mart: DataFrame, filters=None, dense: bool = False) -> DataFrame:
+    """Month × year sales, in calendar month order; ``dense`` adds zeros for
+    the pairs of the unfiltered mart without a row."""
+    out = (dense_sum(mart, "month", "year", "mtd_sales", "mtd_sales", _chosen(mart, filters)) if dense
+           else sum_by(apply_filters(mart, filters), ["month", "year"], "mtd_sales", "mtd_sales"))
     out = out.withColumn("month_num", month_number("month"))
     return out.orderBy("month_num", "year")
 
@@ -115,10 +138,18 @@ def daily_average(daily: DataFrame, outlet: str) -> DataFrame:
                   / F.count("mtd_sales").cast("double")).alias("mtd_sales")))
 
 
-def mix(lines: DataFrame, dimension: str, measure: str = "inc_tax", filters=None) -> DataFrame:
+def mix(lines: DataFrame, dimension: str, measure: str = "inc_tax", filters=None,
+        dense: bool = False) -> DataFrame:
     """Sales by one dimension (item type, category, business unit), largest
-    first, with the display amount without currency sign."""
-    out = sum_by(apply_filters(lines, filters), [dimension], measure, "sales")
+    first, with the display amount without currency sign; ``dense`` keeps
+    values that the filters leave without a row, at zero."""
+    if dense:
+        m, chosen = F.col(measure_col(measure)), _chosen(lines, filters)
+        out = (lines.where(not_null([dimension])).groupBy(dimension)
+               .agg(F.coalesce(F.sum(m if chosen is None else F.when(chosen, m)), F.lit(0))
+                    .cast("double").alias("sales")))
+    else:
+        out = sum_by(apply_filters(lines, filters), [dimension], measure, "sales")
     return (out.withColumn("formatted_sales", money_plain("sales"))
             .orderBy(F.desc_nulls_last("sales"), dimension))
 

@@ -14,7 +14,7 @@ from .common import measure_col, not_null, sum_by
 
 SERVICE_MART_KEYS = ["center_name", "year", "category", "service_type",
                      "item_category", "item_subcategory", "business_unit"]
-MAX_MAPPING_LITERAL = 10_000
+MAPPING_LITERAL = 1_000
 
 
 def classify(lines: DataFrame, keywords=SERVICE_KEYWORDS,
@@ -48,8 +48,8 @@ def service_mart(lines: DataFrame, measure: str = "inc_tax", keywords=SERVICE_KE
 def map_outlets(df: DataFrame, mapping=None, column: str = "center_name") -> DataFrame:
     """Replace outlet names through a mapping; unmapped names stay.
 
-    A dict (bounded size) becomes a literal map expression, so no join is
-    needed; a DataFrame ``(outlet, center)`` is left-joined and the planner
+    A dict of up to ``MAPPING_LITERAL`` pairs becomes a literal map
+    expression, so no join is needed; a larger one becomes a DataFrame. A DataFrame ``(outlet, center)`` is left-joined and the planner
     decides from its size whether to broadcast it.
     """
     mapping = OUTLET_TO_CENTER if mapping is None else mapping
@@ -59,8 +59,9 @@ def map_outlets(df: DataFrame, mapping=None, column: str = "center_name") -> Dat
         return out.withColumn(column, F.coalesce("_tr_center", column)) \
             .drop("_tr_outlet", "_tr_center")
     pairs = list(mapping.items()) if isinstance(mapping, Mapping) else list(mapping)
-    if len(pairs) > MAX_MAPPING_LITERAL:
-        raise ValueError("large mappings must be passed as a DataFrame")
+    if len(pairs) > MAPPING_LITERAL:
+        table = df.sparkSession.createDataFrame(list(dict(pairs).items()), "outlet string, center string")
+        return map_outlets(df, table, column)
     if not pairs:
         return df
     lookup = F.create_map(*[F.lit(x) for kv in pairs for x in kv])

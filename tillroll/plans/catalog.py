@@ -29,11 +29,11 @@ from ..operators.holidays import (
     select_holiday_rows, service_summary, top_item_counts, top_items, window_days_table,
     window_lines)
 from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
-from ..schemas import RAW_SALES_TEXT, SERVICE_MART
+from ..schemas import HOLIDAY_CALENDAR, RAW_SALES_TEXT, SERVICE_MART
 from ..session import scratch_path
 from ..sources.files import (
     ensure_mart, load_mart, preprocess_monthly_sheet, read_table, upsert, write_table)
-from ..sources.testbed import sales_lines
+from ..sources.testbed import invoice_lines, sales_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -44,7 +44,7 @@ def query(fn):
 
 
 def _mart(spark, sf_dir, measure="inc_tax"):
-    return S.monthly_outlet(sales_lines(spark, sf_dir, items=False), measure)
+    return S.monthly_outlet(invoice_lines(spark, sf_dir), measure, one_row_per_invoice=True)
 
 
 @query
@@ -64,7 +64,8 @@ OUTLET = "NATION_7"
 
 @query
 def q_kpis(spark, sf_dir):
-    return S.as_double(S.kpis(_mart(spark, sf_dir)))
+    return S.as_double(S.kpis(_mart(spark, sf_dir), lines=sales_lines(
+        spark, sf_dir, items=False, calendar_parts=False, outlets=False)))
 
 
 KPI_FILTERS = {"year": "1996", "brand": "BUILDING", "month": "All"}
@@ -74,8 +75,8 @@ KPI_FILTERS = {"year": "1996", "brand": "BUILDING", "month": "All"}
 def q_kpis_filtered(spark, sf_dir):
     # The year choice is also applied to the lines, where it becomes a
     # prunable date range on the scan; the mart-level filter stays exact.
-    lines = apply_filters(sales_lines(spark, sf_dir, items=False), {"year": KPI_FILTERS["year"]})
-    return S.as_double(S.kpis(S.monthly_outlet(lines), KPI_FILTERS))
+    lines = apply_filters(invoice_lines(spark, sf_dir), {"year": KPI_FILTERS["year"]})
+    return S.as_double(S.kpis(S.monthly_outlet(lines, one_row_per_invoice=True), KPI_FILTERS))
 
 
 @query
@@ -88,6 +89,14 @@ def q_monthly_trend(spark, sf_dir):
     return S.monthly_trend(_mart(spark, sf_dir))
 
 
+TREND_FILTERS = {"brand": "BUILDING", "outlet_name": OUTLET, "year": ["1994", "1996"]}
+
+
+@query
+def q_monthly_trend_dense(spark, sf_dir):
+    return S.monthly_trend(_mart(spark, sf_dir), TREND_FILTERS, dense=True)
+
+
 @query
 def q_outlet_year_month(spark, sf_dir):
     return S.outlet_year_month(_mart(spark, sf_dir), OUTLET)
@@ -103,12 +112,12 @@ def q_daily_avg(spark, sf_dir):
 
 @query
 def q_item_type(spark, sf_dir):
-    return S.mix(sales_lines(spark, sf_dir), "item_type")
+    return S.mix(sales_lines(spark, sf_dir, outlets=False), "item_type")
 
 
 @query
 def q_item_category(spark, sf_dir):
-    return S.mix(sales_lines(spark, sf_dir), "item_category")
+    return S.mix(sales_lines(spark, sf_dir, outlets=False), "item_category")
 
 
 @query
@@ -126,6 +135,12 @@ def q_mix_filtered(spark, sf_dir):
     return S.mix(sales_lines(spark, sf_dir), "item_category", filters=MIX_FILTERS)
 
 
+@query
+def q_mix_dense(spark, sf_dir):
+    return S.mix(sales_lines(spark, sf_dir), "item_category", filters={
+        "center_name": OUTLET, "item_type": "PROMO", "business_unit": "AUTOMOBILE"}, dense=True)
+
+
 @query
 def q_business_unit_rollup(spark, sf_dir):
     return S.business_unit_rollup(sales_lines(spark, sf_dir, items=False))
@@ -172,7 +187,7 @@ def q_filter_values(spark, sf_dir):
 
 @query
 def q_axis_order(spark, sf_dir):
-    return S.axis_order(sales_lines(spark, sf_dir), "item_category", "inc_tax")
+    return S.axis_order(sales_lines(spark, sf_dir, outlets=False), "item_category", "inc_tax")
 
 
 PROFILE_COLUMNS = ["center_name", "item_name", "item_type", "item_category",
@@ -262,6 +277,12 @@ def q_clean_dates(spark, sf_dir):
     inv = F.col("invoice_no")
     text = (F.when(inv % 11 == 0, F.lit("2023-02-29"))
             .when(inv % 4 == 0, F.date_format("sale_date", "dd-MM-yyyy"))
+            .when(inv % 9 == 0, F.date_format("sale_date", "yyyy-MM-dd'T'10:00:00+00:00"))
+            .when(inv % 7 == 0, F.date_format("sale_date", "yyyy-MM-dd 10:00:00.123"))
+            .when(inv % 5 == 0, F.date_format("sale_date", "dd-MM-yyyy 10:00"))
+            .when(inv % 3 == 0, F.date_format("sale_date", "dd-MMM-yyyy"))
+            .when(inv % 13 == 0, F.date_format("sale_date", "MMM d, yyyy"))
+            .when(inv % 17 == 0, F.date_format("sale_date", "yyyyMMdd"))
             .otherwise(F.col("sale_date").cast("string")))
     parsed = lines.select(parse_date(text).alias("sale_date")).dropna(subset=["sale_date"])
     return parsed.groupBy(F.year("sale_date").cast("long").alias("year")) \
@@ -300,6 +321,21 @@ def q_normalize_sales(spark, sf_dir):
     return S.as_double(S.monthly_outlet(with_calendar_parts(normalize_sales(raw))))
 
 
+@query
+def q_normalize_db(spark, sf_dir):
+    """Sale lines as a database table has them: its own measure names, time
+    stamps with an offset, and amounts beyond 10^12."""
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    raw = lines.select(
+        F.date_format("sale_date", "yyyy-MM-dd'T'00:00:00.000+05:30").alias("sale_date"), "invoice_no", "center_name",
+        "business_unit", F.concat(F.lit("7,000,000,"), F.lpad(F.floor("sales_exc_tax").cast("string"), 9, "0"))
+        .alias("sales_collected_exc_tax"), F.col("sales_inc_tax").cast("string").alias("sales_collected_inc_tax"))
+    clean = normalize_sales(raw)
+    return clean.groupBy(F.year("sale_date").cast("long").alias("year"), "center_name").agg(
+        F.sum("sales_exc_tax").cast("double").alias("large"), F.sum("sales_inc_tax").cast("double").alias("sales"),
+        F.count(F.lit(1)).alias("lines"))
+
+
 @query
 def q_month_num(spark, sf_dir):
     lines = sales_lines(spark, sf_dir, items=False, outlets=False)
@@ -328,7 +364,7 @@ TEST_KEYWORDS = [
 
 @query
 def q_service_type(spark, sf_dir):
-    lines = sales_lines(spark, sf_dir)
+    lines = sales_lines(spark, sf_dir, outlets=False)
     out = lines.select(
         category("item_type", "PROMO").alias("category"),
         service_type(keywords=TEST_KEYWORDS, product_value="PROMO").alias("service_type"),
@@ -406,9 +442,9 @@ def q_holiday_dates_basic(spark, sf_dir):
                                      outlets=False), basic_calendar(spark))
 
 
-def _holiday_sales(spark, sf_dir, fallback=False):
+def _holiday_sales(spark, sf_dir):
     lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
-    return holiday_sales(lines, _calendar(spark), fallback=fallback)
+    return holiday_sales(lines, _calendar(spark))
 
 
 @query
@@ -431,7 +467,11 @@ def q_holiday_sales_selected(spark, sf_dir):
 
 @query
 def q_holiday_fallback(spark, sf_dir):
-    return _holiday_sales(spark, sf_dir, fallback=True)
+    """Sales on days of the month that no holiday has: the calendar's own rows
+    are the answer."""
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    held = sorted({int(d[8:]) for _, d, _, _ in HOLIDAY_CALENDAR})
+    return holiday_sales(lines.where(~F.dayofmonth("sale_date").isin(held)), _calendar(spark), fallback=True)
 
 
 @query
@@ -461,12 +501,12 @@ def q_festival_performance_by_center(spark, sf_dir):
 
 @query
 def q_festival_category_year(spark, sf_dir):
-    return breakdown(_window(spark, sf_dir, [FESTIVAL]), ["item_category", "year"])
+    return breakdown(_window(spark, sf_dir, [FESTIVAL], outlets=False), ["item_category", "year"])
 
 
 @query
 def q_festival_category(spark, sf_dir):
-    return breakdown(_window(spark, sf_dir, [FESTIVAL]), ["item_category"])
+    return breakdown(_window(spark, sf_dir, [FESTIVAL], outlets=False), ["item_category"])
 
 
 @query
@@ -481,12 +521,12 @@ def q_center_business_top10(spark, sf_dir):
 
 @query
 def q_festival_top_services(spark, sf_dir):
-    return top_items(_window(spark, sf_dir, [FESTIVAL]), 15)
+    return top_items(_window(spark, sf_dir, [FESTIVAL], outlets=False), 15)
 
 
 @query
 def q_festival_service_counts(spark, sf_dir):
-    return top_item_counts(_window(spark, sf_dir, [FESTIVAL]), 15)
+    return top_item_counts(_window(spark, sf_dir, [FESTIVAL], outlets=False), 15)
 
 
 @query
@@ -496,10 +536,10 @@ def q_festival_service_summary(spark, sf_dir):
 
 @query
 def q_festival_traffic(spark, sf_dir):
-    lines = sales_lines(spark, sf_dir, items=False)
+    lines = sales_lines(spark, sf_dir, items=False, outlets=False)
     cal = _calendar(spark)
     days = window_days_table(_dates(spark, sf_dir), cal, festivals=[FESTIVAL])
-    wl = window_lines(lines, cal, days=days)
+    wl = window_lines(lines, cal, festivals=[FESTIVAL], days=days)
     festival_days = days.where(F.col("days_from_festival") == 0)
     return daily_traffic(wl, festival_days)
 
@@ -541,6 +581,18 @@ def q_scan_csv(spark, sf_dir):
     return S.as_double(S.monthly_outlet(with_calendar_parts(normalize_sales(back))))
 
 
+@query
+def q_scan_csv_quoted(spark, sf_dir):
+    """Item names with commas, doubled quotes and backslashes through a CSV."""
+    lines = sales_lines(spark, sf_dir, calendar_parts=False, outlets=False)
+    name = F.concat(F.lit('12" '), F.col("item_name"), F.lit(', "big" \\'))
+    raw = lines.select(name.alias("Item Name"), F.col("sale_date").cast("string").alias("Sale Date"),
+                       F.col("sales_inc_tax").cast("string").alias("Sales Collected (Inc.Tax)"))
+    path = write_table(raw, scratch_path(spark, "quoted") + ".csv", "csv")
+    back = normalize_sales(read_table(spark, path, RAW_SALES_TEXT))
+    return sum_by(back, ["item_name"], "inc_tax", "sales")
+
+
 @query
 def q_preprocess_monthly(spark, sf_dir):
     mart = S.as_double(_mart(spark, sf_dir))
@@ -583,20 +635,30 @@ def q_upsert_latest(spark, sf_dir):
     return upsert(current, incoming, S.MART_KEYS)
 
 
+@query
+def q_upsert_partial(spark, sf_dir):
+    """Incoming rows carry one stored column and a new one; the rest stays."""
+    lines = sales_lines(spark, sf_dir, items=False)
+    current = S.as_double(S.monthly_outlet(lines, "exc_tax"))
+    incoming = S.as_double(S.monthly_outlet(lines.where(F.col("year") == "2000"), "inc_tax")) \
+        .select(*S.MART_KEYS, "mtd_sales", F.lit("late").alias("note"))
+    return upsert(current, incoming, S.MART_KEYS)
+
+
 # ---- streaming --------------------------------------------------------------
 
 @query
 def q_stream_refresh(spark, sf_dir):
     """The monthly mart built incrementally: raw lines arrive as several CSV
-    files in date order and are processed one file per micro-batch; each
-    batch recomputes only the months it touched (a month split across two
-    files is recomputed from all its stored lines when the second arrives)."""
+    files in date order and are processed a few files per micro-batch; each
+    batch recomputes only the months it touched (a month split across
+    batches is recomputed from all its stored lines when the later arrives)."""
     from ..streaming.refresh import read_mart, start_mart_refresh
     raw = _raw_text_lines(sales_lines(spark, sf_dir, items=False, calendar_parts=False))
     base = scratch_path(spark, "stream")
-    raw.repartitionByRange(4, "Sale Date").write.option("header", True).csv(f"{base}/in")
+    raw.repartitionByRange("Sale Date").write.option("header", True).csv(f"{base}/in")
     q = start_mart_refresh(spark, f"{base}/in", f"{base}/lines", f"{base}/mart",
-                           f"{base}/checkpoint", raw_schema=raw.schema, max_files_per_trigger=1)
+                           f"{base}/checkpoint", raw_schema=raw.schema, max_files_per_trigger=3)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -612,6 +674,11 @@ SURVEY_IDS = {
     "q_kpis_filtered": "A3, F1",
     "q_outlet_sales": "A4, T1",
     "q_monthly_trend": "A5, P10, T2",
+    "q_monthly_trend_dense": "A5, D-2, J7",
+    "q_mix_dense": "A9, D-2, J7",
+    "q_normalize_db": "P8, P1, P2, S8",
+    "q_scan_csv_quoted": "S1, S5",
+    "q_upsert_partial": "S11",
     "q_outlet_year_month": "A6, F3, T2",
     "q_daily_avg": "A7, F4",
     "q_item_type": "A8, X5",

@@ -14,6 +14,10 @@ from .oracle_base import (
     pct_sql,
     with_ctes)
 
+from ..schemas import HOLIDAY_CALENDAR, MONTHS, SERVICE_KEYWORDS
+
+MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["q_monthly_outlet"] = with_ctes(SALES_LINES_SQL, MONTHLY_MART_SQL) + """
@@ -38,7 +42,8 @@ SELECT CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS total_sales,
 FROM monthly {where}"""
 
 
-ORACLE["q_kpis"] = _kpi()
+ORACLE["q_kpis"] = _kpi().replace("SELECT CAST(coalesce(sum(mtd_sales)", "SELECT (SELECT count(DISTINCT invoice_no) "
+                                  "FROM sales_lines) AS distinct_bills, CAST(coalesce(sum(mtd_sales)", 1)
 ORACLE["q_kpis_filtered"] = _kpi("WHERE year = '1996' AND brand = 'BUILDING'")
 
 OUTLET_SALES = """SELECT outlet_name, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales
@@ -48,14 +53,20 @@ ORACLE["q_outlet_sales"] = BASE + OUTLET_SALES
 
 ORACLE["q_monthly_trend"] = BASE + """
 SELECT month, year, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales,
-       CAST(coalesce(list_position(['January','February','March','April','May','June','July',
-            'August','September','October','November','December'], month), 0) AS INTEGER) AS month_num
+       CAST(coalesce(list_position(""" + MONTH_LIST + """, month), 0) AS INTEGER) AS month_num
 FROM monthly WHERE month IS NOT NULL AND year IS NOT NULL GROUP BY month, year"""
 
+ORACLE["q_monthly_trend_dense"] = BASE + f"""
+SELECT m.month, y.year, CAST(coalesce(sum(t.mtd_sales), 0) AS DOUBLE) AS mtd_sales,
+       CAST(coalesce(list_position({MONTH_LIST}, m.month), 0) AS INTEGER) AS month_num
+FROM (SELECT DISTINCT month FROM monthly) m CROSS JOIN (SELECT DISTINCT year FROM monthly) y
+LEFT JOIN (SELECT * FROM monthly WHERE brand = 'BUILDING' AND outlet_name = 'NATION_7' AND year IN ('1994', '1996')) t
+  ON t.month = m.month AND t.year = y.year
+GROUP BY m.month, y.year"""
+
 ORACLE["q_outlet_year_month"] = BASE + """
 SELECT year, month, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales,
-       CAST(coalesce(list_position(['January','February','March','April','May','June','July',
-            'August','September','October','November','December'], month), 0) AS INTEGER) AS month_num
+       CAST(coalesce(list_position(""" + MONTH_LIST + """, month), 0) AS INTEGER) AS month_num
 FROM monthly WHERE outlet_name = 'NATION_7' GROUP BY year, month"""
 
 ORACLE["q_daily_avg"] = with_ctes(SALES_LINES_SQL) + """,
@@ -81,6 +92,11 @@ FROM (SELECT {dim}, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales
 
 ORACLE["q_item_type"] = _mix("item_type")
 ORACLE["q_item_category"] = _mix("item_category")
+ORACLE["q_mix_dense"] = with_ctes(SALES_LINES_SQL) + f"""
+SELECT item_category, sales, replace({indian_sql('sales')}, '₹', '') AS formatted_sales
+FROM (SELECT item_category, CAST(coalesce(sum(sales_inc_tax) FILTER (WHERE center_name = 'NATION_7' AND item_type = 'PROMO'
+        AND business_unit = 'AUTOMOBILE'), 0) AS DOUBLE) AS sales
+      FROM sales_lines WHERE item_category IS NOT NULL GROUP BY item_category)"""
 ORACLE["q_business_unit"] = _mix("business_unit")
 ORACLE["q_mix_filtered"] = _mix(
     "item_category",
@@ -197,13 +213,17 @@ FROM (SELECT year, TRY_CAST(trim(replace(replace(replace(
       FROM sales_lines)
 GROUP BY year"""
 
+# The text each line gets (see the query) is a valid date of its own, but for
+# the impossible 29 February.
 ORACLE["q_clean_dates"] = _L + """
-SELECT CAST(year(d) AS BIGINT) AS year, count(*) AS rows, min(d) AS first_date
-FROM (SELECT coalesce(CAST(try_strptime(t, '%Y-%m-%d') AS DATE), CAST(try_strptime(t, '%d-%m-%Y') AS DATE)) AS d
-      FROM (SELECT CASE WHEN invoice_no % 11 = 0 THEN '2023-02-29'
-                        WHEN invoice_no % 4 = 0 THEN strftime(sale_date, '%d-%m-%Y')
-                        ELSE CAST(sale_date AS VARCHAR) END AS t FROM sales_lines))
-WHERE d IS NOT NULL GROUP BY 1"""
+SELECT CAST(year(sale_date) AS BIGINT) AS year, count(*) AS rows, min(sale_date) AS first_date
+FROM sales_lines WHERE invoice_no % 11 <> 0 GROUP BY 1"""
+
+ORACLE["q_normalize_db"] = _L + """
+SELECT CAST(year(sale_date) AS BIGINT) AS year, center_name,
+       CAST(sum(7000000000000000 + CAST(floor(sales_exc_tax) AS DECIMAL(28,6))) AS DOUBLE) AS large,
+       CAST(sum(sales_inc_tax) AS DOUBLE) AS sales, count(*) AS lines
+FROM sales_lines GROUP BY 1, 2"""
 
 ORACLE["q_brand_default"] = _L + """
 SELECT coalesce(nullif(CASE WHEN business_unit = 'BUILDING' THEN NULL
@@ -214,8 +234,7 @@ FROM sales_lines GROUP BY 1, 2"""
 ORACLE["q_normalize_sales"] = ORACLE["q_monthly_outlet"]
 
 ORACLE["q_month_num"] = _L + """
-SELECT m AS month, CAST(coalesce(list_position(['January','February','March','April','May','June','July',
-            'August','September','October','November','December'], m), 0) AS INTEGER) AS month_num,
+SELECT m AS month, CAST(coalesce(list_position(""" + MONTH_LIST + """, m), 0) AS INTEGER) AS month_num,
        count(*) AS lines
 FROM (SELECT CASE WHEN invoice_no % 13 = 0 THEN 'Foo' ELSE month END AS m FROM sales_lines)
 GROUP BY 1, 2"""
@@ -239,12 +258,7 @@ def _classify_sql(kw, product, type_col="item_type"):
 
 _TEST_KW = [("Hair", ["#1"], ["ring"], ["red"]), ("Skin", ["#2"], ["bolt"], ["blue"]),
             ("SPA", ["#3"], ["gear"], ["hot"])]
-_DEFAULT_KW = [
-    ("Hair", ["hair", "haircut", "color"], ["hair", "cut", "color"],
-     ["hair", "cut", "color", "style", "blowdry"]),
-    ("Skin", ["facial", "skin", "face"], ["facial", "skin", "cleanup"], ["facial", "skin", "cleanup"]),
-    ("SPA", ["spa", "massage", "therapy"], ["spa", "massage", "therapy"], ["spa", "massage", "therapy"]),
-]
+_DEFAULT_KW = SERVICE_KEYWORDS
 
 ORACLE["q_service_type"] = _L + f"""
 SELECT CASE WHEN coalesce(item_type = 'PROMO', false) THEN 'Product' ELSE 'Service' END AS category,
@@ -321,7 +335,11 @@ hsales AS (
 _HS = with_ctes(SALES_LINES_SQL, calendar_cte(), HSALES)
 _HS_COLS = "SELECT festival, year, holiday_date, center_name, mtd_sale, is_total FROM hsales "
 ORACLE["q_holiday_sales"] = _HS + _HS_COLS + "WHERE is_total OR center_name IS NOT NULL"
-ORACLE["q_holiday_fallback"] = ORACLE["q_holiday_sales"]
+ORACLE["q_holiday_fallback"] = f"""
+SELECT festival, CAST(year(holiday_date) AS BIGINT) AS year, holiday_date, CAST(NULL AS VARCHAR) AS center_name,
+       mtd_sale, TRUE AS is_total
+FROM (VALUES {", ".join(f"('{f}', DATE '{d}', CAST({s} AS DOUBLE))" for _, d, f, s in HOLIDAY_CALENDAR)})
+     AS c(festival, holiday_date, mtd_sale)"""
 ORACLE["q_holiday_sales_total"] = _HS + _HS_COLS + "WHERE is_total"
 ORACLE["q_holiday_sales_selected"] = _HS + _HS_COLS + \
     "WHERE year IN (1996, 1998, 2000) AND center_name = 'NATION_7'"
@@ -414,8 +432,7 @@ SELECT s.sale_date, CAST(coalesce(d.invoices, 0) AS BIGINT) AS invoices, coalesc
 FROM spine s LEFT JOIN daily d ON s.sale_date = d.sale_date"""
 
 _YEARS = [str(y) for y in range(1995, 2002)]
-_MONTHNUM = ("CAST(coalesce(list_position(['January','February','March','April','May','June','July',"
-             "'August','September','October','November','December'], month), 0) AS INTEGER)")
+_MONTHNUM = f"CAST(coalesce(list_position({MONTH_LIST}, month), 0) AS INTEGER)"
 _OY = """,
 oy AS (SELECT year, month, coalesce(sum(mtd_sales), 0) AS s FROM monthly
        WHERE outlet_name = 'NATION_7' AND year IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2),
@@ -474,6 +491,10 @@ FROM monthly"""
 
 ORACLE["q_mart_roundtrip"] = ORACLE["q_service_mart"]
 
+ORACLE["q_scan_csv_quoted"] = with_ctes(SALES_LINES_SQL) + """
+SELECT '12" ' || item_name || ', "big" \\' AS item_name, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales
+FROM sales_lines GROUP BY item_name"""
+
 ORACLE["q_upsert_latest"] = with_ctes(SALES_LINES_SQL) + """,
 cur AS (SELECT year, month, center_name AS outlet_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
                coalesce(sum(sales_exc_tax), 0) AS mtd_sales, count(DISTINCT invoice_no) AS mtd_bills
@@ -513,3 +534,11 @@ SELECT c.months, c.holiday_date, c.festival, c.mtd_sale,
 FROM calfile c LEFT JOIN per_day p ON month(c.holiday_date) = p.hol_month AND day(c.holiday_date) = p.hol_day"""
 
 ORACLE["q_stream_refresh"] = ORACLE["q_monthly_outlet"]
+
+_PARTIAL = ORACLE["q_upsert_latest"]
+ORACLE["q_upsert_partial"] = _PARTIAL[:_PARTIAL.index("merged AS")].rstrip().rstrip(",") + """
+SELECT year, month, outlet_name, brand, CAST(coalesce(inc.mtd_sales, cur.mtd_sales) AS DOUBLE) AS mtd_sales,
+       cur.mtd_bills, CASE WHEN cur.mtd_bills > 0 THEN CAST(cur.mtd_sales AS DOUBLE) / CAST(cur.mtd_bills AS DOUBLE)
+                           ELSE 0.0 END AS mtd_abv,
+       CASE WHEN inc.year IS NOT NULL THEN 'late' END AS note
+FROM cur LEFT JOIN inc USING (year, month, outlet_name, brand)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 6)
+MONEY = T.DecimalType(28, 6)  # raw amounts of any practical size
 
 # --------------------------------------------------------------------------
 # Fixed values. These must stay exactly as they are for results to match the

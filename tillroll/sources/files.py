@@ -1,4 +1,4 @@
-"""File sources and sinks: format dispatch, marts, listings, workbooks.
+"""File sources and sinks: format dispatch, marts, listings.
 
 Paths are any Hadoop path (``s3a://``, ``hdfs://``, local); credentials and
 endpoints are Spark/Hadoop configuration, not code.
@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions.clean import clean_currency_columns, month_number
 
-FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json", "orc": "orc",
-           "xlsx": "workbook", "xls": "workbook"}
+FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json", "orc": "orc"}
+# Doubled quotes inside a quoted CSV value, as spreadsheets write them.
+CSV_QUOTING = {"quote": '"', "escape": '"'}
 
 
 def format_of(path: str) -> str:
@@ -28,22 +29,24 @@ def format_of(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               fmt: str | None = None) -> DataFrame:
+               fmt: str | None = None, multiline: bool = False, text: bool = False) -> DataFrame:
     """Read a table, choosing the reader from the extension (or ``fmt``).
 
     CSV is read with a header and UTF-8. With a schema, CSV columns are
     matched by header *name* (read as text, then cast; absent columns become
     typed NULLs), so files with fewer or reordered columns load correctly and
-    no inference pass runs. Without a schema the types are inferred. A
+    no inference pass runs. Without a schema the types are inferred, or all
+    columns are text with ``text``. Quoted values may hold commas and doubled
+    quotes; values with line breaks need ``multiline``, which makes each file
+    one task. A
     missing path raises ``FileNotFoundError``; other reader errors propagate.
     """
     fmt = fmt or format_of(path)
-    if fmt == "workbook":
-        return read_workbooks(spark, path, schema)
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("encoding", "UTF-8") \
-            .option("inferSchema", schema is None)
+            .options(**CSV_QUOTING).option("multiLine", multiline) \
+            .option("inferSchema", schema is None and not text)
     elif schema is not None:
         reader = reader.schema(schema)
     try:
@@ -63,7 +66,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write a table (CSV with a header, no index); Parquet by default."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.option("header", True).options(**CSV_QUOTING)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
@@ -155,59 +158,28 @@ def preprocess_monthly_sheet(sheet: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert-or-update by key: incoming rows win over current rows.
-
-    One aggregation on the key with ``max_by`` over a priority: it combines
-    map-side, so a hot key never gathers its rows in one place. The result is
-    meant to be written to a new path (never over its own input).
-    """
-    values = [c for c in current.columns if c not in keys]
-    types = dict(current.dtypes)
-    # Value columns the incoming rows lack become typed NULLs on those rows.
-    incoming_values = [F.col(c) if c in incoming.columns else F.lit(None).cast(types[c]).alias(c)
-                       for c in values]
-    both = (current.select(*keys, F.struct(*values).alias("_v"), F.lit(0).alias("_p"))
-            .unionByName(incoming.select(*keys, F.struct(*incoming_values).alias("_v"),
-                                         F.lit(1).alias("_p"))))
-    merged = both.groupBy(*keys).agg(F.max_by("_v", "_p").alias("_v"))
-    return merged.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
-
-
-# ---- workbook ingest --------------------------------------------------------------
-
-def _openpyxl_available() -> bool:
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
-def read_workbooks(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """First sheet of every workbook under ``path``, decoded where the file's
-    bytes are (files are packed into tasks by size), all cells as text
-    (apply the cleaners afterwards).
-
-    Spark has no workbook reader, so each file's bytes are decoded with
-    pandas inside ``mapInPandas``; needs ``openpyxl`` on the executors.
+    """Insert-or-update by key: columns that the incoming rows carry win over
+    the stored ones, also with NULL; stored columns that they lack stay, and
+    columns that only they have are added (NULL on other rows). Of several
+    rows of one side with one key the largest by value, in column order, is
+    taken.
+
+    One aggregation on the key: it combines map-side, so a hot key never
+    gathers its rows in one place. The result is meant to be written to a new
+    path (never over its own input).
     """
-    if not _openpyxl_available():
-        raise ImportError("reading .xlsx needs openpyxl, which is not installed")
-    if schema is None:
-        raise ValueError("workbook ingest needs an explicit (text) schema")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = [f.name for f in schema.fields]
-
-    def decode(batches):
-        import io
-
-        import pandas as pd
-        for pdf in batches:
-            for content in pdf["content"]:
-                sheet = pd.read_excel(io.BytesIO(content), sheet_name=0, dtype=str)
-                yield sheet.reindex(columns=names).astype(object).where(sheet.notna(), None)
-
-    return files.mapInPandas(decode, schema)
+    stored = [c for c in current.columns if c not in keys]
+    sent = [c for c in incoming.columns if c not in keys]
+    side = lambda df, cols, name, other, others: df.select(
+        *keys, F.struct(F.lit(1).alias("_here"), *cols).alias(name),
+        F.lit(None).cast(other.select(F.struct(F.lit(1).alias("_here"), *others)).schema[0].dataType)
+        .alias("_new" if name == "_old" else "_old"))
+    both = side(current, stored, "_old", incoming, sent).unionByName(
+        side(incoming, sent, "_new", current, stored))
+    merged = both.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    value = lambda c: (F.col(f"_old.{c}") if c not in sent else F.col(f"_new.{c}") if c not in stored
+                       else F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")))
+    return merged.select(*keys, *[value(c).alias(c) for c in [*stored, *[c for c in sent if c not in stored]]])
 
 
 @dataclass

@@ -21,9 +21,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clean import with_calendar_parts
-from ..schemas import MONEY
+
+# Amounts of the test tables: within 18 digits, which Spark sums as longs.
+MONEY = T.DecimalType(18, 6)
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -142,6 +145,20 @@ def sales_lines(spark: SparkSession, sf_dir: str, items: bool = True,
     return view
 
 
+def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sale lines summed by invoice: the same columns without items. All
+    other columns belong to the order, so the lines are reduced on the order
+    key before the join, and the join moves a row an order."""
+    lines = line_items(spark, sf_dir)
+    money = canonical_lines(lines.withColumns({c: F.lit(None) for c in ("sale_date", "center_name", "business_unit")}),
+                            None, calendar_parts=False)
+    sums = ["sales_exc_tax", "tax_collected", "sales_inc_tax"]
+    per_order = money.groupBy("invoice_no").agg(*[F.sum(c).alias(c) for c in sums])
+    dims = order_dimensions(spark, sf_dir)
+    return with_calendar_parts(per_order.join(dims, per_order.invoice_no == dims.o_orderkey, "inner")
+                               .select("sale_date", "invoice_no", "center_name", "business_unit", *sums))
+
+
 def _alive(spark: SparkSession) -> bool:
     """False once the session's context was stopped (its views are unusable)."""
     try:

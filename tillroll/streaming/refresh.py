@@ -24,8 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.clean import normalize_sales, with_calendar_parts
 from ..operators.sales import as_double, monthly_outlet
 from ..schemas import RAW_SALES_TEXT
-
-MAX_TOUCHED_MONTHS = 10_000
+from ..sources.files import CSV_QUOTING
 
 
 def _refresh_batch(spark: SparkSession, raw: DataFrame, epoch: int, lines_path: str,
@@ -39,21 +38,17 @@ def _refresh_batch(spark: SparkSession, raw: DataFrame, epoch: int, lines_path:
         # own folders (dynamic overwrite), other epochs and months stay.
         (lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("year", "month", "batch").parquet(root))
-        touched = [(r["year"], r["month"]) for r in
-                   lines.select("year", "month").distinct().limit(MAX_TOUCHED_MONTHS + 1).collect()]
+        if lines.isEmpty():
+            return
+        touched = lines.select(F.col("year").cast("int"), "month").distinct()
+        # Partition columns: only the touched months' files are read.
+        month_lines = (spark.read.parquet(root).join(touched, ["year", "month"], "left_semi")
+                       .withColumn("year", F.col("year").cast("string")))
+        mart = as_double(monthly_outlet(month_lines, measure))
+        (mart.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("year", "month").parquet(mart_path))
     finally:
         lines.unpersist()
-    if not touched:
-        return
-    if len(touched) > MAX_TOUCHED_MONTHS:
-        raise ValueError("a batch touched too many months for a partition refresh")
-    # Only the touched months' folders are listed and read.
-    month_dirs = [f"{root}/year={y}/month={m}" for y, m in touched]
-    month_lines = (spark.read.option("basePath", root).parquet(*month_dirs)
-                   .withColumn("year", F.col("year").cast("string")))
-    mart = as_double(monthly_outlet(month_lines, measure))
-    (mart.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("year", "month").parquet(mart_path))
 
 
 def start_mart_refresh(spark: SparkSession, source_dir: str, lines_path: str, mart_path: str,
@@ -62,10 +57,12 @@ def start_mart_refresh(spark: SparkSession, source_dir: str, lines_path: str, ma
                        max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the refresh stream over CSV files (source headers) arriving in
     ``source_dir``. ``raw_schema`` lists the files' columns in file order (a
-    stream needs its schema up front and CSV maps it by position). With
+    stream needs its schema up front); a file whose header differs from it
+    fails the stream instead of being read by position. With
     ``available_now`` it processes what is there and stops (scheduled
     refresh); otherwise it keeps running."""
-    reader = spark.readStream.schema(raw_schema).option("header", True)
+    reader = spark.readStream.schema(raw_schema).option("header", True) \
+        .option("enforceSchema", False).options(**CSV_QUOTING)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.csv(source_dir)
