@@ -48,8 +48,13 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).reshape(-1)
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python worker, for what its tasks can
-    share (loaded vocabularies, memoised ids). Only a cache: losing it costs time."""
-    name = "tillroll_worker_store"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+def worker_kept(key: str, make):
+    """What ``make`` returns, kept for later tasks of the Python worker. Only
+    one thing is kept, so a worker that goes on to another operator gives the
+    memory back. Only a cache: losing it costs time."""
+    name = "tillroll_worker_kept"
+    store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if store.get("key") != key:
+        store["kept"] = None
+        store["kept"], store["key"] = make(), key
+    return store["kept"]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import worker_store
+from .common import worker_kept
 
 HASH_BITS = 17
 #: Most labelled rows the fit reads.
@@ -31,7 +31,7 @@ STEPS = 40
 RIDGE = 1.0
 STRIP = b".,;:!?\"'()[]{}"
 #: Strings whose slots a task keeps.
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: Leading bytes of a word that count as its stems.
 STEMS = (4, 6)
 #: Slots a mark takes; more make the ridge bear less on it.
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     slim = docs.select(*[docs[c] for c in keep])
 
     def rate(batches):
-        slots = worker_store().setdefault(f"quality slots {bits}", Slots(bits))
+        slots = worker_kept(f"quality {bits}", lambda: Slots(bits))
         weights, thresholds = shared.value
         for b in batches:
             s = np.array([float(weights[features(None if t is None else str(t), slots)].sum())

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
-from .common import worker_store
+from .common import worker_kept
 
 SEQUENCE = 2048
 END_ID = 2
 #: Sequences a record batch of the file holds.
 BATCH = 256
 #: Strings whose ids a task keeps.
-CACHE = 3 << 19
+CACHE = 3 << 18
 TAIL = ".,;:!?"
 
 
@@ -140,8 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None,
 
     def write(batches):
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
-        store = worker_store()
-        encoder = store.get(tokenizer) or store.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = worker_kept(f"tokens {tokenizer}", lambda: Encoder(tokenizer))
         kind = pa.uint16() if encoder.dtype.itemsize == 2 else pa.uint32()
         schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         fs, base = _open(folder)
