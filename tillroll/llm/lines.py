@@ -62,7 +62,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.collect_set("pos").alias("starts"))
             .select("id", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(
                 p, p + F.lit(window - 1))))).alias("gone")))
-    kept = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    # a set difference of positions: its cost grows with the lines, not with lines times removed lines
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
             .join(gone, "id", "left").withColumn("lines", lines)
             .withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
