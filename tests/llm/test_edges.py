@@ -100,6 +100,15 @@ def test_spotsigs(df, none):
     assert [(r["n_chars"], r["near_next"]) for r in one] == [(3, 1.0)]
 
 
+def test_spotsigs_null_id_links_others(spark):
+    def text(changed):
+        return " ".join(f"the {'y' if i in changed else 'x'}{i} z{i}" for i in range(60))
+    rows = [(1, text(()), "a"), (None, text(range(6)), "a"), (3, text(range(12)), "a"), (None, "only one here", "a")]
+    got = by_id(spotsigs.near_duplicates(table(spark, rows)).collect())
+    assert [(r["component_id"], r["n_links"]) for i in (1, 3) for r in got[i]] == [(1, 1), (1, 1)]
+    assert sorted((str(r["component_id"]), r["n_links"]) for r in got[None]) == [("1", 2), ("None", 0)]
+
+
 def test_leaks(spark, df, none):
     items = spark.createDataFrame([(1, COPY), (1, COPY), (2, None), (3, "short")], "item_id long, text string")
     got = by_id(decontaminate.leaks(df, items).collect())
@@ -142,6 +151,13 @@ def test_lines(df, none):
     assert lines.dedup_lines(none).collect() == []
 
 
+def test_lines_of_long_texts(spark):
+    n = 60_000
+    text = "\n".join(f"line {i}" for i in range(n))
+    got = by_id(lines.dedup_lines(table(spark, [(1, text, "a"), (2, "own\n" + text, "a")])).collect())
+    assert (got[1][0]["n_removed"], got[2][0]["n_removed"], got[2][0]["kept_text"]) == (0, n, "own")
+
+
 def test_shards(df, none):
     got = sharding.shards(df, limit=200).collect()
     assert len(got) == len(ROWS) and sharding.shards(none).collect() == []

@@ -28,6 +28,9 @@ ANCHORS = {
     "de": "der die das und in den von zu mit sich des auf ist im dem nicht ein eine als auch für",
 }
 CHAIN = 2
+#: Parts that :func:`edit_report` orders documents in, at most; the driver
+#: holds an id a part, and a part streams through its task.
+PARTS = 20_000
 STRIP = b".,;:!?\"'()[]{}|"
 
 
@@ -95,9 +98,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partitions of set length whose bounds grow by 1/threshold, so a set is
     compared with its own and the next length partition only; pairs are then
     pruned by their lengths and verified. Null ids take part but are no
-    component's id; an empty table gives an empty result."""
+    component's id: a component of null ids only has none. An empty table gives
+    an empty result."""
     sets = cut_lineage(fingerprints(docs, id_col, text_col, anchors, chain))
-    classes = cut_lineage(sets.groupBy("signatures").agg(F.min("id").alias("node")).where("node is not null"))
+    # classes of null ids only: numbered above all ids by a hash of their set
+    above, spread = (1 << 63) - 1 - (1 << 61), F.pmod(F.xxhash64("signatures"), F.lit(1 << 61))
+    classes = cut_lineage(sets.groupBy("signatures").agg(F.min("id").alias("node"))
+                          .withColumn("node", F.coalesce("node", F.lit(above) + spread)))
     size = F.size("signatures")
     rare = (classes.select(F.explode("signatures").alias("s")).groupBy("s").agg(F.count("*").alias("df")))
     by_rarity = (classes.select("node", size.alias("n"), F.explode("signatures").alias("s"))
@@ -126,7 +133,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("signatures", F.coalesce("component", "node").alias("component_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     return (sets.join(labels, "signatures", "left")
-            .select(F.col("id").alias(id_col), "component_id", "n_links"))
+            .select(F.col("id").alias(id_col),
+                    F.when(F.col("component_id") < above, F.col("component_id")).alias("component_id"), "n_links"))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -151,7 +159,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n, blank, low = ids.agg(F.count("*"), F.sum(F.col("id").isNull().cast("int")), F.min("id")).first()
     if not n:
         return spark.createDataFrame([], schema)
-    cuts = -(-n // per_part)
+    cuts = min(-(-n // per_part), PARTS)
     bounds = ids.agg(F.percentile_approx("id", [i / cuts for i in range(cuts)] if cuts > 1 else [0.0],
                                          max(10_000, 20 * cuts))).first()[0]
     # part p holds ids from bounds[p] on; part 0 also nulls, which come first
