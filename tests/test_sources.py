@@ -63,6 +63,15 @@ def test_preprocess_monthly_sheet(spark):
     assert out == [("2024", "March", 1000.0, 12.0, 83.3, 3), ("2024", "Foo", None, None, None, 0)]
 
 
+def test_jdbc_predicates_of_months():
+    preds = year_predicates([2020], "d", months=3)
+    ends = ["2020-01-01", "2020-04-01", "2020-07-01", "2020-10-01", "2021-01-01"]
+    assert preds == [f"\"d\" >= DATE '{a}' AND \"d\" < DATE '{b}'" for a, b in zip(ends, ends[1:])]
+    assert len(year_predicates([2020, 2021], months=1)) == 24
+    with pytest.raises(ValueError):
+        year_predicates([2020], months=5)
+
+
 def test_jdbc_year_predicates():
     preds = year_predicates([2020, 2021])
     assert preds == ["\"sale_date\" >= DATE '2020-01-01' AND \"sale_date\" < DATE '2021-01-01'",
