@@ -82,6 +82,29 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
+def test_components_of_any_shape(spark):
+    """Many small random graphs, among them nodes left with two targets."""
+    from tillroll.llm.components import components
+    rng = np.random.default_rng(3)
+    links = [(4, 3), (4, 1), (5, 3), (5, 2)]  # 3 joins the components of 1 and 2
+    for g in range(1, 400):
+        n = int(rng.integers(3, 15))
+        links += [(20 * g + int(a), 20 * g + int(b)) for a, b in rng.integers(0, n, (n, 2))]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(rows) == len(linked)
+    assert {r["node"]: r["component"] for r in rows} == {x: root(x) for x in linked}
+
+
 def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(tokenizer_path())

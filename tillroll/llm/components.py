@@ -34,8 +34,13 @@ def components(links: DataFrame) -> DataFrame:
                                            F.struct(F.col("a"), F.col("m").alias("b")))).alias("x"))
                  .select("x.a", "x.b").where(F.col("a") != F.col("b")).distinct())
         e = cut_lineage(small)
-        # done when no target of a link has a link of its own
-        if e.join(e.select(F.col("a").alias("t")), F.col("b") == F.col("t"), "left_semi").isEmpty():
+        # done when every node has one target and no target has a link of its own; a
+        # node with two targets joins their components in the next round
+        ends = e.select("a", "b", F.lit(0).alias("t")).unionByName(
+            e.select(F.col("b").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(1).alias("t")))
+        open_nodes = (ends.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("t").alias("t"))
+                      .where(F.col("low").isNotNull() & ((F.col("low") < F.col("high")) | (F.col("t") == 1))))
+        if open_nodes.isEmpty():
             break
     # one link a node is left, and every target is a component's smallest node
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
