@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tillroll.llm import decontaminate, lines, mixing, quality, sharding, simhash, spotsigs, substring, tokens, urls
@@ -175,6 +176,15 @@ def test_mix_hits_targets(spark, docs):
         assert abs(taken[s] - target[s]) <= largest[s]
 
 
+def test_mix_of_null_and_repeated_ids_does_not_depend_on_the_layout(spark):
+    """Texts of one size, so that only their hashes can order them."""
+    rows = [(None if i % 2 else i % 6, f"some words {i}", f"s{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixes = [sorted(map(str, mixing.mix(df.orderBy(order).repartition(n)).collect()))
+             for n, order in ((1, "text"), (7, F.desc("text")))]
+    assert mixes[0] == mixes[1] and len(mixes[0]) > 600
+
+
 def test_mix_rows_repeat_as_reported(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     report = {r["doc_id"]: r["copies"] for r in mixing.mix_report(df).collect() if r["copies"]}

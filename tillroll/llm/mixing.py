@@ -65,11 +65,13 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int,
             weights, share, cap, carry: list[str]) -> DataFrame:
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), text.cast("string")))
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
     sized = docs.select(
         *carry, F.col(source_col).cast("string").alias("__source"),
         n_words(F.col(text_col).cast("string")).alias("__size"), source.alias("__key"),
+        key.alias("__name"), text.alias("__text_hash"),
         _unit(F.concat_ws(":", F.lit(str(seed)), F.lit("row"), key)).alias("__u")).withColumn(
         "__class", F.floor(F.log2(F.greatest(F.col("__size"), F.lit(1))) * CLASSES_PER_DOUBLING + 1e-9).cast("int")
     ).withColumn("__slot", F.floor(F.col("__u") * SLOTS).cast("int"))
@@ -85,7 +87,7 @@ def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     starts = (cells.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
               .select(*cell, "__before").join(plan.select("__key", "source_size", "target"), "__key"))
     rank = F.col("__before") + F.row_number().over(
-        Window.partitionBy(*cell).orderBy("__size", "__u", key))
+        Window.partitionBy(*cell).orderBy("__size", "__u", "__name", "__text_hash"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _unit(F.concat_ws(":", F.lit(str(seed)), F.lit("source"), F.col("__key")))
     placed = (sized.join(starts, cell).withColumn("__rank", rank)
@@ -105,8 +107,9 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have size 0 and are emitted at their source's rate
     like others; a source of size 0 has target 0 and emits nothing. Null
     sources form one source, last in the order, apart from the source named
-    "null". Null and repeated ids are rows of their own. An empty table gives
-    an empty result."""
+    "null". Null and repeated ids are rows of their own: rows with a null id are
+    placed by a hash of their text, rows with one id are ordered by it. An empty
+    table gives an empty result."""
     c = _copies(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"),
                             F.col(source_col).alias("__src")),
                 "__id", "__text", "__src", seed, weights, share, cap, ["__id"])
