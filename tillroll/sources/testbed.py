@@ -140,6 +140,8 @@ def sales_lines(spark: SparkSession, sf_dir: str, items: bool = True,
     hit = _VIEWS.get(key)
     if hit is not None and hit[0] is spark and _alive(spark):
         return hit[1]
+    if any(held is not spark for held, _ in _VIEWS.values()):
+        _VIEWS.clear()  # keeps no earlier session alive
     view = _build_sales_lines(spark, sf_dir, items, calendar_parts, outlets)
     _VIEWS[key] = (spark, view)
     return view
