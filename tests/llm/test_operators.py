@@ -146,6 +146,17 @@ def test_kept_stretches_equal_whole_texts(text):
         assert encoder.encode(text).tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [
+    "\n".join(f"word{i}" for i in range(10_000)), "a b " + "\n".join(["QUJD" * 19] * 2_000) + " c\nd",
+    "a\n\nb\nc\n\n\nd\ne. f\ng", "x.\ny!\n'll\nve 1\n2\n\u4e2d\n\u6587"])
+def test_stretches_of_many_lines_equal_whole_texts(text):
+    encoder = tokens.Encoder(tokenizer_path())
+    for _ in range(2):  # found and kept
+        assert encoder.encode(text).tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+    kept = sum(map(len, (*encoder.bare, *encoder.spaced)))
+    assert kept <= 3 * len(text) + 1  # the stretch, its lines and their words, not every suffix
+
+
 def test_mix_hits_targets(spark, docs):
     got = result(spark, "op1_mix_sources")
     size = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in docs}

@@ -14,6 +14,7 @@ succeeded, so lost executors and retries leave nothing wrong behind.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -35,6 +36,8 @@ BATCH = 256
 #: Strings whose ids a task keeps.
 CACHE = 3 << 18
 TAIL = ".,;:!?"
+#: A line feed between two visible characters.
+LONE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 class Kept(dict):
@@ -89,10 +92,10 @@ class Encoder:
             piece = ("\u0120" + part if lead else part) if part.isascii() else \
                 piece.encode().decode("latin-1").translate(self.stand_in)
             return array(self.code, [t.id for t in self.bpe(piece)]).tobytes()
-        before, feed, after = part.partition("\n")
-        if feed and before[-1:].strip() and after[:1].strip():
-            first, then = (self.spaced if lead else self.bare)[before], self.bare[after]
-            return None if first is None or then is None else first + self.feed + then
+        # all lines in one go: a line has no such feed left, so the depth and the kept keys don't grow with the lines
+        first, *rest = LONE_FEED.split(part)
+        if rest:
+            return self.feed.join([(self.spaced if lead else self.bare)[first], *map(self.bare.__getitem__, rest)])
         core = part.rstrip(TAIL)
         if core and core != part and core[-1].isalnum():
             first = (self.spaced if lead else self.bare)[core]
