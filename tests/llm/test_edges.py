@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.llm import decontaminate, lines, mixing, quality, sharding, simhash, spotsigs, substring, tokens, urls
 from tillroll.llm.queries import RULES, tokenizer_path
@@ -121,6 +122,22 @@ def test_leaks(spark, df, none):
     assert decontaminate.drop_leaked(df, items.where("item_id > 9")).count() == len(ROWS)
 
 
+def test_leaked_rows_go_by_their_own_text(spark, df, none, monkeypatch):
+    import corpus_pipeline as P
+    items = spark.createDataFrame([(1, COPY), (2, None)], "item_id long, text string")
+    rows = [*ROWS, (20, COPY, "d"), (20, "a clean text under the id of a leak", "d"), (None, "clean, no id", "d")]
+    kept = decontaminate.drop_leaked_rows(table(spark, rows), items)
+    assert kept.columns == df.columns
+    want = sorted(((r[0], r[1]) for r in rows if r[1] != COPY), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+    assert decontaminate.drop_leaked_rows(none, items).collect() == []
+    assert decontaminate.drop_leaked_rows(df, items.where("item_id > 9")).count() == len(ROWS)
+    docs = table(spark, rows).withColumns({"lang": F.lit("en"), "n_chars": F.lit(1)})
+    monkeypatch.setattr(P, "read_table", lambda *_: items)
+    got = P.benchmark_decontamination(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
+
+
 def test_leaks_of_a_benchmark_too_large_to_broadcast(df, spark, monkeypatch):
     items = spark.createDataFrame([(1, COPY)], "item_id long, text string")
     want = sorted(decontaminate.leaks(df, items).collect(), key=str)

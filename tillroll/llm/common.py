@@ -23,6 +23,20 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Columns of ``with_row_key``.
+ROW_KEY = ["__key_blank", "__key_id", "__key_text1", "__key_text2"]
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ROW_KEY: whether the id is null, the id, and 128 bits of
+    the text. None is null, so rows can meet by plain equality, and rows with a
+    null or repeated id are told apart by their text."""
+    text = docs[text_col].cast("string")
+    return docs.withColumns(dict(zip(ROW_KEY, [
+        docs[id_col].cast("long").isNull(), F.coalesce(docs[id_col].cast("long"), F.lit(0).cast("long")),
+        F.xxhash64(text), F.xxhash64(F.lit(1), text)])))
+
+
 def word_spans(text: str | None, lower: bool = False) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words of a text joined by single spaces (UTF-8) with the start and
     end offset of each. ``bytes.split`` and ``bytes.lower`` treat exactly the

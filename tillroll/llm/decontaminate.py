@@ -16,6 +16,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ROW_KEY, with_row_key
+
 WINDOW = 13
 SUBSTITUTIONS = 2
 #: First position and length of each block of a window.
@@ -50,6 +52,16 @@ def seeds(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text
         "key", "item", F.col("pos").alias("item_pos"), F.slice("t", F.col("pos") + 1, WINDOW).alias("item_window"))
 
 
+def _hits(d: DataFrame, keep: list[str], s: DataFrame) -> DataFrame:
+    """Windows of ``d`` (keep, t) that leak, by seed: a window may come out more than once."""
+    if s.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        s = F.broadcast(s)  # size checked; a larger benchmark is joined by shuffle
+    hits = _windows(d, keep).withColumn("window", F.slice("t", F.col("pos") + 1, WINDOW)).drop("t").join(s, "key")
+    same = F.aggregate(F.zip_with("window", "item_window", lambda a, b: (a == b).cast("int")),
+                       F.lit(0), lambda x, y: x + y)
+    return hits.where(same >= WINDOW - SUBSTITUTIONS)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col long, item long, first_token, last_token, n_windows long): what
@@ -62,14 +74,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for. Documents with a null id are reported under null; rows with one id are
     one document; repeated items count once each. Empty tables give an empty
     result; other columns are ignored."""
-    s = seeds(benchmark, item_col, item_text_col)
-    if s.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        s = F.broadcast(s)  # size checked; a larger benchmark is joined by shuffle
     d = docs.select(F.col(id_col).cast("long").alias("doc"), tokens(F.col(text_col).cast("string")).alias("t"))
-    hits = _windows(d, ["doc"]).withColumn("window", F.slice("t", F.col("pos") + 1, WINDOW)).drop("t").join(s, "key")
-    same = F.aggregate(F.zip_with("window", "item_window", lambda a, b: (a == b).cast("int")),
-                       F.lit(0), lambda x, y: x + y)
-    found = (hits.where(same >= WINDOW - SUBSTITUTIONS)
+    found = (_hits(d, ["doc"], seeds(benchmark, item_col, item_text_col))
              .groupBy("doc", "item", "pos").agg(F.lit(1).alias("one")))
     return (found.groupBy("doc", "item")
             .agg(F.min("pos").cast("long").alias("first_token"),
@@ -80,7 +86,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a leak, all their columns. Rows with a null
-    id share their fate: all go if one of them leaks."""
+    id share their fate: all go if one of them leaks. ``drop_leaked_rows``
+    decides a row at a time."""
     bad = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col).select(
         F.col(id_col).alias("__bad")).distinct()
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+
+
+def drop_leaked_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text has no leak, all their columns: a
+    clean row stays, whatever other rows hold that have its id or none."""
+    keyed = with_row_key(docs, id_col, text_col)
+    d = keyed.select(*ROW_KEY, tokens(F.col(text_col).cast("string")).alias("t"))
+    bad = _hits(d, ROW_KEY, seeds(benchmark, item_col, item_text_col)).select(*ROW_KEY).distinct()
+    return keyed.join(bad, ROW_KEY, "left_anti").drop(*ROW_KEY)
