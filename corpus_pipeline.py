@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    return simhash.drop_near_duplicates(docs, shingle=3, bits=3).select(*COLUMNS)
+    """The document with the smallest id of each group stays, one row a group."""
+    return simhash.keep_one_a_group(docs, shingle=3, bits=3).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,22 @@ def test_simhash(df, none):
     assert simhash.near_duplicates(none).collect() == [] == simhash.drop_near_duplicates(none).collect()
 
 
+def test_one_row_of_each_simhash_group_stays(spark, df, none):
+    import corpus_pipeline as P
+    other, alone = (" ".join(f"{w}{i}" for i in range(40)) for w in ("other", "alone"))
+    rows = [*ROWS, (None, other, "d"), (None, other, "d"), (20, COPY, "d"), (20, alone, "d"), (20, alone, "d"),
+            (1, LONG[:2_000], "d")]
+    kept = simhash.keep_one_a_group(table(spark, rows))
+    assert kept.columns == df.columns
+    want = sorted([(1, ""), (7, COPY), (10, LONG), (12, "one"), (13, ROWS[12][1]), (14, "a\x00b"), (None, other),
+                   (20, alone), (1, LONG[:2_000])], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+    assert simhash.keep_one_a_group(none).collect() == []
+    docs = table(spark, rows).withColumns({"lang": F.lit("en"), "n_chars": F.lit(1)})
+    got = P.simhash_near_dedup(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
+
+
 def test_simhash_of_null_ids_only(spark):
     got = simhash.near_duplicates(table(spark, [(None, COPY, "a"), (None, COPY, "a")])).collect()
     assert [r["component_id"] for r in got] == [None, None]

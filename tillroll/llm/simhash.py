@@ -21,9 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import word_spans
+from .common import ROW_KEY, with_row_key, word_spans
 from .components import components
 
 BITS = 64
@@ -50,12 +51,19 @@ def fingerprint(text: str | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = 3) -> DataFrame:
     """(id: long, fp: long, the fingerprint's bits as a signed long), a row a row."""
+    return _fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")), shingle)
+
+
+def _fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with fp in the place of its last column, the text."""
+    slim = docs.select(*docs.columns[:-1])
+    names = [*slim.columns, "fp"]
+
     def make(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        make, "id long, fp long")
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(len(names) - 1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names)
+    return docs.mapInArrow(make, StructType([*slim.schema.fields, StructField("fp", LongType())]))
 
 
 def block_masks(blocks: int, bits: int) -> list[int]:
@@ -192,8 +200,25 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          shingle: int = 3, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all
     their columns. A row with a null id stays; rows that repeat an id stay or
-    go together."""
+    go together. ``keep_one_a_group`` decides a row at a time."""
     found = near_duplicates(docs, id_col, text_col, shingle, bits)
     gone = (found.where(F.col(id_col) != F.col("component_id"))
             .select(F.col(id_col).cast("long").alias("__gone")).distinct())
     return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+
+
+def keep_one_a_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                     bits: int = 3, blocks: int = 5, pivots: int = 16) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each group of near
+    duplicates: the one with the smallest id, null ids last, and of those with
+    one id the one whose text hashes lowest. Of rows with one id and text any
+    one stays. Groups are by text alone; a shared id links nothing."""
+    keyed = with_row_key(docs, id_col, text_col)
+    fps = _fingerprints(keyed.select(*ROW_KEY, F.col(text_col).cast("string").alias("text")), shingle)
+    # a row a fingerprint, which is its own node: rows that share an id may differ in text
+    best = cut_lineage(fps.groupBy("fp").agg(F.min(F.struct(*ROW_KEY)).alias("best")))
+    found = components(fingerprint_links(best.select("fp", F.col("fp").alias("node")), bits, blocks, pivots))
+    stay = (best.join(found, best.fp == found.node, "left")
+            .groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("best").alias("best")).select("best.*"))
+    # rows of one id and text are reduced before the shuffle, so that many of them are no hot key
+    return keyed.dropDuplicates(ROW_KEY).join(stay, ROW_KEY, "left_semi").drop(*ROW_KEY)
