@@ -175,6 +175,21 @@ def test_quality(spark, df, none):
     assert not quality.fit(df, ratings.where("grade = 2"), bits=10).weights.any()
 
 
+def test_quality_without_fitting_labels_keeps_all(spark, df, monkeypatch):
+    import corpus_pipeline as P
+    docs = df.withColumns({"lang": F.lit("en"), "n_chars": F.lit(1)})
+    for labels in ([], [(99, 1, 0)], [(7, 0, 0)]):  # none, none of these documents, one grade only
+        frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        monkeypatch.setattr(P, "read_table", lambda *_: frame)
+        assert P.quality_classifier(spark, docs, "").count() == len(ROWS)
+
+
+def test_quality_sample_holds_known_documents(spark, df):
+    unknown = [(i, 2) for i in range(100, 300)]
+    ratings = spark.createDataFrame([(7, 2), (8, 2), (10, 0), (11, 0), *unknown], "doc_id long, grade int")
+    assert quality.fit(df, ratings, bits=10, steps=10, sample=4).weights.any()
+
+
 def test_lines(df, none):
     got = by_id(lines.dedup_lines(df).collect())
     assert sum(map(len, got.values())) == len(ROWS)

@@ -113,13 +113,14 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
         grade_col: str = "grade", grades: int = 3, sample: int = SAMPLE, bits: int = HASH_BITS,
         steps: int = STEPS, ridge: float = RIDGE) -> Model:
     """Fit on the ``sample`` rated documents whose ids hash lowest. Ratings that
-    are null, out of range or of unknown documents are left out; a document
-    rated more than once counts each time. Without ratings all weights are
+    are null, out of range or of unknown documents are left out before that; a
+    document rated more than once counts each time. Without ratings all weights are
     zero and the thresholds make all grades equally likely."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = (ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade"))
               .where(F.col("id").isNotNull() & F.col("grade").between(0, grades - 1))
+              .join(texts.select("id").distinct(), "id", "left_semi")
               .orderBy(F.md5(F.col("id").cast("string")), "id", "grade").limit(sample))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def make(batches):
         slots = Slots(bits)
@@ -228,5 +229,7 @@ def grades(labels: DataFrame) -> DataFrame:
 def select_good(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose top grade has a probability of ``threshold`` or
-    more, with both scores."""
-    return score(docs, model, id_col, text_col).where(F.col("tail_probability") >= threshold)
+    more, with both scores. A model without a fit (all weights zero: ratings of
+    fewer than two grades) cannot tell documents apart, so all rows stay."""
+    scored = score(docs, model, id_col, text_col)
+    return scored.where(F.col("tail_probability") >= threshold) if model.weights.any() else scored
