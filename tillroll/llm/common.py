@@ -62,6 +62,13 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).reshape(-1)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, whatever lies in it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def worker_kept(key: str, make):
     """What ``make`` returns, kept for later tasks of the Python worker. Only
     one thing is kept, so a worker that goes on to another operator gives the

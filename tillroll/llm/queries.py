@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import decontaminate, lines, mixing, quality, sharding, simhash, spotsigs, substring, tokens, urls
+from . import (
+    decontaminate, importance, lines, mixing, pii, quality, sharding, simhash, spotsigs, substring, tokens, urls, variants)
 from .common import read_table
 
 #: Folder of the public tokenizer files; a local path on every executor.
@@ -77,6 +78,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+            .select("doc_id", "n_features", "weight", "score", "rank"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -84,4 +98,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_token_output, op3_line_dedup, op4_simhash, op5_shards, op6_substring_dedup,
-    op7_spotsigs, op8_decontaminate, op9_quality, op10_url_filter, pipeline)}
+    op7_spotsigs, op8_decontaminate, op9_quality, op10_url_filter,
+    op11_spelling_variants, op12_pii, op13_importance, pipeline)}
