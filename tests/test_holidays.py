@@ -132,3 +132,58 @@ def test_no_windows_gives_empty_outputs(spark):
     assert H.festival_performance(wl).count() == 0
     assert H.center_business_top(wl).count() == 0
     assert H.service_summary(wl).count() == 0
+
+
+def _both(lines, c, **kw):
+    """Window lines by two passes and by one."""
+    center = kw.pop("center", None)
+    return H.window_lines(lines, c, center=center, **kw), H.festival_lines(lines, c, center=center, **kw)
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_one_pass_equals_two_passes(spark, lines):
+    c = H.default_calendar(spark)
+    # days taken out, so that some windows have no sale on the holiday
+    some = lines.where(~F.dayofmonth("sale_date").isin(1, 14, 25) | (F.year("sale_date") % 2 == 0))
+    for kw in ({}, {"years": [1996, 1998]}, {"center": "NATION_7"},
+               {"before": 40, "after": 200, "festivals": ["New Year"]}):
+        two, one = _both(some, c, **kw)
+        for f in (H.festival_daily, H.festival_performance, lambda w: H.festival_performance(w, by_center=True),
+                  lambda w: H.breakdown(w, ["item_category", "year"]), lambda w: H.breakdown(w, ["item_name"], many=True),
+                  H.center_business_top, H.top_items, H.top_item_counts, H.service_summary):
+            assert _rows(f(two)) == _rows(f(one)), kw
+
+
+def test_one_pass_in_leap_years(spark):
+    days = [D(y, 1, 1) + dt.timedelta(days=i) for y in (2023, 2024, 2025) for i in range(90)]
+    lines = lines_df(spark, [(d, str(i), "X", "i", "c", "b", Decimal(1)) for i, d in enumerate(days)])
+    c = cal(spark, [("Leap", 2, 29), ("Exam", 3, 1), ("None", 2, 30), ("None", 13, 1), ("Eve", 12, 31)])
+    two, one = _both(lines, c)
+    assert _rows(H.festival_daily(two)) == _rows(H.festival_daily(one))
+    assert {r.festival for r in H.festival_daily(one).collect()} == {"Leap", "Exam"}
+
+
+def test_average_follows_the_window(spark):
+    days = [D(2024, 3, 1) + dt.timedelta(days=i) for i in range(-9, 10)]
+    lines = lines_df(spark, [(d, str(i), "X", "i", "c", "b", Decimal(10)) for i, d in enumerate(days)])
+    c = cal(spark, [("Exam", 3, 1)])
+    for before, after in ((3, 2), (0, 0), (5, 4)):
+        for wl in _both(lines, c, before=before, after=after):
+            row = H.festival_performance(wl).first()
+            assert (row.total_window_sales, row.average_daily_sales) == (10.0 * (before + after + 1), 10.0)
+
+
+def test_fill_days_of_many_series_and_of_one(spark):
+    rows = [("a", D(2023, 12, 30), 5), ("a", D(2024, 1, 2), 6), ("b", D(2024, 1, 1), 7), ("c", None, 1), (None, D(2024, 1, 1), 1)]
+    df = spark.createDataFrame(rows, "s string, sale_date date, n int")
+    got = sorted((r.s, r.sale_date, r.n) for r in H.fill_days(df, ["s"], {"n": 0}).collect())
+    assert got == [("a", D(2023, 12, 30), 5), ("a", D(2023, 12, 31), 0), ("a", D(2024, 1, 1), 0), ("a", D(2024, 1, 2), 6),
+                   ("b", D(2024, 1, 1), 7)]
+    one = df.where("s = 'a'").unionByName(spark.createDataFrame([("a", D(2026, 1, 1), 9)], df.schema))
+    got = {r.sale_date: r.n for r in H.fill_days(one, [], {"n": 0}).collect()}
+    assert len(got) == (D(2026, 1, 1) - D(2023, 12, 30)).days + 1
+    assert {d: n for d, n in got.items() if n} == {D(2023, 12, 30): 5, D(2024, 1, 2): 6, D(2026, 1, 1): 9}
+    assert H.fill_days(df.limit(0), [], {"n": 0}).collect() == []

@@ -105,3 +105,21 @@ def test_holiday_days_filter_the_orders_below_the_line_join(spark, name):
     assert "LogicalRDD" not in tree.replace("LogicalRDD [festival", "").replace("LogicalRDD [Months", "")
     orders = [x for x in tree.splitlines() if "o_orderdate" in x and "Filter" in x]
     assert orders and all("month(" in x and " IN" in x.upper() for x in orders)
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(E.queries())
+                                  if n.startswith(("q_festival", "q_center_business"))])
+def test_festival_queries_read_the_lines_once(spark, name):
+    """The plan that ran has one scan of the lines: windows without a sale on
+    the day are known from the sums, not from a first pass."""
+    df = E.queries()[name](spark, SF)
+    df.collect()
+    ran = plan_text(df).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", ran)) == 1, ran
+
+
+def test_gap_filling_orders_no_series_in_one_task(spark):
+    from tillroll.operators.holidays import fill_days
+    daily = spark.sql("SELECT date'2024-01-01' AS sale_date, 1 AS n")
+    text = plan_text(fill_days(daily, [], {"n": 0}))
+    assert "Exchange SinglePartition" not in text.split("Subquery")[0] and "Window" in text

@@ -19,7 +19,7 @@ from .operators.common import apply_filters, dense_sum, select_present, sum_by
 from .operators.growth import (center_growth, center_projection, outlet_growth,
                                outlet_pivot_table, yearly_growth)
 from .operators.holidays import (basic_calendar, breakdown, calendar_summary,
-                                 center_business_top, daily_traffic, festival_daily,
+                                 center_business_top, daily_traffic, festival_daily, festival_lines,
                                  festival_performance, holiday_dates, holiday_sales,
                                  read_calendar, select_holiday_rows, service_summary,
                                  top_item_counts, top_items, window_lines)

@@ -11,10 +11,15 @@ Plan shape (no nested loops, no range join, no cross join):
 * Per-date sales join the fact lines to the calendar on (month, day) of the
   sale date: an equi-join with the calendar broadcast behind a row-count
   check; totals and per-centre rows come from one ``GROUPING SETS``.
-* A festival window [date-3, date+2] is an equi-join too: the small holiday
-  table is exploded into one row per window day and broadcast (again behind a
-  row-count check), so the fact side is never shuffled for it. A sale that
-  falls into several festivals' windows is attributed to each of them.
+* A festival window [date-3, date+2] is an equi-join too. ``festival_lines``
+  joins on the month and day a sale has on each day of a window, for every
+  calendar key, so the candidate windows of all years come from the calendar
+  alone and the lines are read once. Which of them count - those with a sale on
+  the holiday itself - is known only from the lines: the sums by window carry
+  the number of day-0 lines along, and windows without one go afterwards. A
+  sale that falls into several festivals' windows is attributed to each.
+* ``window_lines`` gives the lines themselves for windows that count; it reads
+  the sale dates first, as a second pass.
 * Nothing reads the sales while a frame is built.
 """
 
@@ -226,40 +231,136 @@ def window_lines(lines: DataFrame, calendar: DataFrame, festivals=None, years=No
                                  years, before, after)
     src = lines if center in (None, ALL_CENTERS) else \
         lines.where(F.col("center_name") == F.lit(center))
-    return src.where(on_days("sale_date", calendar, festivals, before, after)).join(days, "sale_date")
+    return (src.where(on_days("sale_date", calendar, festivals, before, after)).join(days, "sale_date")
+            .withColumn("window_days", F.lit(before + after + 1)))
+
+
+def _candidate_days(calendar: DataFrame, festivals, before: int, after: int) -> DataFrame:
+    """(festival, hol_month, hol_day, days_from_festival, _md): the month and
+    day (as one number) of each day of each key's window. A window that meets
+    the end of February has other days in other years, so the keys are laid out
+    in years before, in and after a leap year; days outside the calendar (30
+    February) fall out."""
+    md = apply_filters(month_day(calendar), {"festival": festivals})
+    first = F.add_months(F.make_date(F.col("_y"), F.lit(1), F.lit(1)), F.col("hol_month") - 1)
+    day = F.date_add(first, F.col("hol_day") - 1)
+    return (md.withColumn("_y", F.explode(F.array(*[F.lit(y) for y in (2022, 2023, 2024, 2025)])))
+            .withColumn("_day", day).where((F.month("_day") == F.col("hol_month")) & (F.year("_day") == F.col("_y")))
+            .withColumn("_o", F.explode(F.sequence(F.lit(-before), F.lit(after))))
+            .withColumn("_near", F.date_add("_day", F.col("_o")))
+            .select("festival", "hol_month", "hol_day", F.col("_o").cast("long").alias("days_from_festival"),
+                    (F.month("_near") * 100 + F.dayofmonth("_near")).alias("_md")).distinct())
+
+
+def festival_lines(lines: DataFrame, calendar: DataFrame, festivals=None, years=None,
+                   center: str | None = None, before: int = WINDOW_BEFORE,
+                   after: int = WINDOW_AFTER) -> DataFrame:
+    """Sale lines inside candidate windows, in one pass over the lines: all
+    columns, plus festival, holiday_date, holiday_year, days_from_festival,
+    window_days, ``day0`` (the sale is on the holiday itself) and ``chosen``.
+
+    The operators of this module take these lines like those of
+    :func:`window_lines` and leave out windows without a day-0 sale. A centre's
+    choice keeps the day-0 sales of the others, which decide about windows, as
+    not ``chosen``. Windows of up to a year; longer ones go through
+    :func:`tillroll.operators.intervals.interval_join`."""
+    if not (0 <= before <= 365 and 0 <= after <= 365):
+        raise ValueError("a window has 0 to 365 days before and after the holiday")
+    days = _candidate_days(calendar, festivals, before, after)
+    if _is_small(calendar):
+        days = F.broadcast(days)  # at most a row a key, window day and kind of year
+    holiday = F.expr("date_sub(sale_date, CAST(days_from_festival AS INT))")
+    out = (lines.where(on_days("sale_date", calendar, festivals, before, after))
+           .withColumn("_md", F.month("sale_date") * 100 + F.dayofmonth("sale_date")).join(days, "_md")
+           .withColumn("holiday_date", holiday)
+           .where((F.month("holiday_date") == F.col("hol_month")) & (F.dayofmonth("holiday_date") == F.col("hol_day")))
+           .drop("_md", "hol_month", "hol_day")
+           .withColumns({"holiday_year": F.year("holiday_date").cast("long"), "window_days": F.lit(before + after + 1),
+                         "day0": F.col("days_from_festival") == 0,
+                         "chosen": F.lit(True) if center in (None, ALL_CENTERS) else
+                         F.coalesce(F.col("center_name") == F.lit(center), F.lit(False))}))
+    if years is not None:
+        out = apply_filters(out.withColumnRenamed("holiday_year", "_hy"), {"_hy": years}) \
+            .withColumnRenamed("_hy", "holiday_year")
+    return out.where(F.col("chosen") | F.col("day0"))
+
+
+WINDOW_KEYS = ["festival", "holiday_date"]
+
+
+def _chosen(wl: DataFrame, value) -> Column:
+    """A value of the chosen lines, null for the others."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(F.col("chosen"), value) if "chosen" in wl.columns else value
+
+
+def _by_window(wl: DataFrame, keys: list[str], many: bool = False, **aggregates: Column) -> DataFrame:
+    """Window lines grouped by window and ``keys``. Of candidate windows, those
+    with a day-0 line stay: the number of these lines is one more sum of each
+    group, added up by window over the grouped rows. ``many`` is for keys whose
+    groups outgrow a task a window (items, invoices): the sums by window are
+    then a small table of their own, made from the same exchange."""
+    by = [*WINDOW_KEYS, *[k for k in keys if k not in WINDOW_KEYS]]
+    named = [c.alias(n) for n, c in aggregates.items()]
+    if "day0" not in wl.columns:
+        return wl.groupBy(*by).agg(*named)
+    agg = wl.groupBy(*by).agg(*named, F.count_if("day0").alias("_day0"), F.count_if("chosen").alias("_n"))
+    if by == WINDOW_KEYS:
+        kept = agg.where((F.col("_day0") > 0) & (F.col("_n") > 0))
+    elif not many:
+        kept = (agg.withColumn("_w", F.sum("_day0").over(Window.partitionBy(*WINDOW_KEYS)))
+                .where((F.col("_w") > 0) & (F.col("_n") > 0)).drop("_w"))
+    else:
+        # this side reads the same columns as the other, so that both are one exchange and the lines are read once
+        windows = (agg.groupBy(*WINDOW_KEYS).agg(F.sum("_day0").alias("_w"), F.sum("_n").alias("_m"),
+                                                 F.bit_or(F.xxhash64(*aggregates)).alias("_seen"))
+                   .where((F.col("_w") > 0) & (F.col("_m") > 0) & F.col("_seen").isNotNull())
+                   .select(*[F.col(k).alias(f"_{k}") for k in WINDOW_KEYS]))
+        kept = (agg.where(F.col("_n") > 0)
+                .join(windows, [F.col(k) == F.col(f"_{k}") for k in WINDOW_KEYS], "left_semi"))
+    return kept.drop("_day0", "_n")
 
 
 def festival_daily(wl: DataFrame, measure: str = "inc_tax") -> DataFrame:
     """Daily sums inside each window, with the signed day offset, the sale
     year and a 'dd Mon' label."""
-    m = measure_col(measure)
-    out = (wl.groupBy("festival", "holiday_date", "sale_date", "days_from_festival")
-           .agg(F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("sales")))
-    return out.withColumns({"year": F.year("sale_date").cast("long"),
-                            "day_label": F.date_format("sale_date", "dd MMM")})
+    sums = _by_window(wl, ["sale_date", "days_from_festival"], _sales=F.sum(_chosen(wl, measure_col(measure))))
+    return sums.select(*WINDOW_KEYS, "sale_date", "days_from_festival",
+                       F.coalesce("_sales", F.lit(0)).cast("double").alias("sales"),
+                       F.year("sale_date").cast("long").alias("year"),
+                       F.date_format("sale_date", "dd MMM").alias("day_label"))
 
 
 def festival_performance(wl: DataFrame, measure: str = "inc_tax", by_center: bool = False,
                          center_label: str = ALL_CENTERS) -> DataFrame:
     """Window total and average daily sales per festival and holiday date
     (per centre too with ``by_center``), keeping windows with sales > 0,
-    largest first."""
-    m = measure_col(measure)
-    keys = ["festival", "holiday_date"] + (["center_name"] if by_center else [])
-    agg = (wl.where(not_null(keys)).groupBy(*keys)
-           .agg(F.coalesce(F.sum(m), F.lit(0)).alias("_total")))
-    out = agg.where(F.col("_total") > 0).select(
+    largest first. The average is over the days of the window."""
+    keys = ["center_name"] if by_center else []
+    days = F.max("window_days") if "window_days" in wl.columns else F.lit(WINDOW_DIVISOR)
+    agg = _by_window(wl, keys, _total=F.sum(_chosen(wl, measure_col(measure))), _days=days)
+    out = agg.where(not_null([*WINDOW_KEYS, *keys]) & (F.col("_total") > 0)).select(
         "festival", F.year("holiday_date").cast("long").alias("year"), "holiday_date",
         (F.col("center_name") if by_center else F.lit(center_label)).alias("center"),
         F.col("_total").cast("double").alias("total_window_sales"),
-        (F.col("_total").cast("double") / F.lit(float(WINDOW_DIVISOR))).alias("average_daily_sales"))
+        (F.col("_total").cast("double") / F.col("_days").cast("double")).alias("average_daily_sales"))
     return out.orderBy(F.desc("total_window_sales"), "festival", "holiday_date", "center")
 
 
-def breakdown(wl: DataFrame, keys: list[str], measure: str = "inc_tax") -> DataFrame:
-    """Sum of window sales by keys; ``year`` means the sale's year."""
+def _window_sums(wl: DataFrame, keys: list[str], measure: str, many: bool = False) -> DataFrame:
+    """Exact sums of window sales by ``keys`` (none null), as ``_sales``."""
+    m = measure_col(measure)
+    if "day0" not in wl.columns:
+        return sum_by(wl, keys, m, "_sales", exact=True)
+    return (_by_window(wl, keys, many, _sales=F.sum(_chosen(wl, m))).where(not_null(keys))
+            .groupBy(*keys).agg(F.coalesce(F.sum("_sales"), F.lit(0)).alias("_sales")))
+
+
+def breakdown(wl: DataFrame, keys: list[str], measure: str = "inc_tax", many: bool = False) -> DataFrame:
+    """Sum of window sales by keys; ``year`` means the sale's year. ``many``
+    says that the keys have many values (see :func:`_by_window`)."""
     src = wl.withColumn("year", F.year("sale_date").cast("long")) if "year" in keys else wl
-    return sum_by(src, keys, measure, "sales")
+    return _window_sums(src, keys, measure, many).select(*keys, F.col("_sales").cast("double").alias("sales"))
 
 
 def center_business_top(wl: DataFrame, k: int = 10, measure: str = "inc_tax") -> DataFrame:
@@ -269,9 +370,9 @@ def center_business_top(wl: DataFrame, k: int = 10, measure: str = "inc_tax") ->
     centre's total counts all its lines, also those without a business unit;
     the exchange of the sums is reused), and the top k (at most k rows,
     broadcast) select the output rows."""
-    m = measure_col(measure)
-    cb = (wl.where(F.col("center_name").isNotNull()).groupBy("center_name", "business_unit")
-          .agg(F.coalesce(F.sum(m), F.lit(0)).alias("sales")))
+    sums = _by_window(wl, ["center_name", "business_unit"], _sales=F.sum(_chosen(wl, measure_col(measure))))
+    cb = (sums.where(F.col("center_name").isNotNull()).groupBy("center_name", "business_unit")
+          .agg(F.coalesce(F.sum("_sales"), F.lit(0)).alias("sales")))
     top = (cb.groupBy("center_name").agg(F.sum("sales").alias("_c"))
            .orderBy(F.desc("_c"), "center_name").limit(k).select("center_name"))
     return (cb.where(F.col("business_unit").isNotNull())
@@ -280,49 +381,84 @@ def center_business_top(wl: DataFrame, k: int = 10, measure: str = "inc_tax") ->
 
 
 def top_items(wl: DataFrame, k: int = 15, measure: str = "inc_tax") -> DataFrame:
-    return (sum_by(wl, ["item_name"], measure, "sales")
+    """The k items with the most window sales."""
+    return (breakdown(wl, ["item_name"], measure, many=True)
             .orderBy(F.desc("sales"), "item_name").limit(k))
 
 
 def top_item_counts(wl: DataFrame, k: int = 15) -> DataFrame:
-    return (wl.where(F.col("item_name").isNotNull()).groupBy("item_name")
-            .agg(F.count(F.lit(1)).alias("count"))
+    """The k items with the most window lines."""
+    counts = _by_window(wl, ["item_name"], many=True, _lines=F.count(_chosen(wl, F.lit(1))))
+    return (counts.where(F.col("item_name").isNotNull()).groupBy("item_name")
+            .agg(F.sum("_lines").alias("count"))
             .orderBy(F.desc("count"), "item_name").limit(k))
 
 
 def service_summary(wl: DataFrame, k: int = 20, measure: str = "inc_tax") -> DataFrame:
     """Top-k (item, category, business unit) by revenue with distinct
-    invoices and average price (revenue / invoices)."""
-    m = measure_col(measure)
+    invoices and average price (revenue / invoices). Lines are summed by
+    invoice first, so an invoice in two windows counts once."""
     keys = ["item_name", "item_category", "business_unit"]
-    agg = (wl.where(not_null(keys)).groupBy(*keys)
-           .agg(F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("revenue"),
+    sums = _by_window(wl, [*keys, "invoice_no"], many=True, _sales=F.sum(_chosen(wl, measure_col(measure))))
+    agg = (sums.where(not_null(keys)).groupBy(*keys)
+           .agg(F.coalesce(F.sum("_sales"), F.lit(0)).cast("double").alias("revenue"),
                 F.countDistinct("invoice_no").alias("service_count")))
     agg = agg.withColumn("average_price",
                          F.try_divide(F.col("revenue"), F.col("service_count").cast("double")))
     return agg.orderBy(F.desc("revenue"), *keys).limit(k)
 
 
-def daily_traffic(wl: DataFrame, festival_days: DataFrame, measure: str = "inc_tax") -> DataFrame:
-    """Distinct invoices and revenue per day over the windows, zero-filled
-    for every day from the first to the last window day, with the festival
-    days flagged. Each day is followed by empty days up to the next one; only
-    the daily rows (one a day) are ordered in one task."""
-    m = measure_col(measure)
-    daily = (wl.groupBy("sale_date")
-             .agg(F.countDistinct("invoice_no").alias("invoices"),
-                  F.coalesce(F.sum(m), F.lit(0)).cast("double").alias("revenue")))
-    upto = F.coalesce(F.date_sub(F.lead("sale_date").over(Window.orderBy("sale_date")), 1), F.col("sale_date"))
-    filled = daily.withColumn("_upto", upto).withColumn("_day", F.explode(F.sequence("sale_date", "_upto")))
+def fill_days(daily: DataFrame, series: list[str], zeros: dict[str, object]) -> DataFrame:
+    """``daily`` (series, sale_date, columns of ``zeros``; at most a row a day
+    and series) with a row for every day from a series' first to its last; a
+    day without a row has the values of ``zeros``. Rows with a null date or
+    series are left out.
+
+    Each row knows the next one's date and is followed by the empty days up to
+    it. A series is ordered by itself; it has a row a day at most. Where there
+    is one series only, it is ordered by year, and the first days of the years
+    (one array, a date a year) carry over the boundary."""
+    src = daily.where(not_null([*series, "sale_date"])).select(*series, "sale_date", *zeros)
+    if series:
+        after = F.lead("sale_date").over(Window.partitionBy(*series).orderBy("sale_date"))
+    else:
+        heads = src.groupBy(F.year("sale_date").alias("_y")).agg(F.min("sale_date").alias("_h")).select(
+            F.collect_list("_h")).scalar()
+        within = F.lead("sale_date").over(Window.partitionBy(F.year("sale_date")).orderBy("sale_date"))
+        src = src.withColumn("_heads", heads)
+        after = F.coalesce(within, F.array_min(F.filter("_heads", lambda h: h > F.col("sale_date"))))
+    upto = F.coalesce(F.date_sub(after, 1), F.col("sale_date"))
+    days = src.withColumn("_upto", upto).withColumn("_day", F.explode(F.sequence("sale_date", "_upto")))
     first = F.col("_day") == F.col("sale_date")
-    marks = festival_days.select(F.col("holiday_date").alias("sale_date")).distinct() \
-        .withColumn("is_festival", F.lit(True))
-    out = filled.select(F.col("_day").alias("sale_date"),
-                        F.when(first, F.col("invoices")).otherwise(0).cast("long").alias("invoices"),
-                        F.when(first, F.col("revenue")).otherwise(0.0).alias("revenue")) \
-        .join(marks, "sale_date", "left")
-    return out.select("sale_date", "invoices", "revenue",
-                      F.coalesce("is_festival", F.lit(False)).alias("is_festival"))
+    return days.select(*series, F.col("_day").alias("sale_date"),
+                       *[F.when(first, F.col(c)).otherwise(F.lit(z)).alias(c) for c, z in zeros.items()])
+
+
+def daily_traffic(wl: DataFrame, festival_days: DataFrame | None = None, measure: str = "inc_tax",
+                  series: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct invoices and revenue per day over the windows, zero-filled
+    for every day from the first to the last window day (of each series, for
+    example a centre or an item), with the festival days flagged.
+
+    ``festival_days`` (holiday_date) names the days to flag. Without it they
+    are those of the windows of :func:`festival_lines` that have a sale of the
+    series on the holiday. A day in several windows counts once a window in the
+    revenue, and its invoices once."""
+    series = list(series)
+    sums = _by_window(wl, [*series, "sale_date"], many=bool(series), _sales=F.sum(_chosen(wl, measure_col(measure))),
+                      _invoices=F.countDistinct(_chosen(wl, "invoice_no"))) if "day0" in wl.columns else \
+        wl.groupBy(*series, "sale_date").agg(F.sum(measure_col(measure)).alias("_sales"),
+                                             F.countDistinct("invoice_no").alias("_invoices"))
+    on_day = F.max(F.col("holiday_date") == F.col("sale_date")) if "day0" in wl.columns else F.lit(False)
+    daily = (sums.groupBy(*series, "sale_date")
+             .agg(F.max("_invoices").alias("invoices"), F.coalesce(F.sum("_sales"), F.lit(0)).cast("double").alias("revenue"),
+                  on_day.alias("is_festival")))
+    filled = fill_days(daily, series, {"invoices": 0, "revenue": 0.0, "is_festival": False})
+    if festival_days is not None:
+        marks = festival_days.select(F.col("holiday_date").alias("sale_date")).distinct().withColumn("_mark", F.lit(True))
+        filled = (filled.drop("is_festival").join(marks, "sale_date", "left")
+                  .withColumn("is_festival", F.coalesce("_mark", F.lit(False))))
+    return filled.select(*series, "sale_date", F.col("invoices").cast("long").alias("invoices"), "revenue", "is_festival")
 
 
 def calendar_summary(lines: DataFrame, calendar: DataFrame, measure: str = "inc_tax") -> DataFrame:

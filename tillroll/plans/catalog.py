@@ -24,10 +24,9 @@ from ..operators.growth import (
     center_growth, center_projection, outlet_growth, outlet_pivot_table, yearly_growth)
 from ..operators.holidays import (
     basic_calendar, breakdown, calendar_source_rows, calendar_summary, center_business_top, daily_traffic,
-    default_calendar, festival_daily, festival_performance, holiday_dates, holiday_sales,
+    default_calendar, festival_daily, festival_lines, festival_performance, holiday_dates, holiday_sales,
     read_calendar,
-    select_holiday_rows, service_summary, top_item_counts, top_items, window_days_table,
-    window_lines)
+    select_holiday_rows, service_summary, top_item_counts, top_items)
 from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
 from ..schemas import HOLIDAY_CALENDAR, RAW_SALES_TEXT, SERVICE_MART
 from ..session import scratch_path
@@ -410,15 +409,9 @@ def _calendar(spark):
     return default_calendar(spark)
 
 
-def _dates(spark, sf_dir):
-    """Same sale dates as the lines, without the dimension joins."""
-    return sales_lines(spark, sf_dir, items=False, calendar_parts=False, outlets=False)
-
-
 def _window(spark, sf_dir, festivals=None, center=None, items=True, outlets=True):
     lines = sales_lines(spark, sf_dir, items=items, outlets=outlets)
-    return window_lines(lines, _calendar(spark), festivals=festivals, center=center,
-                        dates=_dates(spark, sf_dir))
+    return festival_lines(lines, _calendar(spark), festivals=festivals, center=center)
 
 
 @query
@@ -536,12 +529,13 @@ def q_festival_service_summary(spark, sf_dir):
 
 @query
 def q_festival_traffic(spark, sf_dir):
-    lines = sales_lines(spark, sf_dir, items=False, outlets=False)
-    cal = _calendar(spark)
-    days = window_days_table(_dates(spark, sf_dir), cal, festivals=[FESTIVAL])
-    wl = window_lines(lines, cal, festivals=[FESTIVAL], days=days)
-    festival_days = days.where(F.col("days_from_festival") == 0)
-    return daily_traffic(wl, festival_days)
+    return daily_traffic(_window(spark, sf_dir, [FESTIVAL], items=False, outlets=False))
+
+
+@query
+def q_festival_traffic_series(spark, sf_dir):
+    """Gap-filled daily traffic of every centre and item category."""
+    return daily_traffic(_window(spark, sf_dir, [FESTIVAL]), series=("center_name", "item_category"))
 
 
 # ---- growth -----------------------------------------------------------------
@@ -731,6 +725,7 @@ SURVEY_IDS = {
     "q_festival_service_counts": "A23, T3",
     "q_festival_service_summary": "A23, P21, T3",
     "q_festival_traffic": "A25, P26, J6",
+    "q_festival_traffic_series": "A25, P26",
     "q_outlet_pivot": "W1",
     "q_outlet_growth": "W2, X8, P23",
     "q_center_growth": "W3, X9",

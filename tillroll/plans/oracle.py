@@ -431,6 +431,18 @@ SELECT s.sale_date, CAST(coalesce(d.invoices, 0) AS BIGINT) AS invoices, coalesc
        s.sale_date IN (SELECT holiday_date FROM hdates WHERE festival = 'New Year') AS is_festival
 FROM spine s LEFT JOIN daily d ON s.sale_date = d.sale_date"""
 
+ORACLE["q_festival_traffic_series"] = _wl("New Year") + """,
+daily AS (SELECT center_name, item_category, sale_date, count(DISTINCT invoice_no) AS invoices,
+                 CAST(coalesce(sum(amount), 0) AS DOUBLE) AS revenue, bool_or(sale_date = holiday_date) AS on_day
+          FROM wl WHERE center_name IS NOT NULL AND item_category IS NOT NULL GROUP BY 1, 2, 3),
+spine AS (SELECT center_name, item_category,
+                 CAST(unnest(generate_series(min(sale_date), max(sale_date), INTERVAL 1 DAY)) AS DATE) AS sale_date
+          FROM daily GROUP BY 1, 2)
+SELECT s.center_name, s.item_category, s.sale_date, CAST(coalesce(d.invoices, 0) AS BIGINT) AS invoices,
+       coalesce(d.revenue, 0.0) AS revenue, coalesce(d.on_day, false) AS is_festival
+FROM spine s LEFT JOIN daily d ON s.center_name = d.center_name AND s.item_category = d.item_category
+  AND s.sale_date = d.sale_date"""
+
 _YEARS = [str(y) for y in range(1995, 2002)]
 _MONTHNUM = f"CAST(coalesce(list_position({MONTH_LIST}, month), 0) AS INTEGER)"
 _OY = """,

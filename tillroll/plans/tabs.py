@@ -77,10 +77,12 @@ class SalesTabs:
     def holidays_analysis(self, festival: str, years=None,
                           center: str | None = None) -> dict[str, DataFrame]:
         hs = H.holiday_sales(self.lines, self.calendar, self.measure)
-        days = H.window_days_table(self.lines, self.calendar, years=years)
-        chosen = days.where(F.col("festival") == F.lit(festival))
-        wl_all = H.window_lines(self.lines, self.calendar, center=center, days=days)
-        wl = H.window_lines(self.lines, self.calendar, center=center, days=chosen)
+        wl_all = H.festival_lines(self.lines, self.calendar, years=years, center=center)
+        wl = H.festival_lines(self.lines, self.calendar, [festival], years, center)
+        marks = None
+        if center not in (None, H.ALL_CENTERS):  # a holiday is flagged though the centre sold nothing on it
+            marks = H.window_days_table(self.lines, self.calendar, [festival], years) \
+                .where(F.col("days_from_festival") == 0)
         out = {"holiday_sales": H.select_holiday_rows(hs, years, center),
                "daily": H.festival_daily(wl, self.measure),
                "performance": H.festival_performance(wl_all, self.measure),
@@ -91,8 +93,7 @@ class SalesTabs:
                "top_services": H.top_items(wl, 15, self.measure),
                "service_counts": H.top_item_counts(wl, 15),
                "service_summary": H.service_summary(wl, 20, self.measure),
-               "traffic": H.daily_traffic(wl, chosen.where(F.col("days_from_festival") == 0),
-                                          self.measure)}
+               "traffic": H.daily_traffic(wl, marks, self.measure)}
         if center in (None, H.ALL_CENTERS):
             out["center_business_top10"] = H.center_business_top(wl, 10, self.measure)
         return out
