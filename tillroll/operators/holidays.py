@@ -20,7 +20,8 @@ Plan shape (no nested loops, no range join, no cross join):
   sale that falls into several festivals' windows is attributed to each.
 * ``window_lines`` gives the lines themselves for windows that count; it reads
   the sale dates first, as a second pass.
-* Nothing reads the sales while a frame is built.
+* Nothing reads the sales while a frame is built, but for breakdowns by keys of
+  many values (items), which store their sums by window once.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql.window import Window
 from ..functions.clean import parse_date
 from ..schemas import (BASIC_HOLIDAYS, CALENDAR_TEXT, HOLIDAY_CALENDAR, WINDOW_AFTER,
                        WINDOW_BEFORE, WINDOW_DIVISOR)
+from ..session import cut_lineage
 from .common import apply_filters, measure_col, not_null, row_count_at_most, sum_by
 
 ALL_CENTERS = "All Centers"
@@ -298,8 +300,9 @@ def _by_window(wl: DataFrame, keys: list[str], many: bool = False, **aggregates:
     """Window lines grouped by window and ``keys``. Of candidate windows, those
     with a day-0 line stay: the number of these lines is one more sum of each
     group, added up by window over the grouped rows. ``many`` is for keys whose
-    groups outgrow a task a window (items, invoices): the sums by window are
-    then a small table of their own, made from the same exchange."""
+    groups outgrow a task a window (items, invoices): the grouped rows are then
+    stored once while the frame is built, and the windows that count are a
+    small table made from them."""
     by = [*WINDOW_KEYS, *[k for k in keys if k not in WINDOW_KEYS]]
     named = [c.alias(n) for n, c in aggregates.items()]
     if "day0" not in wl.columns:
@@ -311,10 +314,8 @@ def _by_window(wl: DataFrame, keys: list[str], many: bool = False, **aggregates:
         kept = (agg.withColumn("_w", F.sum("_day0").over(Window.partitionBy(*WINDOW_KEYS)))
                 .where((F.col("_w") > 0) & (F.col("_n") > 0)).drop("_w"))
     else:
-        # this side reads the same columns as the other, so that both are one exchange and the lines are read once
-        windows = (agg.groupBy(*WINDOW_KEYS).agg(F.sum("_day0").alias("_w"), F.sum("_n").alias("_m"),
-                                                 F.bit_or(F.xxhash64(*aggregates)).alias("_seen"))
-                   .where((F.col("_w") > 0) & (F.col("_m") > 0) & F.col("_seen").isNotNull())
+        agg = cut_lineage(agg)
+        windows = (agg.groupBy(*WINDOW_KEYS).agg(F.sum("_day0").alias("_w")).where(F.col("_w") > 0)
                    .select(*[F.col(k).alias(f"_{k}") for k in WINDOW_KEYS]))
         kept = (agg.where(F.col("_n") > 0)
                 .join(windows, [F.col(k) == F.col(f"_{k}") for k in WINDOW_KEYS], "left_semi"))
