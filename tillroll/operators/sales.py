@@ -29,6 +29,18 @@ def abv(sales: Column | str, bills: Column | str) -> Column:
     return F.when(b > 0, s.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
+def keyed_lines(lines: DataFrame) -> tuple[DataFrame, list[str], list[Column]]:
+    """The lines with the mart's grouping columns, their names, and the year
+    and month labels made from them. Lines with a date are grouped on compact
+    integer date parts, and the labels rendered on the aggregated rows."""
+    dated = "sale_date" in lines.columns
+    year, month = (F.year("sale_date"), F.month("sale_date")) if dated else (F.col("year"), F.col("month"))
+    keyed = lines.withColumns({"_y": year, "_m": month, "outlet_name": F.col("center_name"), "brand": brand_of(lines)})
+    labels = ([F.col("_y").cast("string").alias("year"), month_label(F.col("_m")).alias("month")] if dated
+              else [F.col("_y").alias("year"), F.col("_m").alias("month")])
+    return keyed, ["_y", "_m", "outlet_name", "brand"], labels
+
+
 def monthly_outlet(lines: DataFrame, measure: str = "inc_tax",
                    one_row_per_invoice: bool = False) -> DataFrame:
     """Monthly outlet mart: sales, distinct bills and ABV by year, month,
@@ -38,23 +50,10 @@ def monthly_outlet(lines: DataFrame, measure: str = "inc_tax",
     by invoice (``one_row_per_invoice``) the distinct count is a plain count."""
     m = measure_col(measure)
     bills = F.count("invoice_no") if one_row_per_invoice else F.countDistinct("invoice_no")
-    if "sale_date" in lines.columns:
-        # Group on compact integer date parts and render the year / month
-        # labels on the aggregated rows, not on every line.
-        year, month = F.year("sale_date"), F.month("sale_date")
-    else:
-        year, month = F.col("year"), F.col("month")
-    keyed = lines.select(
-        year.alias("_y"), month.alias("_m"), F.col("center_name").alias("outlet_name"),
-        brand_of(lines).alias("brand"), F.col("invoice_no"), F.col(m))
-    keys = ["_y", "_m", "outlet_name", "brand"]
-    mart = (keyed.where(not_null(keys)).groupBy(*keys)
+    keyed, keys, labels = keyed_lines(lines)
+    mart = (keyed.select(*keys, "invoice_no", m).where(not_null(keys)).groupBy(*keys)
             .agg(F.coalesce(F.sum(m), F.lit(0)).alias("mtd_sales"),
                  bills.alias("mtd_bills")))
-    if "sale_date" in lines.columns:
-        labels = [F.col("_y").cast("string").alias("year"), month_label(F.col("_m")).alias("month")]
-    else:
-        labels = [F.col("_y").alias("year"), F.col("_m").alias("month")]
     return mart.select(*labels, "outlet_name", "brand", "mtd_sales", "mtd_bills",
                        abv("mtd_sales", "mtd_bills").alias("mtd_abv"))
 
@@ -62,14 +61,18 @@ def monthly_outlet(lines: DataFrame, measure: str = "inc_tax",
 def kpis(mart: DataFrame, filters: Mapping[str, object] | None = None,
          lines: DataFrame | None = None) -> DataFrame:
     """Headline figures over the (optionally filtered) monthly mart. An
-    invoice that spans mart rows counts in each; with the sale ``lines``, to
-    which the caller has applied the same choices, ``distinct_bills`` counts
-    every invoice once."""
+    invoice that spans mart rows counts in each; a mart with the bills
+    themselves (``bills.bill_mart``) gives ``distinct_bills`` too, which counts
+    every invoice once. So do the sale ``lines``, to which the caller has
+    applied the same choices."""
     f = apply_filters(mart, filters)
     out = f.agg(F.coalesce(F.sum("mtd_sales"), F.lit(0)).alias("total_sales"),
                 F.coalesce(F.sum("mtd_bills"), F.lit(0)).cast("long").alias("total_bills"),
                 F.countDistinct("outlet_name").alias("total_outlets"))
-    if lines is not None:
+    if "bills" in mart.columns:
+        from .bills import distinct_bills
+        out = out.withColumn("distinct_bills", distinct_bills(f).scalar())
+    elif lines is not None:
         out = out.withColumn("distinct_bills", lines.select(F.countDistinct("invoice_no")).scalar())
     return out.withColumns({
         "avg_bill_value": abv("total_sales", "total_bills"),

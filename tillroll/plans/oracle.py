@@ -46,6 +46,25 @@ ORACLE["q_kpis"] = _kpi().replace("SELECT CAST(coalesce(sum(mtd_sales)", "SELECT
                                   "FROM sales_lines) AS distinct_bills, CAST(coalesce(sum(mtd_sales)", 1)
 ORACLE["q_kpis_filtered"] = _kpi("WHERE year = '1996' AND brand = 'BUILDING'")
 
+SHARED_BILLS = """,
+bills AS (SELECT year, month, center_name AS outlet_name, coalesce(nullif(business_unit, 'nan'), 'Other') AS brand,
+                 invoice_no // 8 AS bill, sales_inc_tax FROM sales_lines WHERE center_name IS NOT NULL)
+"""
+ORACLE["q_distinct_bills"] = with_ctes(SALES_LINES_SQL) + SHARED_BILLS + """
+SELECT 'all' AS dimension, 'all' AS value, count(DISTINCT bill) AS distinct_bills FROM bills
+UNION ALL SELECT 'year', year, count(DISTINCT bill) FROM bills GROUP BY year
+UNION ALL SELECT 'outlet_name', outlet_name, count(DISTINCT bill) FROM bills GROUP BY outlet_name
+UNION ALL SELECT 'brand', brand, count(DISTINCT bill) FROM bills GROUP BY brand"""
+ORACLE["q_kpis_shared_bills"] = with_ctes(SALES_LINES_SQL) + SHARED_BILLS + """,
+mart_rows AS (SELECT year, month, outlet_name, brand, sum(sales_inc_tax) AS s, count(DISTINCT bill) AS n FROM bills GROUP BY ALL),
+chosen AS (SELECT * FROM mart_rows WHERE year IN ('1996', '1997') AND brand = 'BUILDING')
+SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS total_sales, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_bills,
+       count(DISTINCT outlet_name) AS total_outlets,
+       (SELECT count(DISTINCT bill) FROM bills WHERE year IN ('1996', '1997') AND brand = 'BUILDING') AS distinct_bills,
+       CASE WHEN sum(n) > 0 THEN CAST(sum(s) AS DOUBLE) / CAST(sum(n) AS DOUBLE) ELSE 0.0 END AS avg_bill_value,
+       CAST(CAST(coalesce(sum(n), 0) AS BIGINT) AS VARCHAR) AS total_bills_text
+FROM chosen"""
+
 OUTLET_SALES = """SELECT outlet_name, CAST(coalesce(sum(mtd_sales), 0) AS DOUBLE) AS mtd_sales
 FROM monthly WHERE outlet_name IS NOT NULL GROUP BY outlet_name"""
 
