@@ -28,12 +28,13 @@ from ..operators.holidays import (
     default_calendar, festival_daily, festival_lines, festival_performance, holiday_dates, holiday_sales,
     read_calendar,
     select_holiday_rows, service_summary, top_item_counts, top_items)
+from ..operators.lattice import Lattice, build_lattice
 from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
 from ..schemas import HOLIDAY_CALENDAR, RAW_SALES_TEXT, SERVICE_MART
 from ..session import cut_lineage, scratch_path
 from ..sources.files import (
     ensure_mart, load_mart, preprocess_monthly_sheet, read_table, upsert, write_table)
-from ..sources.testbed import invoice_lines, sales_lines
+from ..sources.testbed import _alive as session_alive, invoice_lines, sales_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -190,6 +191,44 @@ def q_center_year_dense(spark, sf_dir):
     return dense_sum(lines, "center_name", "year", "inc_tax", "sales", chosen)
 
 
+# One lattice per session and folder, as a dashboard has it: stored once, then
+# every mix view reads its smallest table.
+_LATTICES: dict[tuple, tuple[SparkSession, Lattice]] = {}
+
+
+def _lattice(spark, sf_dir) -> Lattice:
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _LATTICES or _LATTICES[key][0] is not spark or not session_alive(spark):
+        _LATTICES.clear()
+        _LATTICES[key] = (spark, build_lattice(sales_lines(spark, sf_dir), scratch_path(spark, "lattice")))
+    return _LATTICES[key][1]
+
+
+@query
+def q_lattice_mix_filtered(spark, sf_dir):
+    """q_mix_filtered from stored sums."""
+    return S.mix(_lattice(spark, sf_dir).lines_for(["item_category"], MIX_FILTERS), "item_category", filters=MIX_FILTERS)
+
+
+@query
+def q_lattice_top_categories(spark, sf_dir):
+    """q_top_categories from stored sums."""
+    keys = ["item_category", "business_unit"]
+    return S.top_pairs(_lattice(spark, sf_dir).lines_for(keys), keys, 15)
+
+
+@query
+def q_lattice_center_year(spark, sf_dir):
+    """q_center_year from stored sums."""
+    return sum_by(_lattice(spark, sf_dir).lines_for(["center_name", "year"]), ["center_name", "year"], "inc_tax", "sales")
+
+
+@query
+def q_lattice_hierarchy(spark, sf_dir):
+    """The hierarchy from stored sums."""
+    return hierarchy(_lattice(spark, sf_dir).lines_for(["business_unit", "item_category"]))
+
+
 @query
 def q_rows_per_year(spark, sf_dir):
     return S.rows_per_year(sales_lines(spark, sf_dir, items=False, calendar_parts=False,
@@ -712,6 +751,10 @@ SURVEY_IDS = {
     "q_top_categories": "A13, T3",
     "q_center_year": "A14",
     "q_center_year_dense": "J7, D-2",
+    "q_lattice_mix_filtered": "F1, F2, A9",
+    "q_lattice_top_categories": "A13, T3",
+    "q_lattice_center_year": "A14",
+    "q_lattice_hierarchy": "A12, F8",
     "q_rows_per_year": "S10, A24",
     "q_date_range": "A24",
     "q_filter_values": "A27",

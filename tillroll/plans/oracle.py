@@ -152,6 +152,10 @@ grid AS (
 SELECT g.center_name, g.year, coalesce(a.sales, 0.0) AS sales
 FROM grid g LEFT JOIN agg a ON g.center_name = a.center_name AND g.year = a.year"""
 
+ORACLE["q_lattice_mix_filtered"] = ORACLE["q_mix_filtered"]
+ORACLE["q_lattice_top_categories"] = ORACLE["q_top_categories"]
+ORACLE["q_lattice_center_year"] = ORACLE["q_center_year"]
+
 ORACLE["q_rows_per_year"] = with_ctes(SALES_LINES_SQL) + """
 SELECT CAST(year(sale_date) AS BIGINT) AS year, count(*) AS rows FROM sales_lines GROUP BY 1"""
 
@@ -322,6 +326,7 @@ leaves AS (
 ORACLE["q_hierarchy"] = with_ctes(SALES_LINES_SQL, HIER_LEAVES) + """
 SELECT business_unit, item_category, CAST(sales AS DOUBLE) AS sales FROM leaves"""
 
+ORACLE["q_lattice_hierarchy"] = ORACLE["q_hierarchy"]
 ORACLE["q_hierarchy_rollup"] = with_ctes(SALES_LINES_SQL, HIER_LEAVES) + """
 SELECT business_unit, item_category, CAST(sum(sales) AS DOUBLE) AS sales,
        CAST(grouping(business_unit, item_category) AS INTEGER) AS level
