@@ -30,6 +30,7 @@ from ..operators.holidays import (
     select_holiday_rows, service_summary, top_item_counts, top_items)
 from ..operators.lattice import Lattice, build_lattice
 from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
+from ..operators.topk import top_counts, top_sums
 from ..schemas import HOLIDAY_CALENDAR, RAW_SALES_TEXT, SERVICE_MART
 from ..session import cut_lineage, scratch_path
 from ..sources.files import (
@@ -178,6 +179,31 @@ def q_top_categories(spark, sf_dir):
     return S.top_pairs(sales_lines(spark, sf_dir), ["item_category", "business_unit"], 15)
 
 
+@query
+def q_top_items_pruned(spark, sf_dir):
+    """The best items of all, by pruned sums. Items sell much alike here, so
+    the bound fails and all are summed."""
+    return top_sums(sales_lines(spark, sf_dir, outlets=False), ["item_name"], 15)
+
+
+@query
+def q_top_keys_skewed(spark, sf_dir):
+    """Pruned top k over keys of very unlike weight, some of them null."""
+    r = F.pmod(F.col("invoice_no") * 7919, F.lit(100_003))
+    key = F.when(r != 17, F.floor(F.lit(1_000_000) / (r + 1)).cast("string"))
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False, outlets=False).withColumn("item_name", key)
+    return top_sums(lines, ["item_name"], 15, "exc_tax")
+
+
+@query
+def q_top_counts_skewed(spark, sf_dir):
+    """The same keys by number of lines, in the years chosen."""
+    r = F.pmod(F.col("invoice_no") * 7919, F.lit(100_003))
+    lines = sales_lines(spark, sf_dir, items=False, outlets=False).withColumn(
+        "item_name", F.floor(F.lit(1_000_000) / (r + 1)).cast("string"))
+    return top_counts(lines, ["item_name", "year"], 20, {"year": ["1996", "1997", "1998"]})
+
+
 @query
 def q_center_year(spark, sf_dir):
     return sum_by(sales_lines(spark, sf_dir, items=False), ["center_name", "year"],
@@ -749,6 +775,9 @@ SURVEY_IDS = {
     "q_mix_filtered": "F2, A9",
     "q_business_unit_rollup": "A11",
     "q_top_categories": "A13, T3",
+    "q_top_items_pruned": "A23, T3",
+    "q_top_keys_skewed": "A13, T3",
+    "q_top_counts_skewed": "A23, T3, F5",
     "q_center_year": "A14",
     "q_center_year_dense": "J7, D-2",
     "q_lattice_mix_filtered": "F1, F2, A9",

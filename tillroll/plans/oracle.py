@@ -132,6 +132,17 @@ SELECT item_category, business_unit, CAST(coalesce(sum(sales_inc_tax), 0) AS DOU
 FROM sales_lines WHERE item_category IS NOT NULL AND business_unit IS NOT NULL
 GROUP BY 1, 2 ORDER BY sales DESC, item_category, business_unit LIMIT 15"""
 
+ORACLE["q_top_items_pruned"] = with_ctes(SALES_LINES_SQL) + """
+SELECT item_name, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales FROM sales_lines
+WHERE item_name IS NOT NULL GROUP BY 1 ORDER BY sales DESC, item_name LIMIT 15"""
+ORACLE["q_top_keys_skewed"] = with_ctes(SALES_LINES_SQL) + """
+SELECT CAST(1000000 // ((invoice_no * 7919) % 100003 + 1) AS VARCHAR) AS item_name,
+       CAST(coalesce(sum(sales_exc_tax), 0) AS DOUBLE) AS sales
+FROM sales_lines WHERE (invoice_no * 7919) % 100003 <> 17 GROUP BY 1 ORDER BY sales DESC, item_name LIMIT 15"""
+ORACLE["q_top_counts_skewed"] = with_ctes(SALES_LINES_SQL) + """
+SELECT CAST(1000000 // ((invoice_no * 7919) % 100003 + 1) AS VARCHAR) AS item_name, year, count(*) AS count
+FROM sales_lines WHERE year IN ('1996', '1997', '1998') GROUP BY 1, 2 ORDER BY count DESC, item_name, year LIMIT 20"""
+
 ORACLE["q_center_year"] = with_ctes(SALES_LINES_SQL) + """
 SELECT center_name, year, CAST(coalesce(sum(sales_inc_tax), 0) AS DOUBLE) AS sales
 FROM sales_lines WHERE center_name IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2"""
