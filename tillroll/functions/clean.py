@@ -34,9 +34,14 @@ def clean_currency_columns(df: DataFrame, columns, to: T.DataType = MONEY) -> Da
     return df.withColumns({c: clean_currency(c, to) for c in present})
 
 
+def without_time(c: Column | str) -> Column:
+    """The text of a date, trimmed and without a time of day."""
+    return F.regexp_replace(F.trim(_col(c).cast("string")), _TIME_OF_DAY, "$1")
+
+
 def parse_date(c: Column | str, formats=DATE_FORMATS) -> Column:
     """Text or timestamp to DATE; unparseable or impossible dates give NULL."""
-    as_text = F.regexp_replace(F.trim(_col(c).cast("string")), _TIME_OF_DAY, "$1")
+    as_text = without_time(c)
     return F.coalesce(*[F.try_to_timestamp(as_text, F.lit(f)).cast("date") for f in formats])
 
 
@@ -111,7 +116,7 @@ def invalid_dates(raw: DataFrame) -> DataFrame:
     return renamed.where(parse_date_of(renamed, "sale_date").isNull()).toDF(*raw.columns)
 
 
-def normalize_sales(raw: DataFrame) -> DataFrame:
+def normalize_sales(raw: DataFrame, source: str | None = None, day_first=None) -> DataFrame:
     """Raw sale lines (source headers or database columns, text values) ->
     canonical sale lines.
 
@@ -119,12 +124,21 @@ def normalize_sales(raw: DataFrame) -> DataFrame:
     date and drops rows whose date is invalid (:func:`invalid_dates` returns
     those). Missing optional columns are added as typed NULLs so downstream
     code sees one fixed schema; rows without any sales measure are an error.
+
+    Dates of numbers with slashes are read month first, others day first. With
+    ``source``, a column that names the file of each row, the order of day and
+    month follows the votes of all dates of the file (``functions.dates``);
+    ``day_first`` overrides it by file or column.
     """
     from ..schemas import MEASURES, SALES_LINES
     renamed = _renamed(raw)
     if not set(MEASURES.values()) & set(renamed.columns):
         raise ValueError(f"no sales measure among the columns {raw.columns}")
-    out = renamed.withColumn("sale_date", parse_date_of(renamed, "sale_date"))
+    if source is not None and isinstance(renamed.schema["sale_date"].dataType, T.StringType):
+        from .dates import parse_dates_by_source
+        out = parse_dates_by_source(renamed, ["sale_date"], source, day_first)
+    else:
+        out = renamed.withColumn("sale_date", parse_date_of(renamed, "sale_date"))
     out = clean_currency_columns(out, [f.name for f in SALES_LINES.fields
                                        if f.dataType == MONEY])
     missing = {f.name: F.lit(None).cast(f.dataType) for f in SALES_LINES.fields

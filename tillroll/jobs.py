@@ -5,7 +5,8 @@
     python -m tillroll.jobs monthly-mart   --input sales.csv  --output out/monthly_mart
 
 ``service-mart`` materialises only when the output is absent (or left
-incomplete by a failed run) and reports 'exists' / 'processed'. Inputs are
+incomplete by a failed run) and reports 'exists' / 'processed'. Both report
+how many rows were read and how many of them had no readable date. Inputs are
 read by extension (CSV by header name); outputs are Parquet partitioned by
 year. The session comes from the cluster (``getOrCreate``).
 """
@@ -15,17 +16,24 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.clean import normalize_sales, with_calendar_parts
+from .functions.dates import parse_dates_by_source
 from .operators.sales import as_double, monthly_outlet
 from .operators.services import service_mart
 from .schemas import RAW_SALES_TEXT
 from .session import ensure_checkpoint_dir
-from .sources.files import ensure_mart, preprocess_monthly_sheet, read_table, write_table
+from .sources.files import ensure_mart, preprocess_monthly_sheet, read_table, with_file, write_table
 
-def _sales(spark: SparkSession, path: str):
-    return with_calendar_parts(normalize_sales(read_table(spark, path, RAW_SALES_TEXT)))
+def _sales(spark: SparkSession, path: str, seen: Observation):
+    """Normalised lines of the input, dates read in each file's own order.
+    ``seen`` counts the rows, and those that go for want of a date, in the same pass."""
+    raw = with_file(read_table(spark, path, RAW_SALES_TEXT)).withColumnRenamed("Sale Date", "sale_date")
+    dated = parse_dates_by_source(raw, ["sale_date"], "source_file").observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("sale_date").isNull()).alias("invalid_dates"))
+    return with_calendar_parts(normalize_sales(dated.drop("source_file")))
 
 
 def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:
@@ -41,14 +49,18 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> dic
         sheet = read_table(spark, args.input, text=True)  # every column of the sheet stays
         write_table(preprocess_monthly_sheet(sheet), args.output, partition_by=["Year"])
         result = {"status": "processed", "file": args.output}
-    elif args.job == "service-mart":
-        result = ensure_mart(spark, args.output,
-                             lambda: as_double(service_mart(_sales(spark, args.input), args.measure)),
-                             partition_by=["year"])
     else:
-        mart = as_double(monthly_outlet(_sales(spark, args.input), args.measure))
-        write_table(mart, args.output, partition_by=["year"])
-        result = {"status": "processed", "file": args.output}
+        seen = Observation("sale lines")
+        if args.job == "service-mart":
+            result = ensure_mart(spark, args.output,
+                                 lambda: as_double(service_mart(_sales(spark, args.input, seen), args.measure)),
+                                 partition_by=["year"])
+        else:
+            mart = as_double(monthly_outlet(_sales(spark, args.input, seen), args.measure))
+            write_table(mart, args.output, partition_by=["year"])
+            result = {"status": "processed", "file": args.output}
+        if result["status"] == "processed":
+            result |= seen.get
     print(json.dumps(result))
     return result
 

@@ -34,7 +34,7 @@ from ..operators.topk import top_counts, top_sums
 from ..schemas import HOLIDAY_CALENDAR, RAW_SALES_TEXT, SERVICE_MART
 from ..session import cut_lineage, scratch_path
 from ..sources.files import (
-    ensure_mart, load_mart, preprocess_monthly_sheet, read_table, upsert, write_table)
+    ensure_mart, load_mart, preprocess_monthly_sheet, read_table, upsert, with_file, write_table)
 from ..sources.testbed import _alive as session_alive, invoice_lines, sales_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,6 +380,25 @@ def q_clean_dates(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("rows"), F.min("sale_date").alias("first_date"))
 
 
+@query
+def q_clean_dates_by_file(spark, sf_dir):
+    """Sheets whose dates have the day first or the month first, with slashes
+    and with dots, and some with a two-digit year: each file is read in its own
+    order, and no row is lost."""
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    kind = F.pmod(F.xxhash64("center_name"), F.lit(4))
+    text = (F.when(kind == 0, F.date_format("sale_date", "dd/MM/yyyy")).when(kind == 1, F.date_format("sale_date", "M/d/yyyy"))
+            .when(kind == 2, F.date_format("sale_date", "dd.MM.yy")).otherwise(F.date_format("sale_date", "MM-dd-yyyy 10:00")))
+    raw = lines.select(text.alias("Sale Date"), F.col("invoice_no").cast("string").alias("Invoice No"),
+                       F.col("center_name").alias("Center Name"),
+                       F.col("sales_inc_tax").cast("string").alias("Sales Collected (Inc.Tax)"), kind.alias("sheet"))
+    path = scratch_path(spark, "sheets")
+    raw.write.partitionBy("sheet").option("header", True).csv(path)
+    back = normalize_sales(with_file(read_table(spark, path, RAW_SALES_TEXT, fmt="csv")), "source_file")
+    return back.groupBy("center_name", "sale_date").agg(F.count(F.lit(1)).alias("lines"),
+                                                        F.sum("sales_inc_tax").cast("double").alias("sales"))
+
+
 @query
 def q_brand_default(spark, sf_dir):
     lines = sales_lines(spark, sf_dir, items=False)
@@ -797,6 +816,7 @@ SURVEY_IDS = {
     "q_format_column": "V3, V4",
     "q_clean_currency": "P1, X12",
     "q_clean_dates": "P2, P3",
+    "q_clean_dates_by_file": "P2, P3, S3",
     "q_brand_default": "P7",
     "q_normalize_sales": "P8",
     "q_month_num": "P9",

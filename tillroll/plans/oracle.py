@@ -259,6 +259,10 @@ SELECT CAST(year(sale_date) AS BIGINT) AS year, center_name,
        CAST(sum(sales_inc_tax) AS DOUBLE) AS sales, count(*) AS lines
 FROM sales_lines GROUP BY 1, 2"""
 
+ORACLE["q_clean_dates_by_file"] = with_ctes(SALES_LINES_SQL) + """
+SELECT center_name, sale_date, count(*) AS lines, CAST(sum(sales_inc_tax) AS DOUBLE) AS sales
+FROM sales_lines GROUP BY 1, 2"""
+
 ORACLE["q_brand_default"] = _L + """
 SELECT coalesce(nullif(CASE WHEN business_unit = 'BUILDING' THEN NULL
                             WHEN business_unit = 'MACHINERY' THEN 'nan' ELSE business_unit END, 'nan'), 'Other') AS brand,

@@ -61,6 +61,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df
 
 
+def with_file(df: DataFrame, name: str = "source_file") -> DataFrame:
+    """``df``, as read from files, with the path of each row's file."""
+    return df.withColumn(name, F.input_file_name())
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> str:
     """Write a table (CSV with a header, no index); Parquet by default."""
@@ -191,11 +196,17 @@ class SalesData:
 
 
 def load_all(spark: SparkSession, sales_path: str, calendar_path: str | None = None,
-             raw_schema: T.StructType | None = None) -> SalesData:
-    """Read and normalise the sale lines and the holiday calendar."""
+             raw_schema: T.StructType | None = None, dates_by_file: bool = False, day_first=None) -> SalesData:
+    """Read and normalise the sale lines and the holiday calendar. With
+    ``dates_by_file`` the order of day and month is decided file by file (see
+    ``normalize_sales``)."""
     from ..functions.clean import normalize_sales, with_calendar_parts
     from ..operators.holidays import default_calendar, read_calendar
     from ..schemas import RAW_SALES_TEXT
     raw = read_table(spark, sales_path, raw_schema or RAW_SALES_TEXT)
+    if dates_by_file:
+        sales = normalize_sales(with_file(raw), "source_file", day_first)
+    else:
+        sales = normalize_sales(raw)
     calendar = read_calendar(spark, calendar_path) if calendar_path else default_calendar(spark)
-    return SalesData(with_calendar_parts(normalize_sales(raw)), calendar)
+    return SalesData(with_calendar_parts(sales), calendar)
