@@ -28,14 +28,17 @@ from ..operators.holidays import (
     default_calendar, festival_daily, festival_lines, festival_performance, holiday_dates, holiday_sales,
     read_calendar,
     select_holiday_rows, service_summary, top_item_counts, top_items)
+from ..operators.delta import mart_of, merge_changes, read_state
+from ..operators.intervals import long_window_lines
 from ..operators.lattice import Lattice, build_lattice
+from ..operators.rules import classify_by_rules
 from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
 from ..operators.topk import top_counts, top_sums
 from ..schemas import HOLIDAY_CALENDAR, RAW_SALES_TEXT, SERVICE_MART
 from ..session import cut_lineage, scratch_path
 from ..sources.files import (
     ensure_mart, load_mart, preprocess_monthly_sheet, read_table, upsert, with_file, write_table)
-from ..sources.testbed import _alive as session_alive, invoice_lines, sales_lines
+from ..sources.testbed import _alive as session_alive, invoice_lines, sales_lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -483,6 +486,19 @@ def q_service_type(spark, sf_dir):
         F.count(F.lit(1)).alias("lines"), F.sum("sales_inc_tax").cast("double").alias("sales"))
 
 
+@query
+def q_service_rules(spark, sf_dir):
+    """A table of keyword rules, a rule a part: the first that stands in the
+    item's name labels the line."""
+    rules = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("priority"),
+        F.expr("substring(p_name, CAST(1 + p_partkey % 10 AS INT), CAST(2 + p_partkey % 7 AS INT))").alias("keyword"),
+        F.format_string("Group %02d", F.col("p_partkey") % 40).alias("label"))
+    out = classify_by_rules(sales_lines(spark, sf_dir, outlets=False), "item_name", rules)
+    return out.groupBy("service_type").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("item_name").alias("items"),
+                                           F.sum("sales_inc_tax").cast("double").alias("sales"))
+
+
 @query
 def q_service_mart(spark, sf_dir):
     lines = sales_lines(spark, sf_dir).withColumn(
@@ -649,6 +665,15 @@ def q_festival_traffic_series(spark, sf_dir):
     return daily_traffic(_window(spark, sf_dir, [FESTIVAL]), series=("center_name", "item_category"))
 
 
+@query
+def q_festival_long_windows(spark, sf_dir):
+    """Windows of 200 days by centre: sums by centre and day meet the windows
+    as intervals, two rows a window whatever its length."""
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False)
+    by_day = lines.groupBy("sale_date", "center_name").agg(F.sum("sales_inc_tax").alias("sales_inc_tax"))
+    return festival_performance(long_window_lines(by_day, _calendar(spark), 100, 99), by_center=True)
+
+
 # ---- growth -----------------------------------------------------------------
 
 @query
@@ -750,6 +775,26 @@ def q_upsert_partial(spark, sf_dir):
     return upsert(current, incoming, S.MART_KEYS)
 
 
+@query
+def q_delta_mart(spark, sf_dir):
+    """The mart after three batches of changes: a first load, invoices that
+    come later with amounts before tax, and their correction together with
+    invoices that are taken back."""
+    lines = sales_lines(spark, sf_dir, items=False, calendar_parts=False).select(
+        "sale_date", "invoice_no", "center_name", "business_unit", "sales_inc_tax", "sales_exc_tax")
+    late, gone = F.col("invoice_no") % 3 == 0, F.col("invoice_no") % 11 == 0
+    wrong = lines.where(late).withColumn("sales_inc_tax", F.col("sales_exc_tax"))
+    new, back = F.lit(1).alias("sign"), F.lit(-1).alias("sign")
+    path = scratch_path(spark, "state")
+    merge_changes(spark, path, lines.where(~late).select("*", new), 1)
+    merge_changes(spark, path, wrong.select("*", new), 2)
+    third = (wrong.select("*", back).unionByName(lines.where(late & ~gone).select("*", new))
+             .unionByName(lines.where(~late & gone).select("*", back)))
+    merge_changes(spark, path, third, 3)
+    merge_changes(spark, path, third, 3)  # once more, as after a failure
+    return S.as_double(mart_of(read_state(spark, path)))
+
+
 # ---- streaming --------------------------------------------------------------
 
 @query
@@ -823,6 +868,9 @@ SURVEY_IDS = {
     "q_year_from_text": "P11, X11",
     "q_service_type": "P12, P13, X10, V2",
     "q_service_mart": "A26, U1, P11",
+    "q_service_rules": "P13, V2",
+    "q_festival_long_windows": "J3, D-5, A19",
+    "q_delta_mart": "A1, S11",
     "q_map_outlet": "P25, J5",
     "q_hierarchy": "A12, F8",
     "q_hierarchy_rollup": "A12",

@@ -425,6 +425,15 @@ FROM (SELECT festival, holiday_date, center_name, coalesce(sum(amount), 0) AS to
       FROM wl WHERE center_name IS NOT NULL GROUP BY 1, 2, 3)
 WHERE total > 0"""
 
+ORACLE["q_festival_long_windows"] = with_ctes(SALES_LINES_SQL, calendar_cte(), HDATES) + """
+SELECT festival, CAST(year(holiday_date) AS BIGINT) AS year, holiday_date, center_name AS center,
+       CAST(total AS DOUBLE) AS total_window_sales, CAST(total AS DOUBLE) / 200.0 AS average_daily_sales
+FROM (SELECT h.festival, h.holiday_date, d.center_name, sum(d.s) AS total
+      FROM (SELECT center_name, sale_date, sum(sales_inc_tax) AS s FROM sales_lines GROUP BY 1, 2) d
+      JOIN hdates h ON d.sale_date BETWEEN h.holiday_date - 100 AND h.holiday_date + 99
+      WHERE d.center_name IS NOT NULL GROUP BY 1, 2, 3)
+WHERE total > 0"""
+
 ORACLE["q_festival_category_year"] = _wl("New Year") + """
 SELECT item_category, CAST(year(sale_date) AS BIGINT) AS year, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS sales
 FROM wl WHERE item_category IS NOT NULL GROUP BY 1, 2"""
@@ -593,3 +602,19 @@ SELECT year, month, outlet_name, brand, CAST(coalesce(inc.mtd_sales, cur.mtd_sal
                            ELSE 0.0 END AS mtd_abv,
        CASE WHEN inc.year IS NOT NULL THEN 'late' END AS note
 FROM cur LEFT JOIN inc USING (year, month, outlet_name, brand)"""
+
+ORACLE["q_delta_mart"] = with_ctes(SALES_LINES_SQL, MONTHLY_MART_SQL).replace(
+    "FROM sales_lines\n  WHERE year", "FROM sales_lines\n  WHERE invoice_no % 11 <> 0 AND year") + """
+SELECT year, month, outlet_name, brand, CAST(mtd_sales AS DOUBLE) AS mtd_sales, mtd_bills,
+       CASE WHEN mtd_bills > 0 THEN CAST(mtd_sales AS DOUBLE) / CAST(mtd_bills AS DOUBLE) ELSE 0.0 END AS mtd_abv
+FROM monthly"""
+
+ORACLE["q_service_rules"] = with_ctes(SALES_LINES_SQL) + """,
+rules AS (SELECT p_partkey AS priority, lower(substr(p_name, 1 + p_partkey % 10, 2 + p_partkey % 7)) AS keyword,
+                 printf('Group %02d', p_partkey % 40) AS label FROM part),
+first_rules AS (SELECT keyword, min((priority, label)) AS rule FROM rules WHERE length(keyword) > 0 GROUP BY 1),
+names AS (SELECT DISTINCT p_name AS item_name FROM part WHERE p_name IS NOT NULL),
+labels AS (SELECT item_name, min(rule) AS rule FROM names JOIN first_rules ON contains(lower(item_name), keyword) GROUP BY 1)
+SELECT coalesce(rule[2], 'Other Services') AS service_type, count(*) AS lines,
+       count(DISTINCT item_name) AS items, CAST(sum(sales_inc_tax) AS DOUBLE) AS sales
+FROM sales_lines LEFT JOIN labels USING (item_name) GROUP BY 1"""
