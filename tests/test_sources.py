@@ -149,3 +149,58 @@ def test_csv_keeps_quotes_commas_and_line_breaks(spark):
     path = FS.write_table(spark.createDataFrame(rows, "name string, v string"), fresh("q.csv"), "csv")
     back = FS.read_table(spark, path, multiline=True, text=True)
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+
+
+def _dated(spark, days):
+    """A table with n rows a day, some without a date or a number."""
+    rows = [(d, i) for d, n in days for i in range(n)] + [(None, 1), (None, None)] + [(days[0][0], None)]
+    return spark.createDataFrame(rows, "sale_date date, invoice_no int")
+
+
+def _sizes(df, predicates):
+    """Rows of each predicate, as the database would give them."""
+    parts = [df.where(p.replace('"', "`")) for p in predicates]
+    sizes = [p.count() for p in parts]
+    assert sum(sizes) == df.count()
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, df.collect()))  # each row once
+    return sizes
+
+
+@pytest.mark.parametrize("parts", [1, 4, 10])
+def test_balanced_predicates_read_each_row_once_in_like_parts(spark, parts):
+    import datetime as dt
+
+    from tillroll.sources.jdbc import balanced_predicates
+    # one busy month among quiet years, and days without rows
+    days = [(dt.date(2020, 1, 1) + dt.timedelta(days=3 * i), 30 if 200 <= i < 212 else 1 + i % 4) for i in range(400)]
+    df = _dated(spark, days)
+    sizes = _sizes(df, balanced_predicates(days, parts))
+    dated = sizes[:-1]
+    assert sizes[-1] == 2 and abs(len(dated) - parts) <= max(1, parts // 4)
+    assert max(dated) <= 2 * min(dated)
+
+
+def test_balanced_predicates_split_a_heavy_day(spark):
+    import datetime as dt
+
+    from tillroll.sources.jdbc import balanced_predicates
+    day = dt.date(2024, 3, 1)
+    days = [(day + dt.timedelta(days=i), 900 if i == 5 else 40) for i in range(20)]
+    df = _dated(spark, days)
+    whole = _sizes(df, balanced_predicates(days, 8))
+    assert max(whole) >= 900
+    sizes = _sizes(df, balanced_predicates(days, 8, split_col="invoice_no"))
+    assert max(sizes[:-1]) <= 2 * min(sizes[:-1])
+
+
+def test_balanced_predicates_of_nothing_and_late_days(spark):
+    import datetime as dt
+
+    from tillroll.sources.jdbc import balanced_predicates
+    assert balanced_predicates([], 4) == ['"sale_date" IS NOT NULL', '"sale_date" IS NULL']
+    counted = [(dt.date(2024, 1, d), 10) for d in range(5, 25)]
+    came_later = [(dt.date(2023, 12, 31), 3), *counted, (dt.date(2024, 2, 2), 3)]
+    _sizes(_dated(spark, came_later), balanced_predicates(counted, 4))

@@ -31,6 +31,7 @@ from ..operators.holidays import (
 from ..operators.delta import mart_of, merge_changes, read_state
 from ..operators.intervals import long_window_lines
 from ..operators.lattice import Lattice, build_lattice
+from ..operators.profile import profile_of, read_states, refresh_states
 from ..operators.rules import classify_by_rules
 from ..operators.services import hierarchy, hierarchy_rollup, map_outlets, service_mart
 from ..operators.topk import top_counts, top_sums
@@ -293,6 +294,20 @@ def q_column_profile(spark, sf_dir):
     return S.column_profile(sales_lines(spark, sf_dir), PROFILE_COLUMNS)
 
 
+@query
+def q_profile_incremental(spark, sf_dir):
+    """The profile from states by file: the lines come in two loads, and the
+    second refresh reads the files of the second only."""
+    lines = sales_lines(spark, sf_dir).select(*PROFILE_COLUMNS)
+    base = scratch_path(spark, "profile")
+    early = F.col("year") < "1998"
+    for load in (lines.where(early), lines.where(~early)):
+        load.write.mode("append").parquet(f"{base}/data")
+        refresh_states(spark, f"{base}/data", f"{base}/states", PROFILE_COLUMNS)
+    return profile_of(read_states(spark, f"{base}/states")).select(
+        "column_name", "rows", "nulls", "min_value", "max_value", "low_cardinality")
+
+
 # ---- display formatting ----------------------------------------------------
 
 @query
@@ -853,6 +868,7 @@ SURVEY_IDS = {
     "q_filter_values": "A27",
     "q_axis_order": "A28",
     "q_column_profile": "P27",
+    "q_profile_incremental": "P27, A24",
     "q_format_money": "X1, X5",
     "q_format_lakhs": "X2",
     "q_format_percentage": "X3",

@@ -618,3 +618,8 @@ labels AS (SELECT item_name, min(rule) AS rule FROM names JOIN first_rules ON co
 SELECT coalesce(rule[2], 'Other Services') AS service_type, count(*) AS lines,
        count(DISTINCT item_name) AS items, CAST(sum(sales_inc_tax) AS DOUBLE) AS sales
 FROM sales_lines LEFT JOIN labels USING (item_name) GROUP BY 1"""
+
+_PROFILED = ["center_name", "item_name", "item_type", "item_category", "item_subcategory", "business_unit", "year", "month"]
+ORACLE["q_profile_incremental"] = with_ctes(SALES_LINES_SQL) + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, min({c}) AS min_value,
+       max({c}) AS max_value, count(DISTINCT {c}) < 0.5 * count(*) AS low_cardinality FROM sales_lines""" for c in _PROFILED)
