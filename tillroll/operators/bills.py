@@ -31,10 +31,13 @@ def bill_mart(lines: DataFrame, measure: str = "inc_tax", one_row_per_invoice: b
     m = measure_col(measure)
     keyed, keys, labels = keyed_lines(lines)
     rows = keyed.select(*keys, "invoice_no", m).where(not_null(keys))
-    if not one_row_per_invoice:
+    if one_row_per_invoice:
+        homed, home = rows.withColumn("_home", F.struct(*keys)), keys  # numbered and summed where the rows lie
+    else:
         rows = rows.groupBy(*keys, "invoice_no").agg(F.sum(m).alias(m))
-    homed = rows.withColumn("_home", F.min(F.struct(*keys)).over(Window.partitionBy("invoice_no")))
-    number = F.dense_rank().over(Window.partitionBy("_home").orderBy("invoice_no")).cast("long")
+        homed = rows.withColumn("_home", F.min(F.struct(*keys)).over(Window.partitionBy("invoice_no")))
+        home = ["_home"]
+    number = F.dense_rank().over(Window.partitionBy(*home).orderBy("invoice_no")).cast("long")
     at = F.when(F.col("invoice_no").isNotNull(), F.bitmap_bit_position("_number"))
     parts = (homed.withColumn("_number", number)
              .groupBy(*keys, "_home", F.bitmap_bucket_number("_number").alias("_bucket"))
@@ -42,7 +45,7 @@ def bill_mart(lines: DataFrame, measure: str = "inc_tax", one_row_per_invoice: b
                   F.bitmap_construct_agg(at).alias("_bits"), F.max(at).alias("_top")))
     # the numbers are dense, so a bitmap ends with its highest bit
     entry = F.when(F.col("_n") > 0, F.struct(
-        F.to_json("_home").alias("home"), F.col("_bucket").alias("bucket"),
+        F.col("_home").alias("home"), F.col("_bucket").alias("bucket"),
         F.expr("substring(_bits, 1, CAST(_top DIV 8 + 1 AS INT))").alias("bits")))
     mart = parts.groupBy(*keys).agg(F.coalesce(F.sum("_s"), F.lit(0)).alias("mtd_sales"),
                                     F.sum("_n").alias("mtd_bills"), F.collect_list(entry).alias("bills"))

@@ -32,13 +32,16 @@ def service_mart(lines: DataFrame, measure: str = "inc_tax", keywords=SERVICE_KE
     service type, item category / subcategory and business unit.
 
     One ``groupBy``: Spark's partial aggregation before the shuffle does what
-    chunked pre-aggregation plus a re-aggregation would. ``date_text`` names
+    chunked pre-aggregation plus a re-aggregation would. Lines that have a
+    ``category`` and ``service_type`` already, because they were classified
+    item by item before the join, keep them. ``date_text`` names
     a 'dd-mm-yyyy' text column to take the year from (last '-' token);
     otherwise the year of ``sale_date`` is used.
     """
     m = measure_col(measure)
     year = year_from_text(date_text) if date_text else F.year("sale_date").cast("string")
-    c = classify(lines, keywords, product_value).withColumn("year", year)
+    known = {"category", "service_type"} <= set(lines.columns)
+    c = (lines if known else classify(lines, keywords, product_value)).withColumn("year", year)
     keys = [k for k in SERVICE_MART_KEYS if k in c.columns]
     return (c.where(not_null(keys)).groupBy(*keys)
             .agg(F.coalesce(F.sum(m), F.lit(0)).alias("total_sales"),

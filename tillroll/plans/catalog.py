@@ -39,7 +39,7 @@ from ..schemas import HOLIDAY_CALENDAR, RAW_SALES_TEXT, SERVICE_MART
 from ..session import cut_lineage, scratch_path
 from ..sources.files import (
     ensure_mart, load_mart, preprocess_monthly_sheet, read_table, upsert, with_file, write_table)
-from ..sources.testbed import _alive as session_alive, invoice_lines, sales_lines, table
+from ..sources.testbed import _alive as session_alive, classified_lines, invoice_lines, sales_lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -516,10 +516,9 @@ def q_service_rules(spark, sf_dir):
 
 @query
 def q_service_mart(spark, sf_dir):
-    lines = sales_lines(spark, sf_dir).withColumn(
+    lines = classified_lines(spark, sf_dir, keywords=TEST_KEYWORDS, product_value="PROMO").withColumn(
         "sale_date_text", F.date_format("sale_date", "dd-MM-yyyy"))
-    return S.as_double(service_mart(lines, keywords=TEST_KEYWORDS, product_value="PROMO",
-                                    date_text="sale_date_text"))
+    return S.as_double(service_mart(lines, date_text="sale_date_text"))
 
 
 TEST_OUTLET_MAP = {"NATION_1": "CENTRE ONE", "NATION_2": "CENTRE TWO", "T NAGAR": "T. NAGAR CENTER"}
@@ -703,12 +702,12 @@ def q_outlet_growth(spark, sf_dir):
 
 @query
 def q_center_growth(spark, sf_dir):
-    return center_growth(sales_lines(spark, sf_dir, items=False))
+    return center_growth(invoice_lines(spark, sf_dir))
 
 
 @query
 def q_center_projection(spark, sf_dir):
-    return center_projection(sales_lines(spark, sf_dir, items=False))
+    return center_projection(invoice_lines(spark, sf_dir))
 
 
 @query

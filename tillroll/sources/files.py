@@ -61,6 +61,25 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df
 
 
+#: Largest table that :func:`spread_small` deals out.
+SMALL_BYTES = 256 << 20
+
+
+def spread_small(df: DataFrame, key: str, at_most: int = SMALL_BYTES) -> DataFrame:
+    """``df``, a table as read from files, dealt out by ``key`` if it is small.
+
+    A row group is read by one task, and a small table often is one: all that
+    follows up to the next exchange would then run in a single task. Tables of
+    more bytes than ``at_most`` have row groups enough and stay as they are,
+    so nothing large is moved. The size is that of the files, known to the
+    plan without reading them."""
+    if not hasattr(df, "_jdf"):  # a remote (Connect) session shows no plan; the table stays as it is
+        return df
+    size = int(str(df._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(2, cores), key) if size <= at_most else df
+
+
 def with_file(df: DataFrame, name: str = "source_file") -> DataFrame:
     """``df``, as read from files, with the path of each row's file."""
     return df.withColumn(name, F.input_file_name())

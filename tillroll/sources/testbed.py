@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import with_calendar_parts
+from .files import spread_small
 
 # Amounts of the test tables: within 18 digits, which Spark sums as longs.
 MONEY = T.DecimalType(18, 6)
@@ -85,20 +86,24 @@ def item_dimensions(part: DataFrame) -> DataFrame:
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax")
+    return spread_small(lines, "l_orderkey")
 
 
 def canonical_lines(joined: DataFrame, part: DataFrame | None,
-                    calendar_parts: bool = True) -> DataFrame:
+                    calendar_parts: bool = True, of_items=None) -> DataFrame:
     """Canonical sale-line columns from line rows already joined to their
-    order dimensions; ``part`` (or None) adds the item columns."""
+    order dimensions; ``part`` (or None) adds the item columns. ``of_items``
+    adds columns to the items before the join, once per item; the lines carry
+    them too (null where the line has no item)."""
     lines = joined
     items = ("item_name", "item_type", "item_category", "item_subcategory")
     if part is not None:
         dims = item_dimensions(part)
-        lines = lines.join(dims, lines.l_partkey == dims.p_partkey, "left")
-        item_cols = [F.col(c) for c in items]
+        more = of_items(dims) if of_items else dims
+        lines = lines.join(more, lines.l_partkey == more.p_partkey, "left")
+        item_cols = [F.col(c) for c in (*items, *[c for c in more.columns if c not in dims.columns])]
     else:
         item_cols = [F.lit(None).cast("string").alias(c) for c in items]
 
@@ -161,6 +166,22 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                .select("sale_date", "invoice_no", "center_name", "business_unit", *sums))
 
 
+def classified_lines(spark: SparkSession, sf_dir: str, **rules) -> DataFrame:
+    """Sale lines with ``category`` and ``service_type``. Both follow from the
+    item alone, so the items are classified, not the lines; a line without an
+    item has the labels of an item of nulls."""
+    from ..operators.services import classify
+    blank = spark.range(1).select(*[F.lit(None).cast("string").alias(c) for c in (
+        "item_name", "item_type", "item_category", "item_subcategory")])
+    labels = ("category", "service_type")
+    none = classify(blank, **rules).select(F.struct(*labels)).scalar()
+    joined = line_items(spark, sf_dir)
+    dims = order_dimensions(spark, sf_dir)
+    lines = canonical_lines(joined.join(dims, joined.l_orderkey == dims.o_orderkey, "inner"),
+                            table(spark, sf_dir, "part"), of_items=lambda items: classify(items, **rules))
+    return lines.withColumns({c: F.coalesce(F.col(c), none.getField(c)) for c in labels})
+
+
 def _alive(spark: SparkSession) -> bool:
     """False once the session's context was stopped (its views are unusable)."""
     try:
