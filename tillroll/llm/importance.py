@@ -183,10 +183,9 @@ def gains(docs: DataFrame, target: DataFrame, text_col: str = "text", target_tex
     # counted once: the totals are taken from the stored rows, one a bucket
     by_bucket = cut_lineage(both.groupBy("bucket").agg(F.sum("s").cast("double").alias("s"),
                                                        F.sum("t").cast("double").alias("t")))
-    total = by_bucket.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = ((F.col("t") + 1) * (F.col("all_s") + buckets)) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
-    return (by_bucket.join(F.broadcast(total))  # one row
-            .select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("gain")))
+    all_s, all_t = (by_bucket.select(F.sum(c)).scalar() for c in "st")
+    ratio = ((F.col("t") + 1) * (all_s + buckets)) / ((F.col("s") + 1) * (all_t + buckets))
+    return by_bucket.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("gain"))
 
 
 def noise(id_col: Column, seed: int = SEED) -> Column:

@@ -78,20 +78,32 @@ def _tokens(table: str, key: str) -> str:
       '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS t FROM {table})"""
 
 
-def _seeds(tokens: str, key: str) -> str:
-    block = [f"array_to_string(t[i + {a}:i + {a + k - 1}], ' ')" for a, k in decontaminate.BLOCKS]
-    keys = ", ".join(f"'{m} ' || {block[a]} || '|' || {block[b]}" for m, (a, b) in enumerate(decontaminate.MASKS))
-    return f"""(SELECT {key}, i, unnest([{keys}]) AS seed FROM (
-      SELECT {key}, t, unnest(range(1, len(t) - {decontaminate.WINDOW - 2})) AS i FROM {tokens}))"""
+def _windows(tokens: str, key: str) -> str:
+    """A row a window: its tokens as numbers t0, t1 ...; 0 for a token that no
+    benchmark item has."""
+    later = ", ".join(f"lead(n, {k}) OVER w AS t{k}" for k in range(1, decontaminate.WINDOW))
+    return f"""(SELECT * FROM (SELECT {key}, i, n AS t0, {later} FROM (
+        SELECT {key}, i, coalesce(n, 0) AS n FROM {tokens} LEFT JOIN dict USING (w))
+      WINDOW w AS (PARTITION BY {key} ORDER BY i)) WHERE t{decontaminate.WINDOW - 1} IS NOT NULL)"""
 
 
+def _unnested(table: str, key: str) -> str:
+    return f"(SELECT {key}, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM {_tokens(table, key)})"
+
+
+_SAME = " + ".join(f"(a.t{k} = b.t{k})::INT" for k in range(decontaminate.WINDOW))
+#: Windows that agree in enough positions agree in two whole blocks at least.
+_PAIRS = " UNION ".join(
+    "SELECT a.doc_id, b.item_id, a.i FROM a JOIN b ON " + " AND ".join(
+        f"a.t{p} = b.t{p}" for block in mask
+        for p in range(decontaminate.BLOCKS[block][0], sum(decontaminate.BLOCKS[block])))
+    + f" WHERE {_SAME} >= {decontaminate.WINDOW - decontaminate.SUBSTITUTIONS}" for mask in decontaminate.MASKS)
+
 LEAKS = f"""
-WITH d AS {_tokens('documents', 'doc_id')}, m AS {_tokens('benchmark', 'item_id')},
-b AS MATERIALIZED {_seeds('m', 'item_id')}, a AS {_seeds('d', 'doc_id')},
-c AS MATERIALIZED (SELECT DISTINCT doc_id, a.i, item_id, b.i AS j FROM a JOIN b USING (seed)),
-h AS (SELECT DISTINCT c.doc_id, c.item_id, i FROM c JOIN d ON d.doc_id = c.doc_id JOIN m ON m.item_id = c.item_id
-      WHERE len(list_filter(range({decontaminate.WINDOW}), lambda p: d.t[i + p] = m.t[j + p]))
-            >= {decontaminate.WINDOW - decontaminate.SUBSTITUTIONS})
+WITH dt AS MATERIALIZED {_unnested('documents', 'doc_id')}, bt AS MATERIALIZED {_unnested('benchmark', 'item_id')},
+dict AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY w) AS n FROM (SELECT DISTINCT w FROM bt)),
+a AS MATERIALIZED {_windows('dt', 'doc_id')}, b AS MATERIALIZED {_windows('bt', 'item_id')},
+h AS ({_PAIRS})
 SELECT doc_id, item_id, (min(i) - 1)::BIGINT AS first_token, (max(i) + {decontaminate.WINDOW - 2})::BIGINT AS last_token,
   count(*)::BIGINT AS n_windows FROM h GROUP BY doc_id, item_id
 """
