@@ -206,6 +206,18 @@ def test_lines_of_long_texts(spark):
     assert (got[1][0]["n_removed"], got[2][0]["n_removed"], got[2][0]["kept_text"]) == (0, n, "own")
 
 
+def test_lines_of_one_id_and_of_blank_texts(spark):
+    """Texts of unlike length under one id, blank lines only, one very long line and many blank ones."""
+    same = "this line has more than five words"
+    rows = [(1, same, "a"), (2, same + "\nx\n" + same, "a"), (2, same, "a"), (3, "\n\n", "a"), (4, "\n" * 100_000, "a"),
+            (5, "w " * 100_000, "a"), (6, "w " * 100_000, "a"), (7, "\n" * 50_000 + same, "a")]
+    got = {}
+    for r in lines.dedup_lines(table(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_removed"], r["kept_text"] if len(r["kept_text"]) < 99 else "long"))
+    assert got == {1: [(0, same)], 2: [(2, "x"), (1, "")] if len(got[2][0][1]) else [(1, ""), (2, "x")], 3: [(0, "\n\n")],
+                   4: [(0, "long")], 5: [(0, "long")], 6: [(1, "")], 7: [(1, "long")]}
+
+
 def test_shards(df, none):
     got = sharding.shards(df, limit=200).collect()
     assert len(got) == len(ROWS) and sharding.shards(none).collect() == []

@@ -401,12 +401,53 @@ def test_shards_split_until_they_fit(spark):
                 assert sum(v for k, v in size.items() if k.startswith(s[:-1])) > 20_000
 
 
+def dedup(spark, rows, **kw):
+    return {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in lines.dedup_lines(
+        spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect()}
+
+
 def test_line_windows(spark):
     a = "x\ny\nz\nw"
     rows = [(1, a), (2, "q\n" + a), (3, "x\ny"), (4, "x\ny\nz\nx\ny\nz"), (5, " x \ny\nz\nlast")]
-    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in lines.dedup_lines(
-        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (0, a), 2: (4, "q"), 3: (0, "x\ny"), 4: (6, ""), 5: (3, "last")}
+    assert dedup(spark, rows, words=3) == {1: (0, a), 2: (4, "q"), 3: (0, "x\ny"), 4: (6, ""), 5: (3, "last")}
+    assert {i: n for i, (n, _) in dedup(spark, rows).items()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_runs_go_by_their_words(spark):
+    long, pair = "one line of quite some words", "a short one\nand another"
+    rows = [(1, long), (2, long), (3, "own\n" + long + "\nown too"), (4, "before\n" + pair), (5, pair + "\nafter"), (6, "a short one"),
+            (7, "a short one\n\n \t\nand another\n\nend"), (8, "\n" + long + "\n\n" + long), (9, pair + "\n" + long)]
+    assert dedup(spark, rows) == {
+        1: (0, long), 2: (1, ""), 3: (1, "own\nown too"), 4: (0, "before\n" + pair), 5: (2, "after"), 6: (0, "a short one"),
+        7: (5, "end"), 8: (3, ""), 9: (3, "")}
+
+
+def brute_kept(rows, words):
+    """Every run of lines against every earlier place."""
+    runs, first = {}, {}
+    for d, t in sorted(rows):
+        runs[d] = [(p, x.strip(" "), len(WORD.findall(x))) for p, x in enumerate(t.split("\n")) if WORD.search(x)]
+    for d, r in runs.items():
+        for i in range(len(r)):
+            for j in range(i + 1, len(r) + 1):
+                first.setdefault(tuple(x for _, x, _ in r[i:j]), (d, i))
+    out = {}
+    for d, t in rows:
+        r, text = runs[d], t.split("\n")
+        gone = {k for i in range(len(r)) for j in range(i + 1, len(r) + 1) if sum(n for *_, n in r[i:j]) >= words
+                and first[tuple(x for _, x, _ in r[i:j])] < (d, i) for k in range(i, j)}
+        owner = [sum(p <= q for p, *_ in r) - 1 for q in range(len(text))]
+        kept = [x for x, o in zip(text, owner) if o not in gone]
+        out[d] = (len(text) - len(kept), "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_lines_of_random_texts(spark, words):
+    rng = __import__("random").Random(words)
+    pieces = ["a", "b c", "d", "e f g", "h i j k l m", "", " ", " a", "n o", "\t"]
+    rows = [(i, "\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    assert dedup(spark, rows, words=words) == brute_kept(rows, words)
 
 
 def test_pipeline(spark, docs):

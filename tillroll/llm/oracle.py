@@ -35,12 +35,17 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 
 LINES = f"""
 WITH d AS (SELECT doc_id, text IS NULL AS blank, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-w AS (SELECT doc_id, i, array_to_string(list_transform(lines[i:i + {lines.WINDOW - 1}], lambda x: trim(x, ' ')), chr(10)) AS s
-      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - {lines.WINDOW} + 2)) AS i FROM d)),
-first AS (SELECT s, min((doc_id, i)) AS f FROM w GROUP BY s),
-gone AS (SELECT DISTINCT doc_id, i + j AS p FROM w JOIN first USING (s), range({lines.WINDOW}) r(j) WHERE (doc_id, i) > f),
-l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d),
-k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept, count(*) AS n FROM l ANTI JOIN gone USING (doc_id, p)
+l AS (SELECT *, sum((words > 0)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (
+  SELECT doc_id, line, p, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d))),
+r AS (SELECT doc_id, i, list(trim(line, ' ')) OVER ahead AS s, list(words) OVER ahead AS n FROM l WHERE words > 0
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {lines.WORDS - 1} FOLLOWING)),
+w AS (SELECT doc_id, i, j, array_to_string(s[1:j], chr(10)) AS content, list_sum(n[1:j]) AS total, n[1] AS head, n[j] AS tail
+  FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM r)),
+run AS (SELECT * FROM w WHERE total >= {lines.WORDS} AND (total - tail < {lines.WORDS} OR total - head < {lines.WORDS})),
+first AS (SELECT content, min((doc_id, i)) AS f FROM run GROUP BY content),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i::BIGINT, (i + j)::BIGINT)) AS i FROM run JOIN first USING (content) WHERE (doc_id, i) > f),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept, count(*) AS n FROM l ANTI JOIN gone USING (doc_id, i)
       GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN blank THEN 0 ELSE len(lines) END::BIGINT AS n_lines,
   (len(lines) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
