@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import WORD
 
 #: Words of the shortest run that goes. Also the most lines of a window.
@@ -72,7 +73,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # one row a selected place; fingerprints of one place only are dropped
     shared = (keyed.groupBy("fp").agg(F.min(F.struct("id", "place")).alias("a"), F.max(F.struct("id", "place")).alias("b"))
               .where("a != b").select("fp"))
-    near = keyed.join(shared, "fp", "left_semi").select("id", "start", "size", "fp", "content")
+    # stored: two passes follow, and the texts need not be taken apart for each
+    near = cut_lineage(keyed.join(shared, "fp", "left_semi").select("id", "start", "size", "fp", "content"))
     first = (near.groupBy("fp", "content").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("places"))
              .where("places > 1").select("fp", "content", "first"))
     return (near.join(first, ["fp", "content"])
