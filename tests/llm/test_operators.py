@@ -1,6 +1,7 @@
 """The operators against brute force, on small whole tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -385,6 +386,74 @@ def test_url_model_held_out(spark):
     assert np.mean([(r["block"] >= 0.5) == bool(r["blocked"]) for r in got]) > 0.98
 
 
+def brute_lexical(url, host, path):
+    url = url or ""
+    counts = [url.count(c) for c in set(url)]
+    return {"url_length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"),
+            "labels": host.count("."), "digit_share": sum(c in "0123456789" for c in url) / max(len(url), 1),
+            "entropy": -sum(c / len(url) * math.log2(c / len(url)) for c in counts),
+            "parameters": len(re.findall("[?&][^=&#]*=", url)), "hyphens": url.count("-"), "escapes": url.count("%"),
+            "fragment": url.count("#"), "host_hyphens": host.count("-"),
+            "host_digits": sum(c in "0123456789" for c in host), "suffix": host.rsplit(".", 1)[-1]}
+
+
+def url_parts(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string").withColumns({
+        "host": urls.host(urls.F.col("url")), "path": urls.path(urls.F.col("url"))})
+
+
+def test_url_features(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()
+    odd = [None, "", "x", "http://a-1.b-2.org/%20/?q=1&r=&s#t-u", "http://[::1]:80/\n\n", "ftp://h", "://", "http://Ä.de/ä?=&="]
+    rows = [(r["page_id"], r["url"]) for r in pages] + [(10_000 + i, u) for i, u in enumerate(odd)]
+    for r in urls.lexical(url_parts(spark, rows)).collect():
+        for name, value in brute_lexical(r["url"], r["host"], r["path"]).items():
+            assert r[name] == (value if name == "suffix" else pytest.approx(value, abs=1e-9)), (name, r["url"])
+
+
+def test_url_suffixes_over_all_rows(spark, monkeypatch):
+    """Statistics of all labelled rows, whatever the sample; rare suffixes by shuffle alike."""
+    rows = [(i, f"http://{'ads' if i % 3 else 'x'}.h.s{i % 7}/") for i in range(70)]
+    df = urls.word_labels(url_parts(spark, rows))
+    model = urls.fit(df, sample=10, trees=2)
+    rate = sum(i % 3 > 0 for i in range(70)) / 70
+    want = {f"s{k}": (10 / 70, (sum(i % 3 > 0 for i in range(k, 70, 7)) + urls.SMOOTH * rate) / (10 + urls.SMOOTH))
+            for k in range(7)}
+    got = {r["suffix"]: (r["share"], r["block"]) for r in model.suffixes.collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    new = url_parts(spark, rows + [(99, "http://a.unseen/"), (100, None)])
+    plain = sorted((r["page_id"], r["suffix_share"], r["suffix_block"]) for r in model.featured(new).collect())
+    assert plain[-2][1:] == plain[-1][1:] == (0.0, pytest.approx(rate))
+    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", 2)
+    assert sorted((r["page_id"], r["suffix_share"], r["suffix_block"]) for r in model.featured(new).collect()) == plain
+
+
+def test_url_labels_beyond_the_words(spark):
+    """Fitted with half of the list's words, the trees find hosts of the other
+    half, on hosts that they have not seen; the share blocked is near the labels'."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").collect()
+    df = url_parts(spark, [tuple(r) for r in pages])
+    known, other = urls.BLOCK_WORDS[::2], urls.BLOCK_WORDS[1::2]
+    labelled = urls.word_labels(df, known)
+    unseen = urls.F.crc32("host") % 2 == 0
+    hidden = urls.word_labels(df, other).select("page_id", urls.F.col("blocked").alias("other"))
+    train = labelled.where(~unseen).join(hidden.where("other = 0"), "page_id")
+    model = urls.fit(train)
+    got = model.block_probability(labelled.where(unseen)).join(hidden, "page_id").collect()
+    bad = [r["block"] >= 0.5 for r in got if r["blocked"] or r["other"]]
+    new = [r["block"] >= 0.5 for r in got if r["other"] and not r["blocked"]]
+    good = [r["block"] >= 0.5 for r in got if not (r["blocked"] or r["other"])]
+    assert len(new) >= 5 and np.mean(bad) > 0.9 and np.mean(new) > 0.9 and np.mean(good) < 0.02
+
+
+def test_url_block_share(spark):
+    """What no rule decides is blocked about as often as it is labelled."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rows = urls.word_labels(urls.judge(pages, RULES)).where("rule is null").collect()
+    share, base = (np.mean([x(r) for r in rows]) for x in (lambda r: r["verdict"] == "block", lambda r: r["blocked"]))
+    assert len(rows) > 1000 and abs(share - base) < 0.02
+
+
 def test_shards_split_until_they_fit(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     for bits in (3, 16):  # three bits: several passes over what is still too large
