@@ -305,6 +305,55 @@ def test_leaks_with_substitutions(spark):
     assert sum(r["n_windows"] for r in got) == len(want)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_leaks_of_short_items(spark, monkeypatch, broadcast):
+    """Random tokens of few kinds: items of any length against every place of every document."""
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(rng.choice(list("ab"), n))
+    items = [(i, text(n)) for i, n in enumerate([1, 6, 7, 7, 8, 9, 10, 11, 12, 12, 13, 15])]
+    docs = [(i, text(n)) for i, n in enumerate([*range(16), 40, 200, 400])]
+    docs += [(100 + i, t) for i, t in items] + [(None, "x y"), (500, None), (501, ""), (0, docs[-1][1]), (0, docs[-1][1])]
+    want = {(d, i, p, 13) for d, i, p in brute_leaks(docs, items)}
+    for d, t in docs:
+        words = (t or "").split()
+        for i, passage in items:
+            part = passage.split()
+            if decontaminate.SHORTEST <= len(part) < 13:
+                want |= {(d, i, p, len(part)) for p in range(len(words)) if words[p:p + len(part)] == part}
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string")).collect()
+    places = defaultdict(list)
+    for d, i, p, n in want:
+        places[d, i].append((p, n))
+    assert {(r["doc_id"], r["item"]): (r["first_token"], r["last_token"], r["n_windows"]) for r in got} == {
+        k: (min(v)[0], max(p + n for p, n in v) - 1, len(v)) for k, v in places.items()}
+    assert {i for _, i, _, n in want if n < 13} == set(range(2, 10)) and len(got) == len(places)
+
+
+def test_leak_sql_of_short_items(spark):
+    import duckdb
+    from tillroll.llm.oracle import LEAKS
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(rng.choice(list("ab"), n))
+    items = [(i, text(n)) for i, n in enumerate([0, 6, 7, 8, 10, 12, 13, 14])]
+    docs = [(i, text(n)) for i, n in enumerate([0, 5, 7, 12, 13, 60, 300])] + [(9, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(LEAKS).fetchall()) and len(got) > 5
+
+
+def test_leaks_by_shuffle_equal_those_by_broadcast(spark, monkeypatch):
+    want = sorted(E.queries()["op8_decontaminate"](spark, "/root/testdata/sf0.01").collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    assert sorted(E.queries()["op8_decontaminate"](spark, "/root/testdata/sf0.01").collect()) == want and want
+
+
 def test_quality_held_out(spark):
     """Fitted on half of the labels, right on the other half."""
     sf = "/root/testdata/sf0.1"

@@ -85,11 +85,11 @@ def _tokens(table: str, key: str) -> str:
 
 def _windows(tokens: str, key: str) -> str:
     """A row a window: its tokens as numbers t0, t1 ...; 0 for a token that no
-    benchmark item has."""
+    benchmark item has, null after the end."""
     later = ", ".join(f"lead(n, {k}) OVER w AS t{k}" for k in range(1, decontaminate.WINDOW))
-    return f"""(SELECT * FROM (SELECT {key}, i, n AS t0, {later} FROM (
+    return f"""(SELECT {key}, i, n AS t0, {later} FROM (
         SELECT {key}, i, coalesce(n, 0) AS n FROM {tokens} LEFT JOIN dict USING (w))
-      WINDOW w AS (PARTITION BY {key} ORDER BY i)) WHERE t{decontaminate.WINDOW - 1} IS NOT NULL)"""
+      WINDOW w AS (PARTITION BY {key} ORDER BY i))"""
 
 
 def _unnested(table: str, key: str) -> str:
@@ -104,12 +104,20 @@ _PAIRS = " UNION ".join(
         for p in range(decontaminate.BLOCKS[block][0], sum(decontaminate.BLOCKS[block])))
     + f" WHERE {_SAME} >= {decontaminate.WINDOW - decontaminate.SUBSTITUTIONS}" for mask in decontaminate.MASKS)
 
+_LAST, _LEAST = decontaminate.WINDOW - 1, decontaminate.SHORTEST
+_HEAD = " AND ".join(f"a.t{k} = b.t{k}" for k in range(_LEAST))
+_REST = " AND ".join(f"(b.t{k} IS NULL OR a.t{k} = b.t{k})" for k in range(_LEAST, _LAST))
+_LENGTH = " + ".join(f"(b.t{k} IS NOT NULL)::INT" for k in range(_LAST))
+
 LEAKS = f"""
 WITH dt AS MATERIALIZED {_unnested('documents', 'doc_id')}, bt AS MATERIALIZED {_unnested('benchmark', 'item_id')},
 dict AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY w) AS n FROM (SELECT DISTINCT w FROM bt)),
-a AS MATERIALIZED {_windows('dt', 'doc_id')}, b AS MATERIALIZED {_windows('bt', 'item_id')},
-h AS ({_PAIRS})
-SELECT doc_id, item_id, (min(i) - 1)::BIGINT AS first_token, (max(i) + {decontaminate.WINDOW - 2})::BIGINT AS last_token,
+aa AS MATERIALIZED {_windows('dt', 'doc_id')}, bb AS MATERIALIZED {_windows('bt', 'item_id')},
+a AS (SELECT * FROM aa WHERE t{_LAST} IS NOT NULL), b AS (SELECT * FROM bb WHERE t{_LAST} IS NOT NULL),
+h AS (SELECT *, {decontaminate.WINDOW} AS n FROM ({_PAIRS}) UNION
+  SELECT a.doc_id, b.item_id, a.i, {_LENGTH} AS n FROM aa a JOIN bb b ON {_HEAD}
+  WHERE b.i = 1 AND b.t{_LAST} IS NULL AND {_REST})
+SELECT doc_id, item_id, (min(i) - 1)::BIGINT AS first_token, (max(i + n) - 2)::BIGINT AS last_token,
   count(*)::BIGINT AS n_windows FROM h GROUP BY doc_id, item_id
 """
 
