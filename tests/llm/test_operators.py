@@ -137,6 +137,39 @@ def test_token_file_sequences_are_mapped(spark, docs, tmp_path):
     assert at == len(want) and np.array_equal(np.concatenate(got), want)
 
 
+def test_token_files_are_read_a_file_a_task(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files of a small table
+    try:
+        manifest = tokens.write_tokens(df, tokenizer_path(), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.count()
+    assert files > 1 and tokens.read_documents(manifest).rdd.getNumPartitions() == files
+    tokens.drop_files(manifest)
+    assert list((tmp_path / "out").glob("*.arrow")) == []
+    tokens.drop_files(manifest)  # a task that runs again finds nothing
+
+
+def test_token_report_keeps_files_of_a_given_folder(spark, docs, tmp_path):
+    from tillroll.llm.queries import token_report
+    frame, out = spark.read.parquet(f"{SF}/documents.parquet"), str(tmp_path / "kept")
+    want = sorted(token_report(frame).collect())
+    assert sorted(token_report(frame, out).collect()) == want
+    manifest = spark.read.parquet(f"{out}/manifest.parquet")
+    assert sorted(tokens.read_documents(manifest).collect()) == want
+    assert manifest.agg(F.sum("n_docs")).first()[0] == len(docs)
+
+
+def test_kept_ids_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1000)
+    kept = tokens.Kept(lambda key: key.encode())
+    for i in range(300):
+        assert kept[str(i) * 50] == (str(i) * 50).encode()
+        assert sum(len(k) + len(v) for k, v in kept.items()) == kept.held <= 1000
+    assert kept["x" * 5000] and kept["y"] == b"y" and kept.held == 2
+
+
 @pytest.mark.parametrize("text", [
     "", " ", "  a", "a  b", "a b ", "a\nb", "a\n\nb c", "x. y,z", "don't stop", "tab\tx y", "nbsp\u00a0x y",
     "<|endoftext|> a b", "a <|endoftext|>", "caf\u00e9 \u00c9, na\u00efve!", "\u4e2d\u6587 \u4e2d a", "a \U0001f600 b?!",

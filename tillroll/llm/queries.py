@@ -7,10 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from . import (
     decontaminate, importance, lines, mixing, pii, quality, sharding, simhash, spotsigs, substring, tokens, urls, variants)
-from .common import read_table
+from .common import drop_folder, read_table
 
 #: Folder of the public tokenizer files; a local path on every executor.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "")
@@ -29,11 +29,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
-def token_report(docs: DataFrame) -> DataFrame:
-    """Documents as read back from the token files, which then go."""
-    manifest = tokens.write_tokens(docs, tokenizer_path())
+def token_report(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Documents as read back from the token files. Files in a given ``folder``
+    stay, with their manifest as ``manifest.parquet`` beside them; others go."""
+    spark = docs.sparkSession
+    place = (folder or scratch_path(spark, "tokens")).rstrip("/")
+    manifest = tokens.write_tokens(docs, tokenizer_path(), place)
+    if folder:
+        manifest.write.parquet(f"{place}/manifest.parquet")
+        return tokens.read_documents(manifest)
     found = cut_lineage(tokens.read_documents(manifest))
     tokens.drop_files(manifest)
+    drop_folder(spark, place)  # what lost tasks left
     return found
 
 

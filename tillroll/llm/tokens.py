@@ -33,8 +33,9 @@ SEQUENCE = 2048
 END_ID = 2
 #: Sequences a record batch of the file holds.
 BATCH = 256
-#: Strings whose ids a task keeps.
+#: Strings whose ids a task keeps, and characters and bytes of strings and ids together, at most.
 CACHE = 3 << 18
+CACHE_BYTES = 64 << 20
 TAIL = ".,;:!?"
 #: A line feed between two visible characters.
 LONE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
@@ -45,12 +46,16 @@ class Kept(dict):
 
     def __init__(self, find):
         super().__init__()
-        self.find = find
+        self.find, self.held = find, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        found = self.find(key)
+        size = len(key) + len(found or b"")
+        if len(self) >= CACHE or self.held + size > CACHE_BYTES:
             self.clear()
-        found = self[key] = self.find(key)
+            self.held = 0
+        self[key] = found
+        self.held += size
         return found
 
 
@@ -235,10 +240,12 @@ class TokenFile:
 def read_documents(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Read the files back: (id_col long, start long, n_tokens long, ids_crc32
     long) a document, in which start counts the ids of all documents before it
-    and ids_crc32 is over its ids as little-endian unsigned 32-bit integers."""
+    and ids_crc32 is over its ids as little-endian unsigned 32-bit integers.
+    About one file pair a task; only the manifest is ordered in one."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # the number is given, so the few small rows of the manifest stay apart
     files = (manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-             .select("part", "tokens", "docs", "before").repartition("part"))
+             .select("part", "tokens", "docs", "before").repartitionByRange(max(1, manifest.count()), "part"))
 
     def read(batches):
         for batch in batches:
@@ -256,8 +263,12 @@ def read_documents(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_files(manifest: DataFrame) -> None:
-    """Delete the files a manifest names (one row a file pair)."""
-    for row in manifest.select("tokens", "docs").toLocalIterator():
-        for uri in row:
-            fs, path = _open(uri)
-            fs.delete_file(path)
+    """Delete the files a manifest names, in tasks; files that are gone are passed over."""
+    def drop(batches):
+        for batch in batches:
+            for uri in batch.column(0).to_pylist() + batch.column(1).to_pylist():
+                fs, path = _open(uri)
+                if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                    fs.delete_file(path)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+    manifest.select("tokens", "docs").mapInArrow(drop, "n long").agg(F.sum("n")).collect()
