@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import decontaminate, mixing, quality, simhash
-from tillroll.llm.common import read_table
+from tillroll.llm.common import drop_folder, read_table
 from tillroll.llm.queries import token_report
 from tillroll.session import scratch_path
 
@@ -37,9 +37,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(*COLUMNS)
 
 
-def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: a row a document of the mix."""
-    return token_report(docs)
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Token files, read back: a row a document of the mix. The files and
+    ``manifest.parquet`` stay in ``folder`` (default: a new ``tillroll-corpus-*``
+    in spark.checkpoint.dir)."""
+    return token_report(docs, folder or scratch_path(spark, "corpus"))
 
 
 STAGES = [("quality classifier", quality_classifier), ("SimHash near-dedup", simhash_near_dedup),
@@ -50,10 +52,15 @@ STAGES = [("quality classifier", quality_classifier), ("SimHash near-dedup", sim
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages; the token files go to ``folder`` (see ``token_output``). A
+    stage's documents go once the next stage's are written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         out = scratch_path(spark, f"stage{i}")
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        more = {"folder": folder} if stage is token_output else {}
+        stage(spark, docs, sf_dir, **more).write.parquet(out)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
