@@ -36,6 +36,8 @@ BATCH = 256
 #: Strings whose ids a task keeps, and characters and bytes of strings and ids together, at most.
 CACHE = 3 << 18
 CACHE_BYTES = 64 << 20
+#: File pairs a task reads back; a task of one spends more on its start than on the pair.
+FILES_A_TASK = 4
 TAIL = ".,;:!?"
 #: A line feed between two visible characters.
 LONE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
@@ -241,11 +243,11 @@ def read_documents(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Read the files back: (id_col long, start long, n_tokens long, ids_crc32
     long) a document, in which start counts the ids of all documents before it
     and ids_crc32 is over its ids as little-endian unsigned 32-bit integers.
-    About one file pair a task; only the manifest is ordered in one."""
+    A task reads FILES_A_TASK file pairs or so; only the manifest is ordered in one."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # the number is given, so the few small rows of the manifest stay apart
     files = (manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-             .select("part", "tokens", "docs", "before").repartitionByRange(max(1, manifest.count()), "part"))
+             .select("part", "tokens", "docs", "before").repartitionByRange(-(-manifest.count() // FILES_A_TASK) or 1, "part"))
 
     def read(batches):
         for batch in batches:
