@@ -19,6 +19,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import partitions_for
 from .common import ALL
 
 DIMENSIONS = ("year", "month", "center_name", "item_type", "item_category", "item_subcategory", "business_unit")
@@ -112,16 +113,20 @@ def build_lattice(lines: DataFrame, path: str, dimensions: Iterable[str] = DIMEN
         raise ValueError(f"a lattice has 1 to {MAX_DIMENSIONS} dimensions")
     spark, top = lines.sparkSession, frozenset(dimensions)
     sums = [F.sum(m).alias(m) for m in measures]
-    (lines.groupBy(*sorted(top)).agg(*sums, F.count(F.lit(1)).alias("lines"))
-     .write.mode("overwrite").parquet(f"{path}/{_name(top)}"))
+    # the groups may be as many as the lines: partitions by the bytes that are read
+    with partitions_for(lines):
+        (lines.groupBy(*sorted(top)).agg(*sums, F.count(F.lit(1)).alias("lines"))
+         .write.mode("overwrite").parquet(f"{path}/{_name(top)}"))
     base = spark.read.parquet(f"{path}/{_name(top)}")
     estimated = estimate_rows(base, dimensions)
     estimated[top] = base.count()
     out = Lattice(spark, path, {top: estimated[top]})
     # longer tables first: a shorter one can come from them
     for s in sorted(choose(estimated, tables, demand)[1:], key=lambda s: -estimated[s]):
-        (out.table(out.smallest(s)).groupBy(*sorted(s)).agg(*sums, F.sum("lines").alias("lines"))
-         .write.mode("overwrite").parquet(f"{path}/{_name(s)}"))
+        longer = out.table(out.smallest(s))
+        with partitions_for(longer):
+            (longer.groupBy(*sorted(s)).agg(*sums, F.sum("lines").alias("lines"))
+             .write.mode("overwrite").parquet(f"{path}/{_name(s)}"))
         out.rows[s] = estimated[s]
     listed = [(json.dumps(sorted(s)), n) for s, n in out.rows.items()]
     spark.createDataFrame(listed, "dimensions string, rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/tables")

@@ -39,7 +39,7 @@ from ..schemas import HOLIDAY_CALENDAR, RAW_SALES_TEXT, SERVICE_MART
 from ..session import cut_lineage, scratch_path
 from ..sources.files import (
     ensure_mart, load_mart, preprocess_monthly_sheet, read_table, upsert, with_file, write_table)
-from ..sources.testbed import _alive as session_alive, classified_lines, invoice_lines, sales_lines, table
+from ..sources.testbed import classified_lines, invoice_lines, sales_lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -221,17 +221,10 @@ def q_center_year_dense(spark, sf_dir):
     return dense_sum(lines, "center_name", "year", "inc_tax", "sales", chosen)
 
 
-# One lattice per session and folder, as a dashboard has it: stored once, then
-# every mix view reads its smallest table.
-_LATTICES: dict[tuple, tuple[SparkSession, Lattice]] = {}
-
-
 def _lattice(spark, sf_dir) -> Lattice:
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _LATTICES or _LATTICES[key][0] is not spark or not session_alive(spark):
-        _LATTICES.clear()
-        _LATTICES[key] = (spark, build_lattice(sales_lines(spark, sf_dir), scratch_path(spark, "lattice")))
-    return _LATTICES[key][1]
+    """The stored sums of the tables as they are now. Every query stores its
+    own; a dashboard keeps one and opens it with ``open_lattice``."""
+    return build_lattice(sales_lines(spark, sf_dir), scratch_path(spark, "lattice"))
 
 
 @query

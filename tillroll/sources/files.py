@@ -6,6 +6,7 @@ endpoints are Spark/Hadoop configuration, not code.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -80,6 +81,54 @@ def spread_small(df: DataFrame, key: str, at_most: int = SMALL_BYTES) -> DataFra
     return df.repartition(max(2, cores), key) if size <= at_most else df
 
 
+#: File bytes of the part of a large table that one task joins or groups.
+PART_BYTES = 16 << 20
+
+
+def leaf_bytes(df: DataFrame) -> list[int]:
+    """Bytes of the tables that ``df`` reads, the leftmost first, as the plan
+    knows them without reading; tables of unknown size are left out, and a
+    remote (Connect) session knows none."""
+    if not hasattr(df, "_jdf"):
+        return []
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return [n for n in sizes if n < 1 << 60]  # Spark's mark of an unknown size is the largest long
+
+
+def spread_large(df: DataFrame, key: str, other: DataFrame, at_least: int = SMALL_BYTES,
+                 part_bytes: int = PART_BYTES) -> DataFrame:
+    """``df`` dealt out by ``key`` in parts by the bytes of its leftmost table,
+    if that is large and the join with ``other`` on ``key`` deals it out anyway.
+
+    Left to the join, the number of parts is the session's, or parts are glued
+    together by their compressed bytes, and what a task sorts and groups grows
+    with the table. An ``other`` small enough to be broadcast leaves ``df`` as
+    it is."""
+    mine, theirs = leaf_bytes(df)[:1], leaf_bytes(other)[:1]
+    if not mine or mine[0] <= at_least or not theirs:
+        return df
+    broadcast = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df.repartition(-(-mine[0] // part_bytes), key) if theirs[0] > broadcast else df
+
+
+@contextmanager
+def partitions_for(df: DataFrame, part_bytes: int = PART_BYTES):
+    """While it lasts, shuffles of the session have at least a partition for
+    every ``part_bytes`` that ``df`` reads: for writing the groups of a frame
+    that may have as many as lines."""
+    spark, name = df.sparkSession, "spark.sql.shuffle.partitions"
+    before, wanted = spark.conf.get(name), -(-sum(leaf_bytes(df)) // part_bytes)
+    if wanted <= int(before):
+        yield
+        return
+    spark.conf.set(name, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_file(df: DataFrame, name: str = "source_file") -> DataFrame:
     """``df``, as read from files, with the path of each row's file."""
     return df.withColumn(name, F.input_file_name())
