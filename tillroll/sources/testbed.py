@@ -14,7 +14,9 @@ so the first stage of a distinct-invoice count needs no further exchange.
 No join is hinted: the planner broadcasts a side only when its size
 statistics are under the broadcast threshold (``nation`` always, the
 others only on small data) and AQE re-plans from runtime sizes; skewed
-keys are split by AQE's skew-join handling.
+keys are split by AQE's skew-join handling. A large line table is dealt out
+for its joins in parts by its bytes, so that a task's memory does not grow
+with it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import with_calendar_parts
-from .files import spread_small
+from .files import spread_large, spread_small
 
 # Amounts of the test tables: within 18 digits, which Spark sums as longs.
 MONEY = T.DecimalType(18, 6)
@@ -102,6 +104,7 @@ def canonical_lines(joined: DataFrame, part: DataFrame | None,
     if part is not None:
         dims = item_dimensions(part)
         more = of_items(dims) if of_items else dims
+        lines = spread_large(lines, "l_partkey", part)
         lines = lines.join(more, lines.l_partkey == more.p_partkey, "left")
         item_cols = [F.col(c) for c in (*items, *[c for c in more.columns if c not in dims.columns])]
     else:
@@ -175,8 +178,8 @@ def classified_lines(spark: SparkSession, sf_dir: str, **rules) -> DataFrame:
         "item_name", "item_type", "item_category", "item_subcategory")])
     labels = ("category", "service_type")
     none = classify(blank, **rules).select(F.struct(*labels)).scalar()
-    joined = line_items(spark, sf_dir)
     dims = order_dimensions(spark, sf_dir)
+    joined = spread_large(line_items(spark, sf_dir), "l_orderkey", dims)
     lines = canonical_lines(joined.join(dims, joined.l_orderkey == dims.o_orderkey, "inner"),
                             table(spark, sf_dir, "part"), of_items=lambda items: classify(items, **rules))
     return lines.withColumns({c: F.coalesce(F.col(c), none.getField(c)) for c in labels})
@@ -192,8 +195,8 @@ def _alive(spark: SparkSession) -> bool:
 
 def _build_sales_lines(spark: SparkSession, sf_dir: str, items: bool, calendar_parts: bool,
                        outlets: bool) -> DataFrame:
-    li = line_items(spark, sf_dir)
     dims = order_dimensions(spark, sf_dir, outlets)
+    li = spread_large(line_items(spark, sf_dir), "l_orderkey", dims)
     joined = li.join(dims, li.l_orderkey == dims.o_orderkey, "inner")
     part = table(spark, sf_dir, "part") if items else None
     return canonical_lines(joined, part, calendar_parts)
