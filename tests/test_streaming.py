@@ -45,3 +45,24 @@ def test_replayed_epoch_is_idempotent(spark):
     _refresh_batch(spark, raw, 0, lines_path, mart_path, "inc_tax")
     assert spark.read.parquet(lines_path).count() == raw.count()
     assert sorted(map(tuple, read_mart(spark, mart_path).collect())) == sorted(map(tuple, first))
+
+
+def test_batch_reads_only_the_months_it_touches(spark):
+    """A file of another month that cannot be read does not concern it; a month
+    of an earlier batch is recomputed from the lines of both."""
+    from tillroll.streaming.refresh import _refresh_batch
+    base = tempfile.mkdtemp(prefix="tillroll-months-")
+    lines_path, mart_path = os.path.join(base, "lines"), os.path.join(base, "mart")
+
+    def batch(epoch, *dates):
+        raw = spark.createDataFrame([(d, str(i), "X", "B", "$10") for i, d in enumerate(dates, 10 * epoch)],
+                                    ["Sale Date", "Invoice No", "Center Name", "Business Unit", "Sales Collected (Inc.Tax)"])
+        _refresh_batch(spark, raw, epoch, lines_path, mart_path, "inc_tax")
+    batch(0, "2024-01-05", "2024-02-06", "2023-02-06")
+    with open(os.path.join(lines_path, "year=2024", "month=January", "batch=0", "broken.parquet"), "w") as f:
+        f.write("no parquet")
+    batch(1, "2024-02-07", "2024-03-08")
+    got = sorted((r["year"], r["month"], r["mtd_sales"], r["mtd_bills"]) for r in read_mart(spark, mart_path).collect())
+    assert got == [("2023", "February", 10.0, 1), ("2024", "February", 20.0, 2), ("2024", "January", 10.0, 1), ("2024", "March", 10.0, 1)]
+    batch(2, "no date")  # nothing touched
+    assert read_mart(spark, mart_path).count() == 4

@@ -38,12 +38,13 @@ def _refresh_batch(spark: SparkSession, raw: DataFrame, epoch: int, lines_path:
         # own folders (dynamic overwrite), other epochs and months stay.
         (lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("year", "month", "batch").parquet(root))
-        if lines.isEmpty():
+        touched = lines.select("year", "month").distinct().collect()  # a row a month
+        if not touched:
             return
-        touched = lines.select(F.col("year").cast("int"), "month").distinct()
-        # Partition columns: only the touched months' files are read.
-        month_lines = (spark.read.parquet(root).join(touched, ["year", "month"], "left_semi")
-                       .withColumn("year", F.col("year").cast("string")))
+        # Only the touched months' folders are listed and read: a join with
+        # the months would read and deal out the whole history every batch.
+        month_lines = spark.read.schema(lines.schema).option("basePath", root).parquet(
+            *[f"{root}/year={r['year']}/month={r['month']}" for r in touched])
         mart = as_double(monthly_outlet(month_lines, measure))
         (mart.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("year", "month").parquet(mart_path))
