@@ -95,3 +95,18 @@ def test_empty_and_single(spark, cell):
     assert len(parsed(spark, [("a", cell)])) == 1
     df = spark.createDataFrame([], "src string, cell string")
     assert D.parse_dates_by_source(df, ["cell"], "src").collect() == []
+
+
+def test_numbers_are_cast_and_not_parsed_by_patterns(spark):
+    """A failed parse costs many casts: both readings are casts that give what
+    the pattern gave, and other layouts are tried on other cells only."""
+    cells = [f"{a}/{b}/{y}" for a in ("0", "00", "1", "02", "12", "13", "29", "30", "31", "32") for b in ("0", "2", "02", "11", "13", "29", "31")
+             for y in ("0000", "1900", "2000", "2023", "2024", "68", "69")]
+    df = spark.createDataFrame([(c,) for c in cells], "cell string").withColumn("p", D._parts("cell"))
+    readings = D._dates(F.col("p"))
+    assert not any("timestamp" in str(r) for r in readings)
+    year = F.when(F.length(F.col("p")[2]) == 4, F.col("p")[2]).otherwise(F.concat(F.when(F.col("p")[2] < "69", "20").otherwise("19"), F.col("p")[2]))
+    for reading, (d, m) in zip(readings, ((0, 1), (1, 0))):
+        pattern = F.try_to_timestamp(F.concat_ws("-", year, F.col("p")[m], F.col("p")[d]), F.lit("yyyy-M-d")).cast("date")
+        assert df.where(~reading.eqNullSafe(pattern)).count() == 0
+        assert df.where(reading.isNotNull()).count() > 50

@@ -35,8 +35,10 @@ def clean_currency_columns(df: DataFrame, columns, to: T.DataType = MONEY) -> Da
 
 
 def without_time(c: Column | str) -> Column:
-    """The text of a date, trimmed and without a time of day."""
-    return F.regexp_replace(F.trim(_col(c).cast("string")), _TIME_OF_DAY, "$1")
+    """The text of a date, trimmed and without a time of day. Only texts with
+    a colon can have one, and the pattern is tried on these alone."""
+    text = F.trim(_col(c).cast("string"))
+    return F.when(F.contains(text, F.lit(":")), F.regexp_replace(text, _TIME_OF_DAY, "$1")).otherwise(text)
 
 
 def parse_date(c: Column | str, formats=DATE_FORMATS) -> Column:

@@ -86,12 +86,14 @@ def ambiguous_sources(layouts: DataFrame) -> DataFrame:
 
 
 def _dates(parts: Column) -> tuple[Column, Column]:
-    """A date of numbers read day first, and read month first; null for no date."""
+    """A date of numbers read day first, and read month first; null for no date.
+    Cast, not parsed by a pattern: a cell that is a date in one order only
+    would cost a failed parse, many times a cast."""
     a, b, y = (F.get(parts, F.lit(i)) for i in range(3))
     year = F.when(F.length(y) == 4, y).otherwise(F.concat(F.when(y < str(PIVOT), "20").otherwise("19"), y))
 
     def date(day, month):
-        return F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-M-d")).cast("date")
+        return F.concat_ws("-", year, month, day).try_cast("date")
     return date(a, b), date(b, a)
 
 
@@ -115,7 +117,10 @@ def parse_dates_by_source(df: DataFrame, columns: Iterable[str], source: str,
     read = df.withColumns({f"_{c}_p": _parts(c) for c in columns})
     for c in columns:
         first, second = _dates(F.col(f"_{c}_p"))
-        read = read.withColumns({f"_{c}_m": _mark(F.col(f"_{c}_p")), f"_{c}_a": first, f"_{c}_b": second, f"_{c}_t": parse_date(c)})
+        numbers = _mark(F.col(f"_{c}_p")).isin("-", "/", ".")
+        # the other layouts are tried on cells that are no numbers only
+        read = read.withColumns({f"_{c}_m": _mark(F.col(f"_{c}_p")), f"_{c}_a": F.when(numbers, first), f"_{c}_b": F.when(numbers, second),
+                                 f"_{c}_t": F.when(F.coalesce(numbers, F.lit(False)), F.lit(None)).otherwise(parse_date(c))})
     out = read.join(orders, F.col(source).cast("string").eqNullSafe(F.col("_source")), "left")
     for c in columns:
         mark, first, second = (F.col(f"_{c}_{x}") for x in "mab")
